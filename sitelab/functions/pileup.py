@@ -11,9 +11,10 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COUNT_FIELDS = [f"{b}_{d}" for b in "ACGT" for d in ("forward", "reverse")]
-COUNT_SCHEMA = ", ".join(f"{name} bigint" for name in COUNT_FIELDS)
+COUNT_SCHEMA = T.StructType([T.StructField(name, T.LongType()) for name in COUNT_FIELDS])
 
 _START = re.compile(r"\^.")
 _INDEL = re.compile(r"[+-](\d+)")
@@ -83,6 +84,6 @@ def fisher_p(a: int, b: int, c: int, d: int, tolerance: float = 1e-9) -> float:
     return float(min(1.0, mass[mass <= observed * (1 + tolerance)].sum() / mass.sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_p(*row) for row in zip(a, b, c, d)], dtype="float64")
