@@ -67,27 +67,27 @@ def curve_points(table: DataFrame) -> DataFrame:
     return table.withColumns(
         {
             "precision": F.col("tp") / (F.col("tp") + F.col("fp")),
-            "recall": F.col("tp") / F.col("positives"),
-            "fpr": F.col("fp") / F.col("negatives"),
+            "recall": F.try_divide("tp", "positives"),
+            "fpr": F.try_divide("fp", "negatives"),
         }
     )
 
 
 def area_metrics(table: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:
-    """Average precision, trapezoid PR area and ROC area (ties count half)."""
+    """Average precision, trapezoid PR area and ROC area (ties count half); NULL without both classes."""
     tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
     before_tp, before_fp = tp - pos, fp - neg
     precision = tp / (tp + fp)
     # The curve starts at recall 0 with precision 1.
     earlier = F.when(before_tp + before_fp > 0, before_tp / (before_tp + before_fp)).otherwise(F.lit(1.0))
-    gain = pos / F.col("positives")
+    gain = F.try_divide(pos, F.col("positives"))
     return table.groupBy(*by).agg(
         F.max("positives").alias("positives"),
         F.max("negatives").alias("negatives"),
         F.sum(gain * precision).alias("average_precision"),
         F.sum(gain * (precision + earlier) / 2).alias("pr_auc"),
-        (
-            F.sum(pos * (F.col("negatives") - fp + neg / 2)) / (F.max("positives") * F.max("negatives"))
+        F.try_divide(
+            F.sum(pos * (F.col("negatives") - fp + neg / 2)), F.max("positives") * F.max("negatives")
         ).alias("roc_auc"),
     )
 

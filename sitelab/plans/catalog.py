@@ -5,6 +5,9 @@ from importlib import import_module
 MODULES = (
     "scalars",
     "replicates",
+    "intervals",
+    "ranking",
+    "sampling",
 )
 
 
