@@ -123,12 +123,12 @@ def pool_tokens(tokens: DataFrame, key: str, position: str, vector: str, centre:
     """
     v = array_to_vector(F.col(vector).cast("array<double>"))
     letter = F.col(position).between(1, length)
-    rows = tokens.select(key, position, v.alias("v"), letter.cast("double").alias("l"),
-                         (letter & (F.col("mask") == 1)).cast("double").alias("m"), vector)
+    masked = letter & (F.col("mask") == 1)
+    rows = tokens.withColumns({"_x": v, "_letter": letter.cast("double"), "_masked": masked.cast("double")})
     return rows.groupBy(key).agg(
         F.max(F.when(F.col(position) == centre, F.col(vector))).alias("centre"),
-        vector_to_array(Summarizer.mean(F.col("v"), F.col("l"))).alias("mean"),
-        vector_to_array(Summarizer.mean(F.col("v"), F.col("m"))).alias("masked_mean"),
+        vector_to_array(Summarizer.mean(F.col("_x"), F.col("_letter"))).alias("mean"),
+        vector_to_array(Summarizer.mean(F.col("_x"), F.col("_masked"))).alias("masked_mean"),
         F.max(F.when(F.col(position) == 0, F.col(vector))).alias("cls"),
     )
 

@@ -8,6 +8,8 @@ MODULES = (
     "intervals",
     "ranking",
     "sampling",
+    "learning",
+    "sources",
 )
 
 

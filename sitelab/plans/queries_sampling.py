@@ -126,20 +126,20 @@ def _ratio_sql(split: str, ratio: int, fit: bool) -> str:
     pos = _h(f"{split}_positive") if fit else _h(f"{split}_1to{ratio}")
     neg = _h(f"{split}_negative") if fit else _h(f"{split}_1to{ratio}")
     return f"""
-WITH c AS (SELECT COUNT(*) FILTER (WHERE label = 1) AS p, COUNT(*) FILTER (WHERE label = 0) AS q FROM v_pool WHERE split = '{split}' AND (label = 0 OR id % 5 = 0)),
-o AS (SELECT id, label, ROW_NUMBER() OVER (PARTITION BY label ORDER BY CASE WHEN label = 1 THEN {pos} ELSE {neg} END) AS rn FROM v_pool WHERE split = '{split}' AND (label = 0 OR id % 5 = 0))
+WITH c AS (SELECT COUNT(*) FILTER (WHERE label = 1) AS p, COUNT(*) FILTER (WHERE label = 0) AS q FROM v_pool WHERE split = '{split}' AND (label = 0 OR id % 3 = 0)),
+o AS (SELECT id, label, ROW_NUMBER() OVER (PARTITION BY label ORDER BY CASE WHEN label = 1 THEN {pos} ELSE {neg} END) AS rn FROM v_pool WHERE split = '{split}' AND (label = 0 OR id % 3 = 0))
 SELECT id, label FROM o, c WHERE rn <= CASE WHEN label = 1 THEN {used} ELSE {used} * {ratio} END"""
 
 
 @query("k6_ratio_set_dev", _ratio_sql("dev", 10, False))
 def _(src):
-    rows = src.v_pool.filter("label = 0 OR id % 5 = 0").select("id", "label", "split")
+    rows = src.v_pool.filter("label = 0 OR id % 3 = 0").select("id", "label", "split")
     return P.ratio_set(rows, "dev", 10, "id", fit_positives=False).select("id", "label")
 
 
 @query("k6_exact_ratio_set_calibration", _ratio_sql("calibration", 100, True))
 def _(src):
-    rows = src.v_pool.filter("label = 0 OR id % 5 = 0").select("id", "label", "split")
+    rows = src.v_pool.filter("label = 0 OR id % 3 = 0").select("id", "label", "split")
     return P.ratio_set(rows, "calibration", 100, "id", fit_positives=True).select("id", "label")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,25 @@ def local_session(cpus: str | int = 8, app: str = "sitelab", memory: str = "16g"
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
-
-    Used where a later step needs the very same row placement twice, or where an
-    iteration would let the plan grow. Only when the session names no folder
-    (tests) is a temporary one taken.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only if none is set (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder.
+
+    Used where a later step needs the very same row placement twice, or where an
+    iteration would let the plan grow.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
