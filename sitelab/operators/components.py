@@ -72,7 +72,8 @@ def leakage_edges(
         F.transform(F.col(genes), lambda g: F.concat(F.lit("g:"), g)),
         F.array(F.concat(F.lit("s:"), F.sha2(F.col(sequence), 256)), centre),
     )
-    member = sites.select(F.col(key).alias("a"), F.explode(names).alias("attribute"))
+    # Written once: the counts, the hot-key check and the join below all read it.
+    member = cut(sites.select(F.col(key).alias("a"), F.explode(names).alias("attribute")))
     smallest = (
         member.groupBy("attribute")
         .agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n"))

@@ -181,10 +181,12 @@ def near_centres(
     home = F.floor(F.col("_at") / width)
     reach = F.sequence(F.floor((F.col("_at") - distance) / width), F.floor((F.col("_at") + distance) / width))
     shown = marks.withColumn("_stretch", F.explode(F.when(F.col("_c") == 1, reach).otherwise(F.array(home))))
-    w = Window.partitionBy(*by, "_stretch").orderBy("_at")
+    stretch = Window.partitionBy(*by, "_stretch")
+    so_far = (Window.unboundedPreceding, 0)
     centre = F.when(F.col("_c") == 1, F.col("_at"))
-    left = F.max(centre).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.min(centre).over(w.rowsBetween(0, Window.unboundedFollowing))
+    left = F.max(centre).over(stretch.orderBy("_at").rowsBetween(*so_far))
+    # Looking back in descending order; a frame to the last row would be quadratic.
+    right = F.min(centre).over(stretch.orderBy(F.desc("_at")).rowsBetween(*so_far))
     scanned = shown.select(*by, "_at", "_p", "_stretch", left.alias("_l"), right.alias("_r"))
     close = (F.col("_at") - F.col("_l") <= distance) | (F.col("_r") - F.col("_at") <= distance)
     return (

@@ -19,9 +19,11 @@ from sitelab.session import cut
 BUCKET = "_bucket"
 
 
-def sort_exprs(order: Sequence[str]) -> list[Column]:
-    """``"-score"`` sorts descending, ``"id"`` ascending."""
-    return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+def sort_exprs(order: Sequence[str], reverse: bool = False) -> list[Column]:
+    """``"-score"`` sorts descending, ``"id"`` ascending; ``reverse`` turns the whole order round."""
+    return [
+        F.col(c.lstrip("-")).desc() if c.startswith("-") != reverse else F.col(c.lstrip("-")).asc() for c in order
+    ]
 
 
 def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -42,12 +44,17 @@ def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), nam
 
 @dataclass(frozen=True)
 class Scan:
-    """A running aggregate: ``kind`` is sum, min or max."""
+    """A running aggregate: ``kind`` is sum, min or max.
+
+    ``reverse`` runs from the last row, ``exclusive`` leaves the row itself out,
+    ``whole`` aggregates the group.
+    """
 
     kind: str
     column: str | Column
     reverse: bool = False
     exclusive: bool = False
+    whole: bool = False
 
 
 _AGGREGATE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -80,23 +87,33 @@ class Ordered:
             *[_AGGREGATE[s.kind](values[name]).alias(f"_t_{name}") for name, s in scans.items()]
         )
         across = Window.partitionBy(*(self.by or [F.lit(0)])).orderBy(BUCKET)
-        within = Window.partitionBy(*keys).orderBy(*sort_exprs(self.order))
+        # A frame that ends at the last row costs quadratic time, so reverse scans
+        # sort the bucket the other way and look back.
+        forward = Window.partitionBy(*keys).orderBy(*sort_exprs(self.order))
+        backward = Window.partitionBy(*keys).orderBy(*sort_exprs(self.order, reverse=True))
         local, outside = {}, {}
         for name, s in scans.items():
             aggregate = _AGGREGATE[s.kind]
-            if s.reverse:
+            if s.whole:
+                far = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            elif s.reverse:
                 far = across.rowsBetween(1, Window.unboundedFollowing)
-                near = within.rowsBetween(1 if s.exclusive else 0, Window.unboundedFollowing)
             else:
                 far = across.rowsBetween(Window.unboundedPreceding, -1)
-                near = within.rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else 0)
             outside[name] = aggregate(f"_t_{name}").over(far).alias(f"_f_{name}")
-            local[name] = aggregate(values[name]).over(near).alias(f"_n_{name}")
+            if not s.whole:
+                near = (backward if s.reverse else forward).rowsBetween(
+                    Window.unboundedPreceding, -1 if s.exclusive else 0
+                )
+                local[name] = aggregate(values[name]).over(near).alias(f"_n_{name}")
         totals = totals.select(*keys, *outside.values())
         df = df.select("*", *local.values()).join(totals, keys)
         kept = [F.col(c) for c in self._df.columns if c not in scans]
         added = [
-            _combine(s.kind, F.col(f"_n_{name}"), F.col(f"_f_{name}")).alias(name) for name, s in scans.items()
+            (
+                F.col(f"_f_{name}") if s.whole else _combine(s.kind, F.col(f"_n_{name}"), F.col(f"_f_{name}"))
+            ).alias(name)
+            for name, s in scans.items()
         ]
         return Ordered(df.select(*kept, *added), self.order, self.by, _laid=True)
 

@@ -45,20 +45,10 @@ def score_table(pred: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame
         .scan(
             tp=Scan("sum", "pos"),
             fp=Scan("sum", "neg"),
-            _p=Scan("sum", "pos", reverse=True, exclusive=True),
-            _n=Scan("sum", "neg", reverse=True, exclusive=True),
+            positives=Scan("sum", "pos", whole=True),
+            negatives=Scan("sum", "neg", whole=True),
         )
         .frame()
-        .select(
-            *by,
-            "score",
-            "pos",
-            "neg",
-            "tp",
-            "fp",
-            (F.col("tp") + F.coalesce("_p", F.lit(0))).alias("positives"),
-            (F.col("fp") + F.coalesce("_n", F.lit(0))).alias("negatives"),
-        )
     )
 
 

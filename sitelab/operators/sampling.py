@@ -61,12 +61,14 @@ def stable_sample(df: DataFrame, n: int, tag: str, key: str, seed: int = SEED, h
     return hash_sample(marked, quota, ["_all"], key, tag, seed, digits=4).drop("_all")
 
 
-def draw(pool: DataFrame, count: int, tag: str, key: str, seed: int) -> DataFrame:
-    """``count`` rows with a slot 0..count-1; rows repeat only if the pool is smaller."""
+def draw(pool: DataFrame, count: int, tag: str, key: str, seed: int, repeat: bool = True) -> DataFrame:
+    """``count`` rows with a slot 0..count-1; rows repeat only if allowed and the pool is smaller."""
     ranked = global_rank(pool.withColumn("_h", draw_hash(tag, key, seed)), ["_h", key], name="_r").drop("_h")
     size = pool.count()
     if size == 0:
         raise ValueError("draw from an empty pool")
+    if count > size and not repeat:
+        raise ValueError(f"{count} distinct rows wanted, {size} available")
     if count <= size:
         return ranked.filter(F.col("_r") <= count).withColumn("slot", F.col("_r") - 1).drop("_r")
     slots = pool.sparkSession.range(count).select(F.col("id").alias("slot"), (F.col("id") % size + 1).alias("_r"))
@@ -85,7 +87,7 @@ def epoch_draw(
     """Negatives of one epoch from a pool with boolean matched / hard (/ guided) columns.
 
     ``unique`` gives the variant of the mixed strategy that draws an id once and
-    fills up from the rest of the pool.
+    fills up from the rest of the pool; a pool that is too small is an error.
     """
     number = seed + NEGATIVE_STEP * (epoch + 1)
     subset = {
@@ -99,7 +101,7 @@ def epoch_draw(
     if strategy != "mixed":
         return draw(pool.filter(subset[strategy]), count, strategy, key, number)
     parts = [
-        draw(pool.filter(subset[name]), n, name, key, number).drop("slot")
+        draw(pool.filter(subset[name]), n, name, key, number, repeat=not unique).drop("slot")
         for name, n in shares(count).items()
         if n > 0
     ]
@@ -111,7 +113,7 @@ def epoch_draw(
         missing = count - chosen.count()
         if missing > 0:
             rest = pool.join(chosen.select(key), key, "left_anti")
-            chosen = chosen.unionByName(draw(rest, missing, "fill", key, number).drop("slot"))
+            chosen = chosen.unionByName(draw(rest, missing, "fill", key, number, repeat=False).drop("slot"))
     chosen = chosen.withColumn("_copy", F.monotonically_increasing_id()) if not unique else chosen
     shuffled = chosen.withColumn("_h", draw_hash("shuffle", key, number))
     order = ["_h", key] if unique else ["_h", key, "_copy"]

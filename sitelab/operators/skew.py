@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The HOT_KEYS largest keys are spread over SALTS join buckets each. Every other
-# key holds less than 1/HOT_KEYS of the rows, whatever the data look like.
+# Of the keys with at least HOT_ROWS rows the HOT_KEYS largest are spread over
+# SALTS join buckets each. Every other key has fewer than HOT_ROWS rows or less
+# than 1/HOT_KEYS of all rows, whatever the data look like.
+HOT_ROWS = 10_000
 HOT_KEYS = 1000
 SALTS = 64
 
@@ -27,10 +29,16 @@ def salted_lookup(
     """
     on = list(on)
     hot = (
-        lookup.orderBy(F.col(size).desc(), *on)
+        lookup.filter(F.col(size) >= HOT_ROWS)
+        .orderBy(F.col(size).desc(), *on)
         .limit(HOT_KEYS)
         .select(*on, F.lit(True).alias("_hot"))
     )
+    # At most HOT_KEYS short rows come to the driver; without any, a plain join is balanced.
+    found = hot.collect()
+    if not found:
+        return rows.join(lookup, on, how)
+    hot = rows.sparkSession.createDataFrame(found, hot.schema)
     salt = F.when(
         F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
     ).otherwise(F.lit(0))

@@ -21,8 +21,8 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), name: str
     distinct = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
     ladder = (
         Ordered(distinct, [p], by)
-        .scan(_rank=Scan("sum", "_n"), _rest=Scan("sum", "_n", reverse=True, exclusive=True))
-        .scan(_q=Scan("min", F.col(p) * (F.col("_rank") + F.coalesce("_rest", F.lit(0))) / F.col("_rank"), reverse=True))
+        .scan(_rank=Scan("sum", "_n"), _all=Scan("sum", "_n", whole=True))
+        .scan(_q=Scan("min", F.col(p) * F.col("_all") / F.col("_rank"), reverse=True))
         .frame()
         .select(*by, p, "_n", F.least(F.col("_q"), F.lit(1.0)).alias(name))
     )

@@ -38,11 +38,17 @@ def with_complexity(df: DataFrame, seq: str) -> DataFrame:
 
 def with_fdr(stats: DataFrame, name: str = "fdr") -> DataFrame:
     """Exact test on pooled counts where the difference is defined, then FDR."""
-    p = F.when(
-        F.col("raw_difference").isNotNull(),
-        fisher_exact("pooled_treated_alt", "pooled_treated_ref", "pooled_control_alt", "pooled_control_ref"),
+    stats = cut(stats)
+    # The Python test sees only the rows that need it; a conditional would send all.
+    defined = stats.filter(F.col("raw_difference").isNotNull())
+    tested = cut(
+        defined.withColumn(
+            "fisher_p",
+            fisher_exact("pooled_treated_alt", "pooled_treated_ref", "pooled_control_alt", "pooled_control_ref"),
+        )
     )
-    return benjamini_hochberg(cut(stats.withColumn("fisher_p", p)), "fisher_p", name=name)
+    adjusted = benjamini_hochberg(tested, "fisher_p", name=name)
+    return adjusted.unionByName(stats.filter(F.col("raw_difference").isNull()), allowMissingColumns=True)
 
 
 def label_sites(
@@ -60,7 +66,8 @@ def label_sites(
     full = A.per_sample(observed, samples, counts, ["site_id"])
     sizes = {g: groups.count(g) for g in set(groups)}
     stats = with_fdr(A.site_statistics(full, ["site_id"], sizes))
-    joined = with_complexity(sites, seq).join(stats, "site_id")
+    # Placed by site first: the sequence measures are the heavy part, and the join needs that placement anyway.
+    joined = with_complexity(sites.repartition("site_id"), seq).join(stats, "site_id")
     joined = mark_positions(joined, variants, ["chrom", "position"], "on_variant")
     joined = with_key_count(joined, key, "_copies").withColumns(
         {"context_pass": context_pass, "unique_key": F.col("_copies") == 1}

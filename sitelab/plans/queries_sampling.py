@@ -74,19 +74,19 @@ def _(src):
 
 _UNIQUE = " UNION ".join(
     f"SELECT id FROM ({_draw_sql(w, n, t, _NUMBER)})"
-    for w, n, t in (("NOT hard AND NOT matched", 300, "easy"), ("matched", 600, "matched"), ("hard", 600, "hard"))
+    for w, n, t in (("NOT hard AND NOT matched", 60, "easy"), ("matched", 120, "matched"), ("hard", 120, "hard"))
 )
 
 
 @query(
     "k4_epoch_draw_mixed_unique",
-    f"""WITH u AS ({_UNIQUE}), f AS (SELECT id FROM v_pool WHERE label = 0 AND id NOT IN (SELECT id FROM u) ORDER BY {_h('fill', seed=_NUMBER)}, id LIMIT (SELECT 1500 - COUNT(*) FROM u)),
+    f"""WITH u AS ({_UNIQUE}), f AS (SELECT id FROM v_pool WHERE label = 0 AND id NOT IN (SELECT id FROM u) ORDER BY {_h('fill', seed=_NUMBER)}, id LIMIT (SELECT 300 - COUNT(*) FROM u)),
 a AS (SELECT id FROM u UNION ALL SELECT id FROM f)
 SELECT id, ROW_NUMBER() OVER (ORDER BY {_h('shuffle', seed=_NUMBER)}, id) - 1 AS slot FROM a""",
 )
 def _(src):
     pool = src.v_pool.filter("label = 0").select("id", "matched", "hard", "guided")
-    return M.epoch_draw(pool, 1500, "mixed", _EPOCH, _BASE, unique=True).select("id", "slot")
+    return M.epoch_draw(pool, 300, "mixed", _EPOCH, _BASE, unique=True).select("id", "slot")
 
 
 @query(

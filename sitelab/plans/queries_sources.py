@@ -159,7 +159,8 @@ def sam_lines(src) -> DataFrame:
     """Six reads around each site with gaps, clips, mates and low qualities."""
     c = F.col
     k = c("k")
-    rows = src.v_sites.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    # Spread the sites first: the text below is many times their size.
+    rows = src.v_sites.repartition("site_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
     sk = lambda a, b, m: (c("site_id") * a + k * b) % m
     flags = F.array(*[F.lit(x) for x in (0, 16, 99, 147, 1024 + 16, 83)])
     cigars = F.array(*[F.lit(x) for x in ("101M", "50M2D51M", "10S91M", "40M5N61M")])

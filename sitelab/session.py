@@ -17,6 +17,9 @@ def local_session(cpus: str | int = 8, app: str = "sitelab", memory: str = "16g"
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        # Tables of a few MB: let all local threads work on them.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

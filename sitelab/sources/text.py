@@ -6,7 +6,7 @@ on any text source, and a ``read_*`` form over a path.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +51,16 @@ def read_tsv(
     return df.select(*clean)
 
 
-def fields(df: DataFrame, separator: str = "\t") -> DataFrame:
-    return df.select(F.split(F.rtrim(F.col("value"), F.lit("\r\n")), separator, -1).alias("f"))
+def fields(df: DataFrame, skip: Sequence[str] = (), keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Lines as arrays ``f``. Skipped and unfit lines have no array at all, so that a
+    filter pushed below this step never parses one of their fields."""
+    parts = F.split(F.rtrim(F.col("value"), F.lit("\r\n")), "\t", -1)
+    fit = F.lit(True)
+    for prefix in skip:
+        fit = fit & ~F.col("value").startswith(prefix)
+    if keep is not None:
+        fit = fit & keep(parts)
+    return df.select(F.when(fit, parts).alias("f")).filter(F.col("f").isNotNull())
 
 
 def parse_pileup(
@@ -133,9 +141,7 @@ def gtf_attribute(text: Column, key: str) -> Column:
 def parse_gtf(text: DataFrame, feature: str = "exon", contigs: Sequence[str] | None = None) -> DataFrame:
     """Intervals of one feature, half-open and 0-based; other lines are skipped."""
     f = F.col("f")
-    rows = fields(text.filter(~F.col("value").startswith("#"))).filter(
-        (F.size(f) == 9) & (f[2] == feature) & f[6].isin("+", "-")
-    )
+    rows = fields(text, ["#"], lambda x: (F.size(x) == 9) & (F.get(x, F.lit(2)) == feature) & F.get(x, F.lit(6)).isin("+", "-"))
     if contigs is not None:
         rows = rows.filter(f[0].isin(*contigs))
     attributes = f[8]
@@ -156,7 +162,7 @@ def parse_gtf(text: DataFrame, feature: str = "exon", contigs: Sequence[str] | N
 
 def parse_vcf_positions(text: DataFrame, contigs: Sequence[str] | None = None) -> DataFrame:
     """Distinct (chrom, position) of all records of one or several files."""
-    rows = fields(text.filter(~F.col("value").startswith("#") & (F.trim("value") != "")))
+    rows = fields(text, ["#"], lambda x: F.size(x) >= 2)
     out = rows.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("bigint").alias("position"))
     if contigs is not None:
         out = out.filter(F.col("chrom").isin(*contigs))
@@ -165,7 +171,7 @@ def parse_vcf_positions(text: DataFrame, contigs: Sequence[str] | None = None) -
 
 def parse_annotations(text: DataFrame, columns: Sequence[str], prefix: str = "REDI") -> DataFrame:
     """Annotation rows whose first field is ``PREFIX_chrom_position_ref_alt``; others are skipped."""
-    rows = fields(text.filter(~F.col("value").startswith("#")))
+    rows = fields(text, ["#"])
     pattern = rf"^{prefix}_(.+)_(\d+)_([ACGT])_([ACGT])$"
     name = F.col("f")[0]
     hit = rows.filter(F.regexp_like(name, F.lit(pattern)))
@@ -190,7 +196,7 @@ def annotation_columns(text: DataFrame, mark: str = "#Uploaded_variation") -> li
 def parse_sam(text: DataFrame) -> DataFrame:
     """Aligned reads: name, flag, chrom, 1-based start, mapping quality, CIGAR, bases, qualities."""
     f = F.col("f")
-    return fields(text.filter(~F.col("value").startswith("@"))).select(
+    return fields(text, ["@"]).select(
         f[0].alias("qname"),
         f[1].cast("int").alias("flag"),
         f[2].alias("chrom"),
