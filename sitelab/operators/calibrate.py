@@ -17,7 +17,14 @@ METHODS = ("none", "platt", "isotonic")
 
 
 def logistic(
-    df: DataFrame, features: str, label: str, c: float = 1.0, intercept: bool = True, weight: str | None = None, max_iter: int = 200
+    df: DataFrame,
+    features: str,
+    label: str,
+    c: float = 1.0,
+    intercept: bool = True,
+    weight: str | None = None,
+    max_iter: int = 200,
+    tol: float = 1e-6,
 ):
     """L2 logistic regression with the usual inverse-strength parameter C."""
     n = df.count() if weight is None else df.agg(F.sum(weight)).first()[0]
@@ -29,7 +36,7 @@ def logistic(
         standardization=False,
         fitIntercept=intercept,
         maxIter=max_iter,
-        tol=1e-9,
+        tol=tol,
     )
     if weight is not None:
         model = model.setWeightCol(weight)
@@ -52,7 +59,7 @@ class Platt:
 def fit_platt(df: DataFrame, score: str = "score", label: str = "label", on_logit: bool = True) -> Platt:
     x = logit(score) if on_logit else F.col(score)
     data = df.select(array_to_vector(F.array(x)).alias("x"), F.col(label).cast("double").alias("y"))
-    model = logistic(data, "x", "y", c=1e6)
+    model = logistic(data, "x", "y", c=1e6, tol=1e-9)
     return Platt(float(model.coefficients[0]), float(model.intercept), on_logit)
 
 

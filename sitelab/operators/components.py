@@ -23,18 +23,12 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    signature = None
-    while True:
-        state = current.agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")
-        ).first()
-        if (state["n"], state["x"]) == signature:
-            break
-        signature = (state["n"], state["x"])
+    while not _is_forest(current):
+        n = current.count()
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = (
-            salted_lookup(both, lowest, ["u"], "n")
+            salted_lookup(both, lowest, ["u"], "n", total=2 * n)
             .filter((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
@@ -42,7 +36,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = cut(large)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            salted_lookup(large, lowest, ["u"], "n")
+            salted_lookup(large, lowest, ["u"], "n", total=2 * n)
             .filter(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(lowest.select("u", F.col("m").alias("v")))
@@ -53,6 +47,14 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node has one parent and no parent has a parent: the fixed point of the steps."""
+    parents = edges.select(F.col("v").alias("u")).distinct().withColumn("_top", F.lit(1)).withColumn("_n", F.lit(0))
+    nodes = edges.groupBy("u").agg(F.lit(0).alias("_top"), F.count(F.lit(1)).alias("_n"))
+    per_node = parents.unionByName(nodes).groupBy("u").agg(F.max("_top").alias("_top"), F.max("_n").alias("_n"))
+    return per_node.filter((F.col("_n") > 1) | ((F.col("_top") == 1) & (F.col("_n") > 0))).isEmpty()
+
+
 def leakage_edges(
     sites: DataFrame,
     key: str = "site_key",

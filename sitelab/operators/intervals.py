@@ -156,9 +156,9 @@ def points_in_intervals(
 
 
 def collect_hits(hits: DataFrame, key: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    """Sorted distinct ids per point, merged on the map side."""
+    """Sorted distinct ids per point and the number of hits, merged on the map side."""
     sets = [F.concat_ws(",", F.array_sort(F.collect_set(c))).alias(c) for c in ids]
-    return hits.groupBy(*key).agg(*sets)
+    return hits.groupBy(*key).agg(*sets, F.count(F.lit(1)).alias("hits"))
 
 
 def near_centres(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sitelab.operators.ordering import Ordered, Scan, global_rank
 from sitelab.operators.skew import first_by, salted_lookup
+from sitelab.operators.stats import quantiles
 
 # Validation budgets and bins of the calibration error.
 BUDGETS = (10, 50, 100, 500, 1000)
@@ -205,9 +206,8 @@ def calibration_error(
 def reliability_points(pred: DataFrame, by: Sequence[str] = ("model_id",), bins: int = 12) -> DataFrame:
     """Mean score and observed rate in quantile bins; equal scores never part."""
     by = list(by)
-    edges = pred.groupBy(*by).agg(
-        F.percentile("score", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_edges")
-    )
+    points = quantiles(pred, by, ["score"], [i / bins for i in range(1, bins)])
+    edges = points.groupBy(*by).agg(F.array_sort(F.collect_list("value")).alias("_edges"))
     # A score equal to an edge belongs to the bin below it.
     cell = F.size(F.filter("_edges", lambda e: e < F.col("score")))
     return (

@@ -57,8 +57,10 @@ def site_statistics(
 
     One shuffle on the site. The arrays hold one number per sample, so their
     length is that of the sample sheet. Rates of replicates below ``min_depth``
-    are missing, never zero.
+    are missing, never zero. A sample of the sheet without a row counts as depth
+    0; it is added after the aggregation instead of being joined in as a row.
     """
+    samples = sum(group_sizes.values())
     covered = F.col("depth") >= min_depth
     rate = F.when(F.col("depth") > 0, F.col("alt") / F.col("depth")).otherwise(F.lit(0.0))
 
@@ -72,8 +74,6 @@ def site_statistics(
         rates("treated").alias("_t"),
         rates("control").alias("_c"),
         F.array_sort(F.collect_list("depth")).alias("_d"),
-        F.min("depth").alias("minimum_depth"),
-        F.avg("depth").alias("mean_depth"),
         F.max(rate).alias("max_rate"),
         F.max("alt").alias("_max_alt"),
         F.coalesce(F.max(F.when(covered, F.col("alt"))), F.lit(0)).alias("_max_covered_alt"),
@@ -82,6 +82,9 @@ def site_statistics(
         pooled("alt", "control").alias("pooled_control_alt"),
         pooled("ref", "control").alias("pooled_control_ref"),
     )
+    # Zeros of the absent samples go in front, which keeps the array sorted.
+    absent = F.greatest(F.lit(samples) - F.size("_d"), F.lit(0))
+    wide = wide.withColumn("_d", F.concat(F.array_repeat(F.lit(0).cast("bigint"), absent), F.col("_d").cast("array<bigint>")))
     base = wide.select(
         "*",
         array_median(F.col("_t")).alias("treated_median"),
@@ -113,9 +116,9 @@ def site_statistics(
         "pooled_treated_ref",
         "pooled_control_alt",
         "pooled_control_ref",
-        "minimum_depth",
+        F.get("_d", F.lit(0)).alias("minimum_depth"),
         array_median(F.col("_d")).alias("median_depth"),
-        "mean_depth",
+        array_mean(F.col("_d").cast("array<double>")).alias("mean_depth"),
         "max_rate",
         (F.col("_max_alt") == 0).alias("all_alt_zero"),
         (F.col("_max_covered_alt") == 0).alias("covered_alt_zero"),

@@ -192,7 +192,7 @@ def thin(
     )
     kept = None
     width = max(HALO_BIN, distance)
-    while not alive.isEmpty():
+    while (rows := alive.count()) > 0:
         by_sequence = alive.groupBy("_seq").agg(F.min("_first").alias("_first"), F.count(F.lit(1)).alias("_n"))
         best = F.min(F.struct("_first", key, "_seq"))
         by_position = alive.groupBy(*prefix).agg(best.alias("_b"), F.count(F.lit(1)).alias("_n"))
@@ -212,8 +212,8 @@ def thin(
         close = near_centres(by_position.select(*prefix), won, [chrom], position, distance)
         blocked = by_position.select(*prefix, "_n").join(close.withColumn("_near", F.lit(True)), prefix)
         used = by_sequence.select("_seq", "_n").join(won.select("_seq", F.lit(True).alias("_used")), "_seq")
-        left = salted_lookup(alive, blocked, prefix, "_n", "left").filter(F.col("_near").isNull()).drop("_near", "_n")
-        left = salted_lookup(left, used, ["_seq"], "_n", "left").filter(F.col("_used").isNull()).drop("_used", "_n")
+        left = salted_lookup(alive, blocked, prefix, "_n", "left", rows).filter(F.col("_near").isNull()).drop("_near", "_n")
+        left = salted_lookup(left, used, ["_seq"], "_n", "left", rows).filter(F.col("_used").isNull()).drop("_used", "_n")
         alive = cut(left)
     kept = cut(kept) if kept is not None else alive.select(key)
     return df.join(kept, key, "left_semi")

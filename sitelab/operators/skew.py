@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Of the keys with at least HOT_ROWS rows the HOT_KEYS largest are spread over
 # SALTS join buckets each. Every other key has fewer than HOT_ROWS rows or less
 # than 1/HOT_KEYS of all rows, whatever the data look like.
-HOT_ROWS = 10_000
+HOT_ROWS = 200_000
 HOT_KEYS = 1000
 SALTS = 64
 
@@ -21,13 +21,17 @@ def salted_lookup(
     on: Sequence[str],
     size: str,
     how: str = "inner",
+    total: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``lookup``, which has one row per key and its row count in ``size``.
 
     The list of hot keys has at most HOT_KEYS rows, so broadcasting it is bounded;
     the lookup itself is never broadcast by force and only its hot keys are copied.
+    A caller that knows the ``total`` of rows spares the check of small tables.
     """
     on = list(on)
+    if total is not None and total < HOT_ROWS:
+        return rows.join(lookup, on, how)
     hot = (
         lookup.filter(F.col(size) >= HOT_ROWS)
         .orderBy(F.col(size).desc(), *on)

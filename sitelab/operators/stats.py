@@ -60,17 +60,38 @@ def strongest_pair(table: DataFrame, value: str = "pearson") -> DataFrame:
 
 
 def quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], levels: Sequence[float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles, one row per group, column and level."""
-    values = [F.percentile(c, F.array(*[F.lit(q) for q in levels])).alias(c) for c in columns]
-    wide = df.groupBy(*by).agg(*values)
-    rows = F.array(
-        *[
-            F.struct(F.lit(c).alias("field"), F.lit(float(q)).alias("level"), F.get(F.col(c), F.lit(i)).alias("value"))
-            for c in columns
-            for i, q in enumerate(levels)
-        ]
+    """Exact, linearly interpolated quantiles, one row per group, column and level.
+
+    The percentile aggregate holds all distinct values of a group in one task.
+    Here the value counts are laid out by value over many tasks, and the two
+    values around each position are picked from their running counts.
+    """
+    by = list(by)
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("_v")) for c in columns])
+    counts = (
+        df.select(*by, F.inline(pairs))
+        .filter(F.col("_v").isNotNull())
+        .groupBy(*by, "field", "_v")
+        .agg(F.count(F.lit(1)).alias("_m"))
+    )
+    goals = F.explode(F.array(*[F.lit(float(q)) for q in levels]))
+    placed = (
+        Ordered(counts, ["_v"], [*by, "field"])
+        .scan(_upto=Scan("sum", "_m"), _n=Scan("sum", "_m", whole=True))
+        .frame()
+        .select("*", goals.alias("level"))
+        .withColumn("_at", F.col("level") * (F.col("_n") - 1))
+    )
+    first, last = F.col("_upto") - F.col("_m"), F.col("_upto") - 1
+
+    def value_at(position: Column) -> Column:
+        return F.max(F.when((position >= first) & (position <= last), F.col("_v")))
+
+    found = placed.groupBy(*by, "field", "level").agg(
+        value_at(F.floor("_at")).alias("_lo"), value_at(F.ceil("_at")).alias("_hi"), F.max("_at").alias("_at")
     )
-    return wide.select(*by, F.inline(rows))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
+    return found.select(*by, "field", "level", value.alias("value"))
 
 
 def seed_summary(

@@ -62,10 +62,8 @@ def label_sites(
 ) -> DataFrame:
     """Site table with statistics, FDR, class flags and exclusion reasons."""
     groups = [g for _, g in samples]
-    observed = counts.select("site_id").distinct()
-    full = A.per_sample(observed, samples, counts, ["site_id"])
     sizes = {g: groups.count(g) for g in set(groups)}
-    stats = with_fdr(A.site_statistics(full, ["site_id"], sizes))
+    stats = with_fdr(A.site_statistics(counts, ["site_id"], sizes))
     # Placed by site first: the sequence measures are the heavy part, and the join needs that placement anyway.
     joined = with_complexity(sites.repartition("site_id"), seq).join(stats, "site_id")
     joined = mark_positions(joined, variants, ["chrom", "position"], "on_variant")

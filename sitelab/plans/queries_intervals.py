@@ -73,8 +73,7 @@ FROM v_sites s JOIN v_exons e ON e.chrom = s.chrom AND e.strand = s.strand AND s
 def _(src):
     points = src.v_sites.select("site_id", "chrom", "strand", (F.col("position") - 1).alias("position0"))
     hits = I.points_in_intervals(points, src.v_exons, ["chrom", "strand"], "position0")
-    ids = I.collect_hits(hits, ["site_id"], ["gene_id", "region"])
-    return ids.join(hits.groupBy("site_id").agg(F.count("exon_id").alias("exons")), "site_id")
+    return I.collect_hits(hits, ["site_id"], ["gene_id", "region"]).withColumnRenamed("hits", "exons")
 
 
 _SWEEP = """

@@ -416,10 +416,12 @@ def _(src):
 )
 def _(src):
     n, hit = F.count(F.lit(1)), F.count_if(F.col("score") >= 0.6)
-    return src.v_pred.filter("label = 0").groupBy("model_id").agg(
-        n.alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.median("score"), 6).alias("median_score"),
+    negatives = src.v_pred.filter("label = 0")
+    middle = W.quantiles(negatives, ["model_id"], ["score"], [0.5]).select("model_id", F.round("value", 6).alias("median_score"))
+    return negatives.groupBy("model_id").agg(
+        n.alias("n"), F.round(F.avg("score"), 6).alias("mean_score"),
         hit.alias("predicted_positive"), F.round(hit / n * 1_000_000.0, 6).alias("fp_per_million"),
-    )
+    ).join(middle, "model_id")
 
 
 _FPB = """

@@ -96,7 +96,7 @@ def full_counts(src):
 
 
 def statistics(src):
-    return A.site_statistics(full_counts(src), ["site_id"], {"treated": 3, "control": 3})
+    return A.site_statistics(src.v_counts, ["site_id"], {"treated": 3, "control": 3})
 
 
 def labelled(src):
@@ -225,8 +225,7 @@ def _(src):
         .otherwise(F.col("alt"))
     )
     counts = src.v_obs.withColumn("alt", alt).withColumns({"ref": F.col("depth") - F.col("alt"), "other": F.lit(0)})
-    full = A.per_sample(counts.select("site_id").distinct(), SAMPLES, counts, ["site_id"])
-    stats = A.site_statistics(full, ["site_id"], {"treated": 3, "control": 3}, min_replicates=1)
+    stats = A.site_statistics(counts, ["site_id"], {"treated": 3, "control": 3}, min_replicates=1)
     reached = (F.col("treated_covered") >= 1) & (F.col("control_covered") >= 1)
     return stats.withColumn("all_covered", reached).select(
         "site_id", L.negative_class().alias("negative_class"), L.near_zero().alias("near_zero")

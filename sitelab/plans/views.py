@@ -72,6 +72,17 @@ FROM v_sites s JOIN v_seq q ON s.site_id = q.site_id""",
 }
 
 
+# The same view for Spark with the three models exploded instead of joined.
+SPARK_VIEWS = {
+    "v_pred": """
+SELECT d.doc_id AS id, l.toxic AS label, d.source AS grp, d.lang AS category, d.n_chars AS depth,
+  m.model_id, CAST((d.doc_id * m.mult + 12345) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) * CAST(0.7 AS DOUBLE)
+    + CAST(l.toxic AS DOUBLE) * CAST(m.lift AS DOUBLE) AS score
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+LATERAL VIEW inline(array(struct('m0', 7919, 0.0D), struct('m1', 104729, 0.2D), struct('m2', 1299709, 0.3D))) m AS model_id, mult, lift""",
+}
+
+
 def _order(names: list[str]) -> list[str]:
     """The named views and those they use, dependencies first."""
     seen: list[str] = []
@@ -111,7 +122,7 @@ def oracle(sql: str) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the parquet files of ``sf_dir``."""
     chain = _order([name])
-    text = f"WITH {', '.join(f'{v} AS ({VIEWS[v]})' for v in chain)} SELECT * FROM {name}"
+    text = f"WITH {', '.join(f'{v} AS ({SPARK_VIEWS.get(v, VIEWS[v])})' for v in chain)} SELECT * FROM {name}"
     tables = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)]
     for t in tables:
         text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)

@@ -46,7 +46,7 @@ def printable(df: DataFrame, columns: Sequence[str] | None = None, missing: str
 def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None, digits: int = 12, gzip: bool = True) -> None:
     """Header TSV part files; fails if the target exists."""
     writer = printable(df, columns, digits=digits).write.mode("errorifexists").option("sep", "\t").option("header", True)
-    writer = writer.option("emptyValue", "").option("quote", "\u0000")
+    writer = writer.option("emptyValue", "").option("escape", '"')
     (writer.option("compression", "gzip") if gzip else writer).csv(path)
 
 

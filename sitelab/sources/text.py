@@ -35,7 +35,7 @@ def read_tsv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, partitions: int | None = None
 ) -> DataFrame:
     """Header TSV, plain or gzip, as strings unless a schema is given; missing-value texts become NULL."""
-    reader = spark.read.option("sep", "\t").option("header", True)
+    reader = spark.read.option("sep", "\t").option("header", True).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema).option("nullValue", "NA")
     df = reader.csv(path)

@@ -20,14 +20,14 @@ def test_short_pileup_row_is_an_error(spark):
 
 def test_tsv_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
-        [(1, "a", 0.1 + 0.2, True), (2, None, None, False), (3, "c", float("nan"), None), (4, "d", 1e-9, True), (5, "e", 123456789012345.0, True)],
+        [(1, 'a "b"\tc', 0.1 + 0.2, True), (2, None, None, False), (3, "c", float("nan"), None), (4, "d", 1e-9, True), (5, "e", 123456789012345.0, True)],
         "i long, s string, x double, b boolean",
     )
     path = str(tmp_path / "t")
     O.write_tsv(df, path)
     got = {r.i: (r.s, r.x, r.b) for r in T.read_tsv(spark, path).collect()}
     assert got == {
-        "1": ("a", "0.3", "1"), "2": (None, None, "0"), "3": ("c", None, None), "4": ("d", "1e-09", "1"), "5": ("e", "1.23456789012e+14", "1"),
+        "1": ('a "b"\tc', "0.3", "1"), "2": (None, None, "0"), "3": ("c", None, None), "4": ("d", "1e-09", "1"), "5": ("e", "1.23456789012e+14", "1"),
     }
     with pytest.raises(Exception, match="(?i)exist"):
         O.write_tsv(df, path)
