@@ -14,6 +14,7 @@ from sitelab.functions.scoring import PROBABILITY_CLIP, logit, sigmoid
 from sitelab.operators.ordering import Ordered, Scan
 
 METHODS = ("none", "platt", "isotonic")
+ROWS_PER_TASK = 25_000
 
 
 def logistic(
@@ -26,21 +27,31 @@ def logistic(
     max_iter: int = 200,
     tol: float = 1e-6,
 ):
-    """L2 logistic regression with the usual inverse-strength parameter C."""
-    n = df.count() if weight is None else df.agg(F.sum(weight)).first()[0]
-    model = LogisticRegression(
-        featuresCol=features,
-        labelCol=label,
-        regParam=1.0 / (c * n),
-        elasticNetParam=0.0,
-        standardization=False,
-        fitIntercept=intercept,
-        maxIter=max_iter,
-        tol=tol,
-    )
-    if weight is not None:
-        model = model.setWeightCol(weight)
-    return model.fit(df)
+    """L2 logistic regression with the usual inverse-strength parameter C.
+
+    The rows are cached once in parallel. A small training set then runs in few
+    tasks, because each of the many short iterations pays for every task.
+    """
+    used = [features, label] + ([weight] if weight is not None else [])
+    data = df.select(*used).persist()
+    try:
+        rows = data.count()
+        strength = rows if weight is None else data.agg(F.sum(weight)).first()[0]
+        model = LogisticRegression(
+            featuresCol=features,
+            labelCol=label,
+            regParam=1.0 / (c * strength),
+            elasticNetParam=0.0,
+            standardization=False,
+            fitIntercept=intercept,
+            maxIter=max_iter,
+            tol=tol,
+        )
+        if weight is not None:
+            model = model.setWeightCol(weight)
+        return model.fit(data.coalesce(1 + rows // ROWS_PER_TASK))
+    finally:
+        data.unpersist()
 
 
 @dataclass(frozen=True)

@@ -31,6 +31,7 @@ from sitelab.functions.sequences import kmers
 from sitelab.operators.calibrate import logistic
 from sitelab.operators.ordering import global_rank, top_k
 from sitelab.operators.ranking import best_per_sequence
+from sitelab.session import cut
 
 
 def dot(x: str | Column, weights: Sequence[float]) -> Column:
@@ -150,7 +151,11 @@ def kmer_count_features(low: int, high: int, numerics: Sequence[str], seq: str =
     return prepare, [counts, numbers, scaled, joined]
 
 
-def fit_logistic(df: DataFrame, stages: list, label: str, c: float, balanced: bool = False):
+# Stopping rule for models on many correlated counts; more steps no longer change the ranking.
+COARSE = {"max_iter": 100, "tol": 1e-4}
+
+
+def fit_logistic(df: DataFrame, stages: list, label: str, c: float, balanced: bool = False, **options):
     """Feature stages and a logistic fit; ``balanced`` weights classes inversely to their size."""
     prepared = Pipeline(stages=stages).fit(df)
     features = prepared.transform(df)
@@ -161,7 +166,7 @@ def fit_logistic(df: DataFrame, stages: list, label: str, c: float, balanced: bo
         value = F.when(F.col(label) == 1, total / (2 * sizes[1])).otherwise(total / (2 * sizes[0]))
         features, weight = features.withColumn("_w", value), "_w"
     features = features.withColumn("_y", F.col(label).cast("double"))
-    return prepared, logistic(features, "features", "_y", c, weight=weight)
+    return prepared, logistic(features, "features", "_y", c, weight=weight, **options)
 
 
 def linear_score(df: DataFrame, prepared, model, name: str = "score") -> DataFrame:
@@ -174,7 +179,7 @@ def linear_score(df: DataFrame, prepared, model, name: str = "score") -> DataFra
 def kmer_logistic(train: DataFrame, label: str, numerics: Sequence[str], seq: str = "seq", c: float = 1.0):
     """1-4-mer counts with composition numbers. Returns a scoring function."""
     prepare, stages = kmer_count_features(1, 4, numerics, seq)
-    prepared, model = fit_logistic(prepare(train), stages, label, c)
+    prepared, model = fit_logistic(prepare(train), stages, label, c, **COARSE)
     return lambda df: linear_score(prepare(df), prepared, model).drop("_kmers")
 
 
@@ -224,11 +229,15 @@ def _sublinear(v):
 
 
 @F.udf(VectorUDT())
-def _difference(a, b):
-    values = dict(zip(a.indices.tolist(), a.values.tolist()))
-    for i, x in zip(b.indices.tolist(), b.values.tolist()):
-        values[i] = values.get(i, 0.0) - x
-    return SparseVector(a.size, sorted(values.items()))
+def _signed_difference(a, b, flip):
+    """a - b, or b - a when flipped, as a sparse vector."""
+    values = {}
+    for sign, v in ((-1.0 if flip else 1.0, a), (1.0 if flip else -1.0, b)):
+        entries = zip(v.indices.tolist(), v.values.tolist()) if isinstance(v, SparseVector) else enumerate(v.toArray().tolist())
+        for i, x in entries:
+            if x:
+                values[i] = values.get(i, 0.0) + sign * x
+    return SparseVector(len(a), sorted(values.items()))
 
 
 def pairwise_ranker(
@@ -245,7 +254,8 @@ def pairwise_ranker(
     """Logistic ranker on feature differences of (positive_id, negative_id) pairs.
 
     Features are sublinear TF-IDF k-mers of unit length next to standardised
-    numbers. Each pair enters with both signs and there is no intercept.
+    numbers, and there is no intercept. A pair and its mirror image have the same
+    loss, so each pair enters once, with a sign by hash, and counts twice.
     """
     prepare = lambda df: df.withColumn("_kmers", kmers(seq, low, high))
     base = prepare(rows)
@@ -261,15 +271,16 @@ def pairwise_ranker(
         out = counter.transform(prepare(df)).withColumn("_sub", _sublinear("_counts"))
         return joined.transform(scaler.transform(numbers.transform(unit.transform(weigh.transform(out)))))
 
-    vectors = features(rows).select(key, "features")
+    # Written once: both sides of the pairs read it.
+    vectors = cut(features(rows).select(key, "features"))
     left = vectors.select(F.col(key).alias("positive_id"), F.col("features").alias("_p"))
     right = vectors.select(F.col(key).alias("negative_id"), F.col("features").alias("_n"))
     both = pairs.join(left, "positive_id").join(right, "negative_id")
-    data = both.select(_to_sparse("_p").alias("_p"), _to_sparse("_n").alias("_n"))
-    signed = data.select(_difference("_p", "_n").alias("x"), F.lit(1.0).alias("y")).unionByName(
-        data.select(_difference("_n", "_p").alias("x"), F.lit(0.0).alias("y"))
+    flip = F.pmod(F.xxhash64("positive_id", "negative_id"), F.lit(2)) == 1
+    signed = both.select(
+        _signed_difference("_p", "_n", flip).alias("x"), F.when(flip, 0.0).otherwise(1.0).alias("y")
     )
-    model = logistic(signed, "x", "y", c, intercept=False)
+    model = logistic(signed, "x", "y", 2 * c, intercept=False, **COARSE)
     weights = model.coefficients
 
     def score(df: DataFrame) -> DataFrame:
@@ -280,14 +291,6 @@ def pairwise_ranker(
     return score, weights
 
 
-@F.udf(VectorUDT())
-def _to_sparse(v):
-    if isinstance(v, SparseVector):
-        return v
-    hit = np.nonzero(v.toArray())[0]
-    return SparseVector(v.size, hit, v.toArray()[hit])
-
-
 Scorer = Callable[[pd.DataFrame], np.ndarray]
 
 

@@ -25,7 +25,22 @@ def _half(src, even: bool):
     return src.v_pred.filter(f"id % 2 = {0 if even else 1}")
 
 
-@query("c1_platt_calibration")
+@query(
+    "c1_platt_calibration",
+    # Newton steps for slope a and intercept b of each model.
+    """
+WITH RECURSIVE q AS (SELECT id, model_id, label, score, LEAST(GREATEST(score, 1e-7), 1 - 1e-7) AS c FROM v_pred WHERE model_id IN ('m1', 'm2')),
+d AS (SELECT id, model_id || '_logit' AS m, LN(c / (1 - c)) AS x, label AS y FROM q UNION ALL SELECT id, model_id || '_raw', score, label FROM q),
+n(it, m, a, b) AS (
+  SELECT 0, m, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM d GROUP BY m
+  UNION ALL
+  SELECT it + 1, m, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
+    SELECT it, m, a, b, SUM(x * (y - p)) - a * 1e-6 AS g1, SUM(y - p) AS g2, SUM(x * x * p * (1 - p)) + 1e-6 AS h11, SUM(x * p * (1 - p)) AS h12, SUM(p * (1 - p)) AS h22
+    FROM (SELECT n.it, n.m, n.a, n.b, d.x, d.y, 1 / (1 + EXP(-(n.a * d.x + n.b))) AS p FROM n JOIN d ON d.m = n.m) GROUP BY it, m, a, b)
+  WHERE it < 15),
+f AS (SELECT d.m AS model_id, 1 / (1 + EXP(-(a * x + b))) AS p, y FROM d JOIN n ON n.m = d.m AND n.it = 15)
+SELECT model_id, COUNT(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, COUNT(*) FILTER (WHERE p >= 0.5 AND y = 0) AS fp, ROUND(AVG((p - y) * (p - y)), 4) AS brier FROM f GROUP BY model_id""",
+)
 def _(src):
     out = None
     for m in ("m1", "m2"):
@@ -36,7 +51,7 @@ def _(src):
                 "id", F.lit(f"{m}_{'logit' if on_logit else 'raw'}").alias("model_id"), "label", fitted.apply(F.col("score")).alias("score")
             )
             out = part if out is None else out.unionByName(part)
-    return R.confusion(out, F.lit(0.5)).select("model_id", "tp", "fp", *r6("brier"))
+    return R.confusion(out, F.lit(0.5)).select("model_id", "tp", "fp", F.round("brier", 4).alias("brier"))
 
 
 @query(
