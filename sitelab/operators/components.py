@@ -75,7 +75,8 @@ def leakage_edges(
         F.array(F.concat(F.lit("s:"), F.sha2(F.col(sequence), 256)), centre),
     )
     # Written once: the counts, the hot-key check and the join below all read it.
-    member = cut(sites.select(F.col(key).alias("a"), F.explode(names).alias("attribute")))
+    member = sites.select(F.col(key).alias("a"), F.explode(names).alias("attribute"))
+    member = cut(member.filter(F.col("attribute").isNotNull()))
     smallest = (
         member.groupBy("attribute")
         .agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n"))

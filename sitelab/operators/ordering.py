@@ -26,6 +26,17 @@ def sort_exprs(order: Sequence[str], reverse: bool = False) -> list[Column]:
     ]
 
 
+def _by_bucket(rows: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Attach the summary of (by, bucket); a NULL group is a group like any other."""
+    keys = [*by, BUCKET]
+    values = [c for c in summary.columns if c not in keys]
+    named = summary.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *values)
+    same = F.col(BUCKET) == F.col(f"_g{len(by)}")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(named, same).drop(*[f"_g{i}" for i in range(len(keys))])
+
+
 def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """1-based row number by ``order`` (a total order) within ``by``; one range shuffle."""
     by = list(by)
@@ -37,7 +48,7 @@ def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), nam
     runs = laid.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_n"), F.min("_slot").alias("_first"))
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    joined = laid.join(runs, [*by, BUCKET])
+    joined = _by_bucket(laid, runs, by)
     rank = (F.col("_slot") - F.col("_first") + F.col("_before") + 1).cast("bigint")
     return joined.select(*df.columns, rank.alias(name))
 
@@ -107,7 +118,7 @@ class Ordered:
                 )
                 local[name] = aggregate(values[name]).over(near).alias(f"_n_{name}")
         totals = totals.select(*keys, *outside.values())
-        df = df.select("*", *local.values()).join(totals, keys)
+        df = _by_bucket(df.select("*", *local.values()), totals, self.by)
         kept = [F.col(c) for c in self._df.columns if c not in scans]
         added = [
             (

@@ -74,5 +74,7 @@ def key_counts(df: DataFrame, key: Sequence[str], name: str = "n") -> DataFrame:
 
 
 def with_key_count(df: DataFrame, key: Sequence[str], name: str = "key_count") -> DataFrame:
-    """Multiplicity of each row's key, safe for a key that holds most rows."""
-    return salted_lookup(df, key_counts(df, key, name), key, name)
+    """Multiplicity of each row's key, safe for a key that holds most rows; NULL counts as a value."""
+    tagged = df.withColumn("_key", F.to_json(F.struct(*key)))
+    counted = salted_lookup(tagged, key_counts(tagged, ["_key"], name), ["_key"], name)
+    return counted.select(*df.columns, name)

@@ -281,12 +281,15 @@ def _(src):
 
 @query(
     "u1_union_by_name",
-    """SELECT site_id, chrom, label, NULL AS strand, 'a' AS origin FROM v_sites WHERE label = 1 UNION ALL SELECT site_id, chrom, NULL, strand, 'b' FROM v_sites WHERE label = 0""",
+    """SELECT site_id, chrom, CAST(label AS STRING) AS label, 'NA' AS strand, 'a' AS origin FROM v_sites WHERE label = 1
+UNION ALL SELECT site_id, chrom, 'NA', strand, 'b' FROM v_sites WHERE label = 0""",
 )
 def _(src):
     a = src.v_sites.filter("label = 1").select("site_id", "chrom", "label", F.lit("a").alias("origin"))
     b = src.v_sites.filter("label = 0").select("strand", "chrom", "site_id", F.lit("b").alias("origin"))
-    return a.unionByName(b, allowMissingColumns=True)
+    both = a.unionByName(b, allowMissingColumns=True)
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in ("label", "strand")]
+    return both.select("site_id", "chrom", *filled, "origin")
 
 
 @query(

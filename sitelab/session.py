@@ -21,6 +21,8 @@ def local_session(cpus: str | int = 8, app: str = "sitelab", memory: str = "16g"
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        # Checkpoints go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -111,6 +111,23 @@ def test_salted_join_with_a_hot_key(spark, monkeypatch):
     assert got == {i: counts[k] for i, k in data}
 
 
+def test_null_groups_and_keys_are_kept(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, None, 3), (3, None, 4), (4, "a", 5)], "i int, g string, x int")
+    assert rows(global_rank(df, ["x", "i"], by=["g"]), "i", "rank") == [(1, 1), (2, 1), (3, 2), (4, 2)]
+    scanned = Ordered(df, ["x", "i"], ["g"]).scan(s=Scan("sum", "x")).frame()
+    assert rows(scanned, "i", "s") == [(1, 5), (2, 3), (3, 7), (4, 10)]
+    assert rows(skew.with_key_count(df, ["g", "x"], "n"), "i", "n") == [(1, 2), (2, 1), (3, 1), (4, 2)]
+
+
+def test_exact_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(14)
+    values = rng.integers(0, 30, 501) / 7
+    df = spark.createDataFrame([("m", float(v)) for v in values], "g string, x double")
+    levels = [0.0, 0.05, 1 / 3, 0.5, 0.951, 1.0]
+    got = [r.value for r in W.quantiles(df, ["g"], ["x"], levels).orderBy("level").collect()]
+    assert np.allclose(got, np.quantile(values, levels))
+
+
 def test_components_against_union_find(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 20)
     rng = random.Random(4)
