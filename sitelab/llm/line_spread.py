@@ -127,19 +127,19 @@ WITH cut AS (
   SELECT doc_id, coalesce('=' || source, 'none') AS site, string_split(text, chr(10)) AS parts
   FROM documents WHERE text IS NOT NULL
 ), l AS (
-  SELECT doc_id, site, unnest(parts) AS line, generate_subscripts(parts, 1) AS at FROM cut
+  SELECT doc_id, site, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut
 ), counted AS (
   SELECT *, trim(line) AS k FROM l
   WHERE regexp_matches(line, '(?:{_WORD}[\x20\x09-\x0D]+){{{MIN_WORDS - 1}}}{_WORD}')
 ), spread AS (
-  SELECT k, min(struct_pack(d := doc_id, p := at)) AS first
+  SELECT k, min(struct_pack(d := doc_id, p := pos)) AS first
   FROM counted GROUP BY k HAVING count(DISTINCT site) >= {MIN_SITES}
 ), gone AS (
-  SELECT c.doc_id, c.at FROM counted c JOIN spread s ON c.k = s.k
-  WHERE struct_pack(d := c.doc_id, p := c.at) <> s.first
+  SELECT c.doc_id, c.pos FROM counted c JOIN spread s ON c.k = s.k
+  WHERE struct_pack(d := c.doc_id, p := c.pos) <> s.first
 ), kept AS (
-  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY at) AS text
-  FROM l ANTI JOIN gone USING (doc_id, at) GROUP BY l.doc_id
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text
+  FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY l.doc_id
 ), removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(r.n, 0)::BIGINT AS n_removed, length(coalesce(k.text, ''))::BIGINT AS n_chars_left,
   sha256(coalesce(k.text, '')) AS text_sha256
