@@ -25,7 +25,7 @@ from sitelab.llm.registry import query
 from sitelab.operators.ordering import Ordered, Scan, global_rank
 
 #: Documents of one source and size that are ranked together when copies are dealt out.
-CELL = 4096
+CELL = 512
 #: Relative error of a source's words at which a multiplier counts as found.
 TOLERANCE = 1e-7
 STEPS = 80

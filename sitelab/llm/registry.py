@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("mixing", "decision_list", "line_spread", "personal_data")
+MODULES = ("mixing", "decision_list", "line_spread", "personal_data", "quality_kernel")
 
 
 def query(name: str, sql: str | None = None):
