@@ -10,7 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("near_dedup", "jaccard_join", "warc", "mixing", "decision_list", "line_spread", "personal_data", "quality_kernel", "pieces")
+MODULES = (
+    "near_dedup",
+    "language_crf",
+    "jaccard_join",
+    "decision_list",
+    "warc",
+    "mixing",
+    "pieces",
+    "quality_kernel",
+    "line_spread",
+    "personal_data",
+)
 
 
 def query(name: str, sql: str | None = None):
