@@ -37,6 +37,17 @@ def checked_columns(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in needed.items()])
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and each whole row in ``_row``: helper columns cannot clash with those of the input."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(*names, row)
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The rows that ``packed`` put away; ``changed`` replaces columns that are there."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in columns])
+
+
 def words(text: Column | str) -> Column:
     """Array of the words of a text; NULL gives an empty array."""
     text = F.col(text) if isinstance(text, str) else text

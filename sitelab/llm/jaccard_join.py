@@ -29,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelab.llm.common import checked_columns, shingle_set, stored, table, text_slices
+from sitelab.llm.common import checked_columns, packed, shingle_set, stored, table, text_slices, unpacked
 from sitelab.llm.registry import query
 from sitelab.operators.components import connected_components
 
@@ -329,11 +329,14 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component.
 
     Rows without a doc_id stay: nothing tells them apart. Of repeated rows with one doc_id
-    one stays.
+    the one with the smallest text stays.
     """
     found = jaccard_components(docs, k, percent).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    rows = packed(docs, "doc_id", "text")
+    kept = rows.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").withColumn("_first", first)
+    kept = kept.filter("_first = 1").select("_row").unionByName(rows.filter(F.col("doc_id").isNull()).select("_row"))
+    return unpacked(kept, docs.columns)
 
 
 @query("op3_jaccard_join")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelab.llm.common import WORD, let, stored, table
+from sitelab.llm.common import WORD, let, packed, stored, table, unpacked
 from sitelab.llm.registry import query
 
 MIN_SITES = 5
@@ -89,7 +89,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
 def dedup_lines(
     docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND
 ) -> DataFrame:
-    """The columns of ``docs`` with cleaned text, and _removed (number of lines taken out).
+    """(_row, doc_id, text, removed): cleaned text and the number of lines taken out; _row is the row as it was.
 
     Only the places of the lines to remove travel; they meet the texts by doc_id.
     """
@@ -99,26 +99,20 @@ def dedup_lines(
     hits = line_rows(docs, min_words).join(found, ["a", "b"])
     gone = hits.filter((F.col("doc") != F.col("_doc")) | (F.col("at") != F.col("_at")))
     places = gone.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("_gone"))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
+    keyed = packed(docs, "doc_id", "text").withColumn("_doc", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
     joined = keyed.join(places.withColumnRenamed("doc", "_doc"), "_doc", "left")
     # Set difference of positions: linear in the lines, however many go.
     lines = _lines(F.col("text"))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     kept = let(lines, lambda all_: F.transform(left, lambda i: F.get(all_, i)))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0)))
-
-
-def _whole_columns(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
-    columns = [
-        F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns
-    ]
-    return cleaned.select(*columns)
+    return joined.select("_row", "doc_id", text.alias("text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("removed"))
 
 
 def cleaned_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with cleaned text; n_chars follows the text."""
-    return _whole_columns(docs, dedup_lines(docs, **options))
+    """The rows of ``docs`` with cleaned text; a column n_chars follows the text."""
+    cleaned = dedup_lines(docs, **options)
+    return unpacked(cleaned, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -152,7 +146,7 @@ def op9(spark, sf_dir) -> DataFrame:
     cleaned = dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select(
         "doc_id",
-        F.col("_removed").cast("long").alias("n_removed"),
+        F.col("removed").cast("long").alias("n_removed"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )

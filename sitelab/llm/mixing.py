@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelab.llm.common import n_words, stored, table
+from sitelab.llm.common import n_words, packed, stored, table, unpacked
 from sitelab.llm.registry import query
 from sitelab.operators.ordering import Ordered, Scan, global_rank
 
@@ -234,15 +234,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = plan.withColumn("_turn", F.row_number().over(turn.orderBy(F.col("copies").desc())))
     named = [F.col(c).alias(f"_p{i}") for i, c in enumerate([*keys, "_turn"])]
     plan = plan.filter(F.col("copies") > 0).select(*named, "copies")
-    rows = docs.withColumn("_size", n_words("text")).withColumn("_turn", F.row_number().over(turn.orderBy("text")))
+    rows = packed(docs, "doc_id", "source", "text").withColumn("_size", n_words("text"))
+    rows = rows.withColumn("_turn", F.row_number().over(turn.orderBy("text")))
     same = F.col("_size") == F.col("_p2")
     for i, c in ((0, "doc_id"), (1, "source"), (3, "_turn")):
         same = same & F.col(c).eqNullSafe(F.col(f"_p{i}"))
-    return (
-        rows.join(plan, same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*docs.columns)
-    )
+    taken = rows.join(plan, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return unpacked(taken, docs.columns)
 
 
 @query("op6_mixing")

@@ -13,8 +13,9 @@ allowed way, the result of merging the whole text, and the same trellis finds it
 Characters outside the vocabulary become byte pieces, or one unknown id a run where
 the model has no bytes.
 
-Stretches between places that no piece can cross (before the first space mark of a run)
-are independent; short ones are remembered in a bounded table per worker.
+Stretches between places that no piece can cross are independent: before the first space
+mark of a run, and between characters that no piece holds side by side. Short ones are
+remembered in a bounded table per worker.
 
 A NULL text has no ids (an empty list) and decodes to NULL; an empty text has none and
 decodes to the empty text. Repeated rows give repeated results. Extra columns pass
@@ -24,10 +25,13 @@ through ``encoded`` and ``decoded``.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +40,8 @@ from sitelab.llm.common import checked_columns, table, text_slices
 from sitelab.llm.registry import query
 
 MARK = "▁"
-#: Stretches that a worker remembers before the table becomes the older one of two, and pairs before they start anew.
-REMEMBERED = 250_000
+#: Units that a worker remembers before the table becomes the older one of two, and pairs before they start anew.
+REMEMBERED = 150_000
 PAIRS = 400_000
 #: Longer stretches are streamed without being remembered.
 SHORT = 48
@@ -45,6 +49,19 @@ SHORT = 48
 UNKNOWN_COST = 10.0
 
 
+def _unit(joints: frozenset[str]) -> str:
+    """Pattern that cuts a text at places no piece crosses: before marks, and around characters that join no letter."""
+    aside = {chr(c) for c in range(128) if not chr(c).isalpha()}
+    while True:
+        bound = {a for a, b in joints if a in aside and b not in aside}
+        bound |= {b for a, b in joints if b in aside and a not in aside and a != MARK}
+        if not bound:
+            break
+        aside -= bound
+    kind = "".join(map(re.escape, sorted(aside)))
+    return f"{MARK}*(?:[{kind}]+|[^{MARK}{kind}]+)|{MARK}+" if kind else f"{MARK}*[^{MARK}]+|{MARK}+"
+
+
 _REMEMBERED: dict[int, tuple[dict, list[dict]]] = {}
 
 
@@ -62,7 +79,12 @@ class Vocabulary:
     longest: int
     crossing: bool
     worst: float
-    silent: frozenset[int] = frozenset()
+    silent: frozenset[int]
+    #: Neighbouring characters that some piece holds: nothing joins two characters that are not in here.
+    joints: frozenset[str]
+    #: Unit of encoding: no piece crosses the end of a match.
+    unit: str
+    surfaces: pa.Array | None = field(default=None, repr=False)
     pairs: dict = field(default_factory=dict, repr=False)
     memory: list[dict] = field(default_factory=lambda: [{}, {}], repr=False)
 
@@ -87,6 +109,7 @@ class Vocabulary:
         if set(kinds) - {1, 2, 3, 6}:
             raise ValueError("user-defined and unused pieces are not supported")
         usable = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
+        joints = frozenset(p[i : i + 2] for p in usable for i in range(len(p) - 1))
         byte_ids = [i for i, kind in enumerate(kinds) if kind == 6]
         if byte_ids and len(byte_ids) != 256:
             raise ValueError("a model has 256 byte pieces or none")
@@ -102,10 +125,12 @@ class Vocabulary:
             worst=min((model.pieces[i].score for i in usable.values()), default=0.0) - UNKNOWN_COST,
             crossing=any(MARK in p.lstrip(MARK) for p in usable),
             silent=frozenset(i for i, kind in enumerate(kinds) if kind == 3),
+            joints=joints,
+            unit=_unit(joints),
         )
 
     def __getstate__(self):
-        return self.__dict__ | {"pairs": None, "memory": None}
+        return self.__dict__ | {"pairs": None, "memory": None, "surfaces": None}
 
     def __setstate__(self, state):
         """What one task has remembered serves the next one of the same worker and model."""
@@ -251,64 +276,100 @@ def _short(stretch: str, v: Vocabulary) -> list[int]:
     return out
 
 
-_STRETCH = re.compile(f"{MARK}*[^{MARK}]*")
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
-def encode(text: str | None, v: Vocabulary) -> list[int]:
-    """Ids of one text."""
+def _unit_ids(unit: str, v: Vocabulary) -> bytes:
+    """Packed ids of a stretch that no piece leaves: block by block between characters that nothing joins."""
+    joints, young = v.joints, v.memory[0]
+    parts, at = [], 0
+    for i in range(1, len(unit) + 1):
+        if i == len(unit) or unit[i - 1 : i + 1] not in joints:
+            block = unit[at:i]
+            at = i
+            found = young.get(block)
+            if found is None:
+                if v.merges and len(block) <= SHORT:
+                    found = _packed(_short(block, v))
+                else:
+                    whole = Trellis(v)
+                    whole.feed(block)
+                    found = _packed(whole.finish())
+                if len(block) <= SHORT:
+                    young[block] = found
+            parts.append(found)
+    return b"".join(parts)
+
+
+def encode_packed(text: str | None, v: Vocabulary) -> bytes:
+    """Ids of one text as 32-bit integers."""
     if not text:
-        return []
+        return b""
     text = text.replace(" ", MARK)
     if v.prefix:
         text = MARK + text
     if v.crossing:
         whole = Trellis(v)
         whole.feed(text)
-        return whole.finish()
-    out: list[int] = []
-    young, old = v.memory
-    fuse = not v.byte_ids
-    for stretch in _STRETCH.findall(text):
-        found = young.get(stretch)
+        return _packed(whole.finish())
+    units = re.findall(v.unit, text)
+    parts = list(map(v.memory[0].get, units))
+    for i, found in enumerate(parts):
         if found is None:
-            found = old.get(stretch)
-            if found is None:
-                if v.merges and len(stretch) <= SHORT:
-                    found = _short(stretch, v)
-                else:
-                    part = Trellis(v)
-                    part.feed(stretch)
-                    found = part.finish()
-            if len(stretch) <= SHORT:
+            unit = units[i]
+            young, old = v.memory
+            found = young.get(unit) or old.get(unit) or _unit_ids(unit, v)
+            if len(unit) <= SHORT:
                 if len(young) >= REMEMBERED:
-                    young, old = v.memory[:] = {}, young
-                young[stretch] = found
-        if fuse and found and out and out[-1] == v.unknown == found[0]:
-            found = found[1:]
-        out += found
-    return out
+                    v.memory[:] = {}, young
+                v.memory[0][unit] = found
+            parts[i] = found
+    if v.byte_ids:
+        return b"".join(parts)
+    # A run of characters outside the vocabulary is one unknown id.
+    ids = np.frombuffer(b"".join(parts), dtype=np.int32)
+    again = np.zeros(len(ids), dtype=bool)
+    again[1:] = (ids[1:] == v.unknown) & (ids[:-1] == v.unknown)
+    return ids[~again].tobytes()
 
 
-def decode(ids: list[int], v: Vocabulary) -> str:
-    """Text of a list of ids; control ids are silent, wrong bytes become U+FFFD."""
+def encode(text: str | None, v: Vocabulary) -> list[int]:
+    """Ids of one text."""
+    return np.frombuffer(encode_packed(text, v), dtype=np.int32).tolist()
+
+
+def _surfaces(v: Vocabulary) -> pa.Array:
+    """What each id stands for, in bytes; made once."""
+    if v.surfaces is not None:
+        return v.surfaces
     first = v.byte_ids[0] if v.byte_ids else None
-    parts: list[str] = []
-    raw = bytearray()
-    for i in ids:
+    out = []
+    for i, piece in enumerate(v.texts):
         if first is not None and first <= i < first + 256:
-            raw.append(i - first)
-            continue
-        if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-        if i == v.unknown:
-            parts.append(" ⁇ ")
-        elif i not in v.silent:
-            parts.append(v.texts[i])
-    if raw:
-        parts.append(raw.decode("utf-8", "replace"))
-    text = "".join(parts).replace(MARK, " ")
-    return text[1:] if v.prefix and text.startswith(" ") else text
+            out.append(bytes([i - first]))
+        elif i == v.unknown:
+            out.append(" ⁇ ".encode())
+        else:
+            out.append(b"" if i in v.silent else piece.replace(MARK, " ").encode())
+    v.surfaces = pa.array(out, pa.binary())
+    return v.surfaces
+
+
+def decode_lists(ids: pa.ListArray, v: Vocabulary) -> pa.Array:
+    """Texts of lists of ids; control ids are silent, wrong bytes become U+FFFD, a NULL list gives NULL."""
+    flat = pa.ListArray.from_arrays(ids.offsets, _surfaces(v).take(ids.values), mask=ids.is_null() if ids.null_count else None)
+    joined = pc.binary_join(flat, b"")
+    try:
+        texts = joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([None if x is None else x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+    return pc.replace_substring_regex(texts, "^ ", "", max_replacements=1) if v.prefix else texts
+
+
+def decode(ids: list[int], v: Vocabulary) -> str:
+    """Text of one list of ids."""
+    return decode_lists(pa.array([ids], pa.list_(pa.int32())), v)[0].as_py()
 
 
 def _appended(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -321,8 +382,10 @@ def encoded(docs: DataFrame, v: Vocabulary, text: str = "text", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, text):
-                values = [encode(t, v) for t in batch.column(text).to_pylist()]
-                yield _appended(batch, ids, pa.array(values, pa.list_(pa.int32())))
+                packed = [encode_packed(t, v) for t in batch.column(text).to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32), pa.int32())
+                yield _appended(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), values))
 
     plain = docs.drop(ids)
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
@@ -335,8 +398,8 @@ def decoded(coded: DataFrame, v: Vocabulary, ids: str = "ids", text: str = "deco
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                values = [None if x is None else decode(x, v) for x in part.column(ids).to_pylist()]
-                yield _appended(part, text, pa.array(values, pa.string()))
+                part = part.set_column(part.schema.get_field_index(ids), ids, pa.concat_arrays([part.column(ids)]))
+                yield _appended(part, text, decode_lists(part.column(ids), v))
 
     plain = coded.drop(text)
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(text, T.StringType())]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelab.llm.common import checked_columns, stored, table
+from sitelab.llm.common import checked_columns, packed, stored, table, unpacked
 from sitelab.llm.decision_list import FEATURES, statistics
 from sitelab.llm.registry import query
 
@@ -181,7 +181,8 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = TH
     """
     scores = quality_scores(docs, labels).groupBy("doc_id").agg(F.min("score").alias("_score"))
     named = scores.withColumnRenamed("doc_id", "_id")
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).filter(F.col("_score") >= threshold).select(*docs.columns)
+    met = packed(docs, "doc_id").join(named, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return unpacked(met.filter(F.col("_score") >= threshold), docs.columns)
 
 
 @query("op8_quality_classifier")
