@@ -9,10 +9,11 @@ a set becomes one segment per fragment, the overlap of a pair is counted fragmen
 fragment, each on its own, and the parts are summed.
 
 Only connectivity is asked for, so not every pair is needed. Equal sets are one class. In
-each bucket all classes meet a few centres first; what that joins is one component, and
-afterwards only pairs of classes from different components are compared, each of them.
-So a large group of near copies costs a multiple of its rows, and no link between
-different components is lost.
+each bucket all classes meet two centres first, one of them the class with the fewest
+n-grams of its own; what that joins is one component. Then the classes around a centre
+that are still apart from it are compared with all others around it: in tiles of bounded
+size, where each fragment gives one matrix of partial overlaps and the matrices add up.
+Pairs never become rows, and no link between different components is lost.
 
 Words are lower-cased in A-Z. NULL and empty texts, and texts without words, have no
 n-grams and link with nothing. Documents with a NULL doc_id are counted but link with
@@ -41,11 +42,8 @@ CELL_BITS = 22
 PIECE = 1 << 16
 LEVELS = 256
 FRAGMENTS = 8
-CENTRES = 3
-#: Rounds of centres before the rest is compared pair by pair.
-ROUNDS = 4
-#: The rest is compared at once when it has at most this many pairs per bucket row.
-PER_ROW = 4
+#: Classes of a tile.
+TILE = 256
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
@@ -209,13 +207,18 @@ def _segments(order, k: int, fragments: int):
     return run
 
 
+def _fetched(docs: DataFrame, keys: DataFrame, classes: DataFrame, order, k: int, fragments: int) -> DataFrame:
+    """(key, f, part) of the classes in ``keys``."""
+    ids = keys.join(classes, "key").select(F.col("rep").alias("doc_id")).distinct()
+    segments = docs.join(ids, "doc_id").mapInArrow(_segments(order, k, fragments), "key binary, f int, part array<long>")
+    # A text that is there twice gives its segments twice.
+    return stored(segments.dropDuplicates(["key", "f"]), "jaccard-segments")
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, k: int, fragments: int = FRAGMENTS) -> DataFrame:
     """(a, b, na, nb, overlap) of pairs of keys: partial counts by fragment, summed."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = wanted.join(classes, "key").select(F.col("rep").alias("doc_id")).distinct()
-    segments = docs.join(ids, "doc_id").mapInArrow(_segments(order, k, fragments), "key binary, f int, part array<long>")
-    # A text that is there twice gives its segments twice.
-    segments = stored(segments.dropDuplicates(["key", "f"]), "jaccard-segments")
+    segments = _fetched(docs, wanted, classes, order, k, fragments)
     left = pairs.join(segments.withColumnRenamed("key", "a").withColumnRenamed("part", "pa"), "a")
     both = left.join(segments.withColumnRenamed("key", "b").withColumnRenamed("part", "pb"), ["b", "f"])
     counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("common"))
@@ -236,47 +239,139 @@ def _pairs(x: str, y: str, percent: int):
 
 
 def _possible(found: DataFrame, percent: int) -> DataFrame:
-    """One row per pair; nothing before the first common place can be shared."""
-    once = found.groupBy("a", "b", "na", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
-    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    return once.filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b", "na", "nb")
+    """One row per pair; what stands before the first common place on either side cannot be shared."""
+    apart = (F.col("ia") + F.col("ib")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return found.filter(apart).select("a", "b", "na", "nb").distinct()
 
 
-def _centre_pairs(bucket: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each class of a bucket with the bucket's centres, the smallest by a few hashes."""
+def _centres(bucket: DataFrame) -> DataFrame:
+    """Two centres per bucket: where the bucket's n-gram comes first in the order, and one by hash."""
     me = F.struct("key", "n", "pos", "comp")
-    picked = bucket.groupBy("s").agg(
-        *[
-            F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + i), "key").alias("h"), me.alias("me"))).alias(f"c{i}")
-            for i in range(CENTRES)
-        ]
-    )
-    centres = picked.select("s", F.array_distinct(F.array(*[F.col(f"c{i}.me") for i in range(CENTRES)])).alias("centres"))
-    met = bucket.join(centres, "s").select(me.alias("x"), F.explode("centres").alias("y"))
-    columns, sized = _pairs("x", "y", percent)
-    return _possible(met.filter((F.col("x.comp") != F.col("y.comp")) & sized).select(*columns), percent)
+    draw = F.xxhash64("key")
+    return bucket.groupBy("s").agg(
+        F.min(F.struct("pos", draw.alias("h"), me.alias("me"))).alias("first"), F.min(F.struct(draw.alias("h"), me.alias("me"))).alias("any")
+    ).select("s", F.col("first.me").alias("centre"), F.col("any.me").alias("second"))
 
 
-def _cross_pairs(bucket: DataFrame, percent: int) -> DataFrame:
-    """Every pair of classes from different components that meet in a bucket."""
-    me = bucket.select("s", F.struct("key", "n", "pos", "comp").alias("x"))
-    met = me.join(me.withColumnRenamed("x", "y"), "s").filter(F.col("x.comp") < F.col("y.comp"))
+def _centre_pairs(bucket: DataFrame, percent: int) -> DataFrame:
+    me = F.struct("key", "n", "pos", "comp")
+    both = F.array_distinct(F.array("centre", "second"))
+    met = bucket.join(_centres(bucket), "s").select(me.alias("x"), F.explode(both).alias("y"))
     columns, sized = _pairs("x", "y", percent)
-    return _possible(met.filter(sized).select(*columns), percent)
+    return _possible(met.filter((F.col("x.key") != F.col("y.key")) & sized).select(*columns), percent)
+
+
+def _tiled(bucket: DataFrame, tile: int) -> DataFrame:
+    """(g, key, n, comp, low, high, at): classes around a centre by pair of tiles.
+
+    Classes apart from the centre's component come first in the numbering of tiles; a pair
+    of tiles holds at least one tile of theirs.
+    """
+    met = bucket.join(_centres(bucket), "s").select(
+        F.col("centre.key").alias("g"), "key", "n", "comp", (F.col("comp") != F.col("centre.comp")).alias("apart")
+    )
+    around = stored(met.distinct(), "jaccard-around")
+    sizes = around.groupBy("g").agg(
+        F.ceil(F.sum(F.col("apart").cast("long")) / tile).cast("int").alias("outer"),
+        F.ceil(F.sum((~F.col("apart")).cast("long")) / tile).cast("int").alias("inner"),
+    )
+    placed = around.join(sizes.filter(F.col("outer") > 0), "g")
+    draw = lambda count: F.pmod(F.xxhash64("key"), F.greatest(count, F.lit(1))).cast("int")
+    at = F.when(F.col("apart"), draw(F.col("outer"))).otherwise(F.col("outer") + draw(F.col("inner")))
+    last = F.when(F.col("apart"), F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
+    spread = placed.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
+    return spread.select("g", "key", "n", "comp", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "at")
+
+
+def tile_links(parts: list[dict[int, np.ndarray]], sizes: np.ndarray, comps: list, left: np.ndarray, right: np.ndarray, percent: int):
+    """Index pairs (one of ``left``, one of ``right``) of different components above the threshold.
+
+    Overlaps are counted per fragment, over n-grams that lie on both sides, and summed.
+    """
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    none = np.empty(0, dtype=np.int64)
+    for f in {f for p in parts for f in p}:
+        a, b = ([parts[i].get(f, none) for i in side] for side in (left, right))
+        common = np.intersect1d(np.concatenate([none, *a]), np.concatenate([none, *b]))
+        for at in range(0, len(common), 4096):
+            some = common[at : at + 4096]
+            total += _hits(a, some) @ _hits(b, some).T
+    union = sizes[left][:, None] + sizes[right][None, :] - total
+    number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([number[c] for c in comps])
+    return np.nonzero((total * 100 >= union * percent) & (comp[left][:, None] != comp[right][None, :]))
+
+
+def _hits(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """Membership of sorted values in each set, as a matrix."""
+    out = np.zeros((len(sets), len(values)), dtype=np.float32)
+    for i, members in enumerate(sets):
+        place = np.searchsorted(values, members)
+        inside = place < len(values)
+        place = place[inside]
+        out[i, place[values[place] == members[inside]]] = 1
+    return out
+
+
+def _tile_pairs(percent: int):
+    """Rows of one pair of tiles follow each other; what leaves is a link per class and component met."""
+
+    def links(rows: dict) -> Iterator[tuple[bytes, bytes]]:
+        keys = list(rows)
+        at = np.array([rows[k][2] for k in keys])
+        sizes, comps, parts = np.array([rows[k][0] for k in keys]), [rows[k][1] for k in keys], [rows[k][3] for k in keys]
+        low, high = at.min(), at.max()
+        left = np.flatnonzero(at == low)
+        right = left if low == high else np.flatnonzero(at == high)
+        i, j = tile_links(parts, sizes, comps, left, right, percent)
+        met = set()
+        for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True):
+            if (a, comps[b]) not in met:
+                met.add((a, comps[b]))
+                yield keys[a], keys[b]
+
+    def batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, found = None, {}, []
+        for whole in batches:
+            at_batch = (whole.column(c).to_pylist() for c in ("g", "low", "high", "key", "n", "comp", "at", "f"))
+            lists = whole.column("part")
+            for row, (g, low, high, key, n, comp, at, f) in enumerate(zip(*at_batch, strict=True)):
+                if (g, low, high) != current:
+                    if rows:
+                        found.extend(links(rows))
+                    current, rows = (g, low, high), {}
+                rows.setdefault(key, (n, comp, at, {}))[3][f] = lists[row].values.to_numpy()
+            if len(found) > 10_000:
+                yield batch(found)
+                found = []
+        if rows:
+            found.extend(links(rows))
+        yield batch(found)
+
+    return run
+
+
+def _apart_links(docs: DataFrame, bucket: DataFrame, classes: DataFrame, order, k: int, percent: int, tile: int) -> DataFrame:
+    """Links between components among the classes around each centre."""
+    tiled = stored(_tiled(bucket, tile), "jaccard-tiled")
+    segments = _fetched(docs, tiled.select("key").distinct(), classes, order, k, FRAGMENTS)
+    laid = tiled.join(segments, "key").repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "key")
+    return laid.select("g", "low", "high", "key", "n", "comp", "at", "f", "part").mapInArrow(_tile_pairs(percent), "a binary, b binary")
 
 
-def _with_components(bucket: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Bucket rows with ``comp``, only of buckets that still hold two components or more."""
-    if links is None:
-        marked = bucket.withColumn("comp", F.col("key"))
-    else:
-        joined = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-        marked = bucket.join(joined, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+def _with_components(bucket: DataFrame, links: DataFrame) -> DataFrame:
+    """Bucket rows with ``comp``, only of buckets that hold two components or more."""
+    joined = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    marked = bucket.join(joined, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     open_ = marked.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("s")
     return stored(marked.join(open_, "s"), "jaccard-open")
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links of
@@ -294,16 +389,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     prefix = docs.mapInArrow(_prefixes(order, k, percent), "s long, key binary, n int, pos int")
     several = prefix.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi").select("s")
     bucket = stored(prefix.join(several, "s").dropDuplicates(["s", "key"]), "jaccard-buckets")
-    links = None
-    rows = _with_components(bucket, None)
-    for turn in range(ROUNDS):
-        found = _linked(overlaps(docs, stored(_centre_pairs(rows, percent, turn), "jaccard-pairs"), classes, order, k), percent)
-        links = stored(found if links is None else links.unionByName(found), "jaccard-links")
-        rows = _with_components(bucket, links)
-        if _few(rows):
-            break
-    rest = stored(_cross_pairs(rows, percent), "jaccard-rest")
-    links = stored(links.unionByName(_linked(overlaps(docs, rest, classes, order, k), percent)), "jaccard-links")
+    pairs = stored(_centre_pairs(bucket.withColumn("comp", F.col("key")), percent), "jaccard-pairs")
+    links = stored(_linked(overlaps(docs, pairs, classes, order, k), percent), "jaccard-links")
+    rest = _apart_links(docs, _with_components(bucket, links), classes, order, k, percent, tile)
+    links = stored(links.unionByName(rest), "jaccard-links")
     joined = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     known = stored(classes.join(joined, "key", "left").withColumn("_c", F.coalesce("component", "key")), "jaccard-known")
     lowest = known.groupBy("_c").agg(F.min("rep").alias("component_id"))
@@ -312,14 +401,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
 
 
-def _few(rows: DataFrame) -> bool:
-    """Whether comparing all pairs of different components is about linear in the rows."""
-    parts = rows.groupBy("s", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    per = parts.groupBy("s").agg(F.sum("m").alias("d"), F.sum(F.col("m") * F.col("m")).alias("q"))
-    total, pairs = per.agg(F.sum("d"), F.sum((F.col("d") * F.col("d") - F.col("q")) / 2)).first()
-    return not total or pairs <= PER_ROW * total
-
-
 def _linked(counted: DataFrame, percent: int) -> DataFrame:
     union = F.col("na") + F.col("nb") - F.col("overlap")
     return counted.filter(F.col("overlap") * 100 >= union * percent).select("a", "b")
