@@ -157,15 +157,16 @@ def _copies_of_cells(cells: DataFrame, cap: int) -> DataFrame:
         left = lined.groupBy("sid").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_left"))
         options = lined.filter(F.col("size") > 0).join(left, "sid")
         room = F.when(F.col("_left") > 0, F.col("m") * cap - F.col("copies")).otherwise(F.col("copies"))
-        steps = F.least(room, F.floor(F.abs(F.col("_left")) / F.col("size")))
+        steps = F.least(room, F.floor(F.abs(F.col("_left")) / F.col("size") + 0.5))
+        after = F.abs(F.abs(F.col("_left")) - F.col("_steps") * F.col("size"))
         best = (
             options.withColumn("_steps", steps)
-            .filter(F.col("_steps") > 0)
+            .filter((F.col("_steps") > 0) & (after < F.abs(F.col("_left"))))
             .groupBy("sid")
             .agg(
-                F.max(
+                F.min(
                     F.struct(
-                        (F.col("_steps") * F.col("size")).alias("gain"),
+                        after.alias("after"),
                         "size",
                         "cell",
                         (F.col("_steps") * F.signum("_left")).cast("long").alias("add"),

@@ -49,6 +49,7 @@ HEADER = 64 << 10
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PAGE = "urn:x-page:"
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _SIGNATURE = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
@@ -214,6 +215,8 @@ def parse_record(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, in
         if not colon or not name.strip():
             raise Broken("header line without a name")
         headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+    if not MANDATORY <= headers.keys():
+        raise Broken("mandatory header missing")
     length = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,12}", length) or int(length) > MOST:
         raise Broken("no believable length")
