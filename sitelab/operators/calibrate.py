@@ -151,6 +151,6 @@ def out_of_fold(df: DataFrame, method: str, folds: int, score: str = "score", la
 
 
 def choose_method(comparison: DataFrame, by: list[str]) -> DataFrame:
-    """Lowest Brier score, then lowest calibration error."""
-    order = F.struct("brier", "ece", "method")
+    """Lowest Brier score, then lowest calibration error; a NULL loses to every value."""
+    order = F.struct(F.isnull("brier"), "brier", F.isnull("ece"), "ece", "method")
     return comparison.groupBy(*by).agg(F.min_by("method", order).alias("method"), F.min("brier").alias("brier"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelab.operators.intervals import neighbour_pairs
-from sitelab.operators.skew import key_counts, salted_lookup
+from sitelab.operators.skew import key_counts
 from sitelab.session import cut
 
 
@@ -68,11 +68,13 @@ def leakage_edges(
     An attribute links each of its sites to the smallest one, never all pairs.
     """
     centre = F.concat_ws(":", F.lit("c"), F.col(chrom), F.col(position).cast("string"))
+    # Missing genes, as NULL or as a placeholder, are no shared gene; the other attributes still link.
+    known = F.filter(F.coalesce(F.col(genes), F.array()), lambda g: g.isNotNull() & ~g.isin("", "NA", "-"))
     names = F.concat(
-        F.transform(F.col(genes), lambda g: F.concat(F.lit("g:"), g)),
+        F.transform(known, lambda g: F.concat(F.lit("g:"), g)),
         F.array(F.concat(F.lit("s:"), F.sha2(F.col(sequence), 256)), centre),
     )
-    # Written once: the counts, the hot-key check and the join below all read it.
+    # Written once: the smallest member and the join below both read it.
     member = sites.select(F.col(key).alias("a"), F.explode(names).alias("attribute"))
     member = cut(member.filter(F.col("attribute").isNotNull()))
     smallest = (
@@ -80,7 +82,7 @@ def leakage_edges(
         .agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
     )
-    shared = salted_lookup(member, smallest, ["attribute"], "n").select("a", "b")
+    shared = member.join(smallest, "attribute").select("a", "b")
     at = sites.groupBy(chrom, position).agg(F.min(key).alias("a"))
     near = neighbour_pairs(sites, [chrom, strand], position, distance).select(chrom, position, "previous").distinct()
     before = at.select(chrom, F.col(position).alias("previous"), F.col("a").alias("b"))
@@ -94,34 +96,24 @@ def leakage_components(sites: DataFrame, key: str = "site_key", **columns) -> Da
     labelled = sites.select(key).join(found.withColumnRenamed("node", key), key, "left")
     labelled = labelled.select(key, F.coalesce("component", F.col(key)).alias("component"))
     sizes = key_counts(labelled, ["component"], "group_size")
-    return salted_lookup(labelled, sizes, ["component"], "group_size").select(key, "component", "group_size")
+    return labelled.join(sizes, "component").select(key, "component", "group_size")
 
 
-def group_digests(members: DataFrame, key: str, group: str, size: str, chunk: int = 50_000) -> DataFrame:
-    """(group, group_id): ``LG_`` and 16 hex digits of a digest of the sorted member keys.
+#: Hexadecimal digits of a summed part of a member's digest: sums of 32-bit numbers stay exact.
+LIMB = 8
 
-    A group of up to ``chunk`` members is hashed as one sorted list. A larger one
-    is cut by key hash into lists of about that length, whose digests are hashed
-    in turn, so that no task holds a whole group.
+
+def group_digests(members: DataFrame, key: str, group: str) -> DataFrame:
+    """(group, group_id): ``LG_`` and 16 hex digits that follow from the set of member keys.
+
+    Each key's digest is cut into numbers that are summed over the group; the id is the
+    digest of the sums and the number of members. Sums merge in any order, so a group
+    of any size is aggregated where its rows are, by one rule.
     """
-    parts = F.ceil(F.col(size) / chunk)
-    level = members.select(
-        group,
-        F.when(parts > 1, F.pmod(F.xxhash64(F.col(key).cast("string")), parts)).otherwise(F.lit(0)).alias("_part"),
-        F.col(key).cast("string").alias("_key"),
-        parts.alias("_parts"),
-    )
-    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("_key")), lambda k: F.concat(k, F.lit("\0"))), ""), 256)
-    level = level.groupBy(group, "_part").agg(digest.alias("_key"), F.max("_parts").alias("_parts"))
-    # Two more levels reach chunk**3 members; a one-part group passes unchanged.
-    for _ in range(2):
-        fewer = F.ceil(F.col("_parts") / chunk)
-        level = (
-            level.withColumn("_part", F.when(fewer > 1, F.pmod(F.xxhash64("_key"), fewer)).otherwise(F.lit(0)))
-            .groupBy(group, "_part")
-            .agg(
-                F.when(F.count(F.lit(1)) == 1, F.max("_key")).otherwise(digest).alias("_key"),
-                F.max(fewer).alias("_parts"),
-            )
-        )
-    return level.select(group, F.concat(F.lit("LG_"), F.substring("_key", 1, 16)).alias("group_id"))
+    hashed = members.select(group, F.sha2(F.col(key).cast("string"), 256).alias("_h"))
+    limbs = [
+        F.sum(F.conv(F.substring("_h", 1 + i * LIMB, LIMB), 16, 10).cast("decimal(20,0)")).alias(f"_s{i}") for i in range(64 // LIMB)
+    ]
+    sums = hashed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *limbs)
+    text = F.concat_ws("|", F.col("_n").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(64 // LIMB)])
+    return sums.select(group, F.concat(F.lit("LG_"), F.substring(F.sha2(text, 256), 1, 16)).alias("group_id"))

@@ -322,11 +322,14 @@ def mine_hard_negatives(
 ) -> DataFrame:
     """The k best-scored negatives, one per sequence, without ids of earlier rounds.
 
-    Deduplication comes before the cut, so no slack for duplicates is needed.
+    Excluded rows go before they are scored, and duplicates before the cut, so no slack
+    for them is needed. Too few rows, or one without a sequence hash, are an error.
     """
-    scored = score_rows(pool, scorer, columns, "source_score")
-    if exclude is not None:
-        scored = scored.join(exclude.select(key), key, "left_anti")
-    unique = best_per_sequence(scored, sequence_hash, "source_score", key)
-    best = top_k(unique, k, ["-source_score", key])
+    if not pool.filter(F.col(sequence_hash).isNull()).isEmpty():
+        raise ValueError(f"rows without {sequence_hash} cannot be told apart")
+    fresh = pool if exclude is None else pool.join(exclude.select(key), key, "left_anti")
+    unique = best_per_sequence(score_rows(fresh, scorer, columns, "source_score"), sequence_hash, "source_score", key)
+    best = cut(top_k(unique, k, ["-source_score", key]))
+    if (found := best.count()) < k:
+        raise ValueError(f"{k} hard negatives wanted, {found} left")
     return global_rank(best, ["-source_score", key], name="source_rank")

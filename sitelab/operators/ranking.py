@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelab.operators.ordering import Ordered, Scan, global_rank
-from sitelab.operators.skew import first_by, salted_lookup
+from sitelab.operators.skew import first_by
 from sitelab.operators.stats import quantiles
 
 # Validation budgets and bins of the calibration error.
@@ -311,7 +311,7 @@ def subgroup_rows(pred: DataFrame, fields: dict[str, Column], minimum: int) -> D
     )
     long = pred.select("id", "label", "score", F.inline(pairs))
     sizes = long.groupBy("field", "grp").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum)
-    return salted_lookup(long, sizes, ["field", "grp"], "_n").drop("_n")
+    return long.join(sizes, ["field", "grp"]).drop("_n")
 
 
 def tertile(value: str | Column, low: Column, high: Column) -> Column:

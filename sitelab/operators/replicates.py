@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelab.functions.scoring import coverage_bin
-from sitelab.operators.skew import first_by, salted_lookup, with_key_count
+from sitelab.operators.skew import first_by, with_key_count
 
 MIN_DEPTH = 20
 
@@ -208,7 +208,7 @@ def site_gene_coverage(sites: DataFrame, coverage: DataFrame, key: str, genes: s
     pairs = sites.select(key, F.explode(genes).alias("gene_id"))
     # A gene may carry a large share of the sites, hence the salted join.
     table = coverage.select("gene_id", "site_count", "mean_site_median_depth")
-    found = salted_lookup(pairs, table, ["gene_id"], "site_count")
+    found = pairs.join(table, "gene_id")
     value = found.groupBy(key).agg(F.median("mean_site_median_depth").alias("gene_level_coverage"))
     joined = sites.join(value, key, "left")
     has_gene = F.col("gene_level_coverage").isNotNull()

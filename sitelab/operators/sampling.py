@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from sitelab.operators.intervals import HALO_BIN, near_centres
 from sitelab.operators.ordering import global_rank
-from sitelab.operators.skew import salted_lookup
 from sitelab.session import cut
 
 # The project seed and the per-epoch seed steps.
@@ -18,6 +18,9 @@ NEGATIVE_STEP = 1009
 POSITIVE_STEP = 7919
 PERMUTATION_STEP = 88001
 
+#: Rows of a cell of the hash range, on average.
+CELL_ROWS = 2000
+
 
 def draw_hash(tag: str | Column, key: str, seed: int = SEED) -> Column:
     """sha256 of ``seed|tag|key``."""
@@ -26,15 +29,17 @@ def draw_hash(tag: str | Column, key: str, seed: int = SEED) -> Column:
 
 
 def hash_sample(
-    df: DataFrame, quotas: DataFrame, by: Sequence[str], key: str, tag: str | Column, seed: int = SEED, digits: int = 3
+    df: DataFrame, quotas: DataFrame, by: Sequence[str], key: str, tag: str | Column, seed: int = SEED, cell: int = CELL_ROWS
 ) -> DataFrame:
     """Per group the ``n`` rows with the smallest hash; ``quotas`` is (by..., n).
 
-    The hash is uniform, so its leading digits cut a group into equal cells. Cells
-    below the quota are taken whole without ranking; only the one cell at the
-    edge is sorted.
+    The hash is uniform, so its leading digits cut a group into equal cells; there are as
+    many digits as the largest group needs for about ``cell`` rows a cell. Cells below the
+    quota are taken whole without ranking; only the one cell at the edge is sorted.
     """
     by = list(by)
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    digits = max(1, math.ceil(math.log(max(largest / cell, 1), 16)))
     hashed = df.withColumn("_h", draw_hash(tag, key, seed)).withColumn("_cell", F.substring("_h", 1, digits))
     upto = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = (
@@ -52,13 +57,11 @@ def hash_sample(
     return whole.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
-def stable_sample(df: DataFrame, n: int, tag: str, key: str, seed: int = SEED, heap_limit: int = 10_000) -> DataFrame:
+def stable_sample(df: DataFrame, n: int, tag: str, key: str, seed: int = SEED) -> DataFrame:
     """n rows (or all) by hash order."""
-    if n <= heap_limit:
-        return df.orderBy(draw_hash(tag, key, seed), key).limit(n)
     marked = df.withColumn("_all", F.lit(0))
     quota = df.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(n).alias("n"))
-    return hash_sample(marked, quota, ["_all"], key, tag, seed, digits=4).drop("_all")
+    return hash_sample(marked, quota, ["_all"], key, tag, seed).drop("_all")
 
 
 def draw(pool: DataFrame, count: int, tag: str, key: str, seed: int, repeat: bool = True) -> DataFrame:
@@ -212,8 +215,8 @@ def thin(
         close = near_centres(by_position.select(*prefix), won, [chrom], position, distance)
         blocked = by_position.select(*prefix, "_n").join(close.withColumn("_near", F.lit(True)), prefix)
         used = by_sequence.select("_seq", "_n").join(won.select("_seq", F.lit(True).alias("_used")), "_seq")
-        left = salted_lookup(alive, blocked, prefix, "_n", "left", rows).filter(F.col("_near").isNull()).drop("_near", "_n")
-        left = salted_lookup(left, used, ["_seq"], "_n", "left", rows).filter(F.col("_used").isNull()).drop("_used", "_n")
+        left = alive.join(blocked, prefix, "left").filter(F.col("_near").isNull()).drop("_near", "_n")
+        left = left.join(used, "_seq", "left").filter(F.col("_used").isNull()).drop("_used", "_n")
         alive = cut(left)
     kept = cut(kept) if kept is not None else alive.select(key)
     return df.join(kept, key, "left_semi")
@@ -222,7 +225,10 @@ def thin(
 def fill_quotas(
     df: DataFrame, key: str, stratum: Sequence[str], quotas: DataFrame, total: int, seed: int
 ) -> DataFrame:
-    """Quota per stratum in hash order; what is short comes from the other strata."""
+    """Quota per stratum in hash order; what is short comes from the other strata.
+
+    Fewer than ``total`` rows in all are an error.
+    """
     ranked = global_rank(
         df.withColumn("_h", draw_hash("quota", key, seed)), ["_h", key], by=stratum, name="_r"
     )
@@ -231,6 +237,8 @@ def fill_quotas(
             "_in", F.col("_r") <= F.coalesce(F.col("n"), F.lit(0))
         )
     )
+    if (available := marked.count()) < total:
+        raise ValueError(f"{total} rows wanted, {available} available")
     chosen = marked.filter("_in")
     missing = total - chosen.count()
     columns = df.columns

@@ -1,4 +1,8 @@
-"""Joins that stay balanced when single keys hold a large share of the rows."""
+"""Best rows and multiplicities per key, balanced when single keys hold a large share of the rows.
+
+Both aggregate on the map side; the join back is a plain equi-join whose hot keys the
+adaptive skew join splits by their measured size.
+"""
 
 from __future__ import annotations
 
@@ -7,64 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Of the keys with at least HOT_ROWS rows the HOT_KEYS largest are spread over
-# SALTS join buckets each. Every other key has fewer than HOT_ROWS rows or less
-# than 1/HOT_KEYS of all rows, whatever the data look like.
-HOT_ROWS = 200_000
-HOT_KEYS = 1000
-SALTS = 64
-
-
-def salted_lookup(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    size: str,
-    how: str = "inner",
-    total: int | None = None,
-) -> DataFrame:
-    """Join ``rows`` to ``lookup``, which has one row per key and its row count in ``size``.
-
-    The list of hot keys has at most HOT_KEYS rows, so broadcasting it is bounded;
-    the lookup itself is never broadcast by force and only its hot keys are copied.
-    A caller that knows the ``total`` of rows spares the check of small tables.
-    """
-    on = list(on)
-    if total is not None and total < HOT_ROWS:
-        return rows.join(lookup, on, how)
-    hot = (
-        lookup.filter(F.col(size) >= HOT_ROWS)
-        .orderBy(F.col(size).desc(), *on)
-        .limit(HOT_KEYS)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    # At most HOT_KEYS short rows come to the driver; without any, a plain join is balanced.
-    found = hot.collect()
-    if not found:
-        return rows.join(lookup, on, how)
-    hot = rows.sparkSession.createDataFrame(found, hot.schema)
-    salt = F.when(
-        F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
-    ).otherwise(F.lit(0))
-    left = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = (
-        lookup.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
 
 def first_by(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
     """One row per key, the first in ``order``, by partial aggregation.
 
     Replaces ``row_number() = 1`` over the key: a hot key is reduced on the map
-    side, so no task ever sorts its whole group.
+    side, so no task ever sorts its whole group. A NULL in the order comes last.
     """
     key = list(key)
     rest = [c for c in df.columns if c not in key]
-    best = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("_row")))
+    best = F.min(F.struct(*[c for i, o in enumerate(order) for c in (o.isNull().alias(f"_n{i}"), o.alias(f"_o{i}"))], F.struct(*rest).alias("_row")))
     picked = df.groupBy(*key).agg(best.alias("_best"))
     return picked.select(*key, *[F.col("_best._row")[c].alias(c) for c in rest]).select(*df.columns)
 
@@ -75,6 +31,9 @@ def key_counts(df: DataFrame, key: Sequence[str], name: str = "n") -> DataFrame:
 
 def with_key_count(df: DataFrame, key: Sequence[str], name: str = "key_count") -> DataFrame:
     """Multiplicity of each row's key, safe for a key that holds most rows; NULL counts as a value."""
-    tagged = df.withColumn("_key", F.to_json(F.struct(*key)))
-    counted = salted_lookup(tagged, key_counts(tagged, ["_key"], name), ["_key"], name)
-    return counted.select(*df.columns, name)
+    keys = [f"_on{i}" for i in range(len(key))]
+    counts = key_counts(df, key, name).select(*[F.col(c).alias(k) for c, k in zip(key, keys, strict=True)], name)
+    same = F.lit(True)
+    for c, k in zip(key, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return df.join(counts, same).select(*df.columns, name)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from sitelab.functions.scoring import efficiency_bin, gc_bin, region_class
 from sitelab.operators.ordering import Ordered, Scan, global_rank
 from sitelab.operators.sampling import SEED, draw_hash, hash_sample, stable_sample
-from sitelab.operators.skew import salted_lookup
 
 # Split names and shares.
 SHARES = {"train": 0.70, "dev": 0.10, "calibration": 0.10, "test": 0.10}
@@ -141,7 +140,7 @@ def split_groups(sites: DataFrame, group: str, seed: int = SEED) -> DataFrame:
 def assign_splits(sites: DataFrame, groups: DataFrame, placed: DataFrame, key: str, group: str) -> DataFrame:
     """Site rows with their group, group size and split."""
     small = placed.join(groups.select(group, "group_size").distinct(), group)
-    by_group = salted_lookup(groups.drop("group_size"), small, [group], "group_size")
+    by_group = groups.drop("group_size").join(small, group)
     return sites.join(by_group, key)
 
 
@@ -173,9 +172,12 @@ def ratio_set(
     """A set of one split with ``ratio`` negatives per positive.
 
     With ``fit_positives`` the positives shrink until the ratio is exact; without,
-    all positives stay and the negatives may run short.
+    all positives stay and the negatives may run short. A ratio that leaves nothing is an error.
     """
     rows = sites.filter(F.col("split") == split)
+    labels = rows.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")).first()
+    if fit_positives and labels["q"] < ratio or not labels["p"]:
+        raise ValueError(f"{split}: {labels['p']} positives and {labels['q']} negatives give no set of 1 to {ratio}")
     counts = rows.groupBy("split").agg(
         F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")
     )
@@ -195,12 +197,15 @@ def ratio_set(
 def hard_set(
     sites: DataFrame, split: str, ratio: int, key: str, kmer: str, floor: int = 1000, seed: int = SEED
 ) -> DataFrame:
-    """Negatives of a split that share a centre k-mer with a training positive."""
+    """Negatives of a split that share a centre k-mer with a training positive; too few are an error."""
     pool = sites.filter((F.col("split") == split) & (F.col("label") == 0))
     train = sites.filter((F.col("split") == "train") & (F.col("label") == 1))
     hard = centre_kmer_hard(pool, train, kmer).filter("hard").drop("hard")
     positives = sites.filter((F.col("split") == split) & (F.col("label") == 1)).count()
-    wanted = max(positives * ratio, min(floor, hard.count()))
+    available = hard.count()
+    wanted = max(positives * ratio, min(floor, available))
+    if available < wanted:
+        raise ValueError(f"{split}: {wanted} hard negatives wanted, {available} available")
     return stable_sample(hard.select(*sites.columns), wanted, f"{split}_hard", key, seed)
 
 
@@ -218,7 +223,7 @@ def grouped_folds(df: DataFrame, label: str, group: str, folds: int, seed: int)
     )
     turn = (F.col("_r") - 1) % (2 * folds)
     fold = F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int")
-    return salted_lookup(df, ranked.select(group, "_total", fold.alias("fold")), [group], "_total").drop("_total")
+    return df.join(ranked.select(group, fold.alias("fold")), group)
 
 
 def row_folds(df: DataFrame, label: str, key: str, folds: int, seed: int) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelab.operators.ordering import Ordered, Scan
-from sitelab.operators.skew import salted_lookup
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), name: str = "fdr") -> DataFrame:
@@ -26,7 +25,7 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), name: str
         .frame()
         .select(*by, p, "_n", F.least(F.col("_q"), F.lit(1.0)).alias(name))
     )
-    tested = salted_lookup(df.filter(F.col(p).isNotNull()), ladder, [*by, p], "_n").drop("_n")
+    tested = df.filter(F.col(p).isNotNull()).join(ladder, [*by, p]).drop("_n")
     untested = df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
     return tested.select(*df.columns, name).unionByName(untested)
 
@@ -41,7 +40,7 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
         .frame()
         .select(*by, value, "_n", (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
     )
-    return salted_lookup(df, table, [*by, value], "_n").select(*df.columns, name)
+    return df.join(table, [*by, value]).select(*df.columns, name)
 
 
 def correlations(df: DataFrame, by: Sequence[str], left: str, right: str) -> DataFrame:
@@ -112,8 +111,9 @@ def seed_summary(
 def best_of_grid(
     grid: DataFrame, by: Sequence[str], descending: Sequence[str], ascending: Sequence[str] = ()
 ) -> DataFrame:
-    """The best row per group under ordered tie-breaks."""
-    order = [(-F.col(c)).alias(f"_d{i}") for i, c in enumerate(descending)] + [F.col(c) for c in ascending]
+    """The best row per group under ordered tie-breaks; a NULL loses to every value."""
+    values = [-F.col(c) for c in descending] + [F.col(c) for c in ascending]
+    order = [c for i, v in enumerate(values) for c in (v.isNull().alias(f"_n{i}"), v.alias(f"_v{i}"))]
     rest = [c for c in grid.columns if c not in by]
     best = F.min(F.struct(F.struct(*order).alias("_k"), F.struct(*rest).alias("_r")))
     picked = grid.groupBy(*by).agg(best.alias("_b")) if by else grid.agg(best.alias("_b"))

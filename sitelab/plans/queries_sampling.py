@@ -196,6 +196,9 @@ members AS (SELECT s.site_id, component FROM s JOIN comp ON comp.g = s.gene_id)"
 _SITES_SQL = "s AS (SELECT v.site_id, chrom, position, strand, gene_id, seq, label FROM v_sites v JOIN v_seq q ON q.site_id = v.site_id)"
 
 
+_LIMBS = ", ".join(f"sum(CAST('0x' || substr(h, {i}, 8) AS BIGINT))" for i in range(1, 64, 8))
+
+
 def _group_sites(src):
     joined = src.v_sites.join(src.v_seq, "site_id")
     return joined.select(
@@ -212,14 +215,28 @@ def _(src):
     return K.leakage_components(_group_sites(src))
 
 
+_SOME_GENES = _SITES_SQL.replace("gene_id", "CASE WHEN v.site_id % 5 = 0 THEN 'only ' || CAST(v.site_id AS STRING) ELSE v.gene_id END AS gene_id")
+
+
+@query(
+    "k9_missing_genes",
+    f"WITH RECURSIVE {_SOME_GENES}, {_CLOSURE} SELECT site_id AS site_key, component, COUNT(*) OVER (PARTITION BY component) AS group_size FROM members",
+)
+def _(src):
+    """Sites without genes, as NULL or as placeholders, still share sequences, centres and windows."""
+    placeholders = F.when(F.col("site_key") % 10 != 0, F.array(F.lit("NA"), F.lit("")))
+    genes = F.when(F.col("site_key") % 5 == 0, placeholders).otherwise(F.col("genes"))
+    return K.leakage_components(_group_sites(src).withColumn("genes", genes))
+
+
 @query(
     "k10_group_ids",
-    f"""WITH RECURSIVE {_SITES_SQL}, {_CLOSURE} SELECT component, 'LG_' || substr(sha256(string_agg(CAST(site_id AS STRING) || chr(0), '' ORDER BY CAST(site_id AS STRING))), 1, 16) AS group_id
-FROM members GROUP BY component""",
+    f"""WITH RECURSIVE {_SITES_SQL}, {_CLOSURE} SELECT component, 'LG_' || substr(sha256(concat_ws('|', count(*), {_LIMBS})), 1, 16) AS group_id
+FROM (SELECT component, sha256(CAST(site_id AS STRING)) AS h FROM members) GROUP BY component""",
 )
 def _(src):
     groups = flows.cut(K.leakage_components(_group_sites(src)))
-    return K.group_digests(groups, "site_key", "component", "group_size")
+    return K.group_digests(groups, "site_key", "component")
 
 
 @query("k11_group_split")

@@ -30,10 +30,12 @@ def local_session(cpus: str | int = 8, app: str = "sitelab", memory: str = "16g"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only if none is set (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where all runs on this machine (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 

@@ -82,7 +82,7 @@ def test_ranks_and_scans_do_not_depend_on_layout(spark, partitions):
             .frame()
             .collect()
         }
-        top = [r.i for r in top_k(df, 30, ["-x", "i"], heap_limit=5).collect()]
+        top = [r.i for r in top_k(df, 30, ["-x", "i"]).collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
@@ -99,9 +99,7 @@ def test_ranks_and_scans_do_not_depend_on_layout(spark, partitions):
     assert sorted(top) == sorted(d[0] for d in sorted(data, key=lambda d: (-d[2], d[0]))[:30])
 
 
-def test_salted_join_with_a_hot_key(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 50)
-    monkeypatch.setattr(skew, "SALTS", 8)
+def test_key_counts_with_a_hot_key(spark):
     data = [(i, "hot" if i % 3 == 0 else f"k{i % 40}") for i in range(600)]
     df = spark.createDataFrame(data, "i int, k string")
     got = {r.i: r.n for r in skew.with_key_count(df, ["k"], "n").collect()}
@@ -128,8 +126,7 @@ def test_exact_quantiles_against_numpy(spark):
     assert np.allclose(got, np.quantile(values, levels))
 
 
-def test_components_against_union_find(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+def test_components_against_union_find(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(7, x) for x in range(301, 420)] + [(i, i + 1) for i in range(500, 560)]
     parent = {n: n for e in edges for n in e}
@@ -146,14 +143,51 @@ def test_components_against_union_find(spark, monkeypatch):
     assert all(got[n] == find(n) for e in edges for n in e if e[0] != e[1])
 
 
-def test_group_digest_of_small_and_cut_groups(spark):
-    df = spark.createDataFrame([(f"k{i}", "g", 30) for i in range(30)] + [("z", "h", 1)], "key string, grp string, size long")
-    plain = dict(rows(K.group_digests(df, "key", "grp", "size"), "grp", "group_id"))
-    want = hashlib.sha256(b"".join(k.encode() + b"\0" for k in sorted(f"k{i}" for i in range(30)))).hexdigest()
-    assert plain["g"] == "LG_" + want[:16]
-    cut = dict(rows(K.group_digests(df, "key", "grp", "size", chunk=4), "grp", "group_id"))
-    again = dict(rows(K.group_digests(df.repartition(5), "key", "grp", "size", chunk=4), "grp", "group_id"))
-    assert cut == again and cut["h"] == plain["h"] and cut["g"] != plain["g"]
+def test_group_digests_follow_the_set_of_keys(spark):
+    df = spark.createDataFrame([(f"k{i}", "g") for i in range(30)] + [("z", "h")], "key string, grp string")
+    got = dict(rows(K.group_digests(df, "key", "grp"), "grp", "group_id"))
+    digests = [hashlib.sha256(f"k{i}".encode()).hexdigest() for i in range(30)]
+    text = "|".join(["30", *[str(sum(int(d[i : i + 8], 16) for d in digests)) for i in range(0, 64, 8)]])
+    assert got["g"] == "LG_" + hashlib.sha256(text.encode()).hexdigest()[:16]
+    assert dict(rows(K.group_digests(df.repartition(5), "key", "grp"), "grp", "group_id")) == got
+    fewer = dict(rows(K.group_digests(df.filter("key != 'k3'"), "key", "grp"), "grp", "group_id"))
+    assert fewer["g"] != got["g"] and fewer["h"] == got["h"]
+
+
+def test_missing_genes_keep_the_other_links(spark):
+    schema = "site_key long, genes array<string>, seq string, chrom string, position long, strand string"
+    data = [
+        (1, ["G"], "AAA", "c1", 10, "+"), (2, None, "AAA", "c1", 5000, "+"), (3, ["NA", ""], "AAA", "c2", 10, "+"),
+        (4, ["NA"], "CCC", "c3", 10, "+"), (5, ["-", None, "G"], "GGG", "c4", 10, "+"), (6, None, "TTT", "c5", 10, "+"),
+    ]
+    got = dict(rows(K.leakage_components(spark.createDataFrame(data, schema)), "site_key", "component"))
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6}
+
+
+def test_nulls_lose_and_shortage_is_an_error(spark):
+    grid = spark.createDataFrame([("a", None, 1), ("a", 0.5, 2), ("b", None, 3)], "g string, ap double, i int")
+    assert rows(W.best_of_grid(grid, ["g"], ["ap"]), "g", "i") == [("a", 2), ("b", 3)]
+    assert rows(skew.first_by(grid, ["g"], [-F.col("ap")]), "g", "i") == [("a", 2), ("b", 3)]
+    methods = spark.createDataFrame([("m", "platt", None, 0.1), ("m", "isotonic", 0.2, None)], "m string, method string, brier double, ece double")
+    assert rows(C.choose_method(methods, ["m"]), "m", "method") == [("m", "isotonic")]
+    pool = spark.createDataFrame([(1, "s", "h1", 0.1), (2, "s", "h1", 0.2)], "id long, g string, sequence_hash string, x double")
+    with pytest.raises(ValueError, match="hard negatives wanted"):
+        N.mine_hard_negatives(pool, lambda b: b["x"].to_numpy(), ["x"], 2)
+    with pytest.raises(ValueError, match="without sequence_hash"):
+        N.mine_hard_negatives(pool.withColumn("sequence_hash", F.lit(None).cast("string")), lambda b: b["x"].to_numpy(), ["x"], 1)
+    quotas = spark.createDataFrame([("s", 1)], "g string, n long")
+    with pytest.raises(ValueError, match="available"):
+        M.fill_quotas(pool, "id", ["g"], quotas, 3, 1)
+    sites = spark.createDataFrame([(1, "dev", 1), (2, "dev", 0)], "id long, split string, label int")
+    with pytest.raises(ValueError, match="no set of 1 to 5"):
+        P.ratio_set(sites, "dev", 5, "id", fit_positives=True)
+
+
+def test_endless_numbers_are_printed(spark):
+    from sitelab.sources.sinks import printable
+
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (0.25,), (None,)], "x double")
+    assert [r.x for r in printable(df).collect()] == ["inf", "-inf", "NA", "0.25", "NA"]
 
 
 def test_gene_coverage_golden(spark):
@@ -247,8 +281,8 @@ def test_thinning_equals_sequential_greedy(spark):
 def test_hash_sample_is_the_sorted_prefix(spark):
     df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"))
     quotas = spark.createDataFrame([(0, 700), (1, 1), (2, 99999)], "g long, n long")
-    for parts in (1, 7, 200):
-        got = rows(M.hash_sample(df.repartition(parts), quotas, ["g"], "id", "t", digits=2), "g", "id")
+    for parts, cell in ((1, 1), (7, 20), (60, 10**9)):
+        got = rows(M.hash_sample(df.repartition(parts), quotas, ["g"], "id", "t", cell=cell), "g", "id")
         want = []
         for g, n in ((0, 700), (1, 1), (2, 99999)):
             order = sorted(range(g, 5000, 3), key=lambda i: hashlib.sha256(f"20260721|t|{i}".encode()).hexdigest())
