@@ -8,12 +8,15 @@ a bucket are compared. For the comparison the order is cut into fragments of equ
 a set becomes one segment per fragment, the overlap of a pair is counted fragment by
 fragment, each on its own, and the parts are summed.
 
-Only connectivity is asked for, so not every pair is needed. Equal sets are one class. In
-each bucket all classes meet two centres first, one of them the class with the fewest
-n-grams of its own; what that joins is one component. Then the classes around a centre
-that are still apart from it are compared with all others around it: in tiles of bounded
-size, where each fragment gives one matrix of partial overlaps and the matrices add up.
-Pairs never become rows, and no link between different components is lost.
+Only connectivity is asked for, so not every pair is needed. Equal sets are one class. A
+bucket of up to SMALL classes gives its pairs, which is linear in its rows; pairs with too
+few common buckets are left out, since sets above the threshold share most of a prefix.
+In a larger bucket all classes meet two centres first, one of them the class with the
+fewest n-grams of its own; what that joins is one component. Then the classes around a
+centre that are still apart from it are compared with all others around it: in tiles of
+bounded size, where each fragment gives one matrix of partial overlaps and the matrices
+add up. Those pairs never become rows. A pair that meets in a larger bucket is covered
+there, any other one in its small buckets, so no link between components is lost.
 
 Words are lower-cased in A-Z. NULL and empty texts, and texts without words, have no
 n-grams and link with nothing. Documents with a NULL doc_id are counted but link with
@@ -42,6 +45,8 @@ CELL_BITS = 22
 PIECE = 1 << 16
 LEVELS = 256
 FRAGMENTS = 8
+#: Classes of a bucket that gives all its pairs.
+SMALL = 16
 #: Classes of a tile.
 TILE = 256
 
@@ -225,23 +230,44 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, k: in
     return counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("overlap"))
 
 
-def _pairs(x: str, y: str, percent: int):
-    """Columns of a candidate pair, and the filters by size and by the place of the first common n-gram."""
+def _pair(x: str, y: str) -> list:
+    """Columns of a candidate pair, the smaller key first."""
     swap = F.col(f"{x}.key") > F.col(f"{y}.key")
     pick = lambda name, first: F.when(swap == first, F.col(f"{y}.{name}")).otherwise(F.col(f"{x}.{name}"))
-    columns = [
+    return [
         pick("key", True).alias("a"), pick("key", False).alias("b"),
         pick("n", True).alias("na"), pick("n", False).alias("nb"),
         pick("pos", True).alias("ia"), pick("pos", False).alias("ib"),
     ]
-    small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    return columns, small * 100 >= large * percent
 
 
-def _possible(found: DataFrame, percent: int) -> DataFrame:
-    """One row per pair; what stands before the first common place on either side cannot be shared."""
-    apart = (F.col("ia") + F.col("ib")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-    return found.filter(apart).select("a", "b", "na", "nb").distinct()
+def _sized(x: str, y: str, percent: int):
+    return F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
+
+
+def _near(percent: int):
+    """What stands before the first common place on either side cannot be shared."""
+    return (F.col("ia") + F.col("ib")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
+def _ceil(value, by: int):
+    """Exact division of whole numbers, rounded up."""
+    return F.floor((value + (by - 1)) / by)
+
+
+def _small_pairs(bucket: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of pairs that may reach the threshold by their common small buckets.
+
+    At least ``o`` n-grams must be common, so at most ``n - o`` of a prefix are not; the
+    prefix that ends first lies, as far as it is common, within the other one.
+    """
+    me = bucket.select("s", F.struct("key", "n", "pos").alias("x"))
+    met = me.join(me.withColumnRenamed("x", "y"), "s").filter((F.col("x.key") < F.col("y.key")) & _sized("x", "y", percent))
+    once = met.select(*_pair("x", "y")).groupBy("a", "b", "na", "nb").agg(
+        F.count(F.lit(1)).alias("common"), F.min("ia").alias("ia"), F.min("ib").alias("ib")
+    )
+    least = _ceil((F.col("na") + F.col("nb")) * percent, 100 + percent) - _ceil(F.greatest("na", "nb") * percent, 100) + 1
+    return once.filter((F.col("common") >= least) & _near(percent)).select("a", "b", "na", "nb")
 
 
 def _centres(bucket: DataFrame) -> DataFrame:
@@ -257,8 +283,8 @@ def _centre_pairs(bucket: DataFrame, percent: int) -> DataFrame:
     me = F.struct("key", "n", "pos", "comp")
     both = F.array_distinct(F.array("centre", "second"))
     met = bucket.join(_centres(bucket), "s").select(me.alias("x"), F.explode(both).alias("y"))
-    columns, sized = _pairs("x", "y", percent)
-    return _possible(met.filter((F.col("x.key") != F.col("y.key")) & sized).select(*columns), percent)
+    apart = (F.col("x.key") != F.col("y.key")) & _sized("x", "y", percent)
+    return met.filter(apart).select(*_pair("x", "y")).filter(_near(percent)).select("a", "b", "na", "nb").distinct()
 
 
 def _tiled(bucket: DataFrame, tile: int) -> DataFrame:
@@ -371,7 +397,7 @@ def _with_components(bucket: DataFrame, links: DataFrame) -> DataFrame:
     return stored(marked.join(open_, "s"), "jaccard-open")
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links of
@@ -389,9 +415,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     prefix = docs.mapInArrow(_prefixes(order, k, percent), "s long, key binary, n int, pos int")
     several = prefix.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi").select("s")
     bucket = stored(prefix.join(several, "s").dropDuplicates(["s", "key"]), "jaccard-buckets")
-    pairs = stored(_centre_pairs(bucket.withColumn("comp", F.col("key")), percent), "jaccard-pairs")
+    sizes = bucket.groupBy("s").agg(F.count(F.lit(1)).alias("d"))
+    bucket = bucket.join(sizes, "s")
+    large = stored(bucket.filter(F.col("d") > small).drop("d"), "jaccard-large")
+    centred = _centre_pairs(large.withColumn("comp", F.col("key")), percent)
+    pairs = stored(_small_pairs(bucket.filter(F.col("d") <= small), percent).union(centred).distinct(), "jaccard-pairs")
     links = stored(_linked(overlaps(docs, pairs, classes, order, k), percent), "jaccard-links")
-    rest = _apart_links(docs, _with_components(bucket, links), classes, order, k, percent, tile)
+    rest = _apart_links(docs, _with_components(large, links), classes, order, k, percent, tile)
     links = stored(links.unionByName(rest), "jaccard-links")
     joined = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     known = stored(classes.join(joined, "key", "left").withColumn("_c", F.coalesce("component", "key")), "jaccard-known")

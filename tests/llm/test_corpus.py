@@ -122,11 +122,11 @@ def near_copies(seed, groups=6, size=14):
     return rows
 
 
-@pytest.mark.parametrize(("k", "percent", "tile"), [(3, 90, 256), (5, 80, 256), (3, 60, 4)])
-def test_jaccard_against_brute_force(spark, k, percent, tile):
+@pytest.mark.parametrize(("k", "percent", "small", "tile"), [(3, 90, 16, 256), (5, 80, 3, 256), (3, 60, 0, 4), (3, 70, 1000, 1)])
+def test_jaccard_against_brute_force(spark, k, percent, small, tile):
     rows = near_copies(k)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("own")).repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, k, percent, tile).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, k, percent, small, tile).collect()}
     assert got == brute_jaccard(rows, k, percent)
 
 
