@@ -176,7 +176,7 @@ def ratio_set(
     """
     rows = sites.filter(F.col("split") == split)
     labels = rows.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")).first()
-    if fit_positives and labels["q"] < ratio or not labels["p"]:
+    if fit_positives and not min(labels["p"], labels["q"] // ratio):
         raise ValueError(f"{split}: {labels['p']} positives and {labels['q']} negatives give no set of 1 to {ratio}")
     counts = rows.groupBy("split").agg(
         F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")
@@ -197,15 +197,14 @@ def ratio_set(
 def hard_set(
     sites: DataFrame, split: str, ratio: int, key: str, kmer: str, floor: int = 1000, seed: int = SEED
 ) -> DataFrame:
-    """Negatives of a split that share a centre k-mer with a training positive; too few are an error."""
+    """Negatives of a split that share a centre k-mer with a training positive; none at all is an error."""
     pool = sites.filter((F.col("split") == split) & (F.col("label") == 0))
     train = sites.filter((F.col("split") == "train") & (F.col("label") == 1))
     hard = centre_kmer_hard(pool, train, kmer).filter("hard").drop("hard")
     positives = sites.filter((F.col("split") == split) & (F.col("label") == 1)).count()
-    available = hard.count()
+    if not (available := hard.count()):
+        raise ValueError(f"{split}: no negative shares a centre k-mer with a training positive")
     wanted = max(positives * ratio, min(floor, available))
-    if available < wanted:
-        raise ValueError(f"{split}: {wanted} hard negatives wanted, {available} available")
     return stable_sample(hard.select(*sites.columns), wanted, f"{split}_hard", key, seed)
 
 
