@@ -97,7 +97,7 @@ def _(src):
 
 
 def _features(src):
-    joined = src.v_seq.join(src.v_sites.select("site_id", "label"), "site_id").repartition("site_id")
+    joined = src.v_site_seq.repartition("site_id")
     split = F.when(F.col("site_id") % 10 < 7, "train").otherwise("dev")
     # The label follows the sequence in part, so that a fit has something to find.
     label = F.when((F.substring("seq", 50, 1) == "T") & (F.col("site_id") % 5 < 3), 1).otherwise(F.col("label"))

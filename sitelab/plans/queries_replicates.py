@@ -389,7 +389,7 @@ SELECT gene_id, 'chrom' AS feature, chrom AS value, COUNT(*) AS rows FROM s GROU
 UNION ALL SELECT gene_id, 'gc', CAST(gc AS STRING), COUNT(*) FROM s GROUP BY gene_id, gc""",
 )
 def _(src):
-    sites = src.v_sites.filter("label = 1").join(src.v_seq, "site_id")
+    sites = src.v_site_seq.filter("label = 1")
     return A.group_profile(sites, "gene_id", {"chrom": F.col("chrom"), "gc": S.gc_bin(gc_fraction("seq"))})
 
 

@@ -200,8 +200,7 @@ _LIMBS = ", ".join(f"sum(CAST('0x' || substr(h, {i}, 8) AS BIGINT))" for i in ra
 
 
 def _group_sites(src):
-    joined = src.v_sites.join(src.v_seq, "site_id")
-    return joined.select(
+    return src.v_site_seq.select(
         F.col("site_id").alias("site_key"), "chrom", "position", "strand", "label", "seq", F.array("gene_id").alias("genes"),
         F.lit("exon:protein_coding").alias("region"), gc_fraction("seq").alias("gc"), ((F.col("site_id") % 60) / 100.0).alias("efficiency"),
     )

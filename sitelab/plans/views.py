@@ -33,8 +33,12 @@ SELECT o_orderkey AS site_id, concat('chr', CAST(o_custkey % 5 + 1 AS STRING)) A
     md5(concat(CAST(o_orderkey AS STRING), 'c')), md5(concat(CAST(o_orderkey AS STRING), 'd'))), 1, 101),
     '0123456789abcdef', 'ACGTACGTACGTACGT') AS raw_seq
 FROM orders""",
+    # Sites with their sequence, from one scan.
+    "v_site_seq": """
+SELECT site_id, chrom, position, strand, gene_id, label,
+  concat(substr(raw_seq, 1, 50), 'C', substr(raw_seq, 52, 50)) AS seq FROM v_sites""",
     "v_seq": """
-SELECT site_id, concat(substr(raw_seq, 1, 50), 'C', substr(raw_seq, 52, 50)) AS seq FROM v_sites""",
+SELECT site_id, seq FROM v_site_seq""",
     "v_low": """
 SELECT site_id, CASE site_id % 5
     WHEN 0 THEN concat(substr(seq, 1, 20), repeat('AC', 40), 'A')
@@ -64,11 +68,11 @@ SELECT vec_id, CASE WHEN label = 3 THEN 1 ELSE 0 END AS label,
   CASE WHEN vec_id % 10 < 7 THEN 'train' ELSE 'dev' END AS split, embedding FROM embeddings""",
     # A site pool with split, class flags and a unique key, for sampling.
     "v_pool": """
-SELECT s.site_id AS id, s.gene_id, s.label, s.chrom, s.position, s.strand, q.seq,
+SELECT s.site_id AS id, s.gene_id, s.label, s.chrom, s.position, s.strand, s.seq,
   CASE WHEN s.site_id % 10 < 7 THEN 'train' WHEN s.site_id % 10 = 7 THEN 'dev'
     WHEN s.site_id % 10 = 8 THEN 'calibration' ELSE 'test' END AS split,
   s.site_id % 7 = 0 AS matched, s.site_id % 3 = 0 AS hard, s.site_id % 11 = 0 AS guided
-FROM v_sites s JOIN v_seq q ON s.site_id = q.site_id""",
+FROM v_site_seq s""",
 }
 
 
