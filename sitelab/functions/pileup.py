@@ -1,6 +1,6 @@
 """Pileup base strings to base counts, and the exact test on pooled counts.
 
-Both are Arrow-batched Python functions: neither the run-length indel notation
+Two steps are Arrow-batched Python functions: neither the run-length indel notation
 nor the hypergeometric sum has an expression among the built-ins.
 """
 
@@ -10,11 +10,11 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COUNT_FIELDS = [f"{b}_{d}" for b in "ACGT" for d in ("forward", "reverse")]
-COUNT_SCHEMA = T.StructType([T.StructField(name, T.LongType()) for name in COUNT_FIELDS])
 
 _START = re.compile(r"\^.")
 _INDEL = re.compile(r"[+-](\d+)")
@@ -37,18 +37,30 @@ def plain_bases(raw: str) -> str:
     return text
 
 
-@F.pandas_udf(COUNT_SCHEMA)
-def base_counts(bases: pd.Series, reference: pd.Series) -> pd.DataFrame:
-    """Counts by base and direction; a dot or comma stands for the reference base."""
-    plain = bases.map(plain_bases)
-    ref = reference.str.upper()
-    dots, commas = plain.str.count(r"\."), plain.str.count(",")
-    out = {}
+@F.pandas_udf(T.StringType())
+def _without_indels(bases: pd.Series) -> pd.Series:
+    """Indel marks tell their own length, which no pattern expresses; NULL rows need nothing."""
+    return bases.map(plain_bases, na_action="ignore")
+
+
+def base_counts(bases: str, reference: str) -> Column:
+    """Counts by base and direction; a dot or comma stands for the reference base.
+
+    Columns of bases without an indel mark, nearly all, are counted by built-in functions.
+    """
+    bases, reference = F.col(bases), F.col(reference)
+    marked = bases.rlike("[+-]")
+    simple = F.replace(F.regexp_replace(bases, r"\^.", ""), F.lit("$"), F.lit(""))
+    plain = F.when(marked, _without_indels(F.when(marked, bases))).otherwise(simple)
+    wrong = F.concat(F.lit("unexpected character in pileup bases: "), bases)
+    plain = F.when(plain.rlike(r"^[ACGTacgt.,*#<>Nn]*$"), plain).when(plain.isNotNull(), F.raise_error(wrong))
+    count = lambda c: (F.length(plain) - F.length(F.replace(plain, F.lit(c), F.lit("")))).cast("long")
+    fields = []
     for base in "ACGT":
-        is_ref = (ref == base).astype("int64")
-        out[f"{base}_forward"] = plain.str.count(base) + dots * is_ref
-        out[f"{base}_reverse"] = plain.str.count(base.lower()) + commas * is_ref
-    return pd.DataFrame(out).astype("int64")
+        same = (F.upper(reference) == base).cast("long")
+        fields.append((count(base) + count(".") * same).alias(f"{base}_forward"))
+        fields.append((count(base.lower()) + count(",") * same).alias(f"{base}_reverse"))
+    return F.struct(*fields)
 
 
 _SMALL = 256
@@ -86,4 +98,7 @@ def fisher_p(a: int, b: int, c: int, d: int, tolerance: float = 1e-9) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([fisher_p(*row) for row in zip(a, b, c, d)], dtype="float64")
+    """Each distinct table of a batch is computed once."""
+    tables, place = np.unique(np.column_stack([a, b, c, d]), axis=0, return_inverse=True)
+    values = np.array([fisher_p(*map(int, row)) for row in tables], dtype=np.float64)
+    return pd.Series(values[place.ravel()], dtype="float64")

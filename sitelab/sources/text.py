@@ -251,7 +251,7 @@ def count_bases(
     """
     blocks = aligned_blocks(reads.filter(read_filter(min_mapq)))
     wanted = sites.select("chrom", "position", (F.col("position") - 1).alias("position0")).distinct()
-    hits = points_in_intervals(wanted, blocks, ["chrom"], "position0", width=1 << 12)
+    hits = points_in_intervals(wanted, blocks, ["chrom"], "position0", width=1 << 8)
     at = (F.col("read_at") + F.col("position0") - F.col("start0") + 1).cast("int")
     seen = hits.select(
         *extra,
