@@ -11,13 +11,14 @@ TABLES = (
 ).split()
 
 VIEWS: dict[str, str] = {
+    # Six samples; a seventh line of an order adds to the first sample.
     "v_obs": """
-SELECT l_orderkey AS site_id, l_linenumber AS sample,
-  CASE WHEN l_linenumber <= 3 THEN 'treated' ELSE 'control' END AS grp,
+SELECT l_orderkey AS site_id, (l_linenumber - 1) % 6 + 1 AS sample,
+  CASE WHEN (l_linenumber - 1) % 6 + 1 <= 3 THEN 'treated' ELSE 'control' END AS grp,
   CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS depth,
-  CAST(FLOOR(SUM(CAST(l_quantity AS BIGINT) * CAST(ROUND(l_discount * 100) AS BIGINT)
-    * CASE WHEN l_linenumber <= 3 THEN 5 ELSE 1 END) / 100.0) AS BIGINT) AS alt
-FROM lineitem WHERE l_linenumber <= 6 GROUP BY l_orderkey, l_linenumber""",
+  CAST(FLOOR(SUM(CAST(l_quantity AS BIGINT) * CAST(ROUND(l_discount * 100) AS BIGINT))
+    * CASE WHEN (l_linenumber - 1) % 6 + 1 <= 3 THEN 5 ELSE 1 END / 100.0) AS BIGINT) AS alt
+FROM lineitem GROUP BY l_orderkey, (l_linenumber - 1) % 6 + 1""",
     "v_counts": """
 SELECT site_id, sample, grp, depth, alt,
   CASE WHEN depth - alt < depth % 3 THEN depth - alt ELSE depth % 3 END AS other,
