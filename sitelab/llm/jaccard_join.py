@@ -41,7 +41,7 @@ from sitelab.llm.registry import query
 from sitelab.operators.components import connected_components
 
 #: Cells of the count table, a fixed size: four bytes each while counting, one when sent to the tasks.
-CELL_BITS = 22
+CELL_BITS = 24
 PIECE = 1 << 16
 LEVELS = 256
 FRAGMENTS = 8
@@ -70,24 +70,30 @@ _FACTS = pa.schema(
 )
 
 
+def _add(counts: np.ndarray, waiting: list[np.ndarray]) -> None:
+    if waiting:
+        cells, times = np.unique(np.concatenate(waiting), return_counts=True)
+        counts[cells] += times.astype(np.uint32)
+
+
 def _facts(k: int):
     """Per text its number of n-grams and the key of its set; at the end the cell counts of the task, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for batch in batches:
-            docs, sizes, keys, waiting = [], [], [], []
+            docs, sizes, keys, waiting, held = [], [], [], [], 0
             for doc, text in _texts(batch):
                 s = shingle_set(text, k)
                 docs.append(doc)
                 sizes.append(len(s))
                 keys.append(_key(s) if len(s) else None)
                 waiting.append(_cells(s))
-                if sum(map(len, waiting)) > 1 << 20 or len(waiting) > 4096:
-                    counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
-                    waiting = []
-            if waiting:
-                counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
+                held += len(s)
+                if held > 1 << 20:
+                    _add(counts, waiting)
+                    waiting, held = [], 0
+            _add(counts, waiting)
             none = pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *none], schema=_FACTS
@@ -138,12 +144,14 @@ def _order(pieces: DataFrame) -> Order:
     tagged = pieces.select("piece", F.lit("u4").alias("kind"), "counts", F.spark_partition_id().alias("part"))
     some = tagged.groupBy("piece", F.pmod("part", F.lit(32))).applyInArrow(_summed_first, kind)
     rows = some.groupBy("piece").applyInArrow(_summed_again, kind).collect()
-    counts = np.zeros(1 << CELL_BITS)
+    levels, mass = np.zeros(1 << CELL_BITS, dtype=np.uint8), np.zeros(LEVELS)
     for row in rows:
         at = row["piece"] * PIECE
-        counts[at : at + PIECE] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint64)
-    levels = np.minimum(np.floor(8 * np.log2(1 + counts)), LEVELS - 1).astype(np.uint8)
-    mass = np.bincount(levels, weights=counts, minlength=LEVELS) / max(counts.sum(), 1)
+        counts = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint64).astype(float)
+        part = np.minimum(np.floor(8 * np.log2(1 + counts)), LEVELS - 1).astype(np.uint8)
+        levels[at : at + PIECE] = part
+        mass += np.bincount(part, weights=counts, minlength=LEVELS)
+    mass /= max(mass.sum(), 1)
     return Order(levels, np.cumsum(mass) - mass, mass)
 
 
