@@ -48,6 +48,20 @@ def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFram
     return rows.select(*[changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in columns])
 
 
+#: What a row of documents is known by where a doc_id alone may be missing or repeated.
+ROW_KEY = ("doc", "ta", "tb")
+
+
+def row_key() -> list[Column]:
+    """ROW_KEY from doc_id and text: doc_id with NULL last, and 128 bits of the text and of whether there is a doc_id."""
+    told = F.col("doc_id").isNotNull()
+    return [
+        F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("doc"),
+        F.xxhash64("text", told).alias("ta"),
+        F.xxhash64(F.lit(7), "text", told).alias("tb"),
+    ]
+
+
 def words(text: Column | str) -> Column:
     """Array of the words of a text; NULL gives an empty array."""
     text = F.col(text) if isinstance(text, str) else text

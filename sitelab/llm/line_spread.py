@@ -12,8 +12,9 @@ Lines are compared after trimming white space, and only if they have ``min_words
 words or more: short lines agree by chance. A NULL source counts as one site. A NULL
 text stays NULL, an empty text empty; a document may end up empty but is never
 dropped. Rows with a NULL doc_id come last when the occurrence that stays is chosen.
-Repeated rows with equal doc_id and text keep the line in each of them. Extra columns
-pass through.
+A row is known by its doc_id and its text, so rows that share a doc_id, or have none,
+lose lines by their own text only. Repeated rows with equal doc_id and text keep the
+line in each of them. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelab.llm.common import WORD, let, packed, stored, table, unpacked
+from sitelab.llm.common import ROW_KEY, WORD, let, packed, row_key, stored, table, unpacked
 from sitelab.llm.registry import query
 
 MIN_SITES = 5
@@ -47,22 +48,21 @@ def _key(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, source, at, a, b): the lines long enough to count, ``a`` and ``b`` being the hash."""
+    """(doc, ta, tb, site, at, a, b): the lines long enough to count, ``a`` and ``b`` being the hash."""
     site = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("none"))
-    exploded = docs.select(
-        F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("doc"), site.alias("site"), F.posexplode(_lines(F.col("text"))).alias("at", "line")
-    )
-    return exploded.filter(_counted(F.col("line"), min_words)).select("doc", "site", "at", _key(F.col("line")).alias("_k")).select(
-        "doc", "site", "at", "_k.a", "_k.b"
-    )
+    # The row's hashes are taken below the explosion, once a row.
+    rows = docs.select(*row_key(), site.alias("site"), _lines(F.col("text")).alias("_all"))
+    exploded = rows.select(*ROW_KEY, "site", F.posexplode("_all").alias("at", "line"))
+    keyed = exploded.filter(_counted(F.col("line"), min_words)).select(*ROW_KEY, "site", "at", _key(F.col("line")).alias("_k"))
+    return keyed.select(*ROW_KEY, "site", "at", "_k.a", "_k.b")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND) -> DataFrame:
-    """(a, b, sites, exact, doc, at): lines of at least ``min_sites`` sites and the occurrence that stays."""
+    """(a, b, sites, exact, doc, ta, tb, at): lines of at least ``min_sites`` sites and the occurrence that stays."""
     rows = line_rows(docs, min_words)
     sketched = rows.groupBy("a", "b").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"),
-        F.min(F.struct("doc", "at")).alias("first"),
+        F.min(F.struct(*ROW_KEY, "at")).alias("first"),
         F.count(F.lit(1)).alias("n"),
     )
     # A line seen fewer than min_sites times cannot reach the threshold: most end here.
@@ -81,8 +81,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
         "b",
         F.coalesce("sites", "estimate").alias("sites"),
         F.col("sites").isNotNull().alias("exact"),
-        F.col("first.doc").alias("doc"),
-        F.col("first.at").alias("at"),
+        *[F.col(f"first.{c}").alias(c) for c in (*ROW_KEY, "at")],
     ).filter(F.col("sites") >= min_sites)
 
 
@@ -91,16 +90,16 @@ def dedup_lines(
 ) -> DataFrame:
     """(_row, doc_id, text, removed): cleaned text and the number of lines taken out; _row is the row as it was.
 
-    Only the places of the lines to remove travel; they meet the texts by doc_id.
+    Only the places of the lines to remove travel; they meet the texts by row identity.
     """
     found = stored(boilerplate(docs, min_sites, min_words, band), "line-boilerplate").select(
-        "a", "b", F.col("doc").alias("_doc"), F.col("at").alias("_at")
+        "a", "b", F.struct(*ROW_KEY, "at").alias("_first")
     )
     hits = line_rows(docs, min_words).join(found, ["a", "b"])
-    gone = hits.filter((F.col("doc") != F.col("_doc")) | (F.col("at") != F.col("_at")))
-    places = gone.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("_gone"))
-    keyed = packed(docs, "doc_id", "text").withColumn("_doc", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
-    joined = keyed.join(places.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    gone = hits.filter(F.struct(*ROW_KEY, "at") != F.col("_first"))
+    places = gone.groupBy(*ROW_KEY).agg(F.sort_array(F.collect_set("at")).alias("_gone"))
+    keyed = packed(docs, "doc_id", "text").select("*", *row_key())
+    joined = keyed.join(places, list(ROW_KEY), "left")
     # Set difference of positions: linear in the lines, however many go.
     lines = _lines(F.col("text"))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))

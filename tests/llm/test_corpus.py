@@ -210,6 +210,20 @@ def test_lines_edges(edges, no_documents, clashing):
     assert got[1].text == SENTENCE and got[2].text == "" and got[2].n_chars == 0 and got[3].text is None
 
 
+def test_lines_go_by_the_row_and_not_by_its_id(spark):
+    common = "a notice that all sites carry"
+    rows = [(i, f"{common}\nown text of document {i}", f"s{i}") for i in range(6)]
+    rows += [(None, f"one more clean text\n{common}", "a"), (None, "another clean text here\nits own second line is kept", "a")]
+    rows += [(9, f"first text under this id\n{common}", "b"), (9, "second text under this id\nits second line is kept too", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted((r.text, r.removed) for r in line_spread.dedup_lines(docs).collect())
+    expected = [(t if i == 0 else "\n".join(x for x in t.split("\n") if x != common), int(i != 0 and common in t)) for i, t, _ in rows]
+    assert got == sorted(expected)
+    # The occurrence that stays is one of a row, also where no row has an id.
+    none = spark.createDataFrame([(None, f"{common}\n{i}", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    assert sorted(r.removed for r in line_spread.dedup_lines(none).collect()) == [0, 1, 1, 1, 1, 1]
+
+
 # Mixing
 
 
