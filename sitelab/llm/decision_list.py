@@ -73,9 +73,9 @@ def _repeated(hashes: Column) -> Column:
     )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts and the statistics that rules may test."""
-    docs = checked_columns(docs, {"doc_id": "long", "text": "string"})
+def statistics(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the base counts and the statistics that rules may test; columns ``carried`` along come last."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     text = F.coalesce(F.col("text"), F.lit(""))
     hashes = F.transform(words(text), lambda w: F.xxhash64(w))
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -96,6 +96,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     counted = docs.select(
         "doc_id",
+        *carried,
         by_word.alias("_w"),
         by_line.alias("_l"),
         _plain_length(text).cast("long").alias("word_chars"),
@@ -119,6 +120,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.col("_mark") / n).alias("marks"),
         (F.col("_bang") / n).alias("bangs"),
         (F.col("n_distinct") / n).alias("distinct"),
+        *carried,
         (F.col("n_words") / rows).alias("line_words"),
         F.log1p("n_words").alias("log_words"),
     )

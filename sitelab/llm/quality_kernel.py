@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelab.llm.common import checked_columns, packed, stored, table, unpacked
 from sitelab.llm.decision_list import FEATURES, statistics
@@ -155,15 +156,16 @@ def fit(stats: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Kernel:
     return Kernel(mean, scale, _solve(sums[0] + sums[1]), knots)
 
 
-def scored(stats: DataFrame, model: Kernel) -> DataFrame:
-    """(doc_id, score) of every row of ``stats``."""
+def scored(stats: DataFrame, model: Kernel, carried: str = "doc_id") -> DataFrame:
+    """(``carried``, score) of every row of ``stats``."""
+    kept = stats.select(carried, *FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(_matrix(batch))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score, pa.float64())})
+            yield pa.RecordBatch.from_arrays([batch.column(carried), pa.array(score, pa.float64())], names=[carried, "score"])
 
-    return stats.select("doc_id", *FEATURES).mapInArrow(run, "doc_id long, score double")
+    return kept.mapInArrow(run, T.StructType([kept.schema[carried], T.StructField("score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
@@ -176,13 +178,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column | None = No
 def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more.
 
-    The score depends on the text alone; rows with the same doc_id go by the lowest of theirs.
-    A row without doc_id cannot be scored by it and goes by the score of an empty id.
+    Each row is judged by its own text, whatever its doc_id: it travels along with its statistics.
     """
-    scores = quality_scores(docs, labels).groupBy("doc_id").agg(F.min("score").alias("_score"))
-    named = scores.withColumnRenamed("doc_id", "_id")
-    met = packed(docs, "doc_id").join(named, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return unpacked(met.filter(F.col("_score") >= threshold), docs.columns)
+    stats = stored(statistics(packed(docs, "doc_id", "text"), "_row").select("doc_id", *FEATURES, "_row"), "kernel-stats")
+    met = scored(stats, fit(stats, labels), "_row")
+    return unpacked(met.filter(F.col("score") >= threshold), docs.columns)
 
 
 @query("op8_quality_classifier")

@@ -152,6 +152,19 @@ def test_kernel_edges(edges, no_documents, clashing, labels):
     assert {r.score for r in quality_kernel.quality_scores(edges, labels.filter("false")).collect()} == {0.5}
 
 
+def test_each_row_is_accepted_by_its_own_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marked = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    kept = sorted(r.text for r in quality_kernel.accepted_documents(docs, marked).select("text").collect())
+    assert 0 < len(kept) < docs.count()
+    # Unlabelled documents have no say in the fit: a bad text under the same id, or none, changes nothing for a clean one.
+    free = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    for shared in (F.lit(None).cast("long"), F.lit(-5).cast("long")):
+        other = docs.join(free.withColumn("_free", F.lit(True)), "doc_id", "left")
+        other = other.withColumn("doc_id", F.when(F.col("_free"), shared).otherwise(F.col("doc_id"))).drop("_free")
+        assert sorted(r.text for r in quality_kernel.accepted_documents(other, marked).select("text").collect()) == kept
+
+
 # Language field
 
 
