@@ -2,7 +2,7 @@
 
 1. quality: documents that the kernel classifier scores below its threshold go.
 2. lines: boilerplate lines of many sites go from the texts; documents stay, n_chars follows.
-3. near_copies: of each group of near copies (five words, Jaccard 0.8) the smallest doc_id stays.
+3. near_copies: of each group of near copies (five words, Jaccard 0.8) the row with the smallest doc_id stays.
 4. mix: sources are brought to target weights; a document appears as often as it is taken.
 5. pieces: texts are encoded, decoded again and compared.
 
@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each_text(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

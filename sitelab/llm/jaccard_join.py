@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelab.llm.common import checked_columns, packed, shingle_set, stored, table, text_slices, unpacked
+from sitelab.llm.common import ROW_KEY, checked_columns, packed, row_key, shingle_set, stored, table, text_slices, unpacked
 from sitelab.llm.registry import query
 from sitelab.operators.components import connected_components
+from sitelab.operators.ordering import global_rank
 
 #: Cells of the count table, a fixed size: four bytes each while counting, one when sent to the tasks.
 CELL_BITS = 22
@@ -437,8 +438,9 @@ def _linked(counted: DataFrame, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component.
+    """The rows of ``docs`` whose doc_id is the smallest of its component: one row per doc_id.
 
+    For tables whose doc_id names a document; ``one_of_each_text`` goes by the text.
     Rows without a doc_id stay: nothing tells them apart. Of repeated rows with one doc_id
     the one with the smallest text stays.
     """
@@ -450,6 +452,23 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return unpacked(kept, docs.columns)
 
 
+def one_of_each_text(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose text is the first of its component, by doc_id with NULL last.
+
+    A row is known by its doc_id and its text (``row_key``), a NULL doc_id being one like any
+    other: unrelated texts under one id all stay, copies among rows without an id go. Of rows
+    that are alike in both one stays. Texts without words link with nothing.
+    """
+    named = packed(docs, "doc_id", "text").select("*", *row_key())
+    ranked = stored(global_rank(named.select(*ROW_KEY).distinct(), list(ROW_KEY), name="_rank"), "jaccard-rows")
+    first = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("text"))
+    rows = named.withColumn("_first", first).filter("_first = 1").join(ranked, list(ROW_KEY))
+    rows = stored(rows.select("_row", "text", "_rank"), "jaccard-rows")
+    found = jaccard_components(rows.select(F.col("_rank").alias("doc_id"), "text"), k, percent)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_rank"))
+    return unpacked(rows.join(kept, "_rank", "left_semi"), docs.columns)
+
+
 @query("op3_jaccard_join")
 def op3(spark, sf_dir) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -144,6 +144,23 @@ def test_jaccard_edges(edges, no_documents, clashing):
     assert {r._size for r in kept.collect()} == {"own _size"}
 
 
+def test_near_copies_go_by_text(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"}
+    rows = [
+        (1, text["b"]), (8, text["b"]), (8, text["c"]),  # the smaller text is a copy of another document
+        (9, text["d"]), (9, text["e"]), (9, text["e"]),  # two unrelated texts under one id, one of them twice
+        (None, text["f"]), (None, text["f"] + " more"), (None, text["g"]), (None, text["a"]), (3, text["a"]),
+        (None, None), (4, ""), (5, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, None, "a", None) for i, t in rows], DOCUMENT).repartition(3)
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    got = Counter((r.doc_id, (r.text or "").removesuffix(" more")) for r in kept.collect())
+    assert got == Counter([
+        (1, text["b"]), (8, text["c"]), (9, text["d"]), (9, text["e"]), (None, text["f"]), (None, text["g"]), (3, text["a"]),
+        (None, ""), (4, ""), (5, ""),
+    ])
+
+
 def test_fragments_cut_the_order():
     rng = np.random.default_rng(3)
     h = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) << np.uint64(1))
