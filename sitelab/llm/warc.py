@@ -10,6 +10,12 @@ the file: it looks for the next gzip signature or version line that begins a rec
 passing all checks, goes on there, and reports the bytes between as a gap with the first
 reason. It reads forward through a window no larger than a record.
 
+A gzip member may hold many records. It is unpacked twice as a stream, once for its
+checksum and once for its records. In a sound member the search for the next version
+line goes on in the unpacked bytes; the gap tells its place there. A member that breaks
+off or cannot be unpacked to its end gives the records before the fault that another
+version line follows; one with a wrong checksum gives none, as any byte of it may differ.
+
 Files lie in the shared folder, one or more a task, written under a name of their own and
 listed only by tasks that end well; a repeated task leaves an unlisted file behind, which
 nobody reads. Paths go to pyarrow's file systems (file, hdfs, s3, gs).
@@ -27,6 +33,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -43,8 +50,9 @@ from sitelab.session import new_path
 LEAST = 1000
 #: A file is closed after about this many bytes.
 FILE_BYTES = 64 << 20
-#: A record that claims to be larger is not believed.
-MOST = 1 << 30
+#: A block that claims to be larger is not believed: a string of Spark and its HTTP header are less.
+MOST = (1 << 31) + (1 << 16)
+#: Bytes of a header looked at first; there is no bound to its length.
 HEADER = 64 << 10
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -53,6 +61,7 @@ MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _SIGNATURE = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_LINE = re.compile(rb"WARC/1\.")
 
 
 # Writing
@@ -189,11 +198,17 @@ class _Window:
             del self.data[: start - self.base]
             self.base = start
 
-    def find(self, start: int) -> int | None:
+    def back(self, start: int) -> None:
+        """Go back to ``start``, which may be forgotten by now."""
+        if start < self.base:
+            self.stream.seek(start)
+            self.base, self.data, self.ended = start, bytearray(), False
+
+    def find(self, start: int, sign: re.Pattern = _SIGNATURE) -> int | None:
         """The next place at or after ``start`` that looks like the beginning of a record."""
         while True:
             self.reach(start + CHUNK)
-            hit = _SIGNATURE.search(self.data, start - self.base)
+            hit = sign.search(self.data, start - self.base)
             if hit:
                 return self.base + hit.start()
             if self.ended:
@@ -206,7 +221,7 @@ def parse_record(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, in
     """Headers, block and end of the record at ``start`` of a buffer that holds it whole."""
     if not _VERSION.match(data, start):
         raise Broken("no version line")
-    stop = data.find(b"\r\n\r\n", start, start + HEADER)
+    stop = data.find(b"\r\n\r\n", start)
     if stop < 0:
         raise Broken("unended header")
     headers = {}
@@ -246,71 +261,158 @@ def _check_digest(headers: dict[str, str], block: bytes) -> None:
         raise Broken("payload digest differs")
 
 
-def _plain(window: _Window, start: int) -> tuple[list[Record], int]:
-    end = start + HEADER
-    window.reach(end)
-    data = window.get(start, end)
-    stop = data.find(b"\r\n\r\n")
+def _plain(window: _Window, start: int) -> Record:
+    size = HEADER
+    while True:
+        data = window.get(start, start + size)
+        stop = data.find(b"\r\n\r\n")
+        if stop >= 0 or len(data) < size:
+            break
+        # A long header goes on only as long as its lines are header lines.
+        if not _VERSION.match(data) or any(b":" not in line for line in data.split(b"\r\n")[1:-1]):
+            raise Broken("unended header")
+        size *= 2
     length = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,12})[ \t]*\r?$", data[: max(stop, 0)])
     if stop >= 0 and length and int(length[1]) <= MOST:
         data = window.get(start, start + stop + 8 + int(length[1]))
     headers, block, size = parse_record(data)
     _check_digest(headers, block)
-    return [Record(start, start + size, headers, block)], start + size
+    return Record(start, start + size, headers, block)
+
+
+class _Unpacked:
+    """The content of the gzip member at ``start`` as a stream; ``fault`` tells why it ended early."""
 
+    PIECE = 1 << 16
+    #: With ``to_the_byte``; less than the mandatory headers of a record take.
+    SMALL = 64
 
-def _member(window: _Window, start: int) -> tuple[list[Record], int]:
-    unpacker, parts, at, size = zlib.decompressobj(31), [], start, 0
-    while not unpacker.eof:
-        piece = window.get(at, at + CHUNK)
-        if not piece:
-            raise Broken("truncated gzip member")
+    def __init__(self, window: _Window, start: int, to_the_byte: bool = False):
+        window.back(start)
+        self.window, self.start, self.at, self.tail, self.fault, self.to_the_byte = window, start, start, b"", "", to_the_byte
+        self.unpacker, self.total, self.marks = zlib.decompressobj(31), 0, deque([(0, start)])
+
+    def read(self, size: int) -> bytes:
+        while not self.unpacker.eof and not self.fault:
+            piece = self.tail or self.window.get(self.at, self.at + (self.SMALL if self.to_the_byte else self.PIECE))
+            if not piece:
+                self.fault = "truncated gzip member"
+                break
+            if not self.tail:
+                if self.to_the_byte:
+                    self.marks.append((self.total, self.at))
+                self.at += len(piece)
+                # A member of a few chunks stays in the window, so that nothing is read again.
+                if self.at - self.start > 4 * CHUNK:
+                    self.window.forget(self.at)
+            before = self.unpacker.copy() if self.to_the_byte else None
+            try:
+                out = self.unpacker.decompress(piece, size)
+                self.tail = self.unpacker.unconsumed_tail
+            except zlib.error as fault:
+                wrong = re.search("incorrect (data|length) check", str(fault))
+                self.fault = "wrong checksum of a gzip member" if wrong else "damaged gzip member"
+                out = self._up_to_the_fault(before, piece) if before else b""
+            self.total += len(out)
+            if out:
+                return out
+        return b""
+
+    def _up_to_the_fault(self, unpacker, piece: bytes) -> bytes:
+        out = []
         try:
-            parts.append(unpacker.decompress(piece, MOST + 1 - size))
-        except zlib.error as fault:
-            raise Broken("damaged gzip member") from fault
-        size += len(parts[-1])
-        if size > MOST or unpacker.unconsumed_tail:
-            raise Broken("gzip member beyond the largest record")
-        at += len(piece)
-    end = at - len(unpacker.unused_data)
-    data, records, place = b"".join(parts), [], 0
-    while place < len(data):
-        headers, block, place = parse_record(data, place)
-        _check_digest(headers, block)
-        records.append(Record(start, end, headers, block))
-    if not records:
+            for i in range(len(piece)):
+                out.append(unpacker.decompress(piece[i : i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out)
+
+    def place(self, unpacked: int) -> int:
+        """The place in the file of an unpacked byte, rounded down to a piece; asked for ascending bytes."""
+        while len(self.marks) > 1 and self.marks[1][0] <= unpacked:
+            self.marks.popleft()
+        return self.marks[0][1]
+
+    def end(self) -> int:
+        """Unpack to the end; the place after the member."""
+        while self.read(CHUNK):
+            pass
+        return self.at - len(self.unpacker.unused_data)
+
+
+def _member(window: _Window, start: int) -> Iterator[Record | Gap]:
+    """Records and gaps of the member at ``start``; all bear the place of the member in the file, as far as it is read."""
+    first = _Unpacked(window, start)
+    end, fault = first.end(), first.fault
+    if fault.startswith("wrong checksum"):
+        raise Broken(fault)
+    unpacked = _Unpacked(window, start, bool(fault))
+    inner, at, bad, reason, held = _Window(unpacked), 0, None, "", None
+    while inner.reach(at + 1):
+        if held and inner.get(at, at + 7) == b"WARC/1.":
+            yield held
+            held = None
+        try:
+            record = _plain(inner, at)
+        except Broken as broken:
+            if bad is None:
+                bad, reason = at, str(broken)
+            at = inner.find(at + 1, _LINE)
+            if at is None:
+                at = inner.base + len(inner.data)
+                break
+        else:
+            if held:
+                yield held
+            if bad is not None:
+                yield Gap(start, unpacked.place(at) if fault else end, f"{reason}, bytes {bad} to {at} of the member")
+                bad = None
+            at = record.end
+            held = Record(start, unpacked.place(at) if fault else end, record.headers, record.block)
+        inner.forget(at)
+    if fault:
+        raise Broken(fault)
+    if held:
+        yield held
+    elif bad is None:
         raise Broken("empty gzip member")
-    return records, end
+    if bad is not None:
+        yield Gap(start, end, f"{reason}, bytes {bad} to {at} of the member")
 
 
 def salvage(stream: BinaryIO) -> Iterator[Record | Gap]:
-    """Records and gaps of one archive, compressed or not, in the order of their bytes."""
+    """Records and gaps of one archive, compressed or not, in the order of their bytes; ``stream`` can seek."""
     window, at, bad, reason = _Window(stream), 0, None, ""
     while window.reach(at + 1):
+        end = at
         try:
             first = window.get(at, at + 7)
             if first[:3] == b"\x1f\x8b\x08":
-                records, end = _member(window, at)
+                found = _member(window, at)
             elif first == b"WARC/1.":
-                records, end = _plain(window, at)
+                found = iter([_plain(window, at)])
             else:
                 raise Broken("neither a gzip member nor a version line")
+            for one in found:
+                if bad is not None:
+                    yield Gap(bad, at, reason)
+                    bad = None
+                yield one
+                end = one.end
         except Broken as fault:
+            # Of a member that gave records the rest is searched.
             if bad is None:
-                bad, reason = at, str(fault)
-            found = window.find(at + 1)
+                bad, reason = end, str(fault)
+            at = max(end, at + 1)
+            window.back(at)
+            found = window.find(at)
             if found is None:
-                window.reach(1 << 62)
                 at = window.base + len(window.data)
                 break
             at = found
         else:
-            if bad is not None:
-                yield Gap(bad, at, reason)
-                bad = None
-            yield from records
             at = end
+            window.back(at)
         window.forget(at)
     if bad is not None:
         yield Gap(bad, at, reason)
@@ -361,7 +463,7 @@ def _reader(with_payload: bool):
             for path in files.column("path").to_pylist():
                 system, name = pa.fs.FileSystem.from_uri(path)
                 rows, size = [], 0
-                with system.open_input_stream(name, compression=None, buffer_size=CHUNK) as stream:
+                with system.open_input_file(name) as stream:
                     for found in salvage(stream):
                         rows.append(_row(path, found, with_payload))
                         size += 256 + len(rows[-1][-1] or b"")

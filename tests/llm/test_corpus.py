@@ -356,6 +356,41 @@ def test_salvage_of_truncated_and_foreign_bytes(packed):
     assert ids == [] and gaps == [(0, len(junk))]
 
 
+def test_salvage_inside_a_member():
+    parts = some_records()
+    whole = b"".join(parts)
+    packed = warc.member(whole)
+    assert read(packed) == (list(range(6)), [])
+    # One record fails its own check in a sound member: only it is quarantined.
+    bad = parts[2].replace(b"payload 2", b"PAYLOAD 2", 1)
+    found = list(warc.salvage(io.BytesIO(warc.member(whole.replace(parts[2], bad)) + warc.member(parts[0]))))
+    start = len(parts[0] + parts[1])
+    assert [x.reason for x in found if isinstance(x, warc.Gap)] == [f"payload digest differs, bytes {start} to {start + len(bad)} of the member"]
+    assert [warc._page(x.headers["warc-record-id"]) for x in found if isinstance(x, warc.Record)] == [0, 1, 3, 4, 5, 0]
+    # A member that breaks off gives what lies before the last record in it.
+    store = zlib.compressobj(0, zlib.DEFLATED, 31)
+    packed = store.compress(whole) + store.flush()
+    ids, gaps = read(packed[: len(packed) - len(parts[5]) - 20] + warc.member(parts[0]))
+    assert ids == [0, 1, 2, 3, 0] and len(gaps) == 1
+    ids, gaps = read(warc.member(whole)[:-40])
+    assert ids and ids == list(range(len(ids))) and len(gaps) == 1
+    damaged = bytearray(warc.member(whole))
+    damaged[-6] ^= 0xFF
+    assert read(bytes(damaged))[0] == []
+
+
+def test_members_and_headers_have_no_size_of_their_own(monkeypatch):
+    url = "http://x/" + "u" * 200_000
+    for data in (warc.member(r := warc.record_bytes(1, url, b"x", None)), r):
+        (found,) = warc.salvage(io.BytesIO(data))
+        assert found.headers["warc-target-uri"] == url
+    # Many records in one member, together beyond the largest block: a bound of the record, not of the member.
+    monkeypatch.setattr(warc, "MOST", 4 << 20)
+    rng = random.Random(7)
+    parts = [warc.record_bytes(i, None, rng.randbytes(1 << 20), None) for i in range(9)]
+    assert read(warc.member(b"".join(parts)) + warc.member(parts[0])) == ([*range(9), 0], [])
+
+
 def test_window_bounds_memory():
     class Stream(io.RawIOBase):
         def __init__(self):
