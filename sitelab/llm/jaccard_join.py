@@ -315,14 +315,14 @@ def tile_links(parts: list[dict[int, np.ndarray]], sizes: np.ndarray, comps: lis
 
     Overlaps are counted per fragment, over n-grams that lie on both sides, and summed.
     """
-    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    total = np.zeros((len(left), len(right)), dtype=np.int64)
     none = np.empty(0, dtype=np.int64)
     for f in {f for p in parts for f in p}:
         a, b = ([parts[i].get(f, none) for i in side] for side in (left, right))
         common = np.intersect1d(np.concatenate([none, *a]), np.concatenate([none, *b]))
         for at in range(0, len(common), 4096):
             some = common[at : at + 4096]
-            total += _hits(a, some) @ _hits(b, some).T
+            total += (_hits(a, some) @ _hits(b, some).T).astype(np.int64)
     union = sizes[left][:, None] + sizes[right][None, :] - total
     number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
     comp = np.array([number[c] for c in comps])

@@ -161,6 +161,18 @@ def test_near_copies_go_by_text(spark):
     ])
 
 
+def test_large_overlaps_are_compared_as_whole_numbers():
+    percent = 77
+    # A set within a larger one, just below the threshold, where a single-precision product would be rounded up to it.
+    o = next(o for o in itertools.count(700_001) if 0 < -100 * o % percent < 4 and float(np.float32(o * 100)) - o * 100 == 4)
+    union = -(-100 * o // percent)
+    sizes, side = np.array([o, union]), (np.array([0]), np.array([1]))
+    parts = [{0: np.arange(o)}, {0: np.arange(union)}]
+    assert [len(x) for x in jaccard_join.tile_links(parts, sizes, ["a", "b"], *side, percent)] == [0, 0]
+    parts[1], sizes[1] = {0: np.arange(union - 1)}, union - 1
+    assert [len(x) for x in jaccard_join.tile_links(parts, sizes, ["a", "b"], *side, percent)] == [1, 1]
+
+
 def test_fragments_cut_the_order():
     rng = np.random.default_rng(3)
     h = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) << np.uint64(1))
