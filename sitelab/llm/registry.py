@@ -21,6 +21,7 @@ MODULES = (
     "quality_kernel",
     "line_spread",
     "personal_data",
+    "license_scan",
     "token_alignment",
 )
 
