@@ -22,6 +22,7 @@ MODULES = (
     "line_spread",
     "personal_data",
     "license_scan",
+    "hard_negatives",
     "token_alignment",
 )
 
