@@ -359,9 +359,10 @@ def mine(
     """
     spark = rows.sparkSession
     drawn = rows.select("dim", "q").withColumn("h", F.xxhash64("q")).orderBy("h", "dim").limit(SAMPLE).collect()
-    refs = {
-        d: references(np.array([r["q"] for r in drawn if r["dim"] == d], dtype=float).reshape(-1, d)) for d in {r["dim"] for r in drawn}
-    }
+    refs = {}
+    for d in {r["dim"] for r in drawn}:
+        some = [r["q"] for r in drawn if r["dim"] == d]
+        refs[d] = references(np.array(some, dtype=float).reshape(len(some), d))
     kind = "vec_id long, label int, dim int, q array<double>, norm double, theta array<double>, near long, turn double"
     measured = rows.mapInArrow(_measured(spark.sparkContext.broadcast(refs)), kind)
     place = ["dim", "near", "turn", "vec_id"]
