@@ -2,138 +2,124 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelab.functions.scoring import efficiency_bin, gc_bin, region_class
 from sitelab.operators.ordering import Ordered, Scan, global_rank
 from sitelab.operators.sampling import SEED, draw_hash, hash_sample, stable_sample
+from sitelab.session import cut
+
+# Split names and shares, in percent, in the order in which an axis is cut.
+PERCENT = {"train": 70, "dev": 10, "calibration": 10, "test": 10}
+#: A group belongs to the first tier whose share its largest feature share reaches ...
+TIERS = (1 / 4, 1 / 16, 1 / 64, 1 / 256, 1 / 1024)
+#: ... and else to a wave by its hash: half of the rest, a quarter, an eighth, and two sixteenths.
+WAVES = ("8", "c", "e", "f")
+
+
+def _features() -> list[Column]:
+    """What a row adds to its group: a row, and for a positive one also its class and its profile."""
+    profile = {
+        "chrom": F.col("chrom"),
+        "region": region_class("region"),
+        "gc": gc_bin("gc").cast("string"),
+        "efficiency": efficiency_bin("efficiency").cast("string"),
+    }
+    positive = [F.lit("positive"), *[F.concat(F.lit(f"{name}:"), F.coalesce(v, F.lit("NA"))) for name, v in profile.items()]]
+    return [F.lit("total"), *[F.when(F.col("label") == 1, v) for v in positive]]
 
-# Split names and shares.
-SHARES = {"train": 0.70, "dev": 0.10, "calibration": 0.10, "test": 0.10}
-# A group above this share of rows or positives is placed individually.
-BIG_SHARE = 0.01
-CYCLE, STRIDE = 100, 37
 
+def group_features(sites: DataFrame, group: str) -> DataFrame:
+    """(group, feature, c): how much of each feature a group holds."""
+    each = sites.select(group, F.explode(F.array(*_features())).alias("feature")).filter(F.col("feature").isNotNull())
+    return each.groupBy(group, "feature").agg(F.count(F.lit(1)).alias("c"))
 
-def _features() -> dict[str, Column]:
-    positive = F.col("label") == 1
-    return {
-        "chrom": F.when(positive, F.col("chrom")),
-        "region": F.when(positive, region_class("region")),
-        "gc": F.when(positive, gc_bin("gc").cast("string")),
-        "efficiency": F.when(positive, efficiency_bin("efficiency").cast("string")),
-    }
 
+def _tier(share: Column, digest: Column) -> Column:
+    chosen = None
+    for i, least in enumerate(TIERS):
+        chosen = F.when(share >= least, i) if chosen is None else chosen.when(share >= least, i)
+    for i, below in enumerate(WAVES):
+        chosen = chosen.when(digest < below, len(TIERS) + i)
+    return chosen.otherwise(len(TIERS) + len(WAVES))
 
-def group_summary(sites: DataFrame, group: str) -> DataFrame:
-    """Rows, positives and a positive profile signature of each group."""
-    first = [F.min(value).alias(f"_f_{name}") for name, value in _features().items()]
-    return sites.groupBy(group).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("label") == 1).alias("positive"), *first
-    )
 
+def _imbalance(totals: DataFrame, filled: DataFrame) -> DataFrame:
+    """(feature, t, had, off): what the splits hold of each feature, and how far that is from their shares of it."""
+    had = totals.join(filled.groupBy("feature").pivot("split", list(PERCENT)).agg(F.sum("n")), "feature", "left")
+    had = had.select("feature", "t", F.array(*[F.coalesce(F.col(name), F.lit(0)) for name in PERCENT]).alias("had"))
+    whole = sum(F.get("had", F.lit(i)) for i in range(len(PERCENT)))
+    miss = [F.abs(F.get("had", F.lit(i)) * 100 - whole * pct) for i, pct in enumerate(PERCENT.values())]
+    return had.withColumn("off", F.greatest(*miss) / F.col("t"))
 
-def _place(groups: list[tuple[str, Counter]], totals: Counter) -> tuple[dict[str, str], dict[str, Counter]]:
-    """Assign few big groups one by one, each where the squared relative miss grows least."""
-    weight = {"positive": 8.0, "total": 1.0}
-    filled = {name: Counter() for name in SHARES}
-
-    def miss(feature: str, split: str, amount: float) -> float:
-        goal = totals[feature] * SHARES[split]
-        goal = max(1.0, goal) if feature in weight else goal
-        if goal <= 0:
-            return 0.0
-        return weight.get(feature, 0.15) * ((amount - goal) / goal) ** 2
-
-    def cost(split: str, profile: Counter) -> float:
-        # Only this split changes, so the change of its terms is the change of the whole sum.
-        return sum(
-            miss(f, split, filled[split][f] + profile[f]) - miss(f, split, filled[split][f]) for f in profile
-        )
-
-    where = {}
-    for name, profile in groups:
-        split = min(SHARES, key=lambda s: (cost(s, profile), s))
-        where[name] = split
-        filled[split].update(profile)
-    return where, filled
-
-
-def _spread(cumulative: Column, room: dict[str, float]) -> Column:
-    """Split of a group by its running total: a fixed cycle cut in proportion to the room left."""
-    whole = sum(room.values())
-    step = F.pmod(F.coalesce(cumulative, F.lit(0)) * STRIDE, F.lit(CYCLE)) / CYCLE
-    choice, edge = None, 0.0
-    for name, left in room.items():
-        edge += left / whole if whole > 0 else (1.0 if name == "train" else 0.0)
-        bound = step < edge - 1e-9
-        choice = F.when(bound, name) if choice is None else choice.when(bound, name)
-    return choice.otherwise("train")
 
+def _edges(balance: DataFrame, part: DataFrame) -> DataFrame:
+    """(lead, edges): per feature where an axis of 0 to 1 is cut, by what each split still lacks.
 
-def split_groups(sites: DataFrame, group: str, seed: int = SEED) -> DataFrame:
-    """(group, split) with whole groups in one split, about 70/10/10/10 of positives and rows.
+    Of what a split lacks, its share of the feature in groups led by other features comes by itself.
+    """
+    others = part.filter(F.col("feature") != F.col("lead")).groupBy("feature").agg(F.sum("c").alias("o"))
+    lacks = [
+        F.greatest(F.lit(0), F.col("t") * pct - F.get("had", F.lit(i)) * 100 - F.coalesce("o", F.lit(0)) * pct)
+        for i, pct in enumerate(PERCENT.values())
+    ]
+    rooms = balance.join(others, "feature", "left").select(F.col("feature").alias("lead"), *[v.alias(f"_{i}") for i, v in enumerate(lacks)])
+    whole = sum(F.col(f"_{i}") for i in range(len(PERCENT)))
+    fallback, edges = 0, []
+    for i, pct in enumerate(PERCENT.values()):
+        fallback += pct
+        upto = sum(F.col(f"_{k}") for k in range(i + 1))
+        edges.append(F.when(whole > 0, upto / whole).otherwise(fallback / 100))
+    return rooms.select("lead", F.array(*edges).alias("edges"))
 
-    Groups above 1% of the rows or positives, at most 200 by construction, are
-    placed one by one on the driver from their summaries. All other groups are
-    ordered by profile and hash, and their running totals decide, which needs no
-    sequential pass. ``sites`` has label, chrom, region, gc and efficiency.
+
+def split_groups(sites: DataFrame, group: str, seed: int = SEED) -> DataFrame:
+    """(group, split) with whole groups in one split, about 70/10/10/10 of every feature.
+
+    One rule for all groups. The features are rows, positives, and among positives each
+    chromosome, region class, GC bin and efficiency bin. Groups that hold about as much
+    are dealt together: large shares first (``TIERS``), the many small ones in waves by
+    hash. In each pass a group is led by that of its features which the splits hold most
+    unevenly so far, of equal ones that of which it holds the largest share. The groups
+    that one feature leads lie along an axis in hash order, each as long as what it holds;
+    the axis is cut in proportion to what each split still lacks of that feature, and a
+    group goes where its middle lies. What a pass leaves uneven, the next ones even out.
+    Tiers hold at most 1,024 groups a feature; the waves use running totals over a range
+    layout. ``sites`` has label, chrom, region, gc and efficiency; a NULL feature value
+    counts as ``NA``.
     """
-    summary = group_summary(sites, group)
-    totals = summary.agg(F.sum("total").alias("r"), F.sum("positive").alias("p")).first()
-    rows, positives = totals["r"] or 0, totals["p"] or 0
-    is_big = (F.col("total") > rows * BIG_SHARE) | ((F.col("positive") > positives * BIG_SHARE))
-    big = (
-        summary.filter(is_big)
-        .orderBy(F.desc("positive"), F.desc("total"), draw_hash("split", group, seed))
-        .select(group, "total", "positive")
-        .collect()
-    )
-    names = [r[group] for r in big]
-    profiles = {r[group]: Counter(total=r["total"], positive=r["positive"]) for r in big}
-    goal = Counter(total=rows, positive=positives)
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in _features().items()]
-    )
-    if names:
-        long = (
-            sites.filter(F.col("label") == 1)
-            .select(F.when(F.col(group).isin(names), F.col(group)).alias("g"), F.inline(pairs))
-            .groupBy("g", "feature", "value")
-            .count()
-        )
-        for r in long.collect():
-            feature = f"{r['feature']}:{r['value']}"
-            goal[feature] += r["count"]
-            if r["g"] is not None:
-                profiles[r["g"]][feature] += r["count"]
-    where, filled = _place([(n, profiles[n]) for n in names], goal)
-
-    rest = summary.filter(~is_big).withColumn("_h", draw_hash("split", group, seed))
-    signature = [c for c in rest.columns if c.startswith("_f_")]
-    order = [*signature, "_h", group]
-
-    def room(feature: str, taken: dict[str, int]) -> dict[str, float]:
-        return {s: max(0.0, goal[feature] * SHARES[s] - taken.get(s, 0)) for s in SHARES}
-
-    carrying = (
-        Ordered(rest.filter("positive > 0"), order).scan(_before=Scan("sum", "positive", exclusive=True)).frame()
-    )
-    taken = {s: c["positive"] for s, c in filled.items()}
-    carrying = carrying.select(group, "total", _spread(F.col("_before"), room("positive", taken)).alias("split"))
-    used = {r["split"]: r["n"] for r in carrying.groupBy("split").agg(F.sum("total").alias("n")).collect()}
-    taken = {s: filled[s]["total"] + used.get(s, 0) for s in SHARES}
-    empty = Ordered(rest.filter("positive = 0"), ["_h", group]).scan(_before=Scan("sum", "total", exclusive=True))
-    empty = empty.frame().select(group, _spread(F.col("_before"), room("total", taken)).alias("split"))
-    placed = carrying.select(group, "split").unionByName(empty)
-    if names:
-        table = F.create_map(*[F.lit(x) for pair in where.items() for x in pair])
-        fixed = summary.filter(F.col(group).isin(names)).select(group, F.element_at(table, F.col(group)).alias("split"))
-        placed = placed.unionByName(fixed)
+    held = group_features(sites, group)
+    totals = cut(held.groupBy("feature").agg(F.sum("c").alias("t")))
+    shared = held.join(totals, "feature").select(group, "feature", "c", (F.col("c") / F.col("t")).alias("share"))
+    digest = draw_hash("split", group, seed)
+    tiers = shared.groupBy(group).agg(F.max("share").alias("share")).select(group, digest.alias("_h"), _tier(F.col("share"), digest).alias("_tier"))
+    held = cut(shared.join(tiers, group))
+    filled = sites.sparkSession.createDataFrame([], "feature string, split string, n long")
+    placed = tiers.select(group, F.lit(None).cast("string").alias("split")).filter("false")
+    for tier in sorted(r["_tier"] for r in held.select("_tier").distinct().collect()):
+        balance = cut(_imbalance(totals, filled))
+        part = held.filter(F.col("_tier") == tier).join(balance.select("feature", "off"), "feature")
+        leads = part.groupBy(group).agg(F.max(F.struct("off", "share", "feature")).alias("_m")).select(group, F.col("_m.feature").alias("lead"))
+        part = cut(part.join(leads, group))
+        own = part.filter(F.col("feature") == F.col("lead")).select(group, "lead", "c", "_h")
+        if tier < len(TIERS):
+            across = Window.partitionBy("lead")
+            before = across.orderBy("_h", group).rowsBetween(Window.unboundedPreceding, -1)
+            laid = own.select("*", F.sum("c").over(before).alias("_before"), F.sum("c").over(across).alias("_whole"))
+        else:
+            scans = {"_before": Scan("sum", "c", exclusive=True), "_whole": Scan("sum", "c", whole=True)}
+            laid = Ordered(own, ["_h", group], ["lead"]).scan(**scans).frame()
+        middle = (F.coalesce("_before", F.lit(0)) * 2 + F.col("c")) / (F.col("_whole") * 2)
+        turn = F.size(F.filter("edges", lambda edge: edge <= F.col("_middle")))
+        names = F.array(*map(F.lit, PERCENT))
+        dealt = laid.withColumn("_middle", middle).join(_edges(balance, part), "lead")
+        dealt = cut(dealt.select(group, F.get(names, F.least(turn, F.lit(len(PERCENT) - 1))).alias("split")))
+        more = part.join(dealt, group).groupBy("feature", "split").agg(F.sum("c").alias("n"))
+        filled = cut(filled.unionByName(more).groupBy("feature", "split").agg(F.sum("n").alias("n")))
+        placed = placed.unionByName(dealt)
     return placed
 
 

@@ -199,10 +199,14 @@ _SITES_SQL = "s AS (SELECT v.site_id, chrom, position, strand, gene_id, seq, lab
 _LIMBS = ", ".join(f"sum(CAST('0x' || substr(h, {i}, 8) AS BIGINT))" for i in range(1, 64, 8))
 
 
+_REGIONS = ("exon:protein_coding", "three_prime_utr", "intron", "exon:lncRNA")
+
+
 def _group_sites(src):
     return src.v_site_seq.select(
         F.col("site_id").alias("site_key"), "chrom", "position", "strand", "label", "seq", F.array("gene_id").alias("genes"),
-        F.lit("exon:protein_coding").alias("region"), gc_fraction("seq").alias("gc"), ((F.col("site_id") % 60) / 100.0).alias("efficiency"),
+        F.element_at(F.array(*map(F.lit, _REGIONS)), (F.col("site_id") % 4 + 1).cast("int")).alias("region"),
+        gc_fraction("seq").alias("gc"), ((F.col("site_id") % 60) / 100.0).alias("efficiency"),
     )
 
 
@@ -238,7 +242,50 @@ def _(src):
     return K.group_digests(groups, "site_key", "component")
 
 
-@query("k11_group_split")
+def _split_sql() -> str:
+    """The group split pass by pass: features, tiers, and per pass the leads, the axes and what they fill."""
+    pct = P.PERCENT
+    tier = " ".join(f"WHEN MAX(share) >= {least!r} THEN {i}" for i, least in enumerate(P.TIERS))
+    tier += " " + " ".join(f"WHEN h < '{below}' THEN {len(P.TIERS) + i}" for i, below in enumerate(P.WAVES))
+    profile = """'chrom:' || chrom, 'region:' || CASE site_id % 4 WHEN 0 THEN 'coding_like' WHEN 1 THEN 'UTR' WHEN 2 THEN 'intron_like' ELSE 'other_exonic' END,
+  'gc:' || CAST(LEAST(9, FLOOR(length(replace(replace(seq, 'A', ''), 'T', '')) / 101.0 * 10)) AS BIGINT),
+  'efficiency:' || CAST(LEAST(5, FLOOR(((site_id % 60) / 100.0) / CAST(0.1 AS DOUBLE))) AS BIGINT)"""
+    parts = [
+        f"""site AS MATERIALIZED (SELECT s.*, component FROM s JOIN comp ON comp.g = s.gene_id),
+each AS (SELECT component, unnest(CASE WHEN label = 1 THEN ['total', 'positive', {profile}] ELSE ['total'] END) AS feature FROM site),
+held0 AS MATERIALIZED (SELECT component, feature, COUNT(*) AS c FROM each GROUP BY component, feature),
+totals AS MATERIALIZED (SELECT feature, SUM(c) AS t FROM held0 GROUP BY feature),
+shared AS MATERIALIZED (SELECT h.*, c / t AS share, {_h('split', 'component')} AS h FROM held0 h JOIN totals USING (feature)),
+tiers AS MATERIALIZED (SELECT component, CASE {tier} ELSE {len(P.TIERS) + len(P.WAVES)} END AS tier FROM shared GROUP BY component, h),
+filled0 AS (SELECT feature, 'train' AS split, CAST(0 AS BIGINT) AS n FROM totals)"""
+    ]
+    for i in range(len(P.TIERS) + len(P.WAVES) + 1):
+        had = ", ".join(f"COALESCE(SUM(n) FILTER (WHERE split = '{s}'), 0) AS h{k}" for k, s in enumerate(pct))
+        off = ", ".join(f"ABS(h{k} * 100 - (h0 + h1 + h2 + h3) * {v})" for k, v in enumerate(pct.values()))
+        lacks = ", ".join(f"GREATEST(0, t * {v} - h{k} * 100 - COALESCE(o, 0) * {v}) AS r{k}" for k, v in enumerate(pct.values()))
+        edges, upto, fixed = [], "", 0
+        for k, v in enumerate(pct.values()):
+            upto, fixed = f"{upto} + r{k}" if upto else f"r{k}", fixed + v
+            edges.append(f"CASE WHEN r0 + r1 + r2 + r3 > 0 THEN ({upto}) / (r0 + r1 + r2 + r3) ELSE {fixed} / 100 END AS e{k}")
+        turn = " ".join(f"WHEN middle < e{k} THEN '{s}'" for k, s in enumerate(pct))
+        parts.append(
+            f"""had{i} AS MATERIALIZED (SELECT t.feature, t.t, {had} FROM totals t LEFT JOIN filled{i} f ON f.feature = t.feature GROUP BY t.feature, t.t),
+off{i} AS MATERIALIZED (SELECT *, GREATEST({off}) / t AS off FROM had{i}),
+lead{i} AS MATERIALIZED (SELECT component, MAX(STRUCT_PACK(off := o.off, share := s.share, feature := s.feature)).feature AS lead
+  FROM shared s JOIN tiers USING (component) JOIN off{i} o ON o.feature = s.feature WHERE tier = {i} GROUP BY component),
+part{i} AS MATERIALIZED (SELECT s.*, lead FROM shared s JOIN lead{i} USING (component)),
+room{i} AS (SELECT b.feature, {lacks} FROM off{i} b LEFT JOIN (SELECT feature, SUM(c) AS o FROM part{i} WHERE feature <> lead GROUP BY feature) x ON x.feature = b.feature),
+edge{i} AS MATERIALIZED (SELECT feature AS lead, {', '.join(edges)} FROM room{i}),
+laid{i} AS (SELECT component, lead, (COALESCE(SUM(c) OVER (PARTITION BY lead ORDER BY h, component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2 + c)
+  / (SUM(c) OVER (PARTITION BY lead) * 2) AS middle FROM part{i} WHERE feature = lead),
+dealt{i} AS MATERIALIZED (SELECT component, CASE {turn} ELSE 'test' END AS split FROM laid{i} JOIN edge{i} USING (lead)),
+filled{i + 1} AS MATERIALIZED (SELECT feature, split, n FROM filled{i} UNION ALL SELECT feature, split, SUM(c) FROM part{i} JOIN dealt{i} USING (component) GROUP BY feature, split)"""
+        )
+    every = " UNION ALL ".join(f"SELECT component, split FROM dealt{i}" for i in range(len(P.TIERS) + len(P.WAVES) + 1))
+    return f"WITH RECURSIVE {_SITES_SQL}, {_CLOSURE}, {', '.join(parts)} SELECT site_id AS site_key, component, split, label FROM site JOIN ({every}) USING (component)"
+
+
+@query("k11_group_split", _split_sql())
 def _(src):
     return flows.split_sites(_group_sites(src)).select("site_key", "component", "split", "label")
 
