@@ -7,6 +7,8 @@ Evaluation: folds -> calibration -> choice -> thresholds -> metrics.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,28 +94,17 @@ def split_sites(sites: DataFrame, key: str = "site_key") -> DataFrame:
 def calibration_comparison(pred: DataFrame, folds: int, seed: int) -> DataFrame:
     """Out-of-fold Brier score and calibration error of every method, by model.
 
-    ``pred`` is (model_id, id, label, score, grp); the models are few.
+    ``pred`` is (model_id, id, label, score, grp). All models and folds of a method are fitted together.
     """
-    dealt = cut(P.grouped_folds(pred.select("id", "label", "grp").distinct(), "label", "grp", folds, seed))
-    fold_of = dealt.select("id", "fold")
-    models = [r["model_id"] for r in pred.select("model_id").distinct().collect()]
-    parts = None
-    for model in sorted(models):
-        rows = cut(pred.filter(F.col("model_id") == model).join(fold_of, "id"))
-        for method in C.METHODS:
-            oof = C.out_of_fold(rows, method, folds).select(
-                "id",
-                "label",
-                F.concat_ws("/", F.lit(model), F.lit(method)).alias("model_id"),
-                F.col("probability").alias("score"),
-            )
-            parts = oof if parts is None else parts.unionByName(oof)
-    oof = cut(parts)
-    half = F.lit(0.5)
-    table = R.confusion(oof, half).select("model_id", "brier").join(R.calibration_error(oof), "model_id")
-    return table.select(
-        F.split_part("model_id", F.lit("/"), F.lit(1)).alias("model_id"),
-        F.split_part("model_id", F.lit("/"), F.lit(2)).alias("method"),
-        "brier",
-        "ece",
-    )
+    dealt = P.grouped_folds(pred.select("id", "label", "grp").distinct(), "label", "grp", folds, seed)
+    rows = cut(pred.join(dealt.select("id", "fold"), "id"))
+    parts = [
+        C.out_of_fold(rows, method, folds, by=["model_id"]).select(
+            "model_id", F.lit(method).alias("method"), "label", F.col("probability").alias("score")
+        )
+        for method in C.METHODS
+    ]
+    oof = cut(functools.reduce(lambda a, b: a.unionByName(b), parts))
+    by = ["model_id", "method"]
+    brier = R.confusion(oof, F.lit(0.5), by).select(*by, "brier")
+    return brier.join(R.calibration_error(oof, by), by).select(*by, "brier", "ece")

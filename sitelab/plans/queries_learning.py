@@ -14,7 +14,8 @@ from sitelab.operators import splits as P
 from sitelab.operators import stats as W
 from sitelab.plans import flows
 from sitelab.plans.registry import query
-from sitelab.session import cut
+from sitelab.session import cut, new_path
+from sitelab.sources.frozen import Frozen, freeze_calibrators, freeze_thresholds, freeze_weights
 
 
 def r6(*names):
@@ -25,55 +26,91 @@ def _half(src, even: bool):
     return src.v_pred.filter(f"id % 2 = {0 if even else 1}")
 
 
-@query(
-    "c1_platt_calibration",
-    # Newton steps for slope a and intercept b of each model.
-    """
-WITH RECURSIVE q AS (SELECT id, model_id, label, score, LEAST(GREATEST(score, 1e-7), 1 - 1e-7) AS c FROM v_pred WHERE model_id IN ('m1', 'm2')),
-d AS (SELECT id, model_id || '_logit' AS m, LN(c / (1 - c)) AS x, label AS y FROM q UNION ALL SELECT id, model_id || '_raw', score, label FROM q),
+def _platt_sql(data: str, steps: int = 15) -> str:
+    """CTE n(it, m, a, b): Newton steps for slope a and intercept b of every fit m over ``data`` (m, x, y)."""
+    return f"""
 n(it, m, a, b) AS (
-  SELECT 0, m, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM d GROUP BY m
+  SELECT 0, m, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM {data} GROUP BY m
   UNION ALL
   SELECT it + 1, m, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
     SELECT it, m, a, b, SUM(x * (y - p)) - a * 1e-6 AS g1, SUM(y - p) AS g2, SUM(x * x * p * (1 - p)) + 1e-6 AS h11, SUM(x * p * (1 - p)) AS h12, SUM(p * (1 - p)) AS h22
-    FROM (SELECT n.it, n.m, n.a, n.b, d.x, d.y, 1 / (1 + EXP(-(n.a * d.x + n.b))) AS p FROM n JOIN d ON d.m = n.m) GROUP BY it, m, a, b)
-  WHERE it < 15),
-f AS (SELECT d.m AS model_id, 1 / (1 + EXP(-(a * x + b))) AS p, y FROM d JOIN n ON n.m = d.m AND n.it = 15)
-SELECT model_id, COUNT(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, COUNT(*) FILTER (WHERE p >= 0.5 AND y = 0) AS fp, ROUND(AVG((p - y) * (p - y)), 4) AS brier FROM f GROUP BY model_id""",
+    FROM (SELECT n.it, n.m, n.a, n.b, d.x, d.y, 1 / (1 + EXP(-(n.a * d.x + n.b))) AS p FROM n JOIN {data} d ON d.m = n.m) GROUP BY it, m, a, b)
+  WHERE it < {steps})"""
+
+
+def _isotonic_sql(data: str) -> str:
+    """CTE pts(m, x, p): the monotone least-squares fit of every m over ``data`` (m, x, y) in closed form: max over starts of the min over ends of the mean."""
+    return f"""
+iso_d AS MATERIALIZED (SELECT m, x, AVG(y) AS y, COUNT(*) AS w FROM {data} GROUP BY m, x),
+iso_o AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY m ORDER BY x) AS i, SUM(y * w) OVER (PARTITION BY m ORDER BY x) AS sy, SUM(w) OVER (PARTITION BY m ORDER BY x) AS sw FROM iso_d),
+iso_m AS (SELECT a.m, a.i AS j, b.i AS k, (b.sy - a.sy + a.y * a.w) / (b.sw - a.sw + a.w) AS mean FROM iso_o a JOIN iso_o b ON b.m = a.m AND b.i >= a.i),
+iso_lo AS (SELECT m, j, k, MIN(mean) OVER (PARTITION BY m, j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM iso_m),
+pts AS MATERIALIZED (SELECT o.m, o.x, MAX(v) AS p FROM iso_lo l JOIN iso_o o ON o.m = l.m AND o.i = l.k GROUP BY o.m, o.x)"""
+
+
+def _between_sql(rows: str, columns: str) -> str:
+    """Rows (m, x, ...) with p: the fit between its neighbouring points, the outer ones beyond them."""
+    return f"""SELECT {columns}, CASE WHEN l.x IS NULL THEN h.p WHEN h.x IS NULL OR l.x = r.x THEN l.p ELSE l.p + (h.p - l.p) * (r.x - l.x) / (h.x - l.x) END AS p
+  FROM {rows} r ASOF LEFT JOIN pts l ON l.m = r.m AND l.x <= r.x ASOF LEFT JOIN pts h ON h.m = r.m AND h.x >= r.x"""
+
+
+_CLIPPED = "LEAST(GREATEST(score, 1e-7), 1 - 1e-7)"
+
+
+@query(
+    "c1_platt_calibration",
+    f"""
+WITH RECURSIVE q AS (SELECT id, model_id, label, score, {_CLIPPED} AS c FROM v_pred),
+d AS (SELECT id, model_id || '_logit' AS m, LN(c / (1 - c)) AS x, label AS y FROM q UNION ALL SELECT id, model_id || '_raw', score, label FROM q),
+{_platt_sql("d")},
+f AS (SELECT d.m AS model_id, a > 0 AS increasing, 1 / (1 + EXP(-(a * x + b))) AS p, y FROM d JOIN n ON n.m = d.m AND n.it = 15)
+SELECT model_id, increasing, COUNT(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, COUNT(*) FILTER (WHERE p >= 0.5 AND y = 0) AS fp, ROUND(AVG((p - y) * (p - y)), 4) AS brier FROM f GROUP BY ALL""",
 )
 def _(src):
+    rows = src.v_pred.select("id", "model_id", "label", "score")
     out = None
-    for m in ("m1", "m2"):
-        rows = src.v_pred.filter(F.col("model_id") == m)
-        for on_logit in (True, False):
-            fitted = C.require_increasing(C.fit_platt(rows, on_logit=on_logit))
-            part = rows.select(
-                "id", F.lit(f"{m}_{'logit' if on_logit else 'raw'}").alias("model_id"), "label", fitted.apply(F.col("score")).alias("score")
-            )
-            out = part if out is None else out.unionByName(part)
-    return R.confusion(out, F.lit(0.5)).select("model_id", "tp", "fp", F.round("brier", 4).alias("brier"))
+    for on_logit in (True, False):
+        fitted = C.fit_platt(rows, on_logit=on_logit, by=["model_id"])
+        rising = fitted.fits.select("model_id", (F.col("slope") > 0).alias("increasing"))
+        part = fitted.apply(rows, "score", "score").join(rising, "model_id")
+        part = part.withColumn("model_id", F.concat("model_id", F.lit("_logit" if on_logit else "_raw")))
+        out = part if out is None else out.unionByName(part)
+    return R.confusion(out, F.lit(0.5), ["model_id", "increasing"]).select("model_id", "increasing", "tp", "fp", F.round("brier", 4).alias("brier"))
 
 
 @query(
     "c2_isotonic_calibration",
-    # The monotone least-squares fit in closed form: max over starts of the min over ends of the mean.
-    """
-WITH d AS (SELECT score, AVG(label) AS y, COUNT(*) AS w FROM v_pred WHERE model_id = 'm1' GROUP BY score),
-o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score) AS i, SUM(y * w) OVER (ORDER BY score) AS sy, SUM(w) OVER (ORDER BY score) AS sw FROM d),
-m AS (SELECT a.i AS j, b.i AS k, (b.sy - a.sy + a.y * a.w) / (b.sw - a.sw + a.w) AS mean FROM o a JOIN o b ON b.i >= a.i),
-lo AS (SELECT j, k, MIN(mean) OVER (PARTITION BY j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM m),
-fit AS (SELECT k AS i, MAX(v) AS p FROM lo GROUP BY k)
-SELECT id, label, ROUND(v.score, 6) AS score, ROUND(p, 6) AS probability FROM v_pred v JOIN o ON o.score = v.score JOIN fit ON fit.i = o.i WHERE model_id = 'm1'""",
+    f"""WITH t AS (SELECT id, model_id AS m, label, score, {_CLIPPED} AS x, label AS y FROM v_pred), {_isotonic_sql("t")}
+SELECT id, t.m AS model_id, label, ROUND(score, 6) AS score, ROUND(p, 6) AS probability FROM t JOIN pts USING (m, x)""",
 )
 def _(src):
-    rows = src.v_pred.filter("model_id = 'm1'")
-    fitted = C.fit_isotonic(rows)
-    return C.apply_method(rows, "isotonic", fitted, "score", "probability").select("id", "label", *r6("score", "probability"))
+    rows = src.v_pred.select("id", "model_id", "label", "score")
+    fitted = C.fit_isotonic(rows, by=["model_id"])
+    return C.apply_method(rows, "isotonic", fitted, "score", "probability").select("id", "model_id", "label", *r6("score", "probability"))
 
 
-@query("c3_out_of_fold_comparison")
+@query(
+    "c3_out_of_fold_comparison",
+    f"""
+WITH RECURSIVE unit AS (SELECT DISTINCT id, label, grp FROM v_pred),
+size AS (SELECT grp, COUNT(*) AS total, COUNT(*) FILTER (WHERE label = 1) AS positive FROM unit GROUP BY grp),
+turn AS (SELECT grp, (ROW_NUMBER() OVER (ORDER BY positive DESC, total DESC, sha256('42|fold|' || grp), grp) - 1) % 10 AS t FROM size),
+dealt AS (SELECT id, CASE WHEN t < 5 THEN t ELSE 9 - t END AS fold FROM unit JOIN turn USING (grp)),
+r AS MATERIALIZED (SELECT model_id, p.id, label, fold, {_CLIPPED} AS c FROM v_pred p JOIN dealt d ON d.id = p.id),
+it AS MATERIALIZED (SELECT model_id || '/' || f AS m, c AS x, label AS y FROM r, range(0, 5) g(f) WHERE f <> fold),
+pt AS MATERIALIZED (SELECT m, LN(x / (1 - x)) AS x, y FROM it),
+{_platt_sql("pt")}, {_isotonic_sql("it")},
+probe AS (SELECT *, model_id || '/' || fold AS m, c AS x FROM r),
+oof AS (SELECT model_id, 'none' AS method, label, c AS p FROM r
+  UNION ALL SELECT model_id, 'platt', label, 1 / (1 + EXP(-(a * LN(c / (1 - c)) + b))) FROM probe JOIN n ON n.m = probe.m AND n.it = 15
+  UNION ALL {_between_sql("probe", "r.model_id, 'isotonic', r.label")}),
+cells AS (SELECT model_id, method, CASE WHEN p BETWEEN 0 AND 1 THEN LEAST(FLOOR(p * 15), 14) END AS c, COUNT(*) AS n, SUM(label) AS y, SUM(p) AS s FROM oof GROUP BY ALL),
+ece AS (SELECT model_id, method, SUM(CASE WHEN c IS NOT NULL THEN ABS(y - s) ELSE 0.0 END) / SUM(n) AS ece FROM cells GROUP BY model_id, method),
+b AS (SELECT model_id, method, AVG((p - label) * (p - label)) AS brier FROM oof GROUP BY model_id, method)
+SELECT model_id, method, ROUND(brier, 6) AS brier, ROUND(ece, 6) AS ece FROM b JOIN ece USING (model_id, method)""",
+)
 def _(src):
-    pred = src.v_pred.filter("model_id <> 'm0'").select("model_id", "id", "label", "score", "grp")
+    pred = src.v_pred.select("model_id", "id", "label", "score", "grp")
     return flows.calibration_comparison(pred, 5, 42).select("model_id", "method", *r6("brier", "ece"))
 
 
@@ -86,14 +123,52 @@ def _(src):
     return P.row_folds(src.v_pred.filter("model_id = 'm0'").select("id", "label"), "label", "id", 5, 42)
 
 
-@query("c7_frozen_calibrator")
+@query(
+    "c7_frozen_calibrator",
+    f"""
+WITH RECURSIVE q AS (SELECT *, {_CLIPPED} AS c FROM v_pred),
+fit AS MATERIALIZED (SELECT id, model_id AS m, c AS x, label AS y FROM q WHERE id % 2 = 0 AND model_id <> 'm0'),
+pt AS MATERIALIZED (SELECT model_id AS m, LN(c / (1 - c)) AS x, label AS y FROM q WHERE id % 2 = 0 AND model_id = 'm0'),
+{_platt_sql("pt")}, {_isotonic_sql("fit")},
+probe AS (SELECT *, model_id AS m, c AS x FROM q WHERE model_id <> 'm0'),
+scored AS MATERIALIZED (SELECT q.id, q.model_id, q.label, 1 / (1 + EXP(-(a * LN(c / (1 - c)) + b))) AS p FROM q JOIN n ON n.m = q.model_id AND n.it = 15
+  UNION ALL {_between_sql("probe", "r.id, r.model_id, r.label")}),
+neg AS (SELECT model_id, p, ROW_NUMBER() OVER (PARTITION BY model_id ORDER BY p DESC) AS rn, COUNT(*) OVER (PARTITION BY model_id) AS n FROM scored WHERE id % 2 = 0 AND label = 0),
+lim AS (SELECT DISTINCT model_id, FIRST_VALUE(p) OVER (PARTITION BY model_id ORDER BY rn) AS exceed FROM neg WHERE rn > FLOOR(50000 * n / 1000000.0))
+SELECT id, model_id, label, ROUND(p, 6) AS probability, COALESCE(p > exceed, TRUE) AS called FROM scored LEFT JOIN lim USING (model_id) WHERE id % 2 = 1""",
+)
+def _(src):
+    """Fits on one half of the rows are frozen to a folder; the other half is scored from what the folder holds."""
+    fit_on, other = _half(src, True), _half(src, False).select("id", "model_id", "label", "score")
+    folder = new_path(src.spark, "frozen")
+    method = F.when(F.col("model_id") == "m0", "platt").otherwise("isotonic")
+    chosen = fit_on.select("model_id").distinct().withColumn("method", method)
+    by = ["model_id"]
+    freeze_calibrators(folder, chosen, C.fit_platt(fit_on, by=by), C.fit_isotonic(fit_on, by=by))
+    store = Frozen(src.spark, folder)
+    known = store.calibrated(fit_on.select("model_id", "id", "label", "score"), name="score")
+    freeze_thresholds(folder, R.fp_budget_threshold(known, [50000]))
+    return store.called(store.calibrated(other), 50000).select("id", "model_id", "label", *r6("probability"), "called")
+
+
+_CENTRES = """
+WITH c AS (SELECT label, i, AVG(CAST(embedding[i] AS DOUBLE)) AS m FROM v_vec, range(1, 65) g(i) WHERE split = 'train' GROUP BY label, i),
+w AS (SELECT p.i, 2 * (p.m - n.m) AS w, n.m * n.m - p.m * p.m AS b FROM c p JOIN c n ON n.i = p.i AND p.label = 1 AND n.label = 0)"""
+
+
+@query(
+    "c7_frozen_linear",
+    f"""{_CENTRES} SELECT vec_id, ROUND(SUM(CAST(embedding[i] AS DOUBLE) * w) + (SELECT SUM(b) FROM w), 5) AS score FROM v_vec, w WHERE split = 'dev' GROUP BY vec_id""",
+)
 def _(src):
-    fit_on, other = _half(src, True).filter("model_id = 'm2'"), _half(src, False).filter("model_id = 'm2'")
-    frozen = C.fit_isotonic(fit_on)
-    threshold = R.fp_budget_threshold(C.apply_method(fit_on, "isotonic", frozen, "score", "p").withColumn("score", F.col("p")), [50000])
-    limit = threshold.first()["exceed_score"]
-    applied = C.apply_method(other, "isotonic", frozen, "score", "probability")
-    return applied.select("id", "label", *r6("probability"), (F.col("probability") > F.lit(limit)).alias("called"))
+    """A centroid score written as weights by feature, and read back for rows in long form."""
+    vec = src.v_vec
+    model = N.fit_centroids(vec.filter("split = 'train'"), "embedding", "label", "euclidean")
+    folder = new_path(src.spark, "frozen")
+    freeze_weights(src.spark, folder, "centroid", [f"e{i}" for i in range(len(model.weights))], model.weights, model.offset)
+    each = vec.filter("split = 'dev'").select("vec_id", F.posexplode("embedding").alias("i", "value"))
+    long = each.select("vec_id", F.concat(F.lit("e"), F.col("i")).alias("feature"), F.col("value").cast("double").alias("value"))
+    return Frozen(src.spark, folder).linear_long(long, "vec_id").select("vec_id", F.round("score", 5).alias("score"))
 
 
 def _features(src):

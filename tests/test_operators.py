@@ -382,11 +382,98 @@ def calibration_data(spark, n=600):
 
 def test_platt_against_newton(spark):
     score, label, df = calibration_data(spark)
-    fitted = C.fit_platt(df)
+    fitted = C.fit_platt(df).fits.first()
     w = newton_logistic(np.log(score / (1 - score))[:, None], label, 1e6)
-    assert (fitted.slope, fitted.intercept) == (pytest.approx(w[0], rel=1e-4), pytest.approx(w[1], rel=1e-3, abs=1e-4))
-    with pytest.raises(ValueError):
-        C.require_increasing(C.Platt(-1.0, 0.0))
+    assert (fitted.slope, fitted.intercept) == (pytest.approx(w[0], rel=1e-6), pytest.approx(w[1], rel=1e-6, abs=1e-8))
+    falling = spark.createDataFrame([("a", 2.0, 0.0), ("b", -1.0, 0.0)], "model_id string, slope double, intercept double")
+    with pytest.raises(ValueError, match="'b'"):
+        C.require_increasing(C.Platt(falling, ("model_id",)))
+
+
+def test_grouped_fits_equal_single_ones(spark):
+    """Many fits in one pass, a separable and a one-class group and a NULL key among them."""
+    rng = np.random.default_rng(3)
+    data = []
+    for key, bend in (("a", 1.0), ("b", 3.0), (None, 0.5)):
+        for s in rng.random(150):
+            data.append((key, float(s), int(rng.random() < s**bend)))
+    data += [("apart", i / 20, int(i >= 10)) for i in range(20)] + [("ones", i / 20, 1) for i in range(20)]
+    df = spark.createDataFrame(data, "k string, score double, label int")
+    fits = {r.k: (r.slope, r.intercept) for r in C.fit_platt(df, by=["k"]).fits.collect()}
+    assert set(fits) == {"a", "b", None, "apart", "ones"}
+    for key in ("a", "b", None):
+        mine = [(s, y) for k, s, y in data if k == key]
+        x, y = np.array([s for s, _ in mine]), np.array([v for _, v in mine])
+        x = np.clip(x, 1e-7, 1 - 1e-7)
+        w = newton_logistic(np.log(x / (1 - x))[:, None], y, 1e6)
+        assert fits[key] == (pytest.approx(w[0], rel=1e-5), pytest.approx(w[1], rel=1e-4, abs=1e-6))
+    assert fits["apart"][0] > 10 and all(math.isfinite(v) for pair in fits.values() for v in pair)
+    got = C.fit_isotonic(df, by=["k"]).points.collect()
+    for key in ("a", "b", None, "apart"):
+        mine = [(s, y) for k, s, y in data if k == key]
+        xs, ys = pool_adjacent(np.array([s for s, _ in mine]), np.array([float(v) for _, v in mine]))
+        points = sorted((r.x, r.y) for r in got if r.k == key)
+        assert np.allclose(np.interp(xs, *zip(*points)), ys, atol=1e-9)
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "noisy", "steps"])
+def test_isotonic_over_many_ranges(spark, shape):
+    """Ranges of four blocks give the same fit as one pass, also where violations reach over all of them."""
+    n = 90
+    rng = np.random.default_rng(5)
+    x = np.arange(n) / n
+    y = {"rising": x, "falling": 1 - x, "noisy": (rng.random(n) < x).astype(float), "steps": np.floor(x * 5) / 5 + (rng.random(n) < 0.3)}[shape]
+    df = spark.createDataFrame([("k" if i % 2 else "j", float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "k string, score double, label double")
+    points = C.fit_isotonic(df, clip=False, by=["k"], size=4).points.collect()
+    for key, odd in (("k", 1), ("j", 0)):
+        xs, ys = pool_adjacent(x[odd::2], y[odd::2])
+        mine = sorted((r.x, r.y) for r in points if r.k == key)
+        assert np.allclose(np.interp(xs, *zip(*mine)), ys, atol=1e-9)
+
+
+def test_frozen_parameters_score_in_another_session(spark, tmp_path):
+    from sitelab.sources.frozen import Frozen, freeze_calibrators, freeze_thresholds, freeze_weights
+
+    _, _, df = calibration_data(spark, 200)
+    df = df.crossJoin(spark.createDataFrame([("p",), ("i",), ("n",)], "model_id string"))
+    by, folder = ["model_id"], str(tmp_path / "frozen")
+    platt, iso = C.fit_platt(df, by=by), C.fit_isotonic(df, by=by)
+    chosen = spark.createDataFrame([("p", "platt"), ("i", "isotonic"), ("n", "none")], "model_id string, method string")
+    freeze_calibrators(folder, chosen, platt, iso)
+    freeze_thresholds(folder, spark.createDataFrame([("p", 10, 0.5), ("i", 10, None)], "model_id string, target_fp_per_million long, exceed_score double"))
+    freeze_weights(spark, folder, "lin", ["a", "b"], [2.0, -1.0], 0.5)
+    other = spark.newSession()
+    store = Frozen(other, folder)
+    rows_ = other.createDataFrame([(m, i, s) for m in ("p", "i", "n", "unknown") for i, s in enumerate([0.0, 0.3, 0.7, 1.0])], "model_id string, id long, score double")
+    got = {(r.model_id, r.id): (r.probability, r.called) for r in store.called(store.calibrated(rows_), 10).collect()}
+    assert len(got) == 16 and got["unknown", 0] == (None, None) and got["n", 0] == (pytest.approx(1e-7), None)
+    fit = {r.model_id: r for r in platt.fits.collect()}["p"]
+    want = 1 / (1 + math.exp(-(fit.slope * math.log(0.7 / 0.3) + fit.intercept)))
+    assert got["p", 2] == (pytest.approx(want), want > 0.5)
+    direct = C.apply_method(df.filter("model_id = 'i'").select("model_id", "id", "score"), "isotonic", iso, "score", "q")
+    again = store.calibrated(other.createDataFrame(direct.toPandas()))
+    assert again.filter("abs(q - probability) > 1e-12").count() == 0 and got["i", 1][1] is True
+    table = other.createDataFrame([(1, 3.0, 1.0)], "id long, x double, y double")
+    assert store.linear(table, "lin", {"a": F.col("x"), "b": F.col("y")}).first().score == 5.5
+    long = other.createDataFrame([(1, "a", 3.0), (1, "b", 1.0), (2, "b", 1.0)], "id long, feature string, value double")
+    assert sorted(map(tuple, store.linear_long(long, "id").collect())) == [(1, "lin", 5.5), (2, "lin", -0.5)]
+    with pytest.raises(ValueError, match="other features"):
+        store.linear(table, "lin", {"a": F.col("x")})
+    with pytest.raises(ValueError, match="frozen already"):
+        freeze_weights(spark, folder, "lin", ["a"], [1.0], 0.0)
+    with pytest.raises(ValueError, match="more than one"):
+        freeze_calibrators(str(tmp_path / "twice"), chosen.unionByName(chosen), platt, iso)
+
+
+def test_comparison_of_methods_takes_few_jobs(spark):
+    _, _, df = calibration_data(spark, 300)
+    pred = df.crossJoin(spark.createDataFrame([("p",), ("q",), ("r",)], "model_id string"))
+    spark.sparkContext.setJobGroup("comparison", "jobs of one comparison")
+    try:
+        assert flows.calibration_comparison(pred, 5, 42).count() == 9
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("comparison")) <= 90
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def pool_adjacent(x, y):
