@@ -8,10 +8,11 @@ the threshold one occurrence stays: the first in the document with the smallest
 doc_id. So no content goes altogether, and of a document copied to many sites the
 first copy stays whole.
 
-Lines are compared after trimming white space, and only if they have ``min_words``
-words or more: short lines agree by chance. A NULL source counts as one site. A NULL
-text stays NULL, an empty text empty; a document may end up empty but is never
-dropped. Rows with a NULL doc_id come last when the occurrence that stays is chosen.
+Every line with a word counts, however short; lines are compared after trimming white
+space (blank, tab, line ends, vertical tab, form feed) at both ends. Blank lines stay. A
+NULL source counts as one site. A NULL text stays NULL, an empty text empty; a document
+may end up empty but is never dropped. An empty table gives no rows. A very long text is
+one row of lines while it is cut. Rows with a NULL doc_id come last when the occurrence that stays is chosen.
 A row is known by its doc_id and its text, so rows that share a doc_id, or have none,
 lose lines by their own text only. Repeated rows with equal doc_id and text keep the
 line in each of them. Extra columns pass through.
@@ -22,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelab.llm.common import ROW_KEY, WORD, let, packed, row_key, stored, table, unpacked
+from sitelab.llm.common import ROW_KEY, let, packed, row_key, stored, table, unpacked
 from sitelab.llm.registry import query
 
 MIN_SITES = 5
-MIN_WORDS = 4
+#: Fixed value: the white space that is no part of a line.
+WHITE = " \t\n\x0b\x0c\r"
 #: Lines with an estimate between threshold / BAND and threshold * BAND are counted exactly.
 BAND = 2.0
 LG_K = 10
@@ -36,30 +38,19 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _counted(line: Column, min_words: int) -> Column:
-    """A line that has at least ``min_words`` words."""
-    return line.rlike(rf"(?:{WORD}[\x20\x09-\x0D]+){{{min_words - 1}}}{WORD}")
-
-
-def _key(line: Column) -> Column:
-    """128 bits of the trimmed line."""
-    plain = F.trim(line)
-    return F.struct(F.xxhash64(plain).alias("a"), F.xxhash64(F.lit(7), plain).alias("b"))
-
-
-def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, ta, tb, site, at, a, b): the lines long enough to count, ``a`` and ``b`` being the hash."""
+def line_rows(docs: DataFrame) -> DataFrame:
+    """(doc, ta, tb, site, at, a, b): the lines that are not blank, ``a`` and ``b`` being 128 bits of the trimmed line."""
     site = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("none"))
     # The row's hashes are taken below the explosion, once a row.
     rows = docs.select(*row_key(), site.alias("site"), _lines(F.col("text")).alias("_all"))
     exploded = rows.select(*ROW_KEY, "site", F.posexplode("_all").alias("at", "line"))
-    keyed = exploded.filter(_counted(F.col("line"), min_words)).select(*ROW_KEY, "site", "at", _key(F.col("line")).alias("_k"))
-    return keyed.select(*ROW_KEY, "site", "at", "_k.a", "_k.b")
+    plain = exploded.withColumn("line", F.btrim("line", F.lit(WHITE))).filter("line <> ''")
+    return plain.select(*ROW_KEY, "site", "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """(a, b, sites, exact, doc, ta, tb, at): lines of at least ``min_sites`` sites and the occurrence that stays."""
-    rows = line_rows(docs, min_words)
+    rows = line_rows(docs)
     sketched = rows.groupBy("a", "b").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"),
         F.min(F.struct(*ROW_KEY, "at")).alias("first"),
@@ -85,17 +76,15 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     ).filter(F.col("sites") >= min_sites)
 
 
-def dedup_lines(
-    docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND
-) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """(_row, doc_id, text, removed): cleaned text and the number of lines taken out; _row is the row as it was.
 
     Only the places of the lines to remove travel; they meet the texts by row identity.
     """
-    found = stored(boilerplate(docs, min_sites, min_words, band), "line-boilerplate").select(
+    found = stored(boilerplate(docs, min_sites, band), "line-boilerplate").select(
         "a", "b", F.struct(*ROW_KEY, "at").alias("_first")
     )
-    hits = line_rows(docs, min_words).join(found, ["a", "b"])
+    hits = line_rows(docs).join(found, ["a", "b"])
     gone = hits.filter(F.struct(*ROW_KEY, "at") != F.col("_first"))
     places = gone.groupBy(*ROW_KEY).agg(F.sort_array(F.collect_set("at")).alias("_gone"))
     keyed = packed(docs, "doc_id", "text").select("*", *row_key())
@@ -114,16 +103,14 @@ def cleaned_documents(docs: DataFrame, **options) -> DataFrame:
     return unpacked(cleaned, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
-_WORD = r"[^\x20\x09-\x0D]+"
-SQL = rf"""
+SQL = f"""
 WITH cut AS (
   SELECT doc_id, coalesce('=' || source, 'none') AS site, string_split(text, chr(10)) AS parts
   FROM documents WHERE text IS NOT NULL
 ), l AS (
   SELECT doc_id, site, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut
 ), counted AS (
-  SELECT *, trim(line) AS k FROM l
-  WHERE regexp_matches(line, '(?:{_WORD}[\x20\x09-\x0D]+){{{MIN_WORDS - 1}}}{_WORD}')
+  SELECT * FROM (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM l) WHERE k <> ''
 ), spread AS (
   SELECT k, min(struct_pack(d := doc_id, p := pos)) AS first
   FROM counted GROUP BY k HAVING count(DISTINCT site) >= {MIN_SITES}

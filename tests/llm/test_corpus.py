@@ -188,13 +188,14 @@ def test_fragments_cut_the_order():
 
 # Lines
 
+WHITE = " \t\n\x0b\x0c\r"
 
-def brute_lines(rows, min_sites, min_words):
+
+def brute_lines(rows, min_sites):
     sites, first = defaultdict(set), {}
     for doc, text, source in rows:
         for at, line in enumerate((text or "").split("\n") if text is not None else []):
-            if len(WORD.findall(line)) >= min_words:
-                key = line.strip(" ")
+            if key := line.strip(WHITE):
                 sites[key].add(source)
                 first[key] = min(first.get(key, (1e18, 0)), (doc, at))
     out = {}
@@ -204,7 +205,7 @@ def brute_lines(rows, min_sites, min_words):
             continue
         kept = [
             line for at, line in enumerate(text.split("\n"))
-            if len(sites.get(line.strip(" "), ())) < min_sites or len(WORD.findall(line)) < min_words or first[line.strip(" ")] == (doc, at)
+            if len(sites.get(line.strip(WHITE), ())) < min_sites or first[line.strip(WHITE)] == (doc, at)
         ]
         out[doc] = ("\n".join(kept), len(text.split("\n")) - len(kept))
     return out
@@ -212,15 +213,15 @@ def brute_lines(rows, min_sites, min_words):
 
 def test_lines_against_brute_force(spark):
     rng = random.Random(4)
-    pool = [f"this is line number {i}" for i in range(12)] + ["short line", "", "  this is line number 3 ", "a b c d"]
+    pool = [f"this is line number {i}" for i in range(12)] + ["short line", "", "  this is line number 3 ", "a b c d", "x", "\tx \r", " \t", "漢字"]
     rows = [
-        (i, None if i % 19 == 0 else "\n".join(rng.choice(pool[: rng.choice([3, 16])]) for _ in range(rng.randint(0, 12))), rng.choice(["a", "b", "c", "d", "e", None]))
+        (i, None if i % 19 == 0 else "\n".join(rng.choice(pool[: rng.choice([3, 20])]) for _ in range(rng.randint(0, 12))), rng.choice(["a", "b", "c", "d", "e", None]))
         for i in range(90)
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for sites in (2, 5, 6):
         got = {r.doc_id: (r.text, r.removed) for r in line_spread.dedup_lines(docs, min_sites=sites).collect()}
-        assert got == brute_lines(rows, sites, line_spread.MIN_WORDS)
+        assert got == brute_lines(rows, sites)
 
 
 def test_estimates_decide_only_far_from_the_threshold(spark):
@@ -239,6 +240,15 @@ def test_lines_edges(edges, no_documents, clashing):
     assert got[1].text == SENTENCE and got[2].text == "" and got[2].n_chars == 0 and got[3].text is None
 
 
+def test_short_lines_of_many_sites_go(spark):
+    """One short line of twenty sites, ended in several ways, stays in one document only."""
+    ends = ["", "\r", " ", "\t"]
+    rows = [(i, f"own text {i}\nAll rights reserved.{ends[i % 4]}\n無断転載禁止", f"s{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.removed) for r in line_spread.dedup_lines(docs).collect()}
+    assert got[0] == (rows[0][1], 0) and all(got[i] == (f"own text {i}", 2) for i in range(1, 20))
+
+
 def test_lines_go_by_the_row_and_not_by_its_id(spark):
     common = "a notice that all sites carry"
     rows = [(i, f"{common}\nown text of document {i}", f"s{i}") for i in range(6)]
@@ -490,7 +500,7 @@ def test_pipeline_against_brute_force(spark):
     assert sum(i in texts[1] for i in good) >= 0.98 * len(good)
     assert all(texts[1][i] == texts[0][i] for i in texts[1])
     source = {r.doc_id: r.source for r in docs.collect()}
-    lines = brute_lines([(i, t, source[i]) for i, t in texts[1].items()], line_spread.MIN_SITES, line_spread.MIN_WORDS)
+    lines = brute_lines([(i, t, source[i]) for i, t in texts[1].items()], line_spread.MIN_SITES)
     assert texts[2] == {i: t for i, (t, _) in lines.items()}
     copies = brute_jaccard(list(texts[2].items()), 5, 80)
     assert texts[3] == {i: texts[2][i] for i, (_, root) in copies.items() if root == i}
