@@ -32,6 +32,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that was read from them has been stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def checked_columns(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     """Only the named columns, cast to the wanted types; anything else in the input is ignored."""
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in needed.items()])

@@ -21,7 +21,12 @@ there, any other one in its small buckets, so no link between components is lost
 Words are lower-cased in A-Z. NULL and empty texts, and texts without words, have no
 n-grams and link with nothing. Documents with a NULL doc_id are counted but link with
 nothing and have a NULL component. Rows that share a doc_id with other texts are
-compared by each text. Extra columns are ignored.
+compared by each text, and repeated rows are one set. A very long text is one set in one
+task. An empty table gives no rows. Extra columns are ignored.
+
+Texts are read three times and never shuffled; a filter of fixed size keeps most n-grams
+that only one text has, and the sets that no pair asks for, out of the shuffles. Tables
+written on the way are deleted as soon as what was read from them is written.
 """
 
 from __future__ import annotations
@@ -33,19 +38,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelab.llm.common import ROW_KEY, checked_columns, packed, row_key, shingle_set, stored, table, text_slices, unpacked
+from sitelab.llm.common import ROW_KEY, checked_columns, discard, mixed, packed, row_key, shingle_set, stored, table, text_slices, unpacked
 from sitelab.llm.registry import query
 from sitelab.operators.components import connected_components
-from sitelab.operators.ordering import global_rank
 
 #: Cells of the count table, a fixed size: four bytes each while counting, one when sent to the tasks.
 CELL_BITS = 22
 PIECE = 1 << 16
 LEVELS = 256
 FRAGMENTS = 8
+#: Bits of a filter that is sent to the tasks, a fixed size: 4 MB.
+FILTER_BITS = 25
+#: Rows of a table that is sent to the tasks instead of dealing the rows it meets.
+LOOKED_UP = 100_000
 #: Classes of a bucket that gives all its pairs.
 SMALL = 16
 #: Classes of a tile.
@@ -156,69 +164,142 @@ def _summed_again(rows: pa.Table) -> pa.Table:
     return _summed(rows)
 
 
-def _prefixes(order, k: int, percent: int):
-    """(shingle, key, n, pos) of the first n-grams of each text; a set is sent once a task."""
+def _filter_bits(h: np.ndarray) -> np.ndarray:
+    return (mixed(h.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _packed_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+    for batch in batches:
+        bits[_filter_bits(batch.column(0).to_numpy())] = True
+    if bits.any():
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
+
+
+def _joined_bits(rows: pa.Table) -> pa.Table:
+    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for part in rows.column("bits"):
+        bits |= np.frombuffer(zlib.decompress(part.as_py()), dtype=np.uint8)
+    return pa.table({"bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
+
+
+def membership(values: DataFrame):
+    """Broadcast filter of fixed size over a column of whole numbers.
+
+    What is in the column always passes; of the rest the more is let through the fuller the
+    filter, so it saves shuffling and never decides.
+    """
+    parts = values.mapInArrow(_packed_bits, "bits binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
+    some = parts.groupBy("part").applyInArrow(_joined_bits, "bits binary").collect()
+    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for row in some:
+        bits |= np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)
+    return values.sparkSession.sparkContext.broadcast(bits)
+
+
+def _passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = _filter_bits(h)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _prefix(s: np.ndarray, rank: Order, percent: int) -> np.ndarray:
+    """The first n-grams of a set in the global order."""
+    n = len(s)
+    most = n + (-percent * n) // 100 + 1
+    # Ascending by (level, hash): the hashes are sorted already, so a stable sort by level is enough.
+    return s[np.argsort(rank.of(s), kind="stable")[:most]]
+
+
+def _first_ngrams(order, k: int, percent: int):
+    """(s, k8): the first n-grams of each text and 64 bits of the key of its set; a set is sent once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = order.value, set()
         for batch in batches:
-            parts: list[tuple[np.ndarray, bytes, int]] = []
+            parts, keys = [], []
             for doc, text in _texts(batch):
                 s = shingle_set(text, k)
-                n = len(s)
-                if doc is None or not n or (key := _key(s)) in seen:
+                if doc is None or not len(s) or (key := _key(s)) in seen:
                     continue
                 seen.add(key)
-                most = n + (-percent * n) // 100 + 1
-                level = rank.of(s)
-                # Ascending by (level, hash): the hashes are sorted already, so a stable sort by level is enough.
-                parts.append((s[np.argsort(level, kind="stable")[:most]], key, n))
+                parts.append(_prefix(s, rank, percent))
+                keys.append(int.from_bytes(key[:8], "little", signed=True))
+            if parts:
+                repeated = np.repeat(np.array(keys, dtype=np.int64), [len(p) for p in parts])
+                yield pa.RecordBatch.from_pydict({"s": pa.array(np.concatenate(parts).view(np.int64)), "k8": pa.array(repeated)})
+
+    return run
+
+
+def _shared_prefixes(order, shared, k: int, percent: int):
+    """(s, key, n, pos) of those first n-grams of each text that pass the filter; a set is sent once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, bits, seen = order.value, shared.value, set()
+        for batch in batches:
+            parts: list[tuple[np.ndarray, np.ndarray, bytes, int]] = []
+            for doc, text in _texts(batch):
+                s = shingle_set(text, k)
+                if doc is None or not len(s) or (key := _key(s)) in seen:
+                    continue
+                seen.add(key)
+                first = _prefix(s, rank, percent)
+                at = np.flatnonzero(_passes(first, bits))
+                if len(at):
+                    parts.append((first[at], at, key, len(s)))
             if parts:
                 length = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "s": pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
-                        "key": pa.array([p[1] for p in parts], pa.binary()).take(pa.array(np.repeat(np.arange(len(parts)), length))),
-                        "n": pa.array(np.repeat([p[2] for p in parts], length).astype(np.int32)),
-                        "pos": pa.array(np.concatenate([np.arange(m) for m in length]).astype(np.int32)),
+                        "key": pa.array([p[2] for p in parts], pa.binary()).take(pa.array(np.repeat(np.arange(len(parts)), length))),
+                        "n": pa.array(np.repeat([p[3] for p in parts], length).astype(np.int64)),
+                        "pos": pa.array(np.concatenate([p[1] for p in parts]).astype(np.int64)),
                     }
                 )
 
     return run
 
 
-def _segments(order, k: int, fragments: int):
-    """(key, f, part): the n-grams of a text by fragment."""
+def _segments(order, wanted, k: int, fragments: int):
+    """(key, f, part): the n-grams by fragment of the texts whose doc_id passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = order.value
-        for batch in batches:
-            keys, places, parts = [], [], []
-            for _, text in _texts(batch):
-                s = shingle_set(text, k)
-                if not len(s):
-                    continue
-                key, f = _key(s), rank.fragment(s, fragments)
-                for place in np.unique(f):
-                    keys.append(key)
-                    places.append(int(place))
-                    parts.append(s[f == place].view(np.int64))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": pa.array(keys, pa.binary()), "f": pa.array(places, pa.int32()),
-                    "part": pa.array(parts, pa.list_(pa.int64())),
-                }
-            )
+        rank, bits = order.value, wanted.value
+        for whole in batches:
+            ids = whole.column("doc_id")
+            some = whole.take(pa.array(np.flatnonzero(_passes(ids.fill_null(0).to_numpy(), bits) & ids.is_valid().to_numpy(zero_copy_only=False))))
+            for batch in text_slices(some):
+                keys, places, parts = [], [], []
+                for _, text in _texts(batch):
+                    s = shingle_set(text, k)
+                    if not len(s):
+                        continue
+                    key, f = _key(s), rank.fragment(s, fragments)
+                    for place in np.unique(f):
+                        keys.append(key)
+                        places.append(int(place))
+                        parts.append(s[f == place].view(np.int64))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "key": pa.array(keys, pa.binary()), "f": pa.array(places, pa.int32()),
+                        "part": pa.array(parts, pa.list_(pa.int64())),
+                    }
+                )
 
     return run
 
 
 def _fetched(docs: DataFrame, keys: DataFrame, classes: DataFrame, order, k: int, fragments: int) -> DataFrame:
-    """(key, f, part) of the classes in ``keys``."""
-    ids = keys.join(classes, "key").select(F.col("rep").alias("doc_id")).distinct()
-    segments = docs.join(ids, "doc_id").mapInArrow(_segments(order, k, fragments), "key binary, f int, part array<long>")
+    """(key, f, part) of the classes in ``keys``: texts do not travel, only the segments of wanted ones."""
+    wanted = stored(keys.distinct().join(classes, "key"), "jaccard-wanted")
+    bits = membership(wanted.select("rep"))
+    segments = docs.mapInArrow(_segments(order, bits, k, fragments), "key binary, f int, part array<long>")
     # A text that is there twice gives its segments twice.
-    return stored(segments.dropDuplicates(["key", "f"]), "jaccard-segments")
+    segments = segments.join(wanted.select("key"), "key", "left_semi").groupBy("key", "f").agg(F.first("part").alias("part"))
+    out = stored(segments, "jaccard-segments")
+    discard(wanted)
+    return out
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, k: int, fragments: int = FRAGMENTS) -> DataFrame:
@@ -228,7 +309,9 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, k: in
     left = pairs.join(segments.withColumnRenamed("key", "a").withColumnRenamed("part", "pa"), "a")
     both = left.join(segments.withColumnRenamed("key", "b").withColumnRenamed("part", "pb"), ["b", "f"])
     counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("common"))
-    return counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("overlap"))
+    out = stored(counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("overlap")), "jaccard-overlaps")
+    discard(segments)
+    return out
 
 
 def _pair(x: str, y: str) -> list:
@@ -280,10 +363,15 @@ def _centres(bucket: DataFrame) -> DataFrame:
     ).select("s", F.col("first.me").alias("centre"), F.col("any.me").alias("second"))
 
 
+def _looked_up(rows: DataFrame, table_: DataFrame, on: str) -> DataFrame:
+    """Rows with what a table of one row per ``on`` says: a small table goes to the rows, so a hot value does not gather them."""
+    return rows.join(F.broadcast(table_) if table_.count() <= LOOKED_UP else table_, on)
+
+
 def _centre_pairs(bucket: DataFrame, percent: int) -> DataFrame:
     me = F.struct("key", "n", "pos", "comp")
     both = F.array_distinct(F.array("centre", "second"))
-    met = bucket.join(_centres(bucket), "s").select(me.alias("x"), F.explode(both).alias("y"))
+    met = _looked_up(bucket, stored(_centres(bucket), "jaccard-centres"), "s").select(me.alias("x"), F.explode(both).alias("y"))
     apart = (F.col("x.key") != F.col("y.key")) & _sized("x", "y", percent)
     return met.filter(apart).select(*_pair("x", "y")).filter(_near(percent)).select("a", "b", "na", "nb").distinct()
 
@@ -294,7 +382,7 @@ def _tiled(bucket: DataFrame, tile: int) -> DataFrame:
     Classes apart from the centre's component come first in the numbering of tiles; a pair
     of tiles holds at least one tile of theirs.
     """
-    met = bucket.join(_centres(bucket), "s").select(
+    met = _looked_up(bucket, stored(_centres(bucket), "jaccard-centres"), "s").select(
         F.col("centre.key").alias("g"), "key", "n", "comp", (F.col("comp") != F.col("centre.comp")).alias("apart")
     )
     around = stored(met.distinct(), "jaccard-around")
@@ -385,17 +473,22 @@ def _tile_pairs(percent: int):
 def _apart_links(docs: DataFrame, bucket: DataFrame, classes: DataFrame, order, k: int, percent: int, tile: int) -> DataFrame:
     """Links between components among the classes around each centre."""
     tiled = stored(_tiled(bucket, tile), "jaccard-tiled")
-    segments = _fetched(docs, tiled.select("key").distinct(), classes, order, k, FRAGMENTS)
+    segments = _fetched(docs, tiled.select("key"), classes, order, k, FRAGMENTS)
     laid = tiled.join(segments, "key").repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "key")
-    return laid.select("g", "low", "high", "key", "n", "comp", "at", "f", "part").mapInArrow(_tile_pairs(percent), "a binary, b binary")
+    pairs = laid.select("g", "low", "high", "key", "n", "comp", "at", "f", "part").mapInArrow(_tile_pairs(percent), "a binary, b binary")
+    out = stored(pairs, "jaccard-apart")
+    discard(tiled, segments)
+    return out
 
 
 def _with_components(bucket: DataFrame, links: DataFrame) -> DataFrame:
     """Bucket rows with ``comp``, only of buckets that hold two components or more."""
     joined = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-    marked = bucket.join(joined, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    marked = stored(bucket.join(joined, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component"), "jaccard-marked")
     open_ = marked.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("s")
-    return stored(marked.join(open_, "s"), "jaccard-open")
+    out = stored(_looked_up(marked, stored(open_, "jaccard-open-buckets"), "s"), "jaccard-open")
+    discard(marked)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, small: int = SMALL, tile: int = TILE) -> DataFrame:
@@ -413,17 +506,24 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, small: in
         sets.filter(F.col("key").isNotNull() & F.col("doc").isNotNull()).groupBy("key").agg(F.min("doc").alias("rep")),
         "jaccard-classes",
     )
-    prefix = docs.mapInArrow(_prefixes(order, k, percent), "s long, key binary, n int, pos int")
-    several = prefix.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi").select("s")
-    bucket = stored(prefix.join(several, "s").dropDuplicates(["s", "key"]), "jaccard-buckets")
-    sizes = bucket.groupBy("s").agg(F.count(F.lit(1)).alias("d"))
-    bucket = bucket.join(sizes, "s")
-    large = stored(bucket.filter(F.col("d") > small).drop("d"), "jaccard-large")
+    first = docs.mapInArrow(_first_ngrams(order, k, percent), "s long, k8 long")
+    several = first.groupBy("s").agg(F.min("k8").alias("lo"), F.max("k8").alias("hi")).filter("lo != hi").select("s")
+    several = stored(several, "jaccard-shared")
+    met = docs.mapInArrow(_shared_prefixes(order, membership(several), k, percent), "s long, key binary, n long, pos long")
+    bucket = stored(met.join(several, "s").dropDuplicates(["s", "key"]), "jaccard-buckets")
+    discard(several)
+    sizes = stored(bucket.groupBy("s").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > small).select("s"), "jaccard-sizes")
+    large = stored(_looked_up(bucket, sizes, "s"), "jaccard-large")
     centred = _centre_pairs(large.withColumn("comp", F.col("key")), percent)
-    pairs = stored(_small_pairs(bucket.filter(F.col("d") <= small), percent).union(centred).distinct(), "jaccard-pairs")
-    links = stored(_linked(overlaps(docs, pairs, classes, order, k), percent), "jaccard-links")
-    rest = _apart_links(docs, _with_components(large, links), classes, order, k, percent, tile)
-    links = stored(links.unionByName(rest), "jaccard-links")
+    few = bucket.join(F.broadcast(sizes) if sizes.count() <= LOOKED_UP else sizes, "s", "left_anti")
+    pairs = stored(_small_pairs(few, percent).union(centred).distinct(), "jaccard-pairs")
+    discard(bucket, sizes)
+    counted = overlaps(docs, pairs, classes, order, k)
+    links = stored(_linked(counted, percent), "jaccard-links")
+    discard(pairs, counted)
+    open_ = _with_components(large, links)
+    discard(large)
+    links = links.unionByName(_apart_links(docs, open_, classes, order, k, percent, tile))
     joined = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     known = stored(classes.join(joined, "key", "left").withColumn("_c", F.coalesce("component", "key")), "jaccard-known")
     lowest = known.groupBy("_c").agg(F.min("rep").alias("component_id"))
@@ -437,36 +537,23 @@ def _linked(counted: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.col("overlap") * 100 >= union * percent).select("a", "b")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component: one row per doc_id.
-
-    For tables whose doc_id names a document; ``one_of_each_text`` goes by the text.
-    Rows without a doc_id stay: nothing tells them apart. Of repeated rows with one doc_id
-    the one with the smallest text stays.
-    """
-    found = jaccard_components(docs, k, percent).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = packed(docs, "doc_id", "text")
-    kept = rows.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").withColumn("_first", first)
-    kept = kept.filter("_first = 1").select("_row").unionByName(rows.filter(F.col("doc_id").isNull()).select("_row"))
-    return unpacked(kept, docs.columns)
-
-
 def one_of_each_text(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose text is the first of its component, by doc_id with NULL last.
 
     A row is known by its doc_id and its text (``row_key``), a NULL doc_id being one like any
     other: unrelated texts under one id all stay, copies among rows without an id go. Of rows
-    that are alike in both one stays. Texts without words link with nothing.
+    that are alike in both one stays. Texts without words link with nothing. Rows are written
+    once with a number; only numbers are compared, and the rows meet those that stay.
     """
-    named = packed(docs, "doc_id", "text").select("*", *row_key())
-    ranked = stored(global_rank(named.select(*ROW_KEY).distinct(), list(ROW_KEY), name="_rank"), "jaccard-rows")
-    first = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("text"))
-    rows = named.withColumn("_first", first).filter("_first = 1").join(ranked, list(ROW_KEY))
-    rows = stored(rows.select("_row", "text", "_rank"), "jaccard-rows")
-    found = jaccard_components(rows.select(F.col("_rank").alias("doc_id"), "text"), k, percent)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_rank"))
-    return unpacked(rows.join(kept, "_rank", "left_semi"), docs.columns)
+    rows = stored(packed(docs).withColumn("_id", F.monotonically_increasing_id()), "jaccard-rows")
+    plain = rows.select("_id", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
+    keys = plain.select("_id", *row_key())
+    found = jaccard_components(plain.select(F.col("_id").alias("doc_id"), "text"), k, percent)
+    found = found.select(F.col("doc_id").alias("_id"), "n_shingles", "component_id").join(keys, "_id")
+    alike = [F.when(F.col("n_shingles") == 0, F.col(c)).alias(f"_{c}") for c in ROW_KEY]
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_component")
+    first = found.groupBy(group, *alike).agg(F.min(F.struct(*ROW_KEY, "_id")).alias("_first"))
+    return unpacked(rows.join(first.select(F.col("_first._id").alias("_id")), "_id", "left_semi"), docs.columns)
 
 
 @query("op3_jaccard_join")

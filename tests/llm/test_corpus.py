@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import DOCUMENT, SENTENCE, rows_of
 from pyspark.sql import functions as F
@@ -137,13 +138,23 @@ def test_jaccard_edges(edges, no_documents, clashing):
     assert got[2].component_id == 1 and got[3].n_shingles == 0 and got[3].component_id == 3
     assert got[None].component_id is None
     assert jaccard_join.jaccard_components(no_documents).count() == 0
-    kept = jaccard_join.one_of_each(clashing)
+    kept = jaccard_join.one_of_each_text(clashing)
     assert kept.columns == clashing.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 4, 5, 6, 7, 8, 9]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 4, 5, 6, 7, 8, 8, 9]
     assert kept.filter("doc_id IS NULL").count() == 2
     assert {r._size for r in kept.collect()} == {"own _size"}
 
 
+def test_filters_let_all_members_pass():
+    h = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 20_000)
+    bits = np.zeros((1 << jaccard_join.FILTER_BITS) // 8, dtype=np.uint8)
+    for table in jaccard_join._packed_bits(iter([pa.RecordBatch.from_pydict({"s": h[:9000]}), pa.RecordBatch.from_pydict({"s": h[9000:10_000]})])):
+        joined = jaccard_join._joined_bits(pa.Table.from_batches([table]))
+        bits |= np.frombuffer(zlib.decompress(joined.column("bits")[0].as_py()), dtype=np.uint8)
+    passed = jaccard_join._passes(h, bits)
+    assert passed[:10_000].all() and passed[10_000:].mean() < 0.01
+
+
 def test_near_copies_go_by_text(spark):
     text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"}
     rows = [
