@@ -44,3 +44,9 @@ def normalise(df: DataFrame) -> DataFrame:
         "sequence_hash": F.coalesce(first("sequence_hash").cast("string"), sequence_hash(seq)),
     }
     return df.withColumns(filled)
+
+
+def known_genes(genes: str | Column) -> Column:
+    """Names of genes without missing ones, whether NULL or a placeholder; they are no shared gene."""
+    genes = F.col(genes) if isinstance(genes, str) else genes
+    return F.filter(F.coalesce(genes, F.array()), lambda g: g.isNotNull() & ~g.isin("", "NA", "-"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelab.functions.records import known_genes
 from sitelab.operators.intervals import neighbour_pairs
 from sitelab.operators.skew import key_counts
 from sitelab.session import cut
@@ -68,10 +69,9 @@ def leakage_edges(
     An attribute links each of its sites to the smallest one, never all pairs.
     """
     centre = F.concat_ws(":", F.lit("c"), F.col(chrom), F.col(position).cast("string"))
-    # Missing genes, as NULL or as a placeholder, are no shared gene; the other attributes still link.
-    known = F.filter(F.coalesce(F.col(genes), F.array()), lambda g: g.isNotNull() & ~g.isin("", "NA", "-"))
+    # Without a known gene the other attributes still link.
     names = F.concat(
-        F.transform(known, lambda g: F.concat(F.lit("g:"), g)),
+        F.transform(known_genes(genes), lambda g: F.concat(F.lit("g:"), g)),
         F.array(F.concat(F.lit("s:"), F.sha2(F.col(sequence), 256)), centre),
     )
     # Written once: the smallest member and the join below both read it.

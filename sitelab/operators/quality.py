@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelab.functions.records import known_genes
 from sitelab.operators.intervals import neighbour_pairs
 
 
@@ -44,8 +46,8 @@ def leakage_suite(
     group: str = "component",
     distance: int = 100,
 ) -> DataFrame:
-    """Genes, sequences, keys, centres, groups and windows must not cross splits."""
-    exploded = sites.select("split", F.explode(genes).alias("gene"))
+    """Genes, sequences, keys, centres, groups and windows must not cross splits; missing genes are no gene."""
+    exploded = sites.select("split", F.explode(known_genes(genes)).alias("gene"))
     parts = [
         crossing_keys(exploded, "gene_id_not_cross_split", F.col("gene")),
         crossing_keys(sites, "exact_sequence_not_cross_split", F.sha2(sequence, 256)),
@@ -74,6 +76,51 @@ def leakage_suite(
     return with_status(table)
 
 
+def strict_negatives(negatives: DataFrame, counts: DataFrame, site: str, samples: int, depth: int = 20) -> DataFrame:
+    """A negative needs every sample with enough depth and without the alternative base; one without counts fails too."""
+    fit = (F.col("depth") >= depth) & (F.col("alt") == 0)
+    good = counts.groupBy(site).agg(F.count_distinct(F.when(fit, F.col("sample"))).alias("_good"), F.count_if(~fit).alias("_bad"))
+    rows = negatives.select(site).join(good, site, "left")
+    bad = (F.coalesce("_good", F.lit(0)) < samples) | (F.coalesce("_bad", F.lit(0)) > 0)
+    return violations(rows, {"strict_all_samples_covered_and_alt_zero": bad})
+
+
+def context_rules(sequence: str = "seq", length: int = 101, centre: str = "C") -> dict[str, Column]:
+    """Length and centre base of every context; a missing one breaks the rule."""
+    right = (F.length(sequence) == length) & (F.substring(sequence, length // 2 + 1, 1) == centre)
+    return {"sequence_context_length_and_centre": ~F.coalesce(right, F.lit(False))}
+
+
+def exact_ratio(rows: DataFrame, name: str, ratio: int) -> DataFrame:
+    """``ratio`` negatives per positive to the row, and a positive at least; the violations are the rows off."""
+    p, q = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    off = F.when(p == 0, F.greatest(q, F.lit(1))).otherwise(F.abs(p * ratio - q))
+    return with_status(rows.agg(off.alias("violations")).select(F.lit(name).alias("assertion"), "violations"))
+
+
+def never_mined(mined: DataFrame, split: str = "test") -> DataFrame:
+    """Rows of a split that hard-negative mining has used."""
+    return violations(mined, {f"{split}_not_used_for_hard_negative_mining": F.col("split") == split})
+
+
+def publication_suite(
+    sites: DataFrame, negatives: DataFrame, counts: DataFrame, sets: dict[str, DataFrame], mined: DataFrame, samples: int, ratio: int, **columns: str
+) -> DataFrame:
+    """All assertions that stand before a release: leakage, the strict rule, contexts, exact sets, mining.
+
+    ``columns`` names the columns of ``sites`` as for ``leakage_suite``; negatives and counts share its key.
+    """
+    key = columns.get("key", "site_key")
+    parts = [
+        leakage_suite(sites, **columns),
+        strict_negatives(negatives, counts, key, samples),
+        violations(sites, context_rules(columns.get("sequence", "seq"))),
+        *[exact_ratio(rows, f"{name}_exact_1to{ratio}", ratio) for name, rows in sets.items()],
+        never_mined(mined),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def count_rules(minimum: int = 20) -> dict[str, Column]:
     """Invariants of a long count row."""
     return {

@@ -15,6 +15,9 @@ from sitelab.operators.ordering import global_rank, top_k
 from sitelab.plans import flows
 from sitelab.plans.registry import query
 from sitelab.plans.views import table
+from sitelab.session import new_path
+from sitelab.sources.publish import publish_pool
+from sitelab.sources.sinks import append_parquet, concatenate, write_parquet
 
 SEED = 20260721
 
@@ -218,6 +221,13 @@ def _(src):
     return K.leakage_components(_group_sites(src))
 
 
+def _missing_genes(src):
+    """Sites without genes, as NULL or as placeholders, still share sequences, centres and windows."""
+    placeholders = F.when(F.col("site_key") % 10 != 0, F.array(F.lit("NA"), F.lit("")))
+    genes = F.when(F.col("site_key") % 5 == 0, placeholders).otherwise(F.col("genes"))
+    return _group_sites(src).withColumn("genes", genes)
+
+
 _SOME_GENES = _SITES_SQL.replace("gene_id", "CASE WHEN v.site_id % 5 = 0 THEN 'only ' || CAST(v.site_id AS STRING) ELSE v.gene_id END AS gene_id")
 
 
@@ -226,10 +236,7 @@ _SOME_GENES = _SITES_SQL.replace("gene_id", "CASE WHEN v.site_id % 5 = 0 THEN 'o
     f"WITH RECURSIVE {_SOME_GENES}, {_CLOSURE} SELECT site_id AS site_key, component, COUNT(*) OVER (PARTITION BY component) AS group_size FROM members",
 )
 def _(src):
-    """Sites without genes, as NULL or as placeholders, still share sequences, centres and windows."""
-    placeholders = F.when(F.col("site_key") % 10 != 0, F.array(F.lit("NA"), F.lit("")))
-    genes = F.when(F.col("site_key") % 5 == 0, placeholders).otherwise(F.col("genes"))
-    return K.leakage_components(_group_sites(src).withColumn("genes", genes))
+    return K.leakage_components(_missing_genes(src))
 
 
 @query(
@@ -242,8 +249,8 @@ def _(src):
     return K.group_digests(groups, "site_key", "component")
 
 
-def _split_sql() -> str:
-    """The group split pass by pass: features, tiers, and per pass the leads, the axes and what they fill."""
+def _split_ctes(sites: str) -> str:
+    """The group split pass by pass as CTE split_site: features, tiers, and per pass the leads, the axes and what they fill."""
     pct = P.PERCENT
     tier = " ".join(f"WHEN MAX(share) >= {least!r} THEN {i}" for i, least in enumerate(P.TIERS))
     tier += " " + " ".join(f"WHEN h < '{below}' THEN {len(P.TIERS) + i}" for i, below in enumerate(P.WAVES))
@@ -282,21 +289,46 @@ dealt{i} AS MATERIALIZED (SELECT component, CASE {turn} ELSE 'test' END AS split
 filled{i + 1} AS MATERIALIZED (SELECT feature, split, n FROM filled{i} UNION ALL SELECT feature, split, SUM(c) FROM part{i} JOIN dealt{i} USING (component) GROUP BY feature, split)"""
         )
     every = " UNION ALL ".join(f"SELECT component, split FROM dealt{i}" for i in range(len(P.TIERS) + len(P.WAVES) + 1))
-    return f"WITH RECURSIVE {_SITES_SQL}, {_CLOSURE}, {', '.join(parts)} SELECT site_id AS site_key, component, split, label FROM site JOIN ({every}) USING (component)"
+    return f"{sites}, {_CLOSURE}, {', '.join(parts)}, split_site AS MATERIALIZED (SELECT * FROM site JOIN ({every}) USING (component))"
 
 
-@query("k11_group_split", _split_sql())
+def _crossing_sql(rows: str, keys: list[tuple[str, str]], known: str = "TRUE") -> str:
+    """The leakage suite over ``rows``: keys in several splits, and neighbours within 100 of which not all are in one split."""
+    counted = " UNION ALL ".join(
+        f"SELECT '{n}' AS assertion, COUNT(*) AS v FROM (SELECT {k} FROM {rows} WHERE {known if n.startswith('gene') else 'TRUE'} GROUP BY ALL HAVING COUNT(DISTINCT split) > 1)"
+        for n, k in keys
+    )
+    return f"""SELECT assertion, CASE WHEN v = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(v AS BIGINT) AS violations FROM ({counted} UNION ALL SELECT 'overlapping_windows_not_cross_split', COUNT(*)
+  FROM (SELECT *, LAG(position) OVER w AS pp, LAG(a) OVER w AS pa, LAG(b) OVER w AS pb FROM (SELECT chrom, strand, position, MIN(split) AS a, MAX(split) AS b FROM {rows} GROUP BY chrom, strand, position)
+    WINDOW w AS (PARTITION BY chrom, strand ORDER BY position)) WHERE position - pp <= 100 AND LEAST(a, pa) <> GREATEST(b, pb))"""
+
+
+_SPLIT_KEYS = [
+    ("gene_id_not_cross_split", "gene_id"),
+    ("exact_sequence_not_cross_split", "seq"),
+    ("genomic_key_not_cross_split", "site_id"),
+    ("genomic_center_not_cross_split", "chrom, position"),
+    ("leakage_group_not_cross_split", "component"),
+]
+
+
+@query("k11_group_split", f"WITH RECURSIVE {_split_ctes(_SITES_SQL)} SELECT site_id AS site_key, component, split, label FROM split_site")
 def _(src):
     return flows.split_sites(_group_sites(src)).select("site_key", "component", "split", "label")
 
 
+@query("y1_leakage_suite", f"WITH RECURSIVE {_split_ctes(_SITES_SQL)} {_crossing_sql('split_site', _SPLIT_KEYS)}")
+def _(src):
+    return Y.leakage_suite(flows.cut(flows.split_sites(_group_sites(src))))
+
+
 @query(
-    "y1_leakage_suite",
-    """SELECT x AS assertion, 'PASS' AS status, CAST(0 AS BIGINT) AS violations FROM (VALUES ('gene_id_not_cross_split'), ('exact_sequence_not_cross_split'), ('genomic_key_not_cross_split'),
-  ('genomic_center_not_cross_split'), ('leakage_group_not_cross_split'), ('overlapping_windows_not_cross_split')) v(x)""",
+    "y1_leakage_suite_missing_genes",
+    f"WITH RECURSIVE {_split_ctes(_SOME_GENES)} {_crossing_sql('split_site', _SPLIT_KEYS, known=chr(39).join(['gene_id NOT LIKE ', 'only %', '']))}",
 )
 def _(src):
-    return Y.leakage_suite(flows.cut(flows.split_sites(_group_sites(src))))
+    """Sites without known genes are split by their other attributes, and their placeholders are no leak."""
+    return Y.leakage_suite(flows.cut(flows.split_sites(_missing_genes(src))))
 
 
 _Y1 = [
@@ -308,21 +340,38 @@ _Y1 = [
 ]
 
 
-@query(
-    "y1_leakage_suite_on_row_split",
-    " UNION ALL ".join(
-        f"SELECT '{n}' AS assertion, CASE WHEN v = 0 THEN 'PASS' ELSE 'FAIL' END AS status, v AS violations FROM (SELECT COUNT(*) AS v FROM (SELECT {k} FROM v_pool GROUP BY ALL HAVING COUNT(DISTINCT split) > 1))"
-        for n, k in _Y1
-    )
-    + """ UNION ALL SELECT 'overlapping_windows_not_cross_split', CASE WHEN v = 0 THEN 'PASS' ELSE 'FAIL' END, v FROM (
-  SELECT COUNT(*) AS v FROM (SELECT *, LAG(position) OVER w AS pp, LAG(a) OVER w AS pa, LAG(b) OVER w AS pb FROM (SELECT chrom, strand, position, MIN(split) AS a, MAX(split) AS b FROM v_pool GROUP BY chrom, strand, position)
-    WINDOW w AS (PARTITION BY chrom, strand ORDER BY position)) WHERE position - pp <= 100 AND LEAST(a, pa) <> GREATEST(b, pb))""",
-)
+@query("y1_leakage_suite_on_row_split", _crossing_sql("v_pool", _Y1))
 def _(src):
     rows = src.v_pool.withColumn("genes", F.array("gene_id"))
     return Y.leakage_suite(rows, key="id", group="strand")
 
 
+_RATIO = 4
+
+
+def _ratio_sql(name: str, p: str, q: str) -> str:
+    return f"""SELECT '{name}_exact_1to{_RATIO}' AS assertion, CASE WHEN p = 0 THEN GREATEST(q, 1) ELSE ABS(p * {_RATIO} - q) END AS v FROM (SELECT {p} AS p, {q} AS q FROM
+  (SELECT COUNT(*) FILTER (WHERE label = 1) AS np, COUNT(*) FILTER (WHERE label = 0) AS nq FROM v_pool WHERE split = '{name}'))"""
+
+
+@query(
+    "y1_publication_suite",
+    f"""WITH good AS (SELECT site_id, COUNT(*) FILTER (WHERE depth >= 20 AND alt = 0) AS g, COUNT(*) AS n FROM v_obs GROUP BY site_id),
+more AS (SELECT 'strict_all_samples_covered_and_alt_zero' AS assertion, COUNT(*) FILTER (WHERE COALESCE(g, 0) < 6 OR g < n) AS v FROM v_pool LEFT JOIN good ON site_id = id WHERE label = 0
+  UNION ALL SELECT 'sequence_context_length_and_centre', COUNT(*) FILTER (WHERE length(seq) <> 101 OR substr(seq, 51, 1) <> 'C') FROM v_pool
+  UNION ALL {_ratio_sql("calibration", f"LEAST(np, nq // {_RATIO})", f"LEAST(np, nq // {_RATIO}) * {_RATIO}")} UNION ALL {_ratio_sql("test", "np", "nq")}
+  UNION ALL SELECT 'test_not_used_for_hard_negative_mining', COUNT(*) FROM v_pool WHERE hard AND label = 0 AND split = 'test' AND id % 2 = 0)
+{_crossing_sql("v_pool", _Y1)} UNION ALL SELECT assertion, CASE WHEN v = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(v AS BIGINT) FROM more""",
+)
+def _(src):
+    """All eleven assertions over a row split, some of which fail there."""
+    pool = src.v_pool.withColumn("genes", F.array("gene_id"))
+    sets = {"calibration": P.ratio_set(pool, "calibration", _RATIO, "id", True), "test": pool.filter("split = 'test'")}
+    counts = src.v_obs.withColumnRenamed("site_id", "id")
+    mined = pool.filter("hard AND label = 0 AND id % 2 = 0")
+    return Y.publication_suite(pool, pool.filter("label = 0"), counts, sets, mined, 6, _RATIO, key="id", group="strand")
+
+
 @query("k13_validation_rows", f"SELECT site_id FROM v_sites ORDER BY {_h('validation', 'site_id', 42)} LIMIT 20")
 def _(src):
     return M.stable_sample(src.v_sites.select("site_id"), 20, "validation", "site_id", seed=42)
@@ -490,5 +539,32 @@ def _(src):
     "SELECT id AS site_id, matched, hard, ROW_NUMBER() OVER (ORDER BY chrom, position, strand, id) AS row_id FROM v_pool WHERE label = 0 AND split = 'train'",
 )
 def _(src):
-    pool = src.v_pool.filter("label = 0 AND split = 'train'").select(F.col("id").alias("site_id"), "chrom", "position", "strand", "matched", "hard")
-    return global_rank(pool, ["chrom", "position", "strand", "site_id"], name="row_id").select("site_id", "matched", "hard", "row_id")
+    """The pool goes through the gate: unique keys, sound rows, the expected number; what was published is read back."""
+    pool = src.v_pool.filter("label = 0 AND split = 'train'")
+    path = new_path(src.spark, "pool")
+    columns = [F.col("id").alias("site_id"), "chrom", "position", "strand", "matched", "hard", "seq"]
+    publish_pool(
+        pool.select(*columns), path, ["chrom", "position", "strand", "site_id"], "site_id",
+        rules=Y.context_rules() | {"position_not_negative": F.col("position") < 0}, expected=pool.count(), required=["chrom", "position", "seq"],
+    )
+    published = src.spark.read.parquet(path)
+    # Flags of the folder names come back as text.
+    return published.select("site_id", F.col("matched").cast("boolean"), F.col("hard").cast("boolean"), "row_id")
+
+
+@query("s9_concatenated_pools", "SELECT id, split, chrom, CASE WHEN split = 'dev' THEN strand END AS strand FROM v_pool WHERE split <> 'train'")
+def _(src):
+    """Pools written one by one, one of them with a further column and one in two appends, read back as one table."""
+    paths = []
+    for split in ("dev", "calibration", "test"):
+        rows = src.v_pool.filter(F.col("split") == split)
+        paths.append(new_path(src.spark, "pool"))
+        rows = rows.select("id", "split", "chrom", *(["strand"] if split == "dev" else []))
+        if split == "test":
+            write_parquet(rows.filter("id % 2 = 0"), paths[-1])
+            append_parquet(rows.filter("id % 2 = 1"), paths[-1])
+        else:
+            write_parquet(rows, paths[-1])
+    whole = new_path(src.spark, "pool")
+    concatenate(src.spark, paths, whole)
+    return src.spark.read.parquet(whole).select("id", "split", "chrom", "strand")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from sitelab.operators.ordering import global_rank
 
 
+
 def general_number(x: Column, digits: int = 12) -> Column:
     """Text of a double with that many significant digits, no trailing zeros, exponent only when needed."""
     full = F.format_string(f"%.{digits - 1}e", x)
@@ -70,6 +71,14 @@ def write_pool(pool: DataFrame, path: str, order: Sequence[str], flags: Sequence
     write_parquet(global_rank(pool, list(order), name="id"), path, flags)
 
 
+def append_parquet(df: DataFrame, path: str) -> None:
+    """More rows for a table that is there; other columns or types than it has are an error."""
+    there = df.sparkSession.read.parquet(path).schema
+    if {(f.name, f.dataType) for f in there} != {(f.name, f.dataType) for f in df.schema}:
+        raise ValueError(f"{path} has the columns {there.simpleString()}, not {df.schema.simpleString()}")
+    df.select(*there.names).write.mode("append").option("compression", "zstd").parquet(path)
+
+
 def concatenate(spark: SparkSession, paths: Sequence[str], path: str) -> None:
     """Several Parquet tables into one, by column name."""
     out = None

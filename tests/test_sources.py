@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitelab.operators.ordering import global_rank
 from sitelab.sources import sinks as O
@@ -110,3 +111,49 @@ def test_pool_ids_are_dense(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "p"))
     assert sorted(r.id for r in back.select("id").collect()) == list(range(1, 101))
     assert global_rank(df, ["k"]).filter("rank <> k + 1").count() == 0
+
+
+def test_gate_publishes_only_what_holds(spark, tmp_path):
+    import os
+
+    from sitelab.sources.publish import Refused, publish, publish_pool
+
+    df = spark.createDataFrame([(i, f"k{i}", "ACG", bool(i % 2)) for i in range(50)], "id long, key string, seq string, hard boolean").repartition(4)
+    rules = {"long_enough": F.length("seq") < 3, "id_not_negative": F.col("id") < 0}
+    path = str(tmp_path / "good")
+    found = publish(df, path, rules, unique=["key"], required=["id", "seq"], expected=50, partition_by=["hard"])
+    assert {r["assertion"]: r["status"] for r in found} == dict.fromkeys([*rules, "number_of_rows_as_expected", "key_is_unique"], "PASS")
+    assert spark.read.parquet(path).count() == 50 and spark.read.json(f"{path}/_assertions").count() == 4
+    with pytest.raises(FileExistsError):
+        publish(df, path)
+    broken = {
+        "twice": (df.unionByName(df.limit(3)), {"unique": ["key"]}, [("key_is_unique", 3)]),
+        "null key": (df.withColumn("key", F.when(F.col("id") > 1, F.col("key"))), {"unique": ["key"]}, [("key_is_unique", 2)]),
+        "null": (df.withColumn("seq", F.when(F.col("id") > 0, F.col("seq"))), {"rules": rules}, [("long_enough", 1)]),
+        "rows": (df, {"expected": 48}, [("number_of_rows_as_expected", 2)]),
+        "suite": (df, {"suite": spark.createDataFrame([("a", 0), ("b", 7)], "assertion string, violations long")}, [("b", 7)]),
+    }
+    for name, (rows_, options, failed) in broken.items():
+        with pytest.raises(Refused) as told:
+            publish(rows_, str(tmp_path / "bad"), **options)
+        assert [(r["assertion"], r["violations"]) for r in told.value.failed] == failed, name
+    with pytest.raises(ValueError, match="lacks the columns nothing"):
+        publish(df, str(tmp_path / "bad"), required=["nothing"])
+    with pytest.raises(Exception, match="boom"):
+        publish(df.withColumn("x", F.raise_error(F.lit("boom")).cast("int")), str(tmp_path / "bad"))
+    assert os.listdir(tmp_path) == ["good"]
+    publish_pool(df, str(tmp_path / "pool"), ["key"], "id", flags=["hard"])
+    assert spark.read.parquet(str(tmp_path / "pool")).agg(F.max("row_id")).first()[0] == 50
+    empty = str(tmp_path / "empty")
+    publish(df.limit(0), empty, rules, unique=["key"], expected=0)
+    assert spark.read.schema(df.schema).parquet(empty).count() == 0
+
+
+def test_appending_other_columns_is_an_error(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "id long, key string")
+    path = str(tmp_path / "t")
+    O.write_parquet(df, path)
+    O.append_parquet(df.select("key", "id"), path)
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError, match="has the columns"):
+        O.append_parquet(df.select(F.col("id").cast("int"), "key"), path)
