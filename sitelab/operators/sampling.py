@@ -178,10 +178,12 @@ def largest_remainder(counts: DataFrame, stratum: Sequence[str], size: str, tota
 
 
 def thin(
-    df: DataFrame, key: str, chrom: str, position: str, sequence: str, distance: int, seed: int
+    df: DataFrame, key: str, chrom: str, position: str, sequence: str, distance: int, seed: int, order: Column | None = None
 ) -> DataFrame:
     """Greedy thinning in hash order: no two kept rows near each other or of equal sequence.
 
+    ``order`` is a text that differs for every row and comes instead of the hash.
+
     Each round keeps the rows that come first among all rows still alive in their
     neighbourhood and in their sequence group, and drops what conflicts with
     them; the result is that of the sequential greedy. A round aggregates to one
@@ -190,7 +192,8 @@ def thin(
     prefix = [chrom, position]
     alive = cut(
         df.select(
-            key, *prefix, F.sha2(sequence, 256).alias("_seq"), draw_hash("thin", key, seed).alias("_first")
+            key, *prefix, F.sha2(sequence, 256).alias("_seq"),
+            (draw_hash("thin", key, seed) if order is None else order).alias("_first"),
         )
     )
     kept = None
@@ -222,27 +225,64 @@ def thin(
     return df.join(kept, key, "left_semi")
 
 
-def fill_quotas(
-    df: DataFrame, key: str, stratum: Sequence[str], quotas: DataFrame, total: int, seed: int
+def without_conflicts(df: DataFrame, taken: DataFrame, chrom: str, position: str, sequence: str, distance: int) -> DataFrame:
+    """Rows of ``df`` that are neither near a row of ``taken`` nor of its sequence."""
+    prefix = [chrom, position]
+    near = near_centres(df.select(*prefix).distinct(), taken.select(*prefix), [chrom], position, distance)
+    apart = df.join(near, prefix, "left_anti")
+    used = taken.select(F.sha2(sequence, 256).alias("_seq")).distinct()
+    return apart.withColumn("_seq", F.sha2(sequence, 256)).join(used, "_seq", "left_anti").select(*df.columns)
+
+
+def thin_to_quotas(
+    df: DataFrame,
+    key: str,
+    chrom: str,
+    position: str,
+    sequence: str,
+    distance: int,
+    stratum: Sequence[str],
+    quotas: DataFrame,
+    total: int,
+    seed: int,
 ) -> DataFrame:
-    """Quota per stratum in hash order; what is short comes from the other strata.
+    """``total`` rows without conflicts: stratum by stratum up to its quota, then from what is left.
+
+    The result is that of one walk: strata in order, in each the rows by hash, a row taken
+    if it conflicts with none taken so far, until the quota is full; then all other rows by
+    another hash until ``total`` is full. Rows behind a full quota never block others.
 
-    Fewer than ``total`` rows in all are an error.
+    The walk is found as a fixpoint of one cut per stratum, the hash of the row that fills
+    the quota. Each round thins all rows up to the cuts in the walk's order and reads the
+    cuts off again; a stratum that its cut leaves short is opened. Rounds end when no cut
+    moves, then every row stands as in the walk, since its decision follows from earlier
+    ones only. The cuts are as many as the strata. Fewer than ``total`` rows are an error.
     """
-    ranked = global_rank(
-        df.withColumn("_h", draw_hash("quota", key, seed)), ["_h", key], by=stratum, name="_r"
-    )
-    marked = cut(
-        ranked.join(quotas, list(stratum), "left").withColumn(
-            "_in", F.col("_r") <= F.coalesce(F.col("n"), F.lit(0))
+    place = F.concat_ws("|", *[F.coalesce(F.lpad(F.col(c).cast("string"), 12, "0"), F.lit("")) for c in stratum])
+    wanted = quotas.filter("n > 0").select(place.alias("_stratum"), F.col("n").alias("_quota"))
+    own = [key, chrom, position, sequence]
+    rows = cut(df.select(*own, place.alias("_stratum"), draw_hash("thin", key, seed).alias("_h")).join(wanted, "_stratum"))
+    spark, cuts = df.sparkSession, {}
+    while True:
+        table = spark.createDataFrame(list(cuts.items()), "_stratum string, _cut string")
+        open_ = rows.join(table, "_stratum", "left").filter(F.col("_cut").isNull() | (F.col("_h") <= F.col("_cut"))).drop("_cut")
+        kept = thin(open_, key, chrom, position, sequence, distance, seed, F.concat_ws("|", "_stratum", "_h"))
+        ranked = cut(global_rank(kept, ["_h", key], by=["_stratum"], name="_r"))
+        found = ranked.groupBy("_stratum").agg(
+            F.max("_quota").alias("q"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("_r") == F.col("_quota"), F.col("_h"))).alias("h")
         )
-    )
-    if (available := marked.count()) < total:
-        raise ValueError(f"{total} rows wanted, {available} available")
-    chosen = marked.filter("_in")
+        moved = {r["_stratum"]: r["h"] for r in found.collect() if r["n"] >= r["q"]}
+        if moved == cuts:
+            break
+        cuts = moved
+    chosen = cut(ranked.filter(F.col("_r") <= F.col("_quota")).select(*own))
     missing = total - chosen.count()
-    columns = df.columns
-    if missing <= 0:
-        return chosen.select(*columns)
-    rest = stable_sample(marked.filter(~F.col("_in")), missing, "fill", key, seed)
-    return chosen.select(*columns).unionByName(rest.select(*columns))
+    keys = chosen.select(key)
+    if missing > 0:
+        rest = without_conflicts(df.select(*own).join(keys, key, "left_anti"), chosen, chrom, position, sequence, distance)
+        more = thin(rest, key, chrom, position, sequence, distance, seed, draw_hash("fill", key, seed))
+        filled = cut(stable_sample(more.select(key), missing, "fill", key, seed))
+        if (short := missing - filled.count()) > 0:
+            raise ValueError(f"{total} rows wanted, {total - short} available")
+        keys = keys.unionByName(filled)
+    return df.join(keys, key, "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,77 @@ def correlations(df: DataFrame, by: Sequence[str], left: str, right: str) -> Dat
     )
 
 
+#: Terms of the continued fraction of the incomplete beta function, and the shortest tail it is run on.
+BETA_TERMS = 200
+TINY = 1e-300
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series after a shift by ten."""
+    shift = sum(F.log(x + i) for i in range(10))
+    z = x + 10
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, term by term from the front."""
+
+    def away(v: Column) -> Column:
+        return F.when(F.abs(v) < TINY, F.lit(TINY)).otherwise(v)
+
+    def advance(state: Column, step: Column) -> Column:
+        moved = _let(
+            state, lambda s: F.struct(away(1 + step / s["c"]).alias("c"), (1 / away(1 + step * s["d"])).alias("d"), s["h"].alias("h"))
+        )
+        return _let(moved, lambda s: F.struct(s["c"].alias("c"), s["d"].alias("d"), (s["h"] * s["c"] * s["d"]).alias("h")))
+
+    def term(state: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return advance(advance(state, even), odd)
+
+    first = 1 / away(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(BETA_TERMS)), lambda m: m.cast("double")), start, term)["h"]
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function for a, b > 0 and x from 0 to 1."""
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
+    # The fraction converges fast below the mean; beyond it the other tail is taken.
+    below = front * _beta_fraction(a, b, x) / a
+    above = 1 - front * _beta_fraction(b, a, 1 - x) / b
+    inside = F.when(x < (a + 1) / (a + b + 2), below).otherwise(above)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of n pairs against none: Student's t with n - 2 degrees of freedom.
+
+    NULL below three pairs or without a correlation; 0 for a perfect one.
+    """
+    freedom = (n - 2).cast("double")
+    # P(|T| > t) at t*t = r*r * freedom / (1 - r*r), for which freedom / (freedom + t*t) is 1 - r*r.
+    tail = incomplete_beta(freedom / 2, F.lit(0.5), F.greatest(1 - r * r, F.lit(0.0)))
+    return F.when((n > 2) & r.isNotNull() & ~F.isnan(r), tail)
+
+
+def correlation_tests(df: DataFrame, by: Sequence[str], left: str, right: str) -> DataFrame:
+    """(by..., n, pearson, spearman, p_value): the rank correlation with its p-value; NULL pairs take no part."""
+    pairs = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
+    ranked = average_rank(average_rank(pairs, left, by, "_rl"), right, by, "_rr")
+    found = ranked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.corr(left, right).alias("pearson"), F.corr("_rl", "_rr").alias("spearman")
+    )
+    return found.withColumn("p_value", correlation_p(F.col("spearman"), F.col("n")))
+
+
 def strongest_pair(table: DataFrame, value: str = "pearson") -> DataFrame:
     """The row with the largest absolute value; ties by the other columns."""
     rest = [c for c in table.columns if c != value]

@@ -233,6 +233,35 @@ def _(src):
     return W.correlations(src.v_tied, ["model_id"], "score", "depth").select("model_id", *r6("pearson", "spearman"))
 
 
+#: Each model's score against features of the rows.
+_FEATURES = {"depth": "depth", "group_number": "CAST(substr(grp, 4) AS BIGINT)", "wave": "(id * 37) % 101"}
+_LONG = " UNION ALL ".join(f"SELECT model_id, id, label, score, '{name}' AS feature, CAST({x} AS DOUBLE) AS x FROM v_pred" for name, x in _FEATURES.items())
+
+
+@query(
+    "m13_shortcut_bias",
+    # The p-value by Simpson's rule over the density of a correlation of independent pairs.
+    f"""WITH {_BUDGET.format(pred='v_pred')}, l AS ({_LONG}),
+k AS (SELECT model_id, feature, RANK() OVER (PARTITION BY model_id, feature ORDER BY score) + (COUNT(*) OVER (PARTITION BY model_id, feature, score) - 1) / 2.0 AS a,
+  RANK() OVER (PARTITION BY model_id, feature ORDER BY x) + (COUNT(*) OVER (PARTITION BY model_id, feature, x) - 1) / 2.0 AS b FROM l WHERE x IS NOT NULL),
+c AS (SELECT model_id, feature, COUNT(*) AS n, CORR(a, b) AS rho FROM k GROUP BY model_id, feature),
+s AS (SELECT model_id, feature, n, rho, SUM(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * POWER(1 - POWER(ABS(rho) * i / 2000.0, 2), (n - 4) / 2.0)) * ABS(rho) / 2000 / 3 AS area
+  FROM c, range(0, 2001) g(i) GROUP BY model_id, feature, n, rho)
+SELECT s.model_id, feature, n, ROUND(rho, 6) AS spearman, ROUND(1 - 2 * area / EXP(LGAMMA(0.5) + LGAMMA((n - 2) / 2.0) - LGAMMA((n - 1) / 2.0)), 6) AS p_value,
+  ROUND(e1.enrichment, 6) AS enrichment_at_100, ROUND(e2.enrichment, 6) AS enrichment_at_500
+FROM s JOIN rates e1 ON e1.model_id = s.model_id AND e1.budget = 100 JOIN rates e2 ON e2.model_id = s.model_id AND e2.budget = 500""",
+)
+def _(src):
+    """Rank correlation of every model's score with every feature, its p-value, and what the model finds within a budget."""
+    pred = src.v_pred
+    x = F.array(*[F.struct(F.lit(name).alias("feature"), F.expr(x).cast("double").alias("x")) for name, x in _FEATURES.items()])
+    tests = W.correlation_tests(pred.select("model_id", "score", F.inline(x)), ["model_id", "feature"], "score", "x")
+    found = R.budget_table(R.rank_scores(pred), budgets=(100, 500))
+    enriched = found.groupBy("model_id").agg(*[F.max(F.when(F.col("budget") == k, F.col("enrichment"))).alias(f"enrichment_at_{k}") for k in (100, 500)])
+    both = tests.join(enriched, "model_id")
+    return both.select("model_id", "feature", "n", *r6("spearman", "p_value", "enrichment_at_100", "enrichment_at_500"))
+
+
 @query(
     "m15_metric_deltas",
     "WITH "

@@ -172,14 +172,53 @@ def _(src):
     return M.largest_remainder(counts, ["strand", "gc"], "m", 1237)
 
 
-@query("k8_thinned_negatives")
-def _(src):
-    pool = src.v_pool.filter("label = 0").withColumn("crop", centre_crop("seq", 9))
-    thinned = M.thin(pool, "id", "chrom", "position", "crop", 201, 42)
-    kept = thinned.select("id", "chrom", "position", "strand", gc_bin(gc_fraction("seq")).alias("gc"))
+_SELECTED = "STRUCT(id BIGINT, chrom VARCHAR, position BIGINT, crop VARCHAR)[]"
+_FREE = "len(list_filter(sel, lambda x: x.crop = o.crop OR (x.chrom = o.chrom AND abs(x.position - o.position) <= 201))) = 0"
+_GC = "CAST(LEAST(9, FLOOR(length(replace(replace(seq, 'A', ''), 'T', '')) / 101.0 * 10)) AS BIGINT)"
+
+
+def _walk_sql(target: int, quota: int) -> str:
+    """One row at a time: strata in order up to their quotas, then all rows that are left up to the target."""
+    taken = "list_append(sel, {'id': o.id, 'chrom': o.chrom, 'position': o.position, 'crop': o.crop})"
+    return f"""
+WITH RECURSIVE c AS (SELECT strand, {_GC} AS gc, COUNT(*) AS m FROM v_pool WHERE label = 1 GROUP BY ALL),
+r AS (SELECT *, {quota} * m / CAST(SUM(m) OVER () AS DOUBLE) AS raw FROM c),
+b AS (SELECT *, FLOOR(raw) AS base, ROW_NUMBER() OVER (ORDER BY raw - FLOOR(raw) DESC, strand DESC, gc DESC) AS rn, {quota} - SUM(FLOOR(raw)) OVER () AS spare FROM r),
+q AS (SELECT strand, gc, CAST(base + CASE WHEN rn <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota FROM b),
+p AS MATERIALIZED (SELECT id, chrom, CAST(position AS BIGINT) AS position, strand, substr(seq, 47, 9) AS crop, {_GC} AS gc FROM v_pool WHERE label = 0),
+o AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY p.strand, p.gc, {_h('thin', seed=42)}, id) AS i, p.*, p.strand || p.gc AS stratum, quota FROM p JOIN q ON q.strand = p.strand AND q.gc = p.gc WHERE quota > 0),
+walk(k, i, stratum, n, sel) USING KEY (k) AS (
+  SELECT 1, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), CAST([] AS {_SELECTED})
+  UNION
+  SELECT k, i, stratum, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN more ELSE sel END FROM (
+    SELECT w.k, o.i, o.stratum, CASE WHEN w.stratum = o.stratum THEN w.n ELSE 0 END AS n, sel, {taken} AS more,
+      CASE WHEN w.stratum = o.stratum THEN w.n ELSE 0 END < quota AND {_FREE} AS ok FROM walk w JOIN o ON o.i = w.i + 1)),
+left_ AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY {_h('fill', seed=42)}, id) AS i, p.* FROM p WHERE id NOT IN (SELECT unnest(sel).id FROM walk)),
+fill(k, i, sel) USING KEY (k) AS (
+  SELECT 1, CAST(0 AS BIGINT), sel FROM walk
+  UNION
+  SELECT w.k, o.i, CASE WHEN {_FREE} THEN {taken} ELSE sel END FROM fill w JOIN left_ o ON o.i = w.i + 1 WHERE len(sel) < {target})
+SELECT p.id, p.chrom, p.position, p.strand, p.gc FROM p JOIN (SELECT unnest(sel).id AS id FROM fill) USING (id)"""
+
+
+def _thinned(src, target: int, quota: int):
+    pool = src.v_pool.filter("label = 0").withColumn("crop", centre_crop("seq", 9)).withColumn("gc", gc_bin(gc_fraction("seq")))
     strata = src.v_pool.filter("label = 1").groupBy("strand", gc_bin(gc_fraction("seq")).alias("gc")).agg(F.count(F.lit(1)).alias("m"))
-    quotas = M.largest_remainder(strata, ["strand", "gc"], "m", 500)
-    return M.fill_quotas(kept, "id", ["strand", "gc"], quotas, 500, 42)
+    quotas = M.largest_remainder(strata, ["strand", "gc"], "m", quota)
+    kept = M.thin_to_quotas(pool, "id", "chrom", "position", "crop", 201, ["strand", "gc"], quotas, target, 42)
+    return kept.select("id", "chrom", F.col("position").cast("bigint").alias("position"), "strand", "gc")
+
+
+@query("k8_thinned_negatives", _walk_sql(200, 200))
+def _(src):
+    """Quotas that all strata can fill."""
+    return _thinned(src, 200, 200)
+
+
+@query("k8_thinned_negatives_refilled", _walk_sql(220, 180))
+def _(src):
+    """More rows than the quotas give: the rest comes from all strata."""
+    return _thinned(src, 220, 180)
 
 
 _CLOSURE = """

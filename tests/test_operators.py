@@ -164,6 +164,37 @@ def test_missing_genes_keep_the_other_links(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6}
 
 
+@pytest.mark.parametrize("seed, quota, total", [(1, 12, 40), (2, 30, 75), (3, 6, 24)])
+def test_quotas_while_thinning_equal_the_walk(spark, seed, quota, total):
+    """Crowded rows: strata that fall short, rows behind a full quota that must not block, and a refill."""
+    rng = random.Random(seed)
+    data = [(i, f"chr{rng.randint(1, 2)}", rng.randint(1, 9000), f"S{rng.randint(0, 300)}", rng.choice("aaabbcd")) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, chrom string, position long, seq string, g string")
+    wanted = {"a": quota, "b": quota, "c": quota, "d": quota, "none": 3}
+    quotas = spark.createDataFrame(list(wanted.items()), "g string, n long")
+    taken, seqs, places = [], set(), defaultdict(list)
+
+    def walk(rows_, most):
+        n = 0
+        for i, chrom, position, seq, _ in rows_:
+            if n < most and seq not in seqs and all(abs(position - p) > 60 for p in places[chrom]):
+                taken.append(i)
+                seqs.add(seq)
+                places[chrom].append(position)
+                n += 1
+
+    by = lambda tag: lambda d: hashlib.sha256(f"42|{tag}|{d[0]}".encode()).hexdigest()
+    for g in "abcd":
+        walk(sorted((d for d in data if d[4] == g), key=by("thin")), wanted[g])
+    walk(sorted((d for d in data if d[0] not in taken), key=by("fill")), total - len(taken))
+    args = (df, "id", "chrom", "position", "seq", 60, ["g"], quotas)
+    if len(taken) < total:
+        with pytest.raises(ValueError, match="available"):
+            M.thin_to_quotas(*args, total, 42)
+        total = len(taken)
+    assert {r.id for r in M.thin_to_quotas(*args, total, 42).collect()} == set(taken)
+
+
 def test_nulls_lose_and_shortage_is_an_error(spark):
     grid = spark.createDataFrame([("a", None, 1), ("a", 0.5, 2), ("b", None, 3)], "g string, ap double, i int")
     assert rows(W.best_of_grid(grid, ["g"], ["ap"]), "g", "i") == [("a", 2), ("b", 3)]
@@ -176,8 +207,9 @@ def test_nulls_lose_and_shortage_is_an_error(spark):
     with pytest.raises(ValueError, match="without sequence_hash"):
         N.mine_hard_negatives(pool.withColumn("sequence_hash", F.lit(None).cast("string")), lambda b: b["x"].to_numpy(), ["x"], 1)
     quotas = spark.createDataFrame([("s", 1)], "g string, n long")
-    with pytest.raises(ValueError, match="available"):
-        M.fill_quotas(pool, "id", ["g"], quotas, 3, 1)
+    placed = pool.withColumns({"chrom": F.lit("chr1"), "position": F.col("id") * 1000})
+    with pytest.raises(ValueError, match="3 rows wanted, 1 available"):
+        M.thin_to_quotas(placed, "id", "chrom", "position", "sequence_hash", 5, ["g"], quotas, 3, 1)
     sites = spark.createDataFrame([(1, "dev", 1), (2, "dev", 0)], "id long, split string, label int")
     with pytest.raises(ValueError, match="no set of 1 to 5"):
         P.ratio_set(sites, "dev", 5, "id", fit_positives=True)
@@ -553,3 +585,23 @@ def test_quotas_by_largest_remainder(spark):
     assert rows(M.largest_remainder(df, ["k"], "m", 7), "k", "n") == [("a", 4), ("b", 2), ("c", 1)] or math.isclose(
         sum(r.n for r in M.largest_remainder(df, ["k"], "m", 7).collect()), 7
     )
+
+
+def test_incomplete_beta_and_p_values(spark):
+    """Against the closed forms for whole and half parameters and numerical integration."""
+    cases = [(2.0, 3.0, 0.3), (0.5, 0.5, 0.2), (5.0, 1.0, 0.9), (1.0, 4.0, 0.05), (150.0, 0.5, 0.999), (150.0, 0.5, 0.97), (3.0, 2.0, 0.0), (3.0, 2.0, 1.0)]
+    df = spark.createDataFrame(cases, "a double, b double, x double")
+    got = [r.v for r in df.select(W.incomplete_beta(F.col("a"), F.col("b"), F.col("x")).alias("v")).collect()]
+
+    def integral(a, b, x):
+        # u = x * s**(1/a) takes the pole at 0 out of the integrand.
+        s = (np.arange(400_000) + 0.5) / 400_000
+        whole = math.exp(math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+        return float(np.mean((1 - x * s ** (1 / a)) ** (b - 1)) * x**a / a / whole) if x < 1 else 1.0
+
+    for (a, b, x), v in zip(cases, got):
+        assert v == pytest.approx(integral(a, b, x), rel=1e-6, abs=1e-12)
+    pairs = spark.createDataFrame([(0.0, 10), (0.5, 20), (-0.5, 20), (1.0, 5), (0.9, 2), (None, 9)], "r double, n long")
+    p = [r.p for r in pairs.select(W.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()]
+    assert p[0] == pytest.approx(1.0) and p[1] == pytest.approx(0.024769, abs=1e-5) and p[1] == p[2]
+    assert p[3] == 0.0 and p[4] is None and p[5] is None
