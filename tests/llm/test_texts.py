@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -333,6 +335,67 @@ def test_window_stays_short():
     assert pieces.decode(trellis.finish(), v) == text
 
 
+def test_all_ids_come_out_of_the_trellis(monkeypatch):
+    """Every id of a block was committed by a window, once for each distinct stretch."""
+    v = pieces.Vocabulary.load(pieces.default_model())
+    committed, plain = [], pieces.Trellis._commit
+
+    def counted(self, *args, **options):
+        before = len(self.out)
+        plain(self, *args, **options)
+        committed.append(len(self.out) - before)
+
+    monkeypatch.setattr(pieces.Trellis, "_commit", counted)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeinorst漢é") for _ in range(rng.randint(1, 90))) for _ in range(200)]
+    assert sum(map(len, pieces.encode_texts(pa.array(words), v).to_pylist())) >= sum(committed)
+    uncut = [ids for s, ids in v.memory[0].items() if all(s[i : i + 2] in v.joints for i in range(len(s) - 1))]
+    assert sum(committed) == sum(len(ids) // 4 for ids in uncut) > 1000
+    committed.clear()
+    again = pieces.encode_texts(pa.array(words * 3), v).to_pylist()
+    assert sum(committed) == 0 and again[:200] == again[200:400]
+    fresh = pieces.Vocabulary.load(pieces.default_model())
+    assert pieces.encode_texts(pa.array([" ".join(words)] * 2), fresh).to_pylist()[0] == pieces.encode(" ".join(words), v)
+
+
+def test_blocks_equal_single_texts():
+    v = pieces.Vocabulary.load(pieces.default_model())
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("ab  ▁\n.,-1é漢") for _ in range(rng.randint(0, 40))) for _ in range(500)] + [None, "", " ", "   "]
+    block = pa.array(texts)
+    got = pieces.encode_texts(block, v).to_pylist()
+    assert got == [library.encode(t) if t else [] for t in texts]
+    assert pieces.encode_texts(block.slice(100, 50), v).to_pylist() == got[100:150]
+    assert pieces.encode_texts(pa.array([], pa.string()), v).to_pylist() == []
+
+
+def test_memory_follows_the_window():
+    """A long text without any break: what is held beside the text and its ids stays small."""
+    v = pieces.Vocabulary.load(pieces.default_model())
+    trellis = pieces.Trellis(v)
+    part = "thandingoftheerationsinblewhst" * 2000
+    tracemalloc.start()
+    peaks = []
+    for turn in range(2, 8):
+        for _ in range(turn):
+            trellis.feed(part)
+            trellis.out.clear()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert max(peaks[1:]) <= peaks[0] + 200_000 and peaks[0] < 8_000_000
+
+
+def test_round_trips_of_edges(edges, no_documents, clashing):
+    v = pieces.Vocabulary.load(pieces.default_model())
+    for docs in (edges, no_documents, clashing):
+        rows = pieces.round_trips(docs, v).collect()
+        assert len(rows) == docs.count() and all(set(r._row.asDict()) == set(docs.columns) for r in rows)
+        for r in rows:
+            assert r.round_trip == ("▁" not in (r._row.text or "")) and r.n_chars_decoded == len(r._row.text or "")
+
+
 def test_unsupported_models_are_refused():
     model = proto.ModelProto()
     with open(pieces.default_model(), "rb") as file:
