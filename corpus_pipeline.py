@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelab.llm import jaccard_join, line_spread, mixing, pieces, quality_kernel
-from sitelab.llm.common import packed, stored, table
+from sitelab.llm.common import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +39,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = pieces.Vocabulary.load(pieces.default_model())
-    both = pieces.decoded(pieces.encoded(packed(docs, "text"), vocabulary), vocabulary)
-    added = [
-        F.col("ids"),
-        F.size("ids").cast("long").alias("n_ids"),
-        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
-    ]
+    coded = pieces.round_trips(docs, vocabulary)
+    added = [F.col("ids"), F.size("ids").cast("long").alias("n_ids"), "round_trip"]
     kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("ids", "n_ids", "round_trip")]
-    return both.select(*kept, *added)
+    return coded.select(*kept, *added)
 
 
 STAGES = [
