@@ -8,6 +8,7 @@ range keeps one small summary, and the summaries are combined.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -136,33 +137,78 @@ class Ordered:
         return self._df.drop(BUCKET)
 
 
-#: Cells into which the values of a numeric first order column are counted.
+#: Cells into which the values of a numeric order column are counted.
 CELLS = 4096
+#: Rows that are ranked without being narrowed further.
+FEW = 100_000
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common start of two texts."""
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def _first_cells(counts: list[tuple], k: int) -> tuple[list, object, int]:
+    """(cells taken whole, the cell that reaches k, rows before it) of counted cells in order."""
+    whole, total = [], 0
+    for cell, n in counts:
+        if total + n >= k:
+            return whole, cell, total
+        whole.append(cell)
+        total += n
+    return whole, None, total
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
     """The first k rows by a total order, by one way at every k and size.
 
-    A numeric first column is counted in cells of equal width; rows behind the cell that
-    reaches k cannot be among the first and go before anything is sorted. The rest is
-    ranked by the distributed rank.
+    The first column is counted in cells: numbers in CELLS of equal width, texts by the
+    shortest start that tells any of them apart. Cells before the one that reaches k are
+    taken whole, later ones go, and the cell at the edge is counted again in finer cells,
+    until few rows are left or all have one value; then the next column decides among
+    them. Only what is left is ranked.
     """
-    lead = order[0].lstrip("-")
-    down = order[0].startswith("-")
-    kept = df
-    if dict(df.dtypes)[lead] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        value = F.col(lead).cast("double")
-        low, high = df.agg(F.min(value), F.max(value)).first()
-        if low is not None and low < high and math.isfinite(low) and math.isfinite(high):
-            cell = F.least(F.floor((value - low) / (high - low) * CELLS), F.lit(CELLS - 1))
-            # NULL comes last in a descending order and first in an ascending one.
-            place = F.coalesce(F.lit(CELLS - 1) - cell if down else cell, F.lit(CELLS if down else -1))
-            counts = dict(df.groupBy(place.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-            total, last = 0, CELLS
-            for p in sorted(counts):
-                total += counts[p]
-                if total >= k:
-                    last = p
-                    break
-            kept = df.filter(place <= last)
-    return global_rank(kept, order, name="_rank").filter(F.col("_rank") <= k).drop("_rank")
+    lead, down = order[0].lstrip("-"), order[0].startswith("-")
+    kind = dict(df.dtypes)[lead]
+    if k <= 0:
+        return df.filter("false")
+    if len(order) == 1 or kind not in (*NUMBERS, "string"):
+        return _ranked_first(df, k, order)
+    taken, edge, left = [], df, k
+    while True:
+        low, high, n, missing = edge.agg(F.min(lead), F.max(lead), F.count(lead), F.count_if(F.col(lead).isNull())).first()
+        if n + missing <= max(FEW, left):
+            taken.append(_ranked_first(edge, left, order))
+            break
+        if not n or (not missing and low == high):
+            # One value: the next column decides.
+            taken.append(top_k(edge, left, order[1:]))
+            break
+        if kind == "string":
+            cell = F.substring(lead, 1, _common(low, high) + 1)
+        elif math.isfinite(low) and math.isfinite(high) and float(high) > float(low):
+            share = (F.col(lead).cast("double") - float(low)) / (float(high) - float(low))
+            # The smaller of NULL and a number would be the number.
+            cell = F.when(share.isNotNull(), F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
+        else:
+            taken.append(_ranked_first(edge, left, order))
+            break
+        found = edge.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+        values = sorted(((r["c"], r["n"]) for r in found if r["c"] is not None), reverse=down)
+        # NULL comes last in a descending order and first in an ascending one.
+        none = [(None, missing)] if missing else []
+        whole, at, before = _first_cells([*values, *none] if down else [*none, *values], left)
+        if None in whole:
+            taken.append(edge.filter(F.col(lead).isNull()))
+        if kept := [c for c in whole if c is not None]:
+            taken.append(edge.filter(cell <= kept[-1]) if not down else edge.filter(cell >= kept[-1]))
+        edge, left = edge.filter(cell == at) if at is not None else edge.filter(F.col(lead).isNull()), left - before
+    return functools.reduce(lambda a, b: a.unionByName(b), taken)
+
+
+def _ranked_first(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
+    return global_rank(df, order, name="_rank").filter(F.col("_rank") <= k).drop("_rank")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +17,9 @@ NEGATIVE_STEP = 1009
 POSITIVE_STEP = 7919
 PERMUTATION_STEP = 88001
 
-#: Rows of a cell of the hash range, on average.
-CELL_ROWS = 2000
+#: Hexadecimal digits of the hash that name a cell, and cells of a range.
+CELL_DIGITS = 3
+CELLS = 16**CELL_DIGITS
 
 
 def draw_hash(tag: str | Column, key: str, seed: int = SEED) -> Column:
@@ -28,33 +28,44 @@ def draw_hash(tag: str | Column, key: str, seed: int = SEED) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), tag, F.col(key).cast("string")), 256)
 
 
-def hash_sample(
-    df: DataFrame, quotas: DataFrame, by: Sequence[str], key: str, tag: str | Column, seed: int = SEED, cell: int = CELL_ROWS
-) -> DataFrame:
-    """Per group the ``n`` rows with the smallest hash; ``quotas`` is (by..., n).
+def _edge(counts: DataFrame, by: list[str], cell: str) -> DataFrame:
+    """Per group the cell in which its ``_left``-th row lies, and how many rows of that cell are wanted.
+
+    ``counts`` is (by..., cell, _left, _m) with at most CELLS cells a group.
+    """
+    upto = F.sum("_m").over(Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto).withColumn("_left", F.col("_left") - F.col("_upto") + F.col("_m"))
+    return placed.filter((F.col("_left") > 0) & (F.col("_left") <= F.col("_m"))).select(*by, cell, "_left")
+
+
+def hash_cuts(hashed: DataFrame, quotas: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """(by..., _cut): hash and key of the ``n``-th row of each group that has more; ``hashed`` has the hash as ``_h``.
 
-    The hash is uniform, so its leading digits cut a group into equal cells; there are as
-    many digits as the largest group needs for about ``cell`` rows a cell. Cells below the
-    quota are taken whole without ranking; only the one cell at the edge is sorted.
+    The hash is uniform, so its leading digits cut a group into CELLS equal cells and the
+    next ones each of them again. Only the cell at the edge is cut again, and only in the
+    cell at the edge of that are rows ranked: of 10^11 rows about 6,000.
     """
     by = list(by)
-    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    digits = max(1, math.ceil(math.log(max(largest / cell, 1), 16)))
-    hashed = df.withColumn("_h", draw_hash(tag, key, seed)).withColumn("_cell", F.substring("_h", 1, digits))
-    upto = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (
-        hashed.groupBy(*by, "_cell")
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .withColumn("_upto", F.sum("_m").over(upto))
-        .join(quotas, by)
-        .withColumn("_left", F.col("n") - (F.col("_upto") - F.col("_m")))
-        .filter(F.col("_left") > 0)
-    )
-    whole = hashed.join(cells.filter(F.col("_m") <= F.col("_left")).select(*by, "_cell"), [*by, "_cell"], "left_semi")
-    edge = hashed.join(cells.filter(F.col("_m") > F.col("_left")).select(*by, "_cell", "_left"), [*by, "_cell"])
-    order = Window.partitionBy(*by, "_cell").orderBy("_h", key)
-    edge = edge.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= F.col("_left"))
-    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
+    rows = hashed.select(*by, key, "_h")
+    wanted = quotas.filter("n > 0").select(*by, F.col("n").alias("_left"))
+    for level, cell in enumerate(("_c1", "_c2")):
+        rows = rows.withColumn(cell, F.substring("_h", 1 + level * CELL_DIGITS, CELL_DIGITS))
+        counts = rows.groupBy(*by, cell).agg(F.count(F.lit(1)).alias("_m")).join(wanted, by)
+        edge = _edge(counts, by, cell)
+        rows = rows.join(edge.select(*by, cell), [*by, cell], "left_semi")
+        wanted = edge.select(*by, "_left")
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("_h", key)))
+    return ranked.join(wanted, by).filter("_rn = _left").select(*by, F.struct("_h", key).alias("_cut"))
+
+
+def hash_sample(df: DataFrame, quotas: DataFrame, by: Sequence[str], key: str, tag: str | Column, seed: int = SEED) -> DataFrame:
+    """Per group the ``n`` rows with the smallest hash; ``quotas`` is (by..., n)."""
+    by = list(by)
+    hashed = df.withColumn("_h", draw_hash(tag, key, seed))
+    named = quotas.filter("n > 0").select(*by).join(hash_cuts(hashed, quotas, by, key), by, "left")
+    # Groups without a cut have no more rows than wanted.
+    inside = F.col("_cut").isNull() | (F.struct("_h", key) <= F.col("_cut"))
+    return hashed.join(named, by).filter(inside).select(*df.columns)
 
 
 def stable_sample(df: DataFrame, n: int, tag: str, key: str, seed: int = SEED) -> DataFrame:
@@ -66,14 +77,16 @@ def stable_sample(df: DataFrame, n: int, tag: str, key: str, seed: int = SEED) -
 
 def draw(pool: DataFrame, count: int, tag: str, key: str, seed: int, repeat: bool = True) -> DataFrame:
     """``count`` rows with a slot 0..count-1; rows repeat only if allowed and the pool is smaller."""
-    ranked = global_rank(pool.withColumn("_h", draw_hash(tag, key, seed)), ["_h", key], name="_r").drop("_h")
     size = pool.count()
     if size == 0:
         raise ValueError("draw from an empty pool")
     if count > size and not repeat:
         raise ValueError(f"{count} distinct rows wanted, {size} available")
+    # Only what is drawn is ranked.
+    drawn = stable_sample(pool, min(count, size), tag, key, seed)
+    ranked = global_rank(drawn.withColumn("_h", draw_hash(tag, key, seed)), ["_h", key], name="_r").drop("_h")
     if count <= size:
-        return ranked.filter(F.col("_r") <= count).withColumn("slot", F.col("_r") - 1).drop("_r")
+        return ranked.withColumn("slot", F.col("_r") - 1).drop("_r")
     slots = pool.sparkSession.range(count).select(F.col("id").alias("slot"), (F.col("id") % size + 1).alias("_r"))
     return slots.join(ranked, "_r").drop("_r").select(*pool.columns, "slot")
 
@@ -125,12 +138,35 @@ def epoch_draw(
 
 
 def rotating_slice(pool: DataFrame, count: int, epoch: int, key: str, seed: int) -> DataFrame:
-    """Rows [epoch * count, (epoch + 1) * count) modulo the pool, of one fixed permutation."""
+    """Rows [epoch * count, (epoch + 1) * count) modulo the pool, of one fixed permutation.
+
+    The slice lies between two cuts of the permutation, one part of it behind the other if
+    it runs over the end; only its rows are ranked.
+    """
     number = seed + PERMUTATION_STEP
-    ranked = global_rank(pool.withColumn("_h", draw_hash("permutation", key, number)), ["_h", key], name="_r")
     size = pool.count()
-    offset = F.pmod(F.col("_r") - 1 - (epoch * count) % size, F.lit(size))
-    return ranked.withColumn("slot", offset).filter(F.col("slot") < count).drop("_h", "_r")
+    if size == 0:
+        return pool.withColumn("slot", F.lit(None).cast("bigint")).filter("false")
+    first = (epoch * count) % size
+    last = first + min(count, size)
+    hashed = pool.withColumn("_h", draw_hash("permutation", key, number)).withColumn("_all", F.lit(0))
+    spark = pool.sparkSession
+
+    def upto(n: int) -> Column:
+        """Whether a row is among the first n."""
+        if n <= 0 or n >= size:
+            return F.lit(n > 0)
+        quota = spark.range(1).select(F.lit(0).alias("_all"), F.lit(n).alias("n"))
+        found = hash_cuts(hashed, quota, ["_all"], key).first()["_cut"]
+        return F.struct("_h", key) <= F.struct(F.lit(found[0]).alias("_h"), F.lit(found[1]).alias(key))
+
+    wraps = last > size
+    inside = (~upto(first)) | upto(last - size) if wraps else ~upto(first) & upto(last)
+    ranked = global_rank(hashed.filter(inside).drop("_all"), ["_h", key], name="_r")
+    # Of a slice that wraps, the rows of its second part have the smaller hashes.
+    behind = last - size if wraps else 0
+    slot = F.when(F.col("_r") <= behind, F.col("_r") - 1 + size - first).otherwise(F.col("_r") - 1 - behind)
+    return ranked.withColumn("slot", slot).drop("_h", "_r")
 
 
 def positive_schedule(positives: DataFrame, count: int, epoch: int, key: str, seed: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against literal goldens and brute force on small fixtures."""
 
+import functools
 import hashlib
 import math
 import random
@@ -331,16 +332,66 @@ def test_thinning_equals_sequential_greedy(spark):
     assert got == kept
 
 
-def test_hash_sample_is_the_sorted_prefix(spark):
-    df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"))
-    quotas = spark.createDataFrame([(0, 700), (1, 1), (2, 99999)], "g long, n long")
-    for parts, cell in ((1, 1), (7, 20), (60, 10**9)):
-        got = rows(M.hash_sample(df.repartition(parts), quotas, ["g"], "id", "t", cell=cell), "g", "id")
-        want = []
-        for g, n in ((0, 700), (1, 1), (2, 99999)):
-            order = sorted(range(g, 5000, 3), key=lambda i: hashlib.sha256(f"20260721|t|{i}".encode()).hexdigest())
-            want += [(g, i) for i in order[:n]]
-        assert got == sorted(want)
+@pytest.mark.parametrize("digits", [1, 3])
+def test_hash_sample_is_the_sorted_prefix(spark, monkeypatch, digits):
+    """Groups with fewer rows than wanted, just as many, none wanted, and edges at every depth."""
+    monkeypatch.setattr(M, "CELL_DIGITS", digits)
+    data = [(i, "abcd"[min(3, i // 700)]) for i in range(2200)]
+    df = spark.createDataFrame(data, "id long, g string")
+    order = {g: sorted((i for i, h in data if h == g), key=lambda i: hashlib.sha256(f"{M.SEED}|t|{i}".encode()).hexdigest()) for g in "abcd"}
+    for wanted in ({"a": 5, "b": 700, "c": 0, "d": 900}, {"a": 699, "b": 1, "c": 350}, {"a": 256, "b": 16, "c": 17, "d": 99}):
+        quotas = spark.createDataFrame(list(wanted.items()), "g string, n long")
+        got = M.hash_sample(df.repartition(5), quotas, ["g"], "id", "t")
+        assert rows(got, "g", "id") == sorted((g, i) for g, n in wanted.items() for i in order[g][:n])
+
+
+@pytest.mark.parametrize("count, epoch", [(90, 0), (90, 3), (90, 4), (400, 1), (500, 2), (400, 0)])
+def test_slices_rotate_through_one_permutation(spark, count, epoch):
+    df = spark.createDataFrame([(i,) for i in range(400)], "id long").repartition(3)
+    order = sorted(range(400), key=lambda i: hashlib.sha256(f"{7 + M.PERMUTATION_STEP}|permutation|{i}".encode()).hexdigest())
+    start = epoch * count % 400
+    want = [(order[(start + n) % 400], n) for n in range(min(count, 400))]
+    assert rows(M.rotating_slice(df, count, epoch, "id", 7), "id", "slot") == sorted(want)
+
+
+def test_top_rows_by_any_kind_of_column(spark, monkeypatch):
+    """Texts with long common starts, one value for most rows, numbers of very unequal spread, NULLs at either end."""
+    from sitelab.operators import ordering
+
+    monkeypatch.setattr(ordering, "FEW", 20)
+    rng = random.Random(1)
+    data = [
+        (i, rng.choice(["chr1", "chr1", "chr1", "chr10", "chr2", "", None, "x"]), rng.choice([None, 0.0, 1e12, rng.random(), -5.0]), f"common start {rng.randrange(40):03d}")
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(data, "i long, t string, x double, s string")
+
+    def first(k, order):
+        def key(r):
+            parts = []
+            for c in order:
+                v, down = r["itxs".index(c.lstrip("-"))], c.startswith("-")
+                parts.append((v is not None, v) if not down else (v is None, Reversed(v)))
+            return parts
+
+        return sorted(r[0] for r in sorted(data, key=key)[:k])
+
+    for order in (["t", "x", "i"], ["-t", "-x", "i"], ["-x", "s", "i"], ["s", "-i"]):
+        for k in (40, 333):
+            assert sorted(r.i for r in top_k(df, k, order).collect()) == first(k, order), (order, k)
+    assert top_k(df, 0, ["t", "i"]).count() == 0 and top_k(df, 900, ["t", "i"]).count() == 500
+
+
+@functools.total_ordering
+class Reversed:
+    def __init__(self, v):
+        self.v = v
+
+    def __eq__(self, other):
+        return self.v == other.v
+
+    def __lt__(self, other):
+        return other.v is not None and self.v is not None and other.v < self.v
 
 
 def test_draws_repeat_only_when_short(spark):
