@@ -82,6 +82,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert links
 
 
+def test_near_duplicates_of_doubles_are_not_rounded(spark):
+    """Pairs within 1e-12 of the threshold, given in double precision, link as the exact cosine says."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for i in range(40):
+        x, z = rng.normal(size=(2, 16))
+        x /= np.linalg.norm(x)
+        z -= (z @ x) * x
+        angle = np.arccos(0.98 + (1e-12 if i % 2 else -1e-12))
+        y = np.cos(angle) * x + np.sin(angle) * z / np.linalg.norm(z)
+        rows += [(2 * i, x.tolist(), i), (2 * i + 1, y.tolist(), i)]
+        want[2 * i] = want[2 * i + 1] = i % 2
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.n_links for r in near_dedup.near_duplicates(frame).collect()} == want
+
+
 def test_near_duplicates_repeated_and_empty(spark):
     schema = "vec_id long, embedding array<float>, label int"
     same = spark.createDataFrame([(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (2, [2.0, 4.0], 0)], schema)
