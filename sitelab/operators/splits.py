@@ -15,7 +15,7 @@ from sitelab.session import cut
 # Split names and shares, in percent, in the order in which an axis is cut.
 PERCENT = {"train": 70, "dev": 10, "calibration": 10, "test": 10}
 #: A group belongs to the first tier whose share its largest feature share reaches ...
-TIERS = (1 / 4, 1 / 16, 1 / 64, 1 / 256, 1 / 1024)
+TIERS = (1 / 4, 1 / 16, 1 / 64)
 #: ... and else to a wave by its hash: half of the rest, a quarter, an eighth, and two sixteenths.
 WAVES = ("8", "c", "e", "f")
 
@@ -87,7 +87,7 @@ def split_groups(sites: DataFrame, group: str, seed: int = SEED) -> DataFrame:
     that one feature leads lie along an axis in hash order, each as long as what it holds;
     the axis is cut in proportion to what each split still lacks of that feature, and a
     group goes where its middle lies. What a pass leaves uneven, the next ones even out.
-    Tiers hold at most 1,024 groups a feature; the waves use running totals over a range
+    Tiers hold at most 64 groups a feature; the waves use running totals over a range
     layout. ``sites`` has label, chrom, region, gc and efficiency; a NULL feature value
     counts as ``NA``.
     """

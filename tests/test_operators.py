@@ -255,13 +255,12 @@ def test_split_with_one_huge_group(spark):
     assert abs(share["train"] - 0.7) < 0.03 and all(abs(share[s] - 0.1) < 0.03 for s in ("dev", "calibration", "test"))
 
 
-@pytest.mark.parametrize("big", [0.0, 0.05])
-def test_split_is_balanced_in_every_feature(spark, big):
+def test_split_is_balanced_in_every_feature(spark):
     """Groups of all sizes, some of them just above and below a hundredth, keep every feature near its shares."""
     rng = random.Random(4)
     data, n = [], 20000
     for i in range(n):
-        grp = f"b{rng.randrange(8)}" if rng.random() < 8 * big else f"g{int(rng.paretovariate(1.2) * 40) if rng.random() < 0.5 else i}"
+        grp = f"b{rng.randrange(8)}" if rng.random() < 0.4 else f"g{int(rng.paretovariate(1.2) * 40) if rng.random() < 0.5 else i}"
         region = rng.choice(["utr", "intron", "missense", "x", None])
         data.append((f"s{i}", grp, int(rng.random() < 0.15), f"chr{rng.randrange(6)}", region, rng.random(), rng.random() * 0.6))
     df = spark.createDataFrame(data, "site_key string, grp string, label int, chrom string, region string, gc double, efficiency double")
