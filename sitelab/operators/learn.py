@@ -13,7 +13,6 @@ from pyspark.ml.feature import (
     IDF,
     PCA,
     CountVectorizer,
-    CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
     StandardScaler,
@@ -29,6 +28,7 @@ from pyspark.sql import types as T
 from sitelab.functions.scoring import sigmoid
 from sitelab.functions.sequences import kmers
 from sitelab.operators.calibrate import logistic
+from sitelab.operators.newton import Fit, fit_logistic, kmer_counts
 from sitelab.operators.ordering import global_rank, top_k
 from sitelab.operators.ranking import best_per_sequence
 from sitelab.session import cut
@@ -134,82 +134,40 @@ def pool_tokens(tokens: DataFrame, key: str, position: str, vector: str, centre:
     )
 
 
-def all_kmers(low: int, high: int) -> list[str]:
-    return ["".join(p) for k in range(low, high + 1) for p in itertools.product("ACGT", repeat=k)]
-
-
-def kmer_count_features(low: int, high: int, numerics: Sequence[str], seq: str = "seq"):
-    """Transformer stages: fixed-vocabulary k-mer counts next to standardised numbers.
-
-    The vocabulary of short k-mers is known, so no pass over the data is needed.
-    """
-    counts = CountVectorizerModel.from_vocabulary(all_kmers(low, high), inputCol="_kmers", outputCol="_counts")
-    numbers = VectorAssembler(inputCols=list(numerics), outputCol="_numbers")
-    scaled = StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)
-    joined = VectorAssembler(inputCols=["_counts", "_scaled"], outputCol="features")
-    prepare = lambda df: df.withColumn("_kmers", kmers(seq, low, high))
-    return prepare, [counts, numbers, scaled, joined]
-
-
-# Stopping rule for models on many correlated counts; more steps no longer change the ranking.
-COARSE = {"max_iter": 100, "tol": 1e-4}
-
-
-def fit_logistic(df: DataFrame, stages: list, label: str, c: float, balanced: bool = False, **options):
-    """Feature stages and a logistic fit; ``balanced`` weights classes inversely to their size."""
-    prepared = Pipeline(stages=stages).fit(df)
-    features = prepared.transform(df)
-    weight = None
-    if balanced:
-        sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-        total = sum(sizes.values())
-        value = F.when(F.col(label) == 1, total / (2 * sizes[1])).otherwise(total / (2 * sizes[0]))
-        features, weight = features.withColumn("_w", value), "_w"
-    features = features.withColumn("_y", F.col(label).cast("double"))
-    return prepared, logistic(features, "features", "_y", c, weight=weight, **options)
-
-
-def linear_score(df: DataFrame, prepared, model, name: str = "score") -> DataFrame:
-    """The decision value of a fitted logistic model."""
-    out = model.transform(prepared.transform(df) if prepared is not None else df)
-    margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
-    return out.withColumn(name, margin).select(*df.columns, name)
+def kmer_logistic(train: DataFrame, label: str, numerics: Sequence[str], seq: str = "seq", c: float = 1.0):
+    """1-4-mer counts with standardised composition numbers. Returns a scoring function."""
+    numbers = F.array(*[F.col(n).cast("double") for n in numerics])
+    features = F.concat(kmer_counts(seq, 1, 4), numbers)
+    size = sum(4**k for k in range(1, 5))
+    (model,) = fit_logistic(train.select(features.alias("x"), label), "x", label, [Fit(c)], range(size, size + len(numerics)))
+    return lambda df: df.withColumn("score", model.score(features))
 
 
-def kmer_logistic(train: DataFrame, label: str, numerics: Sequence[str], seq: str = "seq", c: float = 1.0):
-    """1-4-mer counts with composition numbers. Returns a scoring function."""
-    prepare, stages = kmer_count_features(1, 4, numerics, seq)
-    prepared, model = fit_logistic(prepare(train), stages, label, c, **COARSE)
-    return lambda df: linear_score(prepare(df), prepared, model).drop("_kmers")
+def _numbers(numerics: Sequence[str], array: str | None) -> Column:
+    parts = [] if array is None else [F.col(array).cast("array<double>")]
+    return F.concat(*parts, F.array(*[F.col(n).cast("double") for n in numerics]).cast("array<double>"))
 
 
 def numeric_logistic(
     train: DataFrame, label: str, numerics: Sequence[str], c: float = 1.0, balanced: bool = False, array: str | None = None
 ):
     """Standardised numbers, optionally next to an embedding array. Returns a scoring function."""
-    inputs = list(numerics)
-    prepare = lambda df: df
-    if array is not None:
-        inputs = ["_vector", *inputs]
-        prepare = lambda df: df.withColumn("_vector", array_to_vector(F.col(array).cast("array<double>")))
-    stages = [
-        VectorAssembler(inputCols=inputs, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
-    ]
-    prepared, model = fit_logistic(prepare(train), stages, label, c, balanced)
-    return lambda df: linear_score(prepare(df), prepared, model).drop("_vector")
+    features = _numbers(numerics, array)
+    (model,) = fit_logistic(train.select(features.alias("x"), label), "x", label, [Fit(c, balanced)])
+    return lambda df: df.withColumn("score", model.score(features))
 
 
 def probe_grid(
     train: DataFrame, dev: DataFrame, label: str, array: str, cs: Sequence[float], balances: Sequence[bool]
 ) -> DataFrame:
-    """Development scores of every (C, class weight) probe, long by model_id."""
-    out = None
-    for c, balanced in itertools.product(cs, balances):
-        score = numeric_logistic(train, label, [], c, balanced, array)
-        part = score(dev).withColumn("model_id", F.lit(f"C{c:g}_weight_{'balanced' if balanced else 'none'}"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Development scores of every (C, class weight) probe, long by model_id; all probes are fitted together."""
+    fits = [Fit(c, balanced) for c, balanced in itertools.product(cs, balances)]
+    models = fit_logistic(train, array, label, fits)
+    named = [
+        F.struct(F.lit(f"C{f.c:g}_weight_{'balanced' if f.balanced else 'none'}").alias("model_id"), m.score(array).alias("score"))
+        for f, m in zip(fits, models)
+    ]
+    return dev.withColumn("_probe", F.explode(F.array(*named))).select(*dev.columns, "_probe.score", "_probe.model_id")
 
 
 def principal_components(train: DataFrame, array: str, k: int):
@@ -240,6 +198,10 @@ def _signed_difference(a, b, flip):
     return SparseVector(len(a), sorted(values.items()))
 
 
+# Stopping rule for models on many correlated counts; more steps no longer change the ranking.
+COARSE = {"max_iter": 100, "tol": 1e-4}
+
+
 def pairwise_ranker(
     rows: DataFrame,
     pairs: DataFrame,

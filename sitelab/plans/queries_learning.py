@@ -13,6 +13,8 @@ from sitelab.operators import sampling as M
 from sitelab.operators import splits as P
 from sitelab.operators import stats as W
 from sitelab.plans import flows
+from sitelab.plans.queries_ranking import _AREAS
+from sitelab.plans.queries_scalars import _entropy
 from sitelab.plans.registry import query
 from sitelab.session import cut, new_path
 from sitelab.sources.frozen import Frozen, freeze_calibrators, freeze_thresholds, freeze_weights
@@ -186,14 +188,58 @@ _NUMERICS = ["gc", "c_count", "entropy"]
 
 
 def _versus_random(scored, seed=42):
-    """Average precision of a fitted score next to the hash-random one."""
+    """Average precision of a fitted score next to the hash-random one; scores that differ by rounding only are ties."""
     s = scored.select("id", "label", F.explode(F.array(
-        F.struct(F.lit("fitted").alias("model_id"), F.col("score").alias("s")),
+        F.struct(F.lit("fitted").alias("model_id"), F.round("score", 9).alias("s")),
         F.struct(F.lit("random").alias("model_id"), hash_uniform("id", seed).alias("s")),
     )).alias("e")).select("id", "label", "e.model_id", F.col("e.s").alias("score"))
     return R.area_metrics(R.score_table(cut(s))).select("model_id", "positives", "negatives", *r6("average_precision", "roc_auc"))
 
 
+def _descent_sql(size: int, steps: int) -> str:
+    """CTE fitted(f, w): plain gradient steps for every fit f of ``probe`` (f, c, balanced) over ``known`` (x, y), x a list of ``size`` raw features.
+
+    Features are standardised; the steps stay below the largest curvature that correlated features of this size reach.
+    """
+    return f"""
+moments AS MATERIALIZED (SELECT i, AVG(x[i]) AS mu, COALESCE(NULLIF(STDDEV_SAMP(x[i]), 0), 1) AS sd FROM known, range(1, {size + 1}) r(i) GROUP BY i),
+centre AS MATERIALIZED (SELECT list(mu ORDER BY i) AS mu, list(sd ORDER BY i) AS sd FROM moments),
+counted AS (SELECT COUNT(*) AS n, SUM(y) AS p FROM known),
+z AS MATERIALIZED (SELECT f, c, y, CASE WHEN NOT balanced THEN 1.0 WHEN y = 1 THEN n / (2.0 * p) ELSE n / (2.0 * (n - p)) END AS s, n,
+  list_append(list_transform(range(1, {size + 1}), lambda i: (x[i] - mu[i]) / sd[i]), CAST(1 AS DOUBLE)) AS x FROM known, centre, counted, probe),
+down(it, f, w) AS (
+  SELECT 0, f, list_transform(range(0, {size + 1}), lambda i: CAST(0 AS DOUBLE)) FROM probe
+  UNION ALL
+  SELECT it + 1, f, list(w[i] + (g - CASE WHEN i <= {size} THEN w[i] / c ELSE 0 END) / (0.75 * n + 1 / c) ORDER BY i) FROM (
+    SELECT it, f, i, ANY_VALUE(w) AS w, ANY_VALUE(c) AS c, ANY_VALUE(n) AS n, SUM(r * x[i]) AS g FROM (
+      SELECT it, z.f, w, c, n, x, s * (y - 1 / (1 + EXP(-list_dot_product(x, w)))) AS r FROM down JOIN z ON z.f = down.f WHERE it < {steps}), range(1, {size + 2}) q(i)
+    GROUP BY it, f, i) GROUP BY it, f),
+fitted AS MATERIALIZED (SELECT f, list_transform(range(1, {size + 1}), lambda i: w[i] / sd[i]) AS v,
+  w[{size + 1}] - list_dot_product(list_transform(range(1, {size + 1}), lambda i: w[i] / sd[i]), mu) AS b FROM down, centre WHERE it = {steps})"""
+
+
+def _versus_random_sql(size: int, steps: int, probe: str = "(0, 1.0, FALSE)") -> str:
+    """Metrics of the one fit of ``probe`` on ``known`` and of the hash, over ``asked`` (id, label, x)."""
+    return f"""probe(f, c, balanced) AS (VALUES {probe}), {_descent_sql(size, steps)},
+shown AS MATERIALIZED (SELECT 'fitted' AS model_id, label, ROUND(list_dot_product(x, v) + b, 9) AS score FROM asked, fitted
+  UNION ALL SELECT 'random', label, CAST('0x' || substr(sha256('42|' || CAST(id AS STRING)), 1, 15) AS BIGINT) / CAST(1152921504606846976 AS DOUBLE) FROM asked),
+{_AREAS.format(pred="shown")}
+SELECT a.model_id, positives, negatives, ROUND(average_precision, 6) AS average_precision, ROUND(roc_auc, 6) AS roc_auc
+FROM areas a JOIN (SELECT DISTINCT model_id, positives, negatives FROM tab) USING (model_id)"""
+
+
+def _count_sql(bases: str) -> str:
+    return f"CAST(length(seq) - length(translate(seq, '{bases}', '')) AS DOUBLE)"
+
+
+_COMPOSITION = f"""
+WITH RECURSIVE rows AS MATERIALIZED (SELECT site_id AS id, site_id % 10 < 7 AS train,
+    CASE WHEN substr(seq, 50, 1) = 'T' AND site_id % 5 < 3 THEN 1 ELSE label END AS label,
+    [{_count_sql("GC")} / length(seq), {_count_sql("C")}, {_entropy("seq")}] AS x FROM v_site_seq),
+known AS MATERIALIZED (SELECT x, label AS y FROM rows WHERE train), asked AS (SELECT id, label, x FROM rows WHERE NOT train),
+"""
+
+
 @query("l1_kmer_logistic")
 def _(src):
     rows = cut(_features(src))
@@ -214,18 +260,28 @@ def _(src):
     return _versus_random(score(rows.filter("split = 'dev'")).select("id", "label", "score"))
 
 
-@query("l3_composition_audit")
+@query("l3_composition_audit", _COMPOSITION + _versus_random_sql(3, 600))
 def _(src):
     rows = cut(_features(src))
     score = N.numeric_logistic(rows.filter("split = 'train'"), "label", _NUMERICS)
     return _versus_random(score(rows.filter("split = 'dev'")).select("id", "label", "score"))
 
 
-@query("l4_linear_probe_grid")
+@query(
+    "l4_linear_probe_grid",
+    f"""
+WITH RECURSIVE rows AS MATERIALIZED (SELECT vec_id, label, split, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM v_vec),
+known AS MATERIALIZED (SELECT x, label AS y FROM rows WHERE split = 'train'),
+probe(f, c, balanced) AS (VALUES ('C0.01_weight_none', 0.01, FALSE), ('C0.01_weight_balanced', 0.01, TRUE), ('C1_weight_none', 1.0, FALSE), ('C1_weight_balanced', 1.0, TRUE)),
+{_descent_sql(64, 300)},
+shown AS MATERIALIZED (SELECT f AS model_id, label, ROUND(list_dot_product(x, v) + b, 9) AS score FROM rows, fitted WHERE split = 'dev'),
+{_AREAS.format(pred="shown")}
+SELECT model_id, ROUND(average_precision, 6) AS average_precision, ROUND(roc_auc, 6) AS roc_auc FROM areas""",
+)
 def _(src):
     vec = cut(src.v_vec)
     scored = N.probe_grid(vec.filter("split = 'train'"), vec.filter("split = 'dev'"), "label", "embedding", [0.01, 1.0], [False, True])
-    pred = cut(scored.select(F.col("vec_id").alias("id"), "label", "model_id", "score"))
+    pred = cut(scored.select(F.col("vec_id").alias("id"), "label", "model_id", F.round("score", 9).alias("score")))
     return R.area_metrics(R.score_table(pred)).select("model_id", *r6("average_precision", "roc_auc"))
 
 
@@ -260,7 +316,15 @@ def _(src):
     return W.correlations(dev, ["component"], "value", "depth").select("component", *r6("pearson", "spearman"))
 
 
-@query("l7_embedding_with_metadata")
+@query(
+    "l7_embedding_with_metadata",
+    """
+WITH RECURSIVE rows AS MATERIALIZED (SELECT vec_id AS id, label, split, list_concat(list_transform(embedding, lambda e: CAST(e AS DOUBLE)),
+    [CAST(vec_id % 97 AS DOUBLE), CAST(vec_id % 13 AS DOUBLE)]) AS x FROM v_vec),
+known AS MATERIALIZED (SELECT x, label AS y FROM rows WHERE split = 'train'), asked AS (SELECT id, label, x FROM rows WHERE split = 'dev'),
+"""
+    + _versus_random_sql(66, 600, "(0, 0.1, TRUE)"),
+)
 def _(src):
     vec = cut(src.v_vec.select(
         F.col("vec_id").alias("id"), "label", "split", "embedding", (F.col("vec_id") % 97).cast("double").alias("depth"),

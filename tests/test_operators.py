@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import math
 import random
 from collections import defaultdict
@@ -14,6 +15,7 @@ from sitelab.operators import calibrate as C
 from sitelab.operators import components as K
 from sitelab.operators import intervals as I
 from sitelab.operators import learn as N
+from sitelab.operators import newton as G
 from sitelab.operators import ranking as R
 from sitelab.operators import replicates as A
 from sitelab.operators import sampling as M
@@ -655,3 +657,74 @@ def test_incomplete_beta_and_p_values(spark):
     p = [r.p for r in pairs.select(W.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()]
     assert p[0] == pytest.approx(1.0) and p[1] == pytest.approx(0.024769, abs=1e-5) and p[1] == p[2]
     assert p[3] == 0.0 and p[4] is None and p[5] is None
+
+
+def fit_data(spark, n=500, d=4):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(n, d)) * [1, 5, 0.1, 2] + [0, 3, 1, -2]
+    x[:, 3] += x[:, 0]
+    y = (rng.random(n) < 1 / (1 + np.exp(1 + x[:, 0] - x[:, 1]))).astype(int)
+    df = spark.createDataFrame([(i, [float(v) for v in a], int(v)) for i, (a, v) in enumerate(zip(x, y))], "id long, x array<double>, label int")
+    return x, y, df
+
+
+def test_fits_of_a_grid_against_newton(spark):
+    """Every fit of the grid equals a fit of its own; class weights enter as repeated rows would."""
+    x, y, df = fit_data(spark)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    fits = [G.Fit(1.0), G.Fit(0.01), G.Fit(1.0, balanced=True)]
+    models = G.fit_logistic(df.repartition(7), "x", "label", fits)
+    for fit, model in zip(fits[:2], models):
+        w = newton_logistic(z, y, fit.c)
+        got = np.array([r.s for r in df.select("id", model.score("x").alias("s")).orderBy("id").collect()])
+        assert np.allclose(got, z @ w[:-1] + w[-1], atol=1e-8)
+    # At the balanced optimum the weighted residuals of the constant vanish, and those of the features meet the penalty.
+    v = models[2]
+    p = 1 / (1 + np.exp(-(x @ v.weights + v.offset)))
+    share = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    assert abs((share * (y - p)).sum()) < 1e-6
+    assert np.allclose(z.T @ (share * (y - p)), v.weights * x.std(0, ddof=1), atol=1e-6)
+
+
+def test_fit_edges(spark):
+    x, y, df = fit_data(spark, 60)
+    spoiled = df.unionByName(spark.createDataFrame([(900, None, 1), (901, [0.0] * 4, None)], df.schema))
+    (a,), (b,) = (G.fit_logistic(t, "x", "label") for t in (df, spoiled))
+    assert np.allclose(a.weights, b.weights, atol=1e-8)
+    # A constant feature has no weight, also among equal rows.
+    flat = df.withColumn("x", F.concat("x", F.array(F.lit(2.0))))
+    (c,) = G.fit_logistic(flat, "x", "label")
+    assert abs(c.weights[4]) < 1e-9 and np.allclose(c.weights[:4], a.weights, atol=1e-7)
+    for empty in (df.limit(0), df.filter("label = 1")):
+        with pytest.raises(ValueError, match="labels 0 and 1"):
+            G.fit_logistic(empty, "x", "label")
+
+
+def test_separable_classes_fit_too(spark):
+    df = spark.createDataFrame([([float(i)], int(i >= 10)) for i in range(20)], "x array<double>, label int")
+    (model,) = G.fit_logistic(df, "x", "label", [G.Fit(1e4)])
+    z = (np.arange(20.0) - 9.5) / np.arange(20.0).std(ddof=1)
+    w = newton_logistic(z[:, None], (np.arange(20) >= 10).astype(int), 1e4)
+    assert np.isclose(model.weights[0] * np.arange(20.0).std(ddof=1), w[0], rtol=1e-5)
+
+
+def test_kmer_counts_and_fit(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(150)] + ["", None, "AC", "ACNNGTTTT", "acgt", "é" + "A" * 5]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "id long, seq string")
+    places = {k: i for i, k in enumerate("".join(p) for n in range(1, 4) for p in itertools.product("ACGT", repeat=n))}
+    counted = {r.id: list(r.c) for r in df.select("id", G.kmer_counts("seq", 1, 3).alias("c")).collect()}
+    for i, s in enumerate(texts):
+        want = [0.0] * len(places)
+        for n in range(1, 4):
+            for j in range(len(s or "") - n + 1):
+                if s[j : j + n] in places:
+                    want[places[s[j : j + n]]] += 1
+        assert counted[i] == want, s
+    data = df.filter("id < 150").withColumn("label", (F.instr("seq", "GAT") > 0).cast("int")).withColumn("gc", (F.col("id") * 37 % 11) / 11.0)
+    got = [r.score for r in N.kmer_logistic(data, "label", ["gc"])(data).orderBy("id").collect()]
+    full = [(list(r.c), r.gc, r.label) for r in data.orderBy("id").select(G.kmer_counts("seq", 1, 4).alias("c"), "gc", "label").collect()]
+    gc = np.array([g for _, g, _ in full])
+    x = np.column_stack([np.array([c for c, _, _ in full]), (gc - gc.mean()) / gc.std(ddof=1)])
+    w = newton_logistic(x, np.array([v for _, _, v in full]), 1.0)
+    assert np.allclose(got, x @ w[:-1] + w[-1], atol=1e-6)
