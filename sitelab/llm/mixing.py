@@ -131,6 +131,8 @@ def balance(counts: DataFrame, cap: float = 2.0) -> DataFrame:
         )
         if (state.agg(F.max("error")).first()[0] or 0.0) <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"a source is still off its target after {STEPS} steps")
     return state.select("sid", "multiplier")
 
 
@@ -191,10 +193,25 @@ def mix(
 
     A document of hash rank r among those of its source and size gets the whole part of
     their mean copies, and one more if r is within the rest; a run over the same rows
-    gives the same copies however they are partitioned.
+    gives the same copies however they are partitioned. Rows with a NULL or a repeated
+    doc_id are ranked by their text.
+    """
+    return _dealt(docs, weights, share, cap, size).drop("who", "turn")
+
+
+def _who() -> Column:
+    """What tells apart documents of one source and size: rows with a NULL or a repeated doc_id differ by their text."""
+    return F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull())
+
+
+def _dealt(docs: DataFrame, weights: Sequence[float], share: float, cap: int, size: Column | None) -> DataFrame:
+    """The rows of ``mix`` with ``who``, and ``turn`` from 1 among rows with one doc_id, source and text.
+
+    Equal rows are counted before they are ranked, so they take one place of a cell however
+    many they are; documents without words are never ranked.
     """
     size = n_words("text") if size is None else size
-    sized = stored(docs.select("doc_id", "source", size.alias("size")), "mix-sized")
+    sized = stored(docs.select("doc_id", "source", size.alias("size"), _who().alias("who")), "mix-sized")
     counts = stored(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     sources = counts.groupBy("source").agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs")
@@ -204,42 +221,49 @@ def mix(
         counts.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "mix-targets"
     )
     rated = _rates(counts, float(cap)).withColumnRenamed("source", "_source").withColumnRenamed("size", "_size")
-    cell = F.pmod(F.xxhash64("doc_id", F.lit("cell")), F.ceil(F.col("n") / CELL)).cast("int")
-    placed = stored(
-        sized.join(rated, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
-        .withColumn("cell", cell)
-        .select("doc_id", "source", "size", "sid", "source_size", "target", "rate", "cell"),
-        "mix-placed",
-    )
+    cell = F.pmod(F.xxhash64("who", F.lit("cell")), F.ceil(F.col("n") / CELL)).cast("int")
+    out = ["doc_id", "source", "size", "source_size", "target", "rate"]
+    joined = sized.join(rated, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    placed = stored(joined.withColumn("cell", cell).select(*out, "sid", "cell", "who"), "mix-placed")
     keys = ["sid", "size", "cell"]
-    cells = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.first("target").alias("target"), F.first("rate").alias("rate"))
+    ranked = placed.filter(F.col("size") > 0)
+    cells = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.first("target").alias("target"), F.first("rate").alias("rate"))
     plan = _copies_of_cells(cells, cap).select(*keys, "m", F.col("copies").alias("_total"))
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id", F.lit("rank")), "doc_id")
+    equal = ranked.groupBy(*keys, "doc_id", "source", "who").agg(
+        F.count(F.lit(1)).alias("_equal"), *[F.first(c).alias(c) for c in ("source_size", "target", "rate")]
+    )
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64("who", F.lit("rank")), "who", "doc_id")
+    before = F.sum("_equal").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_equal")
     each = F.floor(F.col("_total") / F.col("m"))
-    more = F.row_number().over(order) <= F.col("_total") - each * F.col("m")
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(each + more.cast("long")).cast("long")
-    return (
-        placed.join(plan, keys)
-        .withColumn("copies", copies)
-        .select(
-            "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
-        )
+    more = F.col("_total") - each * F.col("m") - F.col("_before")
+    taken = (
+        equal.withColumn("_before", before)
+        .join(plan, keys)
+        .select(*out, "who", each.alias("_each"), more.alias("_more"), F.explode(F.sequence(F.lit(1).cast("long"), "_equal")).alias("turn"))
+        .withColumn("copies", (F.col("_each") + (F.col("turn") <= F.col("_more")).cast("long")).cast("long"))
+        .drop("_each", "_more")
     )
+    nothing = placed.filter(F.col("size") == 0).select(
+        *out, "who", F.lit(1).cast("long").alias("turn"), F.lit(0).cast("long").alias("copies")
+    )
+    both = taken.unionByName(nothing)
+    return both.select(*out, "copies", (F.col("copies") * F.col("size")).alias("taken"), "who", "turn")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    keys = ["doc_id", "source", "_size"]
-    plan = mix(docs, **options).select("doc_id", "source", F.col("size").alias("_size"), "copies")
-    turn = Window.partitionBy(*keys)
-    plan = plan.withColumn("_turn", F.row_number().over(turn.orderBy(F.col("copies").desc())))
-    named = [F.col(c).alias(f"_p{i}") for i, c in enumerate([*keys, "_turn"])]
-    plan = plan.filter(F.col("copies") > 0).select(*named, "copies")
-    rows = packed(docs, "doc_id", "source", "text").withColumn("_size", n_words("text"))
-    rows = rows.withColumn("_turn", F.row_number().over(turn.orderBy("text")))
-    same = F.col("_size") == F.col("_p2")
-    for i, c in ((0, "doc_id"), (1, "source"), (3, "_turn")):
-        same = same & F.col(c).eqNullSafe(F.col(f"_p{i}"))
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, size: Column | None = None
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows with one doc_id, source and text are numbered together; all others meet the plan by their key alone.
+    """
+    keys = ["doc_id", "source", "_who"]
+    plan = _dealt(docs, weights, share, cap, size).filter(F.col("copies") > 0)
+    plan = plan.select(F.col("doc_id").alias("_p0"), F.col("source").alias("_p1"), F.col("who").alias("_p2"), F.col("turn").alias("_p3"), "copies")
+    rows = packed(docs, "doc_id", "source", _who().alias("_who"))
+    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy("_who")).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("_p0")) & F.col("source").eqNullSafe(F.col("_p1"))
+    same = same & (F.col("_who") == F.col("_p2")) & (F.col("_turn") == F.col("_p3"))
     taken = rows.join(plan, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return unpacked(taken, docs.columns)
 

@@ -355,6 +355,24 @@ def test_mix_edges(spark, no_documents, clashing):
     assert [r.taken for r in mixing.mix(empty).collect()] == [0, 0]
 
 
+def test_mix_without_ids_and_with_equal_rows(spark):
+    """Rows without an id are ranked by their text, equal rows as often as they stand there; every mix meets its target."""
+    rng = random.Random(8)
+    rows = [(None, " ".join(rng.choice("abcdefgh") for _ in range(6)), "a", f"x{i}") for i in range(900)]
+    rows += [(7, "the same six words every time", "a", f"y{i}") for i in range(600)]
+    rows += [(None, None, "b", "z")] * 300 + [(i, "some few words here", "b", "u") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, url string")
+    plan = stored(mixing.mix(docs.repartition(5)), "test")
+    assert plan.count() == len(rows)
+    dealt = [Counter((r.doc_id, r.source, r.size, r.copies) for r in p.collect()) for p in (plan, mixing.mix(docs.repartition(3)))]
+    assert dealt[0] == dealt[1]
+    assert all(0 <= r.copies <= 2 and (r.size or not r.copies) for r in plan.collect())
+    for r in plan.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 6, r
+    taken = Counter((r.doc_id, r.text, r.source, r.url) for r in mixing.mixed_documents(docs.repartition(4)).collect())
+    assert sum(taken.values()) == plan.agg(F.sum("copies")).first()[0] and set(taken) <= set(rows) and max(taken.values()) <= 2
+
+
 # Archives
 
 
