@@ -198,6 +198,31 @@ def test_quotas_while_thinning_equal_the_walk(spark, seed, quota, total):
     assert {r.id for r in M.thin_to_quotas(*args, total, 42).collect()} == set(taken)
 
 
+def test_refill_over_stored_rows_sees_few_of_them(spark, tmp_path, monkeypatch):
+    """Rows read from files, as the query reads them; a quota far below the pool thins some of it only."""
+    rng = random.Random(5)
+    data = [(i, "chr1", rng.randint(1, 400_000), f"S{rng.randint(0, 3000)}", rng.choice("ab")) for i in range(6000)]
+    spark.createDataFrame(data, "id long, chrom string, position long, seq string, g string").write.parquet(str(tmp_path / "pool"))
+    df = spark.read.parquet(str(tmp_path / "pool")).filter("id >= 0")
+    quotas = spark.createDataFrame([("a", 10), ("b", 5)], "g string, n long")
+    seen, thin = [], M.thin
+    monkeypatch.setattr(M, "thin", lambda rows_, *rest: seen.append(rows_.count()) or thin(rows_, *rest))
+    got = {r.id for r in M.thin_to_quotas(df, "id", "chrom", "position", "seq", 20, ["g"], quotas, 25, 42).collect()}
+    assert max(seen) < 600
+    taken = []
+
+    def walk(tag, rows_, most):
+        for d in sorted(rows_, key=lambda d: hashlib.sha256(f"42|{tag}|{d[0]}".encode()).hexdigest()):
+            if most and all(abs(d[2] - t[2]) > 20 and d[3] != t[3] for t in taken):
+                taken.append(d)
+                most -= 1
+
+    walk("thin", [d for d in data if d[4] == "a"], 10)
+    walk("thin", [d for d in data if d[4] == "b"], 5)
+    walk("fill", [d for d in data if d not in taken], 10)
+    assert got == {d[0] for d in taken}
+
+
 def test_nulls_lose_and_shortage_is_an_error(spark):
     grid = spark.createDataFrame([("a", None, 1), ("a", 0.5, 2), ("b", None, 3)], "g string, ap double, i int")
     assert rows(W.best_of_grid(grid, ["g"], ["ap"]), "g", "i") == [("a", 2), ("b", 3)]
