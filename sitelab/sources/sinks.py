@@ -13,18 +13,19 @@ from pyspark.sql import types as T
 from sitelab.operators.ordering import global_rank
 
 
-
 def general_number(x: Column, digits: int = 12) -> Column:
-    """Text of a double with that many significant digits, no trailing zeros, exponent only when needed."""
-    full = F.format_string(f"%.{digits - 1}e", x)
-    exponent = F.regexp_extract(full, r"e([+-]\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_replace(F.regexp_replace(full, r"e[+-]\d+$", ""), r"\.?0+$", "")
-    scientific = F.concat(mantissa, F.regexp_extract(full, r"(e[+-]\d+)$", 1))
-    plain = F.regexp_replace(full.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    use_plain = (exponent >= -4) & (exponent < digits)
-    # The decimal cast only runs inside its range.
-    endless = F.when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-    return F.when(endless.isNotNull(), endless).when(x == 0, "0").when(use_plain, plain).otherwise(scientific)
+    """Text of a double with that many significant digits, no trailing zeros, exponent only when needed.
+
+    The digits are those of the exact binary value. The built-in formats round the shortest
+    decimal text instead, which goes the other way where that text ends in a 5.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def text(values: pd.Series) -> pd.Series:
+        # Adding 0.0 takes the sign off a zero.
+        return pd.Series([None if v != v else f"{v + 0.0:.{digits}g}" for v in values.tolist()], dtype=object)
+
+    return text(x)
 
 
 def printable(df: DataFrame, columns: Sequence[str] | None = None, missing: str = "NA", digits: int = 12) -> DataFrame:

@@ -250,6 +250,15 @@ def test_endless_numbers_are_printed(spark):
     assert [r.x for r in printable(df).collect()] == ["inf", "-inf", "NA", "0.25", "NA"]
 
 
+def test_numbers_are_rounded_by_their_exact_value(spark):
+    """The shortest text of these ends in a 5 behind the twelfth digit; the double is a little less, more, or just that."""
+    from sitelab.sources.sinks import printable
+
+    data = [0.1234567890125, 0.1234567890135, 1.000000000005, 0.5000000000005, 1234567890.125, -2.000000000015, 1e-7, 1e15, -0.0, 123456789012.5]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(data)], "i int, x double")
+    assert [r.x for r in printable(df).orderBy(F.col("i").cast("int")).collect()] == [f"{x + 0.0:.12g}" for x in data]
+
+
 def test_gene_coverage_golden(spark):
     data = [("a", 1, 4.0, ["G1"]), ("b", 0, 12.0, ["G1", "G2"]), ("c", 0, 52.0, ["G2"])]
     df = spark.createDataFrame(data, "key string, label int, median_depth double, genes array<string>")
