@@ -52,15 +52,16 @@ def read_tsv(
 
 
 def fields(df: DataFrame, skip: Sequence[str] = (), keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Lines as arrays ``f``. Skipped and unfit lines have no array at all, so that a
-    filter pushed below this step never parses one of their fields."""
+    """Lines as arrays ``f``. Skipped and unfit lines have no array at all, so that no later step parses
+    one of their fields. The arrays come out of a generator, below which no filter on a field is
+    pushed: each line is made and split once, not again for every condition."""
     parts = F.split(F.rtrim(F.col("value"), F.lit("\r\n")), "\t", -1)
     fit = F.lit(True)
     for prefix in skip:
         fit = fit & ~F.col("value").startswith(prefix)
     if keep is not None:
         fit = fit & keep(parts)
-    return df.select(F.when(fit, parts).alias("f")).filter(F.col("f").isNotNull())
+    return df.select(F.explode(F.array(F.when(fit, parts))).alias("f")).filter(F.col("f").isNotNull())
 
 
 def parse_pileup(

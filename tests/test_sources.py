@@ -157,3 +157,12 @@ def test_appending_other_columns_is_an_error(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     with pytest.raises(ValueError, match="has the columns"):
         O.append_parquet(df.select(F.col("id").cast("int"), "key"), path)
+
+
+def test_lines_are_split_once(spark):
+    """Filters on parsed fields do not bring back the splitting, nor what makes the line."""
+    made = spark.range(5).select(F.concat_ws("\t", F.md5(F.col("id").cast("string")), *[F.lit("30")] * 10).alias("value"))
+    reads = T.parse_sam(made).filter(T.read_filter(30, 1)).select("qname", "mapq")
+    plan = reads._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("split("), plan.count("md5(")) == (1, 1)
+    assert reads.count() == 5
