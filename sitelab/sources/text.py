@@ -15,13 +15,14 @@ from pyspark.sql import types as T
 
 from sitelab.functions.pileup import COUNT_FIELDS, base_counts
 from sitelab.operators.intervals import points_in_intervals
-from sitelab.operators.skew import first_by
 
 # Read filter of the counting rules.
 FILTER_FLAGS = 3844
 MIN_MAPQ = 30
 MIN_BASEQ = 20
 REVERSE_FLAG = 16
+#: Bases of the axis on which reads and sites meet.
+READ_BIN = 1 << 8
 MISSING_TEXT = ("", "NA", "-")
 
 
@@ -237,9 +238,9 @@ def aligned_blocks(reads: DataFrame) -> DataFrame:
             F.when(aligned, F.concat(state["blocks"], F.array(block))).otherwise(state["blocks"]).alias("blocks"),
         )
 
-    walked = reads.withColumn("_blocks", F.aggregate(steps, empty, step, lambda s: s["blocks"]))
     keep = [c for c in reads.columns if c != "start"]
-    return walked.select(*keep, F.inline("_blocks"))
+    # Not a column first: a filter on its size would walk every read again.
+    return reads.select(*keep, F.inline(F.aggregate(steps, empty, step, lambda s: s["blocks"])))
 
 
 def count_bases(
@@ -248,30 +249,34 @@ def count_bases(
     """Base counts by direction at the sites (chrom, position), by sample.
 
     Reads meet sites by a binned range join on their aligned stretches; mates
-    that overlap at a site count once, by the base of higher quality.
+    that overlap at a site count once, by the base of higher quality. The bin stays
+    in the keys, so both counts run where the join left the hits and no hit is
+    shuffled; what decides between mates is one number, which a hash table holds.
     """
     blocks = aligned_blocks(reads.filter(read_filter(min_mapq)))
     wanted = sites.select("chrom", "position", (F.col("position") - 1).alias("position0")).distinct()
-    hits = points_in_intervals(wanted, blocks, ["chrom"], "position0", width=1 << 8)
+    hits = points_in_intervals(wanted, blocks, ["chrom"], "position0", width=READ_BIN, keep_bin="_place")
     at = (F.col("read_at") + F.col("position0") - F.col("start0") + 1).cast("int")
+    place = [*extra, "chrom", "_place", "position"]
     seen = hits.select(
-        *extra,
-        "chrom",
-        "position",
+        *place,
         "qname",
         "flag",
         F.upper(F.substring("bases", at, F.lit(1))).alias("base"),
         (F.ascii(F.substring("quals", at, F.lit(1))) - 33).alias("quality"),
     ).filter((F.col("quality") >= min_baseq) & F.col("base").isin("A", "C", "G", "T"))
-    key = [*extra, "chrom", "position", "qname"]
-    once = first_by(seen, key, [-F.col("quality"), F.col("flag")])
+    # Highest quality, then the smallest flag, then the first base, from the high bits to the low ones.
+    order = F.shiftleft((255 - F.col("quality")).cast("bigint"), 40) + F.shiftleft(F.col("flag").cast("bigint"), 8) + F.ascii("base")
+    best = seen.groupBy(*place, "qname").agg(F.min(order).alias("_best"))
+    base = F.chr(F.col("_best").bitwiseAND(F.lit(255)))
+    once = best.select(*place, base.alias("base"), F.shiftright("_best", 8).bitwiseAND(F.lit((1 << 32) - 1)).alias("flag"))
     reverse = F.col("flag").bitwiseAND(F.lit(REVERSE_FLAG)) != 0
     columns = [
         F.count_if((F.col("base") == b) & (reverse if d == "reverse" else ~reverse)).alias(f"{b}_{d}")
         for b in "ACGT"
         for d in ("forward", "reverse")
     ]
-    return once.groupBy(*extra, "chrom", "position").agg(*columns)
+    return once.groupBy(*place).agg(*columns).drop("_place")
 
 
 def reference_tiles(

@@ -166,3 +166,20 @@ def test_lines_are_split_once(spark):
     plan = reads._jdf.queryExecution().optimizedPlan().toString()
     assert (plan.count("split("), plan.count("md5(")) == (1, 1)
     assert reads.count() == 5
+
+
+def test_hits_are_counted_where_they_arise(spark):
+    """Behind the join of reads and sites nothing is shuffled; mates count once, ties by flag."""
+    reads = [("a", 0, "chr1", 11, 60, "5M", "ACGTA", "IIIII"), ("a", 16, "chr1", 13, 60, "5M", "TTTTT", "JIII#"), ("b", 16, "chr1", 15, 60, "2M", "cg", "II")]
+    reads = spark.createDataFrame(reads, "qname string, flag int, chrom string, start long, mapq int, cigar string, bases string, quals string")
+    sites = spark.createDataFrame([("chr1", p) for p in (13, 14, 15, 16, 17, 40)], "chrom string, position long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = T.count_bases(sites, reads, extra=())
+        names = [c for c in found.columns if c[1:2] == "_"]
+        got = {r.position: {n: r[n] for n in names if r[n]} for r in found.collect()}
+        executed = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {13: {"T_reverse": 1}, 14: {"T_forward": 1}, 15: {"A_forward": 1, "C_reverse": 1}, 16: {"T_reverse": 1, "G_reverse": 1}}
+    assert "Exchange" in executed and "Exchange" not in executed.split("Join")[0]
