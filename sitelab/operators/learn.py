@@ -8,27 +8,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import (
-    IDF,
-    PCA,
-    CountVectorizer,
-    ElementwiseProduct,
-    Normalizer,
-    StandardScaler,
-    VectorAssembler,
-)
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelab.functions.scoring import sigmoid
-from sitelab.functions.sequences import kmers
 from sitelab.operators.calibrate import logistic
-from sitelab.operators.newton import Fit, fit_logistic, kmer_counts
+from sitelab.operators.newton import Fit, decision_values, fit_logistic, kmer_matrix, kmer_places
 from sitelab.operators.ordering import global_rank, top_k
 from sitelab.operators.ranking import best_per_sequence
 from sitelab.session import cut
@@ -136,11 +128,9 @@ def pool_tokens(tokens: DataFrame, key: str, position: str, vector: str, centre:
 
 def kmer_logistic(train: DataFrame, label: str, numerics: Sequence[str], seq: str = "seq", c: float = 1.0):
     """1-4-mer counts with standardised composition numbers. Returns a scoring function."""
-    numbers = F.array(*[F.col(n).cast("double") for n in numerics])
-    features = F.concat(kmer_counts(seq, 1, 4), numbers)
-    size = sum(4**k for k in range(1, 5))
-    (model,) = fit_logistic(train.select(features.alias("x"), label), "x", label, [Fit(c)], range(size, size + len(numerics)))
-    return lambda df: df.withColumn("score", model.score(features))
+    numbers = _numbers(numerics, None)
+    (model,) = fit_logistic(train.select(numbers.alias("x"), label, F.col(seq).alias("text")), "x", label, [Fit(c)], ("text", 1, 4))
+    return lambda df: df.withColumn("score", model.score(numbers, seq))
 
 
 def _numbers(numerics: Sequence[str], array: str | None) -> Column:
@@ -163,11 +153,9 @@ def probe_grid(
     """Development scores of every (C, class weight) probe, long by model_id; all probes are fitted together."""
     fits = [Fit(c, balanced) for c, balanced in itertools.product(cs, balances)]
     models = fit_logistic(train, array, label, fits)
-    named = [
-        F.struct(F.lit(f"C{f.c:g}_weight_{'balanced' if f.balanced else 'none'}").alias("model_id"), m.score(array).alias("score"))
-        for f, m in zip(fits, models)
-    ]
-    return dev.withColumn("_probe", F.explode(F.array(*named))).select(*dev.columns, "_probe.score", "_probe.model_id")
+    names = F.array(*[F.lit(f"C{f.c:g}_weight_{'balanced' if f.balanced else 'none'}") for f in fits])
+    probes = F.arrays_zip(names.alias("model_id"), decision_values(models, array).alias("score"))
+    return dev.withColumn("_probe", F.explode(probes)).select(*dev.columns, "_probe.score", "_probe.model_id")
 
 
 def principal_components(train: DataFrame, array: str, k: int):
@@ -182,24 +170,83 @@ def principal_components(train: DataFrame, array: str, k: int):
 
 
 @F.udf(VectorUDT())
-def _sublinear(v):
-    return SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
-
-
-@F.udf(VectorUDT())
-def _signed_difference(a, b, flip):
-    """a - b, or b - a when flipped, as a sparse vector."""
-    values = {}
-    for sign, v in ((-1.0 if flip else 1.0, a), (1.0 if flip else -1.0, b)):
-        entries = zip(v.indices.tolist(), v.values.tolist()) if isinstance(v, SparseVector) else enumerate(v.toArray().tolist())
-        for i, x in entries:
-            if x:
-                values[i] = values.get(i, 0.0) + sign * x
-    return SparseVector(len(a), sorted(values.items()))
+def _sparse(size, places, values):
+    return SparseVector(size, places, values)
 
 
 # Stopping rule for models on many correlated counts; more steps no longer change the ranking.
 COARSE = {"max_iter": 100, "tol": 1e-4}
+#: Rows whose thousands of k-mer counts a task holds at a time.
+WIDE_BLOCK = 250
+
+
+def document_frequencies(rows: DataFrame, seq: str, low: int, high: int) -> np.ndarray:
+    """In how many texts each k-mer occurs: one vector of counts per task, summed where they arise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(kmer_places(low, high)[-1])
+        for batch in batches:
+            for start in range(0, batch.num_rows, WIDE_BLOCK):
+                total += (kmer_matrix(batch.column(0).slice(start, WIDE_BLOCK).to_pylist(), low, high) > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+    found = rows.select(seq).mapInArrow(run, "v array<double>").agg(Summarizer.sum(array_to_vector("v")).alias("v")).first()["v"]
+    return np.zeros(kmer_places(low, high)[-1]) if found is None else found.toArray()
+
+
+@dataclass(frozen=True)
+class KmerNumbers:
+    """Sublinear TF-IDF k-mers of unit length next to standardised numbers, made in numpy where the rows lie."""
+
+    low: int
+    high: int
+    idf: np.ndarray
+    mean: np.ndarray
+    factor: np.ndarray
+
+    def kmers(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, value) of all k-mers of the vocabulary, by row, then place."""
+        counts = kmer_matrix(texts, self.low, self.high)
+        row, place = np.nonzero(counts)
+        known = self.idf[place] > 0
+        row, place = row[known], place[known]
+        value = (1.0 + np.log(counts[row, place])) * self.idf[place]
+        return row, place, value / np.sqrt(np.bincount(row, value * value, minlength=len(counts)))[row]
+
+    def numbers(self, values: Sequence[Sequence[float]]) -> np.ndarray:
+        return (np.array([list(v) for v in values], dtype=float).reshape(len(values), len(self.mean)) - self.mean) * self.factor
+
+    def matrix(self, texts: Sequence[str | None], values: Sequence[Sequence[float]]) -> np.ndarray:
+        row, place, value = self.kmers(texts)
+        out = np.zeros((len(texts), len(self.idf)))
+        out[row, place] = value
+        return np.column_stack([out, self.numbers(values)])
+
+    def margin(self, weights: np.ndarray, seq: str, numbers: Column) -> Column:
+        """Inner product of the features with ``weights``; equal rows score the same to the last bit."""
+
+        @F.pandas_udf("double")
+        def value(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for texts, values in batches:
+                out = np.zeros(len(texts))
+                for start in range(0, len(out), WIDE_BLOCK):
+                    part = slice(start, start + WIDE_BLOCK)
+                    row, place, v = self.kmers(texts[part].tolist())
+                    out[part] = np.bincount(row, v * weights[place], minlength=len(out[part]))
+                    out[part] += (self.numbers(values[part].tolist()) * weights[len(self.idf) :]).sum(axis=1)
+                yield pd.Series(out)
+
+        return value(seq, numbers)
+
+
+def _kmer_numbers(rows: DataFrame, numbers: Column, seq: str, low: int, high: int) -> KmerNumbers:
+    """Scales of the features over ``rows``: k-mers of fewer than two texts are left out, a constant number is 0."""
+    stat = rows.select(array_to_vector(numbers).alias("v")).agg(Summarizer.metrics("mean", "std", "count").summary(F.col("v")).alias("s"))
+    stat = stat.select("s.mean", "s.std", "s.count").first()
+    seen = document_frequencies(rows, seq, low, high)
+    idf = np.where(seen >= 2, np.log((stat["count"] + 1) / (seen + 1)) + 1.0, 0.0)
+    sd = stat["std"].toArray()
+    return KmerNumbers(low, high, idf, stat["mean"].toArray(), np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 0))
 
 
 def pairwise_ranker(
@@ -211,46 +258,43 @@ def pairwise_ranker(
     c: float = 1.0,
     low: int = 3,
     high: int = 6,
-    vocabulary: int = 100_000,
 ):
     """Logistic ranker on feature differences of (positive_id, negative_id) pairs.
 
-    Features are sublinear TF-IDF k-mers of unit length next to standardised
-    numbers, and there is no intercept. A pair and its mirror image have the same
-    loss, so each pair enters once, with a sign by hash, and counts twice.
+    Features are sublinear TF-IDF k-mers over A, C, G, T of unit length next to
+    standardised numbers, and there is no intercept. A pair and its mirror image have
+    the same loss, so each pair enters once, with a sign by hash, and counts twice.
     """
-    prepare = lambda df: df.withColumn("_kmers", kmers(seq, low, high))
-    base = prepare(rows)
-    counter = CountVectorizer(inputCol="_kmers", outputCol="_counts", minDF=2.0, vocabSize=vocabulary).fit(base)
-    idf = IDF(inputCol="_counts", outputCol="_unused").fit(counter.transform(base)).idf.toArray() + 1.0
-    weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_sub", outputCol="_weighted")
-    unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit")
-    numbers = VectorAssembler(inputCols=list(numerics), outputCol="_numbers")
-    scaler = StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True).fit(numbers.transform(base))
-    joined = VectorAssembler(inputCols=["_unit", "_scaled"], outputCol="features")
-
-    def features(df: DataFrame) -> DataFrame:
-        out = counter.transform(prepare(df)).withColumn("_sub", _sublinear("_counts"))
-        return joined.transform(scaler.transform(numbers.transform(unit.transform(weigh.transform(out)))))
-
-    # Written once: both sides of the pairs read it.
-    vectors = cut(features(rows).select(key, "features"))
-    left = vectors.select(F.col(key).alias("positive_id"), F.col("features").alias("_p"))
-    right = vectors.select(F.col(key).alias("negative_id"), F.col("features").alias("_n"))
-    both = pairs.join(left, "positive_id").join(right, "negative_id")
+    numbers = _numbers(numerics, None)
+    # Written once: the scales and both sides of the pairs read it.
+    used = cut(rows.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"), numbers.alias("_x")))
+    features = _kmer_numbers(used, F.col("_x"), "_seq", low, high)
+    left = used.select(F.col("_key").alias("positive_id"), F.col("_seq").alias("_ps"), F.col("_x").alias("_px"))
+    right = used.select(F.col("_key").alias("negative_id"), F.col("_seq").alias("_ns"), F.col("_x").alias("_nx"))
     flip = F.pmod(F.xxhash64("positive_id", "negative_id"), F.lit(2)) == 1
-    signed = both.select(
-        _signed_difference("_p", "_n", flip).alias("x"), F.when(flip, 0.0).otherwise(1.0).alias("y")
-    )
-    model = logistic(signed, "x", "y", 2 * c, intercept=False, **COARSE)
-    weights = model.coefficients
+    both = pairs.join(left, "positive_id").join(right, "negative_id").select("_ps", "_px", "_ns", "_nx", flip.alias("_flip"))
 
-    def score(df: DataFrame) -> DataFrame:
-        scored = model.setFeaturesCol("features").transform(features(df))
-        margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
-        return scored.withColumn("score", margin).select(*df.columns, "score")
-
-    return score, weights
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, WIDE_BLOCK):
+                ps, px, ns, nx, flips = (c.to_pylist() for c in batch.slice(start, WIDE_BLOCK).columns)
+                x = features.matrix(ps, px) - features.matrix(ns, nx)
+                x[np.array(flips)] *= -1.0
+                places = [np.flatnonzero(v) for v in x]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x.shape[1]] * len(x), pa.int32()),
+                        pa.array(places, pa.list_(pa.int32())),
+                        pa.array([v[p] for v, p in zip(x, places)], pa.list_(pa.float64())),
+                        pa.array([0.0 if f else 1.0 for f in flips]),
+                    ],
+                    names=["size", "places", "values", "y"],
+                )
+
+    signed = both.mapInArrow(differences, "size int, places array<int>, values array<double>, y double")
+    model = logistic(signed.select(_sparse("size", "places", "values").alias("x"), "y"), "x", "y", 2 * c, intercept=False, **COARSE)
+    weights = model.coefficients.toArray()
+    return lambda df: df.withColumn("score", features.margin(weights, seq, numbers)), weights
 
 
 Scorer = Callable[[pd.DataFrame], np.ndarray]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,25 +17,46 @@ from sitelab.session import cut
 
 STEPS = 50
 ROWS_PER_TASK = 25_000
+#: Rows that a task turns into a matrix at a time.
+BLOCK = 1_000
 
 
 @dataclass(frozen=True)
 class LinearModel:
-    """A decision value ``weights . x + offset`` over raw features."""
+    """A decision value ``weights . x + offset`` over raw features; k-mer counts of lengths ``counted`` come before ``x``."""
 
     weights: np.ndarray
     offset: float
+    counted: tuple[int, int] | None = None
 
-    def score(self, x: str | Column) -> Column:
-        """Batches through numpy, so that hundreds of weights cost no expression tree; equal rows score the same to the last bit."""
-        weights, offset = self.weights, self.offset
+    def score(self, x: str | Column, text: str | Column | None = None) -> Column:
+        return F.get(decision_values([self], x, text), F.lit(0))
 
-        @F.pandas_udf("double")
-        def value(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield pd.Series((np.array(batch.tolist(), dtype=float).reshape(len(batch), len(weights)) * weights).sum(axis=1) + offset)
 
-        return value(x)
+def decision_values(models: Sequence[LinearModel], x: str | Column, text: str | Column | None = None) -> Column:
+    """The values of several models over the same features, as one array made in one pass.
+
+    Batches go through numpy, so that hundreds of weights cost no expression tree, a block of
+    rows at a time; equal rows score the same to the last bit.
+    """
+    counted = models[0].counted
+    weights, offsets = [m.weights for m in models], [m.offset for m in models]
+
+    @F.pandas_udf("array<double>")
+    def values(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            out = np.zeros((len(columns[0]), len(weights)))
+            for start in range(0, len(out), BLOCK):
+                part = slice(start, start + BLOCK)
+                block = np.array(columns[0][part].tolist(), dtype=float).reshape(len(out[part]), -1)
+                if counted is not None:
+                    block = np.column_stack([kmer_matrix(columns[1][part], *counted), block])
+                for i, (w, offset) in enumerate(zip(weights, offsets)):
+                    out[part, i] = (block * w).sum(axis=1) + offset
+            yield pd.Series(list(out))
+
+    return values(x) if counted is None else values(x, text)
 
 
 @dataclass(frozen=True)
@@ -63,7 +84,10 @@ def batch_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray)
     return np.column_stack([bend, gradient, loss])
 
 
-def _summed(data: DataFrame, mean: np.ndarray, scale: np.ndarray, share: dict[int, dict[int, float]], at: dict[int, np.ndarray]):
+def _summed(
+    data: DataFrame, mean: np.ndarray, scale: np.ndarray, share: dict[int, dict[int, float]], at: dict[int, np.ndarray],
+    counted: tuple[int, int] | None = None,
+):
     """Curvature, gradient and loss of every fit in ``at``, by one pass over the rows.
 
     A task sends one row per fit and feature; they are summed by feature, with partial
@@ -73,14 +97,15 @@ def _summed(data: DataFrame, mean: np.ndarray, scale: np.ndarray, share: dict[in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = (_matrix(batch.column(0)) - mean) / scale
-            x = np.column_stack([x, np.ones(len(x))])
-            y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            for f, w in at.items():
-                weight = np.where(y == 1, share[f][1], share[f][0])
-                sums[f] = sums.get(f, 0.0) + batch_sums(x, y, weight, w)
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                x = (_matrix(part.column(0)) - mean) / scale
+                ahead = [] if counted is None else [kmer_matrix(part.column(2).to_pylist(), *counted)]
+                x = np.column_stack([*ahead, x, np.ones(len(x))])
+                y = part.column(1).to_numpy(zero_copy_only=False).astype(float)
+                for f, w in at.items():
+                    weight = np.where(y == 1, share[f][1], share[f][0])
+                    sums[f] = sums.get(f, 0.0) + batch_sums(x, y, weight, w)
         for f, total in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f] * len(total), pa.int32()), pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))],
@@ -89,7 +114,7 @@ def _summed(data: DataFrame, mean: np.ndarray, scale: np.ndarray, share: dict[in
 
     parts = data.mapInArrow(run, "fit int, i int, v array<double>")
     found = parts.groupBy("fit", "i").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()
-    size = len(mean) + 1
+    size = len(next(iter(at.values())))
     out = {f: np.zeros((size, size + 2)) for f in at}
     for r in found:
         out[r["fit"]][r["i"]] = r["v"].toArray()
@@ -97,18 +122,20 @@ def _summed(data: DataFrame, mean: np.ndarray, scale: np.ndarray, share: dict[in
 
 
 def fit_logistic(
-    rows: DataFrame, x: str, label: str, fits: Sequence[Fit] = (Fit(),), scaled: Sequence[int] | None = None, tol: float = 1e-9
+    rows: DataFrame, x: str, label: str, fits: Sequence[Fit] = (Fit(),), counted: tuple[str, int, int] | None = None, tol: float = 1e-9
 ) -> list[LinearModel]:
     """Penalised logistic fits with an unpenalised constant, all fits of ``fits`` together.
 
-    ``x`` is an array column of one length without NULLs. The features at the places
-    ``scaled`` (all, if None) are centred and divided by their sample deviation first; a
-    constant one stays as it is. Each Newton step is one pass that sums gradient, curvature
+    ``x`` is an array column of one length without NULLs. Its features are centred and
+    divided by their sample deviation first; a constant one stays as it is. With ``counted``
+    (text column, shortest, longest) the k-mer counts of a text come before ``x``, as they
+    are: each pass counts them where the rows lie, so that only the text is stored. Each Newton step is one pass that sums gradient, curvature
     and loss of all fits still moving; a step that makes a loss larger is halved. Rows with a
     NULL array or label are left out. Both classes must be there.
     """
-    used = rows.select(F.col(x).cast("array<double>").alias("x"), F.col(label).cast("int").alias("y")).dropna()
-    data = cut(used)
+    text, lengths = ([], None) if counted is None else ([F.col(counted[0]).alias("text")], counted[1:])
+    used = rows.select(F.col(x).cast("array<double>").alias("x"), F.col(label).cast("int").alias("y"), *text)
+    data = cut(used.dropna(subset=["x", "y"]))
     stat = data.groupBy("y").agg(
         Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("x")).alias("s")
     ).select("y", "s.mean", "s.variance", "s.count").collect()
@@ -121,18 +148,16 @@ def fit_logistic(
     square = sum(r["variance"].toArray() * (r["count"] - 1) + r["count"] * (r["mean"].toArray() - mean) ** 2 for r in stat)
     scale = np.sqrt(square / (total - 1))
     scale[scale == 0] = 1.0
-    if scaled is not None:
-        plain = np.setdiff1d(np.arange(len(mean)), np.asarray(scaled, dtype=int))
-        mean[plain], scale[plain] = 0.0, 1.0
+    ahead = 0 if lengths is None else kmer_places(*lengths)[-1]
     share = {f: {k: total / (2 * n) if fit.balanced else 1.0 for k, n in counts.items()} for f, fit in enumerate(fits)}
     few = data.coalesce(1 + total // ROWS_PER_TASK)
-    penalty = {f: np.append(np.full(len(mean), 1 / fit.c), 0.0) for f, fit in enumerate(fits)}
-    at = {f: np.zeros(len(mean) + 1) for f in range(len(fits))}
+    penalty = {f: np.append(np.full(ahead + len(mean), 1 / fit.c), 0.0) for f, fit in enumerate(fits)}
+    at = {f: np.zeros(ahead + len(mean) + 1) for f in range(len(fits))}
     last: dict[int, tuple[np.ndarray, float]] = {}
     done = {}
     for _ in range(STEPS):
         moved = {}
-        for f, (bend, gradient, loss) in _summed(few, mean, scale, share, at).items():
+        for f, (bend, gradient, loss) in _summed(few, mean, scale, share, at, lengths).items():
             w = at[f]
             loss = loss + 0.5 * (penalty[f] * w * w).sum()
             if f in last and loss > last[f][1] + 1e-9 * abs(last[f][1]):
@@ -150,38 +175,46 @@ def fit_logistic(
         raise RuntimeError(f"{len(at)} fits still move after {STEPS} steps")
     models = []
     for f in range(len(fits)):
-        w = done[f][:-1] / scale
-        models.append(LinearModel(w, float(done[f][-1] - (w * mean).sum())))
+        w = done[f][:-1].copy()
+        w[ahead:] /= scale
+        models.append(LinearModel(w, float(done[f][-1] - (w[ahead:] * mean).sum()), lengths))
     return models
 
 
+def kmer_places(low: int, high: int) -> np.ndarray:
+    """Where the k-mers of each length start among all of them, and at the end how many there are."""
+    return np.cumsum([0, *[4**k for k in range(low, high + 1)]])
+
+
+def kmer_matrix(texts: Iterable[str | None], low: int, high: int) -> np.ndarray:
+    """Counts of all k-mers over A, C, G, T, one row per text, by k, then in letter order."""
+    code = np.full(256, -1, dtype=np.int64)
+    code[np.frombuffer(b"ACGT", dtype=np.uint8)] = range(4)
+    encoded = [(s or "").encode() for s in texts]
+    starts = kmer_places(low, high)
+    out = np.zeros(len(encoded) * starts[-1])
+    # One separator that is no letter ends every text, so that no k-mer spans two.
+    letters = code[np.frombuffer(b"".join(t + b"-" for t in encoded), dtype=np.uint8)]
+    row = np.repeat(np.arange(len(encoded)), [len(t) + 1 for t in encoded]) * starts[-1]
+    number, sound = np.zeros(len(letters), dtype=np.int64), np.ones(len(letters), dtype=bool)
+    for k in range(1, min(high, len(letters)) + 1):
+        n = len(letters) - k + 1
+        part = letters[k - 1 :]
+        number, sound = number[:n] * 4 + part, sound[:n] & (part >= 0)
+        if k >= low:
+            out += np.bincount(row[:n][sound] + starts[k - low] + number[sound], minlength=len(out))
+    return out.reshape(len(encoded), starts[-1])
+
+
 def kmer_counts(seq: str | Column, low: int, high: int) -> Column:
     """Counts of all k-mers over A, C, G, T with low <= k <= high, by k, then in letter order; others do not count.
 
     A k-mer's place is its number in base 4, so no vocabulary is needed. NULL gives zeros.
     """
-    starts = np.cumsum([0, *[4**k for k in range(low, high + 1)]])
 
     @F.pandas_udf("array<double>")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        code = np.full(256, -1, dtype=np.int64)
-        code[np.frombuffer(b"ACGT", dtype=np.uint8)] = range(4)
         for batch in batches:
-            out = np.zeros((len(batch), starts[-1]))
-            texts = [(s or "").encode() for s in batch]
-            # One separator that is no letter ends every text, so that no k-mer spans two.
-            letters = code[np.frombuffer(b"".join(t + b"-" for t in texts), dtype=np.uint8)]
-            row = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-            for k, start in zip(range(low, high + 1), starts):
-                if len(letters) < k:
-                    continue
-                n = len(letters) - k + 1
-                number, sound = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-                for i in range(k):
-                    part = letters[i : i + n]
-                    number, sound = number * 4 + part, sound & (part >= 0)
-                at = row[:n][sound] * starts[-1] + start + number[sound]
-                out += np.bincount(at, minlength=out.size).reshape(out.shape)
-            yield pd.Series(list(out))
+            yield pd.Series([row for i in range(0, len(batch), BLOCK) for row in kmer_matrix(batch[i : i + BLOCK], low, high)])
 
     return counted(seq)

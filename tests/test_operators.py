@@ -781,3 +781,41 @@ def test_kmer_counts_and_fit(spark):
     x = np.column_stack([np.array([c for c, _, _ in full]), (gc - gc.mean()) / gc.std(ddof=1)])
     w = newton_logistic(x, np.array([v for _, _, v in full]), 1.0)
     assert np.allclose(got, x @ w[:-1] + w[-1], atol=1e-6)
+
+
+def test_counted_texts_fit_like_stored_counts(spark):
+    """Counts made in each pass, over several blocks of rows, give the fit of counts that are stored."""
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(25)) for _ in range(G.BLOCK + 300)]
+    df = spark.createDataFrame([(i, s, [float(i % 7)], int(rng.random() < 0.3 + 0.4 * ("GA" in s))) for i, s in enumerate(texts)], "id long, seq string, x array<double>, label int")
+    (model,) = G.fit_logistic(df.coalesce(1), "x", "label", counted=("seq", 1, 2))
+    got = np.array([r.s for r in df.coalesce(1).select("id", model.score("x", "seq").alias("s")).orderBy("id").collect()])
+    full = df.select("id", G.kmer_counts("seq", 1, 2).alias("c"), "x", "label").orderBy("id").collect()
+    number = np.array([r.x[0] for r in full])
+    x = np.column_stack([np.array([list(r.c) for r in full]), (number - number.mean()) / number.std(ddof=1)])
+    w = newton_logistic(x, np.array([r.label for r in full]), 1.0)
+    assert np.allclose(got, x @ w[:-1] + w[-1], atol=1e-6)
+
+
+def test_ranker_features_are_made_in_tasks(spark):
+    """TF-IDF by brute force, and no closure of a fitted model in the plan that scores."""
+    texts = ["ACGTAC", "ACGACG", "TTTT", "AC", None, "ACGNACG"]
+    df = spark.createDataFrame([(i, s, float(i)) for i, s in enumerate(texts)], "id long, seq string, gc double")
+    kit = N._kmer_numbers(df, F.array("gc"), "seq", 2, 3)
+    places = {k: i for i, k in enumerate("".join(p) for n in (2, 3) for p in itertools.product("ACGT", repeat=n))}
+    counts = np.zeros((len(texts), len(places)))
+    for i, s in enumerate(texts):
+        for n in (2, 3):
+            for j in range(len(s or "") - n + 1):
+                if s[j : j + n] in places:
+                    counts[i, places[s[j : j + n]]] += 1
+    seen = (counts > 0).sum(axis=0)
+    v = np.where((counts > 0) & (seen >= 2), (1 + np.log(np.maximum(counts, 1))) * (np.log(7 / (seen + 1)) + 1), 0)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    want = np.column_stack([v / np.where(norm > 0, norm, 1), (np.arange(6) - 2.5) / np.arange(6).std(ddof=1)])
+    assert np.allclose(kit.matrix(texts, [[float(i)] for i in range(6)]), want)
+    pairs = spark.createDataFrame([(0, 2), (1, 2), (5, 3)], "positive_id long, negative_id long")
+    score, weights = N.pairwise_ranker(df, pairs, "id", ["gc"], low=2, high=3)
+    scored = score(df)
+    assert "UDF(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert np.allclose([r.score for r in scored.orderBy("id").collect()], want @ weights)
