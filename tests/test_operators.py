@@ -819,3 +819,16 @@ def test_ranker_features_are_made_in_tasks(spark):
     scored = score(df)
     assert "UDF(" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert np.allclose([r.score for r in scored.orderBy("id").collect()], want @ weights)
+
+
+def test_near_windows_are_a_star(spark):
+    """A long row of near sites links each site to the smallest one, not to its neighbour; a NULL place links nothing."""
+    schema = "site_key long, genes array<string>, seq string, chrom string, position long, strand string"
+    near = [(200 - i, None, f"s{i}", "chr1", 1000 + 100 * i, "+") for i in range(150)]
+    far = [(300, None, "t0", "chr1", 1000 + 100 * 149 + 101, "+"), (301, None, "t1", "chr1", 5050, "-"), (302, None, "t2", "chr1", 5150, "-")]
+    none = [(400, None, "u0", None, 1000, "+"), (401, None, "u1", "chr2", None, "+"), (402, None, "u2", "chr2", 70, None), (403, None, "u3", "chr2", 170, None)]
+    df = spark.createDataFrame(near + far + none, schema)
+    edges = rows(K.leakage_edges(df).distinct(), "a", "b")
+    assert edges == sorted([(i, 51) for i in range(52, 201)] + [(302, 301), (403, 402)])
+    sizes = dict(rows(K.leakage_components(df), "component", "group_size"))
+    assert sizes == {51: 150, 300: 1, 301: 2, 400: 1, 401: 1, 402: 2}
