@@ -250,6 +250,18 @@ def _dealt(docs: DataFrame, weights: Sequence[float], share: float, cap: int, si
     return both.select(*out, "copies", (F.col("copies") * F.col("size")).alias("taken"), "who", "turn")
 
 
+PLAIN_KEYS = ("_who", "_doc", "_no_doc", "_source", "_no_source")
+
+
+def _plain_keys(who: Column) -> list[Column]:
+    """PLAIN_KEYS: doc_id, source and ``who`` as columns without NULL, which a join and a window can share."""
+    doc, source = F.col("doc_id"), F.col("source")
+    return [
+        who.alias("_who"), F.coalesce(doc.cast("string"), F.lit("")).alias("_doc"), doc.isNull().alias("_no_doc"),
+        F.coalesce(source, F.lit("")).alias("_source"), source.isNull().alias("_no_source"),
+    ]
+
+
 def mixed_documents(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, size: Column | None = None
 ) -> DataFrame:
@@ -257,14 +269,15 @@ def mixed_documents(
 
     Rows with one doc_id, source and text are numbered together; all others meet the plan by their key alone.
     """
-    keys = ["doc_id", "source", "_who"]
-    plan = _dealt(docs, weights, share, cap, size).filter(F.col("copies") > 0)
-    plan = plan.select(F.col("doc_id").alias("_p0"), F.col("source").alias("_p1"), F.col("who").alias("_p2"), F.col("turn").alias("_p3"), "copies")
-    rows = packed(docs, "doc_id", "source", _who().alias("_who"))
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy("_who")).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_p0")) & F.col("source").eqNullSafe(F.col("_p1"))
-    same = same & (F.col("_who") == F.col("_p2")) & (F.col("_turn") == F.col("_p3"))
-    taken = rows.join(plan, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    plan = _dealt(docs, weights, share, cap, size).groupBy(*_plain_keys(F.col("who"))).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    # Equal rows differ by one copy at most, the first of them take more.
+    each = F.floor(F.col("_sum") / F.col("_n"))
+    plan = plan.filter(F.col("_sum") > 0).withColumn("_each", each).withColumn("_more", F.col("_sum") - F.col("_each") * F.col("_n"))
+    rows = packed(docs, *_plain_keys(_who()))
+    # The join and the numbers need the same placement, so that texts are shuffled once.
+    turn = F.row_number().over(Window.partitionBy(*PLAIN_KEYS).orderBy("_who"))
+    taken = rows.join(plan, list(PLAIN_KEYS)).withColumn("_copies", F.col("_each") + (turn <= F.col("_more")).cast("long"))
+    taken = taken.filter(F.col("_copies") > 0).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return unpacked(taken, docs.columns)
 
 

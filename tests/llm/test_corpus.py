@@ -563,3 +563,22 @@ def test_pipeline_against_brute_force(spark):
     for r in frames[5].collect():
         assert r.round_trip and r.ids == pieces.encode(r.text, vocabulary) and r.n_ids == len(r.ids)
     assert frames[5].count() == frames[4].count()
+
+
+def test_mixed_texts_are_shuffled_once(spark):
+    """The join with the plan and the numbers of equal rows share one placement of the rows; equal rows differ by one copy at most."""
+    data = [(i, f"a b c {i}", "s" if i % 3 else None) for i in range(30)] + [(None, "x y", "s")] * 3 + [(7, "same same", "t")] * 5
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        taken = mixing.mixed_documents(docs)
+        plan = taken._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\(_who", plan)) == 1
+        got = Counter((r.doc_id, r.text, r.source) for r in taken.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = Counter()
+    for r in mixing.mix(docs).join(docs.distinct(), "doc_id").filter("doc_id <> 7").collect():
+        want[r.doc_id] += r.copies
+    assert {d: c for (d, _, _), c in got.items() if d not in (None, 7)} == {d: c for d, c in want.items() if c}
