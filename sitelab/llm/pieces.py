@@ -46,8 +46,8 @@ MARK = "▁"
 #: Characters of stretches that a worker remembers before the table becomes the older one of two, and pairs before they start anew.
 REMEMBERED = 1_500_000
 PAIRS = 250_000
-#: Bytes of texts that are encoded together.
-BLOCK = 8 << 20
+#: Bytes of texts that are encoded together; a worker keeps what the largest block took from the system.
+BLOCK = 2 << 20
 #: A pair of pieces is one whole number; what stands for no piece is none of theirs.
 WIDE = 1 << 32
 NO_PIECE = -(1 << 30)

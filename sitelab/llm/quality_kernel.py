@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitelab.llm.common import checked_columns, packed, stored, table, unpacked
 from sitelab.llm.decision_list import FEATURES, statistics
@@ -36,6 +35,8 @@ LABELLED = 1_000_000
 #: Tasks that sum normal equations; each sends one matrix per half, (WAVES + 1)^2 doubles.
 SUMMING = 8
 THRESHOLD = 0.3
+#: Rows whose waves are made at a time.
+ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,8 @@ class Kernel:
     constant: float | None = None
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return waves((x - self.mean) / self.scale) @ self.weights
+        blocks = (x[at : at + ROWS] for at in range(0, max(len(x), 1), ROWS))
+        return np.concatenate([waves((block - self.mean) / self.scale) @ self.weights for block in blocks])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -76,8 +78,8 @@ def _sums(mean: np.ndarray, scale: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, WAVES + 1, WAVES + 2))
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 z = waves((_matrix(batch) - mean) / scale)
                 y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
                 half = batch.column("half").to_numpy(zero_copy_only=False)
@@ -156,33 +158,31 @@ def fit(stats: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Kernel:
     return Kernel(mean, scale, _solve(sums[0] + sums[1]), knots)
 
 
-def scored(stats: DataFrame, model: Kernel, carried: str = "doc_id") -> DataFrame:
-    """(``carried``, score) of every row of ``stats``."""
-    kept = stats.select(carried, *FEATURES)
+def score_column(model: Kernel) -> Column:
+    """The score of a row of FEATURES. Only these go to Python: the texts and whatever else is in the row stay in the JVM."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = model.score(_matrix(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(carried), pa.array(score, pa.float64())], names=[carried, "score"])
+    @F.arrow_udf("double")
+    def score(rows: pa.Array) -> pa.Array:
+        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+        return pa.array(model.score(x), pa.float64())
 
-    return kept.mapInArrow(run, T.StructType([kept.schema[carried], T.StructField("score", T.DoubleType())]))
+    return score(F.array(*FEATURES))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
     """(doc_id, score) of every document; only rows with ``train`` lend their labels."""
     stats = stored(statistics(docs).select("doc_id", *FEATURES), "kernel-stats")
     model = fit(stats if train is None else stats.filter(train), labels)
-    return scored(stats, model)
+    return stats.select("doc_id", score_column(model).alias("score"))
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more.
 
-    Each row is judged by its own text, whatever its doc_id: it travels along with its statistics.
+    Each row is judged by its own text, whatever its doc_id: it is kept beside its statistics.
     """
     stats = stored(statistics(packed(docs, "doc_id", "text"), "_row").select("doc_id", *FEATURES, "_row"), "kernel-stats")
-    met = scored(stats, fit(stats, labels), "_row")
-    return unpacked(met.filter(F.col("score") >= threshold), docs.columns)
+    return unpacked(stats.filter(score_column(fit(stats, labels)) >= threshold), docs.columns)
 
 
 @query("op8_quality_classifier")

@@ -168,6 +168,29 @@ def test_each_row_is_accepted_by_its_own_text(spark):
         assert sorted(r.text for r in quality_kernel.accepted_documents(other, marked).select("text").collect()) == kept
 
 
+def test_texts_of_accepted_documents_stay_out_of_python(spark, edges, labels):
+    """Only the statistics are sent to be scored: rows that travelled along cost an executor the memory of their texts."""
+    kept = quality_kernel.accepted_documents(edges, labels, threshold=0.0)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    sent = re.findall(r"ArrowEvalPython \[score\((.*)\)#\d+\], ", plan)
+    assert len(sent) == 1 and sent[0].startswith("array(mean_word#") and "_row" not in sent[0]
+
+
+def test_memory_of_scores_does_not_follow_the_batch():
+    x = np.random.default_rng(5).normal(size=(30_000, len(FEATURES)))
+    width = len(FEATURES)
+    model = quality_kernel.Kernel(np.zeros(width), np.ones(width), np.linspace(-1, 1, quality_kernel.WAVES + 1), None)
+    tracemalloc.start()
+    raw = model.raw(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(raw, quality_kernel.waves(x) @ model.weights)
+    assert len(model.raw(x[:0])) == 0
+    # The waves of all rows at once are 60 MB, taken several times.
+    assert peak < 40e6
+
+
 # Language field
 
 
