@@ -9,20 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelab.functions.pileup import COUNT_FIELDS, base_counts
-from sitelab.operators.intervals import points_in_intervals
+from sitelab.functions.stretches import WIDTH, count_bins, cut_reads
 
 # Read filter of the counting rules.
 FILTER_FLAGS = 3844
 MIN_MAPQ = 30
 MIN_BASEQ = 20
-REVERSE_FLAG = 16
-#: Bases of the axis on which reads and sites meet.
-READ_BIN = 1 << 8
 MISSING_TEXT = ("", "NA", "-")
 
 
@@ -214,69 +211,39 @@ def read_filter(min_mapq: int = MIN_MAPQ, flags: int = FILTER_FLAGS) -> Column:
     return (F.col("flag").bitwiseAND(F.lit(flags)) == 0) & (F.col("mapq") >= min_mapq)
 
 
-def aligned_blocks(reads: DataFrame) -> DataFrame:
-    """One row per gap-free stretch of a read: start0, end0 and offset into the bases.
-
-    Deletions and skips leave the stretches around them, so they count nowhere.
-    """
-    lengths = F.transform(F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1)), lambda x: x.cast("bigint"))
-    kinds = F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2))
-    steps = F.arrays_zip(lengths.alias("n"), kinds.alias("op"))
-    empty = F.struct(
-        (F.col("start") - 1).alias("at"),
-        F.lit(0).cast("bigint").alias("read_at"),
-        F.array().cast("array<struct<start0:bigint,end0:bigint,read_at:bigint>>").alias("blocks"),
-    )
-
-    def step(state: Column, s: Column) -> Column:
-        n, op = s["n"], s["op"]
-        block = F.struct(state["at"].alias("start0"), (state["at"] + n).alias("end0"), state["read_at"].alias("read_at"))
-        aligned = op.isin("M", "=", "X")
-        return F.struct(
-            (state["at"] + F.when(op.isin("M", "=", "X", "D", "N"), n).otherwise(F.lit(0))).alias("at"),
-            (state["read_at"] + F.when(op.isin("M", "=", "X", "I", "S"), n).otherwise(F.lit(0))).alias("read_at"),
-            F.when(aligned, F.concat(state["blocks"], F.array(block))).otherwise(state["blocks"]).alias("blocks"),
-        )
-
-    keep = [c for c in reads.columns if c != "start"]
-    # Not a column first: a filter on its size would walk every read again.
-    return reads.select(*keep, F.inline(F.aggregate(steps, empty, step, lambda s: s["blocks"])))
-
-
 def count_bases(
     sites: DataFrame, reads: DataFrame, min_mapq: int = MIN_MAPQ, min_baseq: int = MIN_BASEQ, extra: Sequence[str] = ("sample",)
 ) -> DataFrame:
     """Base counts by direction at the sites (chrom, position), by sample.
 
-    Reads meet sites by a binned range join on their aligned stretches; mates
-    that overlap at a site count once, by the base of higher quality. The bin stays
-    in the keys, so both counts run where the join left the hits and no hit is
-    shuffled; what decides between mates is one number, which a hash table holds.
+    Reads are cut at bins of the axis and meet the sites there; a bin's sites are the bits of one
+    text, so that the join has a row per read and bin however many sites it covers. Mates that
+    overlap at a site count once, by the base of higher quality. Behind the join nothing is
+    shuffled: the window keeps a bin in one piece, the reads of a name next to each other, and the
+    bases are counted in numpy.
     """
-    blocks = aligned_blocks(reads.filter(read_filter(min_mapq)))
-    wanted = sites.select("chrom", "position", (F.col("position") - 1).alias("position0")).distinct()
-    hits = points_in_intervals(wanted, blocks, ["chrom"], "position0", width=READ_BIN, keep_bin="_place")
-    at = (F.col("read_at") + F.col("position0") - F.col("start0") + 1).cast("int")
-    place = [*extra, "chrom", "_place", "position"]
-    seen = hits.select(
-        *place,
-        "qname",
-        "flag",
-        F.upper(F.substring("bases", at, F.lit(1))).alias("base"),
-        (F.ascii(F.substring("quals", at, F.lit(1))) - 33).alias("quality"),
-    ).filter((F.col("quality") >= min_baseq) & F.col("base").isin("A", "C", "G", "T"))
-    # Highest quality, then the smallest flag, then the first base, from the high bits to the low ones.
-    order = F.shiftleft((255 - F.col("quality")).cast("bigint"), 40) + F.shiftleft(F.col("flag").cast("bigint"), 8) + F.ascii("base")
-    best = seen.groupBy(*place, "qname").agg(F.min(order).alias("_best"))
-    base = F.chr(F.col("_best").bitwiseAND(F.lit(255)))
-    once = best.select(*place, base.alias("base"), F.shiftright("_best", 8).bitwiseAND(F.lit((1 << 32) - 1)).alias("flag"))
-    reverse = F.col("flag").bitwiseAND(F.lit(REVERSE_FLAG)) != 0
-    columns = [
-        F.count_if((F.col("base") == b) & (reverse if d == "reverse" else ~reverse)).alias(f"{b}_{d}")
-        for b in "ACGT"
-        for d in ("forward", "reverse")
-    ]
-    return once.groupBy(*place).agg(*columns).drop("_place")
+    by = [*extra, "chrom"]
+    kept, given = [*by, "qname", "flag"], ["start", "cigar", "bases", "quals"]
+    usable = reads.filter(read_filter(min_mapq)).select(*kept, *given).dropna(subset=["chrom", *given])
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in usable.schema.fields]
+    parts = usable.mapInArrow(
+        lambda batches: cut_reads(batches, kept, min_baseq),
+        ", ".join([*kinds[: len(kept)], "place bigint, at int, bases binary, quals binary"]),
+    )
+    behind = F.pmod(F.col("position") - 1, F.lit(WIDTH))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (63 - behind % 64).cast("int"))
+    words = [F.coalesce(F.bit_or(F.when(F.floor(behind / 64) == i, bit)), F.lit(0)) for i in range(WIDTH // 64)]
+    bits = F.unhex(F.concat(*[F.lpad(F.hex(w), 16, "0") for w in words]))
+    wanted = sites.groupBy("chrom", F.floor((F.col("position") - 1) / WIDTH).alias("place")).agg(bits.alias("wanted"))
+    # The number first: it tells most rows apart.
+    together = Window.partitionBy("place", *by).orderBy("qname")
+    ordered = parts.join(wanted.hint("shuffle_hash"), ["chrom", "place"]).withColumns(
+        {"row": F.row_number().over(together), "name": F.dense_rank().over(together)}
+    )
+    return ordered.drop("qname").mapInArrow(
+        lambda batches: count_bins(batches, by, min_baseq),
+        ", ".join([*kinds[: len(by)], "position bigint", *[f"{n} bigint" for n in COUNT_FIELDS]]),
+    )
 
 
 def reference_tiles(

@@ -1,10 +1,16 @@
 """Readers and writers on small text fixtures."""
 
 import hashlib
+import itertools
+import random
+import re
+from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sitelab.functions import stretches as S
 from sitelab.operators.ordering import global_rank
 from sitelab.sources import sinks as O
 from sitelab.sources import text as T
@@ -183,3 +189,68 @@ def test_hits_are_counted_where_they_arise(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {13: {"T_reverse": 1}, 14: {"T_forward": 1}, 15: {"A_forward": 1, "C_reverse": 1}, 16: {"T_reverse": 1, "G_reverse": 1}}
     assert "Exchange" in executed and "Exchange" not in executed.split("Join")[0]
+
+
+def rows_of_join(df) -> int:
+    """Rows that the one join of an executed plan has put out."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan().executedPlan()
+    while "Join" not in node.nodeName():
+        node = node.plan() if "QueryStage" in node.nodeName() else node.children().head()
+    return node.metrics().get("numOutputRows").get().value()
+
+
+def test_reads_meet_bins_not_sites(spark):
+    """What leaves the join of reads and sites does not grow with the sites that a read covers."""
+    reads = [(f"q{i}", 0, "chr1", 100 + 40 * i, 60, "50M2D51M", "ACGTT" * 20 + "A", "I" * 101) for i in range(50)]
+    reads = spark.createDataFrame(reads, "qname string, flag int, chrom string, start long, mapq int, cigar string, bases string, quals string")
+    few, all_ = (spark.range(1, 2400, step).select(F.lit("chr1").alias("chrom"), F.col("id").alias("position")) for step in (200, 1))
+    sparse, dense = T.count_bases(few, reads, extra=()), T.count_bases(all_, reads, extra=())
+    assert rows_of_join(dense) == rows_of_join(sparse) < 2 * 50
+    total = sum(r[f"{b}_forward"] for r in dense.collect() for b in "ACGT")
+    assert total == 50 * 101
+
+
+def test_bins_against_brute_force(monkeypatch):
+    """Names and bins that go on over blocks, gaps, clips, missing qualities, letters that are no bases."""
+    monkeypatch.setattr(S, "BLOCK", 3)
+    rng = random.Random(5)
+    cigars = ["30M", "3S20M2D7M", "10M600N20M", "5M1I24M", "2H30M", "10=5X15M", "*", "0M30M"]
+    reads = []
+    for i in range(300):
+        bases = "".join(rng.choice("ACGTacgtNé") for _ in range(30))
+        quals = "".join(chr(33 + rng.choice((10, 19, 20, 30, 30, 93))) for _ in range(rng.choice((30, 30, 30, 12))))
+        name = None if i % 50 == 0 else f"q{rng.choice((i, i // 7, 0))}"
+        reads.append((rng.choice("xy"), rng.choice(("c1", "c2")), name, rng.choice((0, 16, 99, 147)), rng.randint(-20, 1200), rng.choice(cigars), bases, quals))
+    sites = {(c, p) for c in ("c1", "c2") for p in range(-20, 2000) if rng.random() < 0.6}
+
+    best = {}
+    for sample, chrom, name, flag, start, cigar, bases, quals in reads:
+        at, i = start, 0
+        for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+            for _ in range(int(n)):
+                if op in "M=X" and (chrom, at) in sites and i < len(quals) and ord(quals[i]) - 33 >= 20 and bases[i].upper() in "ACGT":
+                    mark = (33 - ord(quals[i]), flag, bases[i].upper())
+                    key = (sample, chrom, at, name)
+                    best[key] = min(best.get(key, mark), mark)
+                at, i = at + (op in "M=XDN"), i + (op in "M=XIS")
+    want = defaultdict(int)
+    for (sample, chrom, at, _), (_, flag, base) in best.items():
+        want[sample, chrom, at, f"{base}_{'reverse' if flag & 16 else 'forward'}"] += 1
+
+    names = ["sample", "chrom", "qname", "flag", "start", "cigar", "bases", "quals"]
+    table = pa.table([pa.array(c, pa.int32() if n == "flag" else None) for n, c in zip(names, zip(*reads))], names=names)
+    kept = names[:4]
+    cut = pa.Table.from_batches(S.cut_reads(table.to_batches(max_chunksize=40), kept, 20)).to_pylist()
+    cut.sort(key=lambda r: (r["place"], r["sample"], r["chrom"], r["qname"] or ""))
+    for _, rows in itertools.groupby(cut, lambda r: (r["place"], r["sample"], r["chrom"])):
+        order = []
+        for i, r in enumerate(rows, 1):
+            order += [r["qname"]] if r["qname"] not in order else []
+            bits = "".join(str(int((r["chrom"], r["place"] * S.WIDTH + 1 + k) in sites)) for k in range(S.WIDTH))
+            r.update(row=i, name=len(order), wanted=int(bits, 2).to_bytes(S.WIDTH // 8, "big"))
+    schema = pa.schema({"sample": pa.string(), "chrom": pa.string(), "place": pa.int64(), "row": pa.int32(), "name": pa.int32(), "flag": pa.int32(),
+                        "at": pa.int32(), "bases": pa.binary(), "quals": pa.binary(), "wanted": pa.binary()})
+    out = S.count_bins(pa.Table.from_pylist(cut, schema).to_batches(max_chunksize=7), ["sample", "chrom"], 20)
+    got = {(r["sample"], r["chrom"], r["position"], n): r[n] for b in out for r in b.to_pylist() for n in S.COUNT_FIELDS if r[n]}
+    assert got == want and len(got) > 1000
