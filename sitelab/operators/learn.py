@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 
 from sitelab.functions.scoring import sigmoid
 from sitelab.operators.calibrate import logistic
-from sitelab.operators.newton import Fit, decision_values, fit_logistic, kmer_matrix, kmer_places
+from sitelab.operators.newton import ROWS_PER_TASK, Fit, decision_values, fit_logistic, kmer_numbers, kmer_places, kmer_table
 from sitelab.operators.ordering import global_rank, top_k
+from sitelab.operators.pairs import fit_all_pairs
 from sitelab.operators.ranking import best_per_sequence
-from sitelab.session import cut
+from sitelab.session import cut, new_path
 
 
 def dot(x: str | Column, weights: Sequence[float]) -> Column:
@@ -187,13 +188,18 @@ def document_frequencies(rows: DataFrame, seq: str, low: int, high: int) -> np.n
         total = np.zeros(kmer_places(low, high)[-1])
         for batch in batches:
             for start in range(0, batch.num_rows, WIDE_BLOCK):
-                total += (kmer_matrix(batch.column(0).slice(start, WIDE_BLOCK).to_pylist(), low, high) > 0).sum(axis=0)
+                total += np.bincount(kmer_table(batch.column(0).slice(start, WIDE_BLOCK).to_pylist(), low, high)[1], minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
 
     found = rows.select(seq).mapInArrow(run, "v array<double>").agg(Summarizer.sum(array_to_vector("v")).alias("v")).first()["v"]
     return np.zeros(kmer_places(low, high)[-1]) if found is None else found.toArray()
 
 
+def sublinear(counts: np.ndarray) -> np.ndarray:
+    """1 + log of counts from 1 on, looked up."""
+    return (1.0 + np.log(np.arange(1, counts.max(initial=1) + 1)))[counts - 1]
+
+
 @dataclass(frozen=True)
 class KmerNumbers:
     """Sublinear TF-IDF k-mers of unit length next to standardised numbers, made in numpy where the rows lie."""
@@ -206,12 +212,15 @@ class KmerNumbers:
 
     def kmers(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place, value) of all k-mers of the vocabulary, by row, then place."""
-        counts = kmer_matrix(texts, self.low, self.high)
-        row, place = np.nonzero(counts)
+        row, place, value = self.weighted(texts)
+        return row, place, value / np.sqrt(np.bincount(row, value * value, minlength=len(texts)))[row]
+
+    def weighted(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``kmers`` before they come to unit length."""
+        row, place, count = kmer_table(texts, self.low, self.high)
         known = self.idf[place] > 0
-        row, place = row[known], place[known]
-        value = (1.0 + np.log(counts[row, place])) * self.idf[place]
-        return row, place, value / np.sqrt(np.bincount(row, value * value, minlength=len(counts)))[row]
+        row, place, count = row[known], place[known], count[known]
+        return row, place, sublinear(count) * self.idf[place]
 
     def numbers(self, values: Sequence[Sequence[float]]) -> np.ndarray:
         return (np.array([list(v) for v in values], dtype=float).reshape(len(values), len(self.mean)) - self.mean) * self.factor
@@ -297,6 +306,105 @@ def pairwise_ranker(
     return lambda df: df.withColumn("score", features.margin(weights, seq, numbers)), weights
 
 
+@dataclass(frozen=True)
+class StoredKmers:
+    """Features of ``KmerNumbers`` from a table that is written once: k-mers, unit length, scaled numbers.
+
+    The k-mers of a text are the gaps between their sorted places, a byte each: what Python is sent
+    is most of the time of a pass. 255 only adds to the next gap; a repeated k-mer has the gap 0.
+    """
+
+    kit: KmerNumbers
+
+    @property
+    def size(self) -> int:
+        return len(self.kit.idf) + len(self.kit.mean)
+
+    def store(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(y, gaps, unit, x) of rows (y, text, x)."""
+        for part in (b.slice(i, WIDE_BLOCK) for b in batches for i in range(0, b.num_rows, WIDE_BLOCK)):
+            texts, n = part.column("text").to_pylist(), part.num_rows
+            row, place = np.divmod(np.sort(kmer_numbers(texts, self.kit.low, self.kit.high)), len(self.kit.idf))
+            known = self.kit.idf[place] > 0
+            row, place = row[known], place[known]
+            many = np.bincount(row, minlength=n)
+            gap = np.diff(place, prepend=0)
+            first = (np.cumsum(many) - many)[many > 0]
+            gap[first] = place[first]
+            more, rest = np.divmod(gap, 255)
+            ends = np.cumsum(more + 1)
+            data = np.full(ends[-1] if len(ends) else 0, 255, dtype=np.uint8)
+            data[ends - 1] = rest
+            ends = np.append(0, ends)[np.append(0, np.cumsum(many))].astype(np.int32)
+            row, _, value = self.kit.weighted(texts)
+            length = np.sqrt(np.bincount(row, value * value, minlength=n))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("y"),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)]),
+                    pa.array(np.divide(1.0, length, out=np.zeros_like(length), where=length > 0)),
+                    pa.array(list(self.kit.numbers(part.column("x").to_pylist())), pa.list_(pa.float64())),
+                ],
+                names=["y", "gaps", "unit", "x"],
+            )
+
+    def _open(self, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """How many k-mers each row has, their places and sublinear counts, next to the unit lengths and scaled numbers."""
+        gaps = part.column("gaps").cast(pa.large_binary())
+        ends = np.frombuffer(gaps.buffers()[1], np.int64, part.num_rows + 1, 8 * gaps.offset)
+        gap = np.frombuffer(gaps.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends, last = ends - ends[0], gap < 255
+        # Four bytes hold the places of a block, and are the cheaper ones to lay out.
+        reached = np.append(np.int32(0), np.cumsum(gap, dtype=np.int32))
+        starts = np.append(np.int32(0), np.cumsum(last, dtype=np.int32))[ends]
+        place = reached[1:][last] - np.repeat(reached[ends[:-1]], np.diff(starts))
+        new = np.append(True, place[1:] != place[:-1])[: len(place)]
+        new[starts[:-1][np.diff(starts) > 0]] = True
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(np.int32(0), np.cumsum(new, dtype=np.int32))[starts])
+        x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+        return many, place[first], sublinear(np.diff(first, append=len(place))), part.column("unit").to_numpy(), x
+
+    def scores(self, part: pa.RecordBatch, *weights: np.ndarray) -> list[np.ndarray]:
+        many, place, value, unit, x = self._open(part)
+        some, kmers, out = many > 0, len(self.kit.idf), []
+        first = (np.cumsum(many) - many)[some]
+        for w in weights:
+            total = np.zeros(len(many))
+            if len(first):
+                total[some] = np.add.reduceat(value * (self.kit.idf * w[:kmers])[place], first)
+            out.append(total * unit + (x * w[kmers:]).sum(axis=1))
+        return out
+
+    def sums(self, part: pa.RecordBatch, by: np.ndarray, squared: bool = False) -> np.ndarray:
+        many, place, value, unit, x = self._open(part)
+        idf = self.kit.idf
+        if squared:
+            value, unit, x, idf = value**2, unit**2, x**2, idf**2
+        return np.append(np.bincount(place, value * np.repeat(by * unit, many), minlength=len(idf)) * idf, by @ x)
+
+
+def all_pairs_ranker(
+    rows: DataFrame, label: str, numerics: Sequence[str], seq: str = "seq", c: float = 1.0, low: int = 3, high: int = 6
+):
+    """The ranker of ``pairwise_ranker`` on all pairs of a positive and a negative row. Returns a scoring function and the weights.
+
+    Every row counts for the scales, the k-mers and the fit. All pairs together weigh as much as the larger class has
+    rows: as if each of them met one row of the other class, but all rows of it in equal shares
+    instead of a drawn one. Rows with a NULL label or number are left out. The rows are read three
+    times; the passes of the fit read k-mers that are written once.
+    """
+    numbers = _numbers(numerics, None)
+    used = rows.dropna(subset=[label, *numerics]).select(F.col(label).cast("int").alias("y"), F.col(seq).alias("text"), numbers.alias("x"))
+    kit = _kmer_numbers(used, F.col("x"), "text", low, high)
+    features, path = StoredKmers(kit), new_path(rows.sparkSession, "kmers")
+    stored = used.mapInArrow(features.store, "y int, gaps binary, unit double, x array<double>")
+    stored.write.parquet(path, compression="zstd")
+    data = rows.sparkSession.read.parquet(path)
+    weights = fit_all_pairs(data.coalesce(1 + data.count() // ROWS_PER_TASK), features, c, **COARSE)
+    return lambda df: df.withColumn("score", kit.margin(weights, seq, numbers)), weights
+
+
 Scorer = Callable[[pd.DataFrame], np.ndarray]
 
 

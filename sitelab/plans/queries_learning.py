@@ -9,7 +9,6 @@ from sitelab.functions.sequences import base_count, base_entropy, gc_fraction
 from sitelab.operators import calibrate as C
 from sitelab.operators import learn as N
 from sitelab.operators import ranking as R
-from sitelab.operators import sampling as M
 from sitelab.operators import splits as P
 from sitelab.operators import stats as W
 from sitelab.plans import flows
@@ -250,13 +249,7 @@ def _(src):
 @query("l2_pairwise_kmer_ranker")
 def _(src):
     rows = cut(_features(src))
-    train = rows.filter("split = 'train'")
-    count = 2000
-    positives = M.positive_schedule(train.filter("label = 1").select("id"), count, 0, "id", 42)
-    negatives = M.draw(train.filter("label = 0").select("id"), count, "random", "id", 42 + M.NEGATIVE_STEP)
-    pairs = cut(M.ranking_pairs(positives, negatives, "id", "id"))
-    used = pairs.select(F.col("positive_id").alias("id")).union(pairs.select("negative_id")).distinct()
-    score, _ = N.pairwise_ranker(train.join(used, "id", "left_semi"), pairs, "id", _NUMERICS, c=1.0)
+    score, _ = N.all_pairs_ranker(rows.filter("split = 'train'"), "label", _NUMERICS)
     return _versus_random(score(rows.filter("split = 'dev'")).select("id", "label", "score"))
 
 

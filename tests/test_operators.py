@@ -8,6 +8,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from sitelab.operators import components as K
 from sitelab.operators import intervals as I
 from sitelab.operators import learn as N
 from sitelab.operators import newton as G
+from sitelab.operators import pairs as Q
 from sitelab.operators import ranking as R
 from sitelab.operators import replicates as A
 from sitelab.operators import sampling as M
@@ -849,3 +851,74 @@ def test_labels_without_the_exact_test(spark):
     assert set(full.columns) - set(plain.columns) == {"fisher_p", "fdr", "positive_high_confidence"}
     assert rows(full, *plain.columns) == rows(plain, *plain.columns)
     assert "Python" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_pairs_against_brute_force(spark):
+    """Weights and loss of every pair listed; each row counts, however few positives there are."""
+    rng = random.Random(21)
+    data = [(i, "".join(rng.choice("ACGT") for _ in range(rng.choice((0, 2, 9, 30)))) + ("GAT" if i % 5 == 0 else ""), int(i % 5 == 0), rng.random()) for i in range(120)]
+    data += [(200, None, 0, 0.5), (201, "ACGNNACG" + "A" * 300, 1, 0.1), (202, "ACG", None, 0.1), (203, "ACG", 0, None)]
+    df = spark.createDataFrame(data, "id long, seq string, label int, gc double").repartition(5)
+    _, weights = N.all_pairs_ranker(df, "label", ["gc"], low=2, high=3)
+    used = [d for d in data if d[2] is not None and d[3] is not None]
+    rows_ = spark.createDataFrame(used, df.schema).coalesce(1)
+    kit = N._kmer_numbers(rows_, F.array("gc"), "seq", 2, 3)
+    x = kit.matrix([d[1] for d in used], [[d[3]] for d in used])
+    y = np.array([d[2] for d in used])
+    pairs = (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, x.shape[1])
+    heavy = max(y.sum(), (1 - y).sum())
+    loss = lambda w: np.logaddexp(0, -pairs @ w).mean() + w @ w / (4 * heavy)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(pairs @ w))
+        bend = (pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + np.eye(len(w)) / (2 * heavy)
+        w = w - np.linalg.solve(bend, -pairs.T @ p / len(pairs) + w / (2 * heavy))
+    assert loss(w) <= loss(weights) < loss(w) + 1e-3 < loss(np.zeros(len(w))) - 0.1
+    assert np.corrcoef(x @ weights, x @ w)[0, 1] > 0.99
+
+
+def test_slopes_of_all_pairs():
+    rng = np.random.default_rng(22)
+    scores = {1: rng.normal(1, 3, 40), 0: rng.normal(0, 30, 70)}
+    masses = {0: defaultdict(float), 1: defaultdict(float)}
+    for c, s in scores.items():
+        for first, share in zip(*Q.on_grid(s)):
+            for j, part in enumerate(share):
+                masses[c][int(first) + j] += part
+    found = Q.slopes(masses)
+    apart = scores[0][None] - scores[1][:, None]
+    turn = 1 / (1 + np.exp(-apart))
+    assert found.loss == pytest.approx(np.logaddexp(0, apart).sum(), rel=1e-10)
+    assert np.allclose(found.at(scores[1], np.ones(40, int)), -turn.sum(axis=1), atol=1e-8)
+    assert np.allclose(found.at(scores[0], np.zeros(70, int)), turn.sum(axis=0), atol=1e-8)
+
+
+def test_stored_kmers_are_those_of_the_texts():
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("ACGT") for _ in range(rng.choice((0, 3, 101)))) for _ in range(30)] + [None, "A" * 900, "NNN", "TTTTTT", "AAAAAATTTTTT"]
+    idf = np.array([0.0 if i % 11 == 0 else 1 + i / 5000 for i in range(5440)])
+    kit = N.KmerNumbers(3, 6, idf, np.array([0.5]), np.array([2.0]))
+    x = [[i / 7] for i in range(len(texts))]
+    part = pa.RecordBatch.from_pydict({"y": pa.array([i % 2 for i in range(len(texts))], pa.int32()), "text": texts, "x": x})
+    features = N.StoredKmers(kit)
+    (stored,) = features.store([part])
+    want = kit.matrix(texts, x)
+    w, by = np.random.default_rng(1).normal(size=(2, features.size)), np.linspace(-1, 1, len(texts))
+    for rows_, piece in ((slice(0, None), stored), (slice(9, 33), stored.slice(9, 24))):
+        assert np.allclose(features.scores(piece, *w), (want[rows_] @ w.T).T)
+        assert np.allclose(features.sums(piece, by[rows_]), by[rows_] @ want[rows_])
+        assert np.allclose(features.sums(piece, by[rows_], True), by[rows_] @ want[rows_] ** 2)
+
+
+def test_the_pairwise_query_draws_nothing(spark, monkeypatch):
+    """l2 fits on every row of its training part."""
+    from sitelab.plans import catalog
+    from sitelab.plans.registry import REGISTRY
+
+    catalog.load()
+    seen = []
+    fit = N.fit_all_pairs
+    monkeypatch.setattr(N, "fit_all_pairs", lambda data, *a, **k: seen.append(data.groupBy("y").count().collect()) or fit(data, *a, **k))
+    REGISTRY["l2_pairwise_kmer_ranker"].run(spark, "/root/testdata/sf0.01").collect()
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    assert sum(r["count"] for r in seen[0]) == orders.filter("o_orderkey % 10 < 7").count() > 2 * 2000
